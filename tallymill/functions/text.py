@@ -136,3 +136,14 @@ def normalise_blanks(text: str) -> str:
     source = UNICODE_BLANKS + UNICODE_LINE_ENDS + "\u0085"
     target = " " * len(UNICODE_BLANKS) + "\n" * len(UNICODE_LINE_ENDS) + "\u0086"
     return f"translate({text}, {lit(source)}, {lit(target)})"
+
+
+def select_sealed(frame, keep: list[str], columns: dict[str, str]):
+    """Select computed columns so that later filters on them stay above the computation.
+
+    Spark moves a filter below a projection by repeating the projected expression in it. For expressions
+    as wide as these that doubles the work and can stall the optimizer, so they leave through ``inline``,
+    which filters on its output do not cross. Filters on the kept input columns still reach the scan.
+    """
+    pairs = ", ".join(f"{lit(name)}, {sql}" for name, sql in columns.items())
+    return frame.selectExpr(*keep, f"inline(array(named_struct({pairs})))")

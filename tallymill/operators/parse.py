@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.functions import extract as X
-from tallymill.functions.text import any_of, first_of, lit, when
+from tallymill.functions.text import any_of, first_of, lit, select_sealed, when
 from tallymill.operators.fallback import CONFIDENCE, reference_type, with_fallback
 from tallymill.operators.filters import with_drop_reason, with_text
 from tallymill.operators.rules import RULES, Rule, message_day, with_l2
@@ -114,7 +114,7 @@ def parse_stages(
         "is_infrastructure": is_infrastructure("address"),
         "parse_failure": "parse_failure",
     }
-    return judged.selectExpr(*messages.columns, *[f"{sql} AS {name}" for name, sql in columns.items()])
+    return select_sealed(judged, messages.columns, columns)
 
 
 def transactions_of(staged: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ from tallymill.functions.text import (
     grab,
     has,
     lit,
+    select_sealed,
     strip,
     when,
 )
@@ -665,11 +666,11 @@ def route_messages(messages: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     routed = with_l2(with_drop_reason(with_text(messages)), rules)
     day = f"coalesce(txn_date_raw, CAST({message_day('date')} AS string))"
     parts = ", ".join(f"'{n}', {day if n == 'txn_date_raw' else n}" for n in FIELDS)
-    return routed.selectExpr(
-        *messages.columns,
-        "drop_reason",
-        "CASE WHEN outcome IN ('matched', 'discard') THEN rule_id END AS rule_id",
-        "outcome",
-        "discard_reason",
-        f"CASE WHEN outcome = 'matched' THEN named_struct({parts}) END AS l2",
-    )
+    columns = {
+        "drop_reason": "drop_reason",
+        "rule_id": "CASE WHEN outcome IN ('matched', 'discard') THEN rule_id END",
+        "outcome": "outcome",
+        "discard_reason": "discard_reason",
+        "l2": f"CASE WHEN outcome = 'matched' THEN named_struct({parts}) END",
+    }
+    return select_sealed(routed, messages.columns, columns)
