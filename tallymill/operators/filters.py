@@ -14,6 +14,7 @@ from tallymill.functions.text import (
     has,
     lit,
     normalise_blanks,
+    select_sealed,
 )
 
 # Phrases and patterns of the body filter, matched on lower-cased text.
@@ -175,14 +176,17 @@ def with_text(messages: DataFrame) -> DataFrame:
     return messages.selectExpr("*", f"{normalise_blanks('body')} AS _text").selectExpr("*", "lower(_text) AS _low")
 
 
-def with_drop_reason(texts: DataFrame) -> DataFrame:
-    """Add ``drop_reason``: ``sender``, a body reason, or null for messages that pass."""
-    reason = first_of(
+def drop_reason() -> str:
+    """``sender``, a body reason, or null for a message that passes."""
+    return first_of(
         [(sender_dropped("address"), lit("sender")), ("body IS NULL", lit("no_signal"))], body_drop_reason("_low")
     )
-    return texts.selectExpr("*", f"{reason} AS drop_reason")
+
+
+def with_drop_reason(texts: DataFrame) -> DataFrame:
+    return texts.selectExpr("*", f"{drop_reason()} AS drop_reason")
 
 
 def filter_messages(messages: DataFrame) -> DataFrame:
     """Every message with its ``drop_reason``; keep the rows where it is null to filter."""
-    return with_drop_reason(with_text(messages)).drop("_text", "_low")
+    return select_sealed(with_text(messages), messages.columns, {"drop_reason": drop_reason()})

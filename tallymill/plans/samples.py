@@ -9,9 +9,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallymill.functions.text import lit
+from tallymill.operators.skew import at_least_one_partition_per_core
 
 DEFAULT_SENDER = "VM-DEMOBK-S"
 MONTHS_AHEAD = 300
@@ -104,42 +104,67 @@ def _messages(orders: DataFrame, body: str, address: str) -> DataFrame:
     )
 
 
-def messages_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def inbox(orders: DataFrame) -> DataFrame:
     """A mixed inbox: every order becomes one message, its key picks the template."""
     number = f"o_orderkey % {TEMPLATE_COUNT} + 1"
     bodies = " ".join(f"WHEN {n} THEN {render(TEMPLATES[n])}" for n in sorted(TEMPLATES))
     senders = " ".join(f"WHEN {n} THEN {lit(sender)}" for n, sender in SENDERS.items())
     return _messages(
-        load(spark, sf_dir, "orders"),
-        f"CASE {number} {bodies} END",
-        f"CASE {number} {senders} ELSE {lit(DEFAULT_SENDER)} END",
+        orders, f"CASE {number} {bodies} END", f"CASE {number} {senders} ELSE {lit(DEFAULT_SENDER)} END"
     )
 
 
+def messages_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inbox(at_least_one_partition_per_core(load(spark, sf_dir, "orders"), "o_orderkey"))
+
+
 def template_messages(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
     """Every order rendered through one template."""
-    return _messages(load(spark, sf_dir, "orders"), render(template), lit(DEFAULT_SENDER))
+    orders = at_least_one_partition_per_core(load(spark, sf_dir, "orders"), "o_orderkey")
+    return _messages(orders, render(template), lit(DEFAULT_SENDER))
 
 
 def ledger_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ledger with transfers, repeats, reviewed rows and infrastructure rows, one row per event."""
-    amount = F.floor("value").cast("decimal(18,2)")
-    key = F.col("event_id")
-    return load(spark, sf_dir, "events").select(
-        key.cast("string").alias("id"),
-        F.col("user_id").cast("string").alias("user_id"),
-        F.concat(F.lit("A"), (key % 3).cast("string")).alias("account_id"),
-        F.to_date("ts").alias("txn_date"),
-        F.when(F.col("event_type").isin("purchase", "error"), -amount).otherwise(amount).alias("amount"),
-        F.when(key % 4 < 2, F.floor(key / 2).cast("string")).alias("ref_number"),
-        F.when(key % 5 == 0, "user_reviewed")
-        .when(key % 5 < 3, "pending_review")
-        .otherwise("approved")
-        .alias("status"),
-        (F.col("event_type") == "signup").alias("_signup"),
-        F.lit(False).alias("is_deleted"),
-        (key % 50 == 7).alias("is_infrastructure"),
-        (key % 40 == 11).alias("is_contra"),
-        F.col("event_type").alias("category"),
-        F.col("ts").alias("created_at"),
-    ).drop("_signup")
+    """A ledger with transfers, repeats, reviewed rows and infrastructure rows: one row per event of value."""
+    return load(spark, sf_dir, "events").filter("floor(value) <> 0").selectExpr(
+        "CAST(event_id AS string) AS id",
+        "CAST(user_id AS string) AS user_id",
+        "concat('A', event_id % 3) AS account_id",
+        "to_date(ts) AS txn_date",
+        "CAST(CASE WHEN event_type IN ('purchase', 'error') THEN -floor(value) ELSE floor(value) END "
+        "AS decimal(18,2)) AS amount",
+        "CASE WHEN event_id % 4 < 2 THEN concat(user_id, '-', CAST(floor(value) AS bigint)) END AS ref_number",
+        "CASE WHEN event_id % 5 = 0 THEN 'user_reviewed' WHEN event_id % 5 < 3 THEN 'pending_review' "
+        "ELSE 'approved' END AS status",
+        "false AS is_deleted",
+        "event_id % 50 = 7 AS is_infrastructure",
+        "event_id % 40 = 11 AS is_contra",
+        "CASE event_type WHEN 'signup' THEN 'income' WHEN 'purchase' THEN 'shopping' ELSE event_type END AS category",
+        "CAST(NULL AS string) AS sub_category",
+        "CASE WHEN event_type = 'purchase' THEN 'Expense' ELSE 'Income' END AS type",
+        "CASE WHEN event_id % 3 = 0 THEN concat('Shop ', event_id % 7) END AS merchant",
+        "'sms' AS source",
+        "CAST(NULL AS string) AS ref_type",
+        "CAST(NULL AS string) AS split_from_id",
+        "CAST(NULL AS string) AS possible_contra_of",
+        "CAST(NULL AS string) AS txn_group_id",
+        "CAST(NULL AS string) AS possible_duplicate_of",
+        "CAST(NULL AS double) AS duplicate_confidence",
+        "ts AS created_at",
+    )
+
+
+def matches_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule matches with repeated references, texts and values: one per line item."""
+    return load(spark, sf_dir, "lineitem").selectExpr(
+        "concat(l_orderkey, '-', l_linenumber) AS id",
+        "CAST(l_suppkey AS string) AS user_id",
+        "concat('  item ', l_partkey, ' ') AS body",
+        "CASE l_linenumber WHEN 1 THEN 'GENERIC_DEBIT' WHEN 2 THEN 'GENERIC_CREDIT' ELSE 'CASH_DEPOSIT' END AS rule_id",
+        "CAST(l_quantity AS decimal(18,2)) AS amount",
+        "add_months(trunc(l_shipdate, 'MM'), 0) AS txn_date",
+        "CASE WHEN l_linenumber < 6 THEN CAST(l_suppkey % 3 AS string) END AS account_number_masked",
+        "CASE WHEN l_orderkey % 2 = 0 THEN CAST(l_partkey AS string) END AS ref_number",
+        "CASE WHEN l_orderkey % 2 = 0 THEN 'upi_rrn' END AS ref_type",
+        "unix_millis(CAST(l_shipdate AS timestamp)) AS date",
+    )
