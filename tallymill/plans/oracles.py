@@ -155,7 +155,7 @@ PAIRS = f"""{LEDGER}, legs AS (SELECT * FROM l WHERE NOT is_infrastructure AND N
   best AS (SELECT id, user_id, count(*) FILTER (WHERE open) OVER (PARTITION BY id) AS candidates, tier, partner_id,
     row_number() OVER (PARTITION BY id ORDER BY tier, seen_at, partner_id) AS rn FROM p)"""
 
-LINES = """r AS (SELECT l_orderkey || '-' || l_linenumber AS id, CAST(l_suppkey AS VARCHAR) AS user_id,
+LINES = """r AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS id, CAST(l_suppkey AS VARCHAR) AS user_id,
   CAST(l_partkey AS VARCHAR) AS part, l_orderkey % 2 = 0 AS has_ref, l_quantity AS amount,
   date_trunc('month', l_shipdate) AS txn_date, CASE WHEN l_linenumber < 6 THEN l_suppkey % 3 END AS account,
   CASE l_linenumber WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 3 END AS priority, l_shipdate AS seen_at FROM lineitem),
@@ -395,4 +395,16 @@ def all_oracles() -> dict[str, str]:
     o["stream_parse"] = f"WITH {V} SELECT stage, count(*) AS n, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM v GROUP BY 1"
     o["stream_dedup"] = f"""WITH {V}, r AS (SELECT DISTINCT u, rule, CASE WHEN n IN (4, 19, 25, 26) THEN rrn ELSE CAST(k AS VARCHAR) END AS key FROM v WHERE stage = 'matched')
       SELECT rule AS matched_rule, count(*) AS n FROM r GROUP BY 1"""
+    o["stream_funnel"] = f"""WITH {V}, w AS (SELECT *, date_diff('day', DATE '1970-01-01', d) // 90 * 90 AS day0 FROM v),
+      c AS (SELECT CAST(DATE '1970-01-01' + CAST(day0 AS INT) AS DATE) AS window_start, CAST(DATE '1970-01-01' + CAST(day0 + 90 AS INT) AS DATE) AS window_end,
+      count(*) AS total, count(*) FILTER (WHERE drop_reason = 'sender') AS sender_dropped,
+      count(*) FILTER (WHERE drop_reason <> 'sender') AS body_dropped, count(*) FILTER (WHERE drop_reason IS NULL) AS passed,
+      count(*) FILTER (WHERE stage = 'matched') AS matched, count(*) FILTER (WHERE stage IN ('discard', 'balance_update')) AS discarded,
+      count(*) FILTER (WHERE stage IN ('fallback', 'escalated')) AS escalated FROM w GROUP BY 1, 2)
+      SELECT * FROM c WHERE window_end <= (SELECT max(d) - 2 FROM v)"""
+    o["ingest_summary"] = f"""WITH {V}, r AS (SELECT *, {number} AS num, rule IN ('GENERIC_CC_PAYMENT', 'PLUXEE_CREDIT', 'NCMC_LOAD', 'GENERIC_PPF_SSY',
+        'CASH_DEPOSIT', 'WALLET_LOAD') AS definitional FROM v WHERE {row}),
+      g AS (SELECT count(*) - 1 AS extra FROM r WHERE amount IS NOT NULL AND NOT coalesce(definitional, false) GROUP BY u, num, d, amount)
+      SELECT (SELECT count(*) FROM r) AS transactions_inserted, (SELECT count(*) FROM v WHERE stage = 'balance_update') AS balances_updated,
+      0 AS duplicates_skipped, CAST((SELECT sum(extra) FROM g) AS BIGINT) AS duplicates_flagged"""
     return o

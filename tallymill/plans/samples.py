@@ -157,12 +157,12 @@ def ledger_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def matches_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule matches with repeated references, texts and values: one per line item."""
     return load(spark, sf_dir, "lineitem").selectExpr(
-        "concat(l_orderkey, '-', l_linenumber) AS id",
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS bigint)) AS id",
         "CAST(l_suppkey AS string) AS user_id",
         "concat('  item ', l_partkey, ' ') AS body",
         "CASE l_linenumber WHEN 1 THEN 'GENERIC_DEBIT' WHEN 2 THEN 'GENERIC_CREDIT' ELSE 'CASH_DEPOSIT' END AS rule_id",
         "CAST(l_quantity AS decimal(18,2)) AS amount",
-        "add_months(trunc(l_shipdate, 'MM'), 0) AS txn_date",
+        "trunc(l_shipdate, 'MM') AS txn_date",
         "CASE WHEN l_linenumber < 6 THEN CAST(l_suppkey % 3 AS string) END AS account_number_masked",
         "CASE WHEN l_orderkey % 2 = 0 THEN CAST(l_partkey AS string) END AS ref_number",
         "CASE WHEN l_orderkey % 2 = 0 THEN 'upi_rrn' END AS ref_type",
