@@ -34,14 +34,21 @@ def repeat_key() -> Column:
     return F.when(F.col("ref_type") == "upi_rrn", F.concat(F.lit("ref:"), F.col("ref_number"))).otherwise(digest)
 
 
-def dedup_messages(
+def dedup_messages(matched: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """``(kept, log)`` of ``judge_messages``; ``log`` carries ``reason``."""
+    judged = judge_messages(matched, **options)
+    kept = judged.filter("kept").select(*matched.columns)
+    return kept, judged.filter("reason IS NOT NULL").select(*matched.columns, "reason")
+
+
+def judge_messages(
     matched: DataFrame,
     priority: dict[str, int] | None = None,
     order: list[str] | None = None,
     scope: list[str] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """``(kept, log)`` over matched rows with ``id, user_id, body, rule_id, amount, txn_date,
-    account_number_masked, ref_number, ref_type`` and the ``order`` columns; ``log`` carries ``reason``.
+) -> DataFrame:
+    """Matched rows with ``kept`` and the logged ``reason``. The rows carry ``id, user_id, body, rule_id,
+    amount, txn_date, account_number_masked, ref_number, ref_type`` and the ``order`` columns.
 
     First the repeats of a reference or text go (first kept). Then, among rows with equal amount, date and
     account, the highest rule priority stays, the earliest on ties. The log names the arriving message: a
@@ -86,15 +93,10 @@ def dedup_messages(
         complete & holder.isNotNull(),
         F.when(F.col("_priority") > holder, "contra_replaced_existing").otherwise("contra_lower_priority"),
     )
-    judged = joined.select(
-        *matched.columns,
-        repeat.alias("_repeat"),
-        F.coalesce(complete & (survivor != F.col("_arrival")), F.lit(False)).alias("_lost"),
-        logged.alias("_logged"),
+    lost = F.coalesce(complete & (survivor != F.col("_arrival")), F.lit(False))
+    return joined.select(
+        *matched.columns, (repeat.isNull() & ~lost).alias("kept"), F.coalesce(repeat, logged).alias("reason")
     )
-    kept = judged.filter("_repeat IS NULL AND NOT _lost").select(*matched.columns)
-    log = judged.withColumn("reason", F.coalesce("_repeat", "_logged")).filter("reason IS NOT NULL")
-    return kept, log.select(*matched.columns, "reason")
 
 
 def is_definitional_transfer(rule: Column) -> Column:

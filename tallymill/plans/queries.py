@@ -131,19 +131,20 @@ def review_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_reference_or_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = dedup.dedup_messages(S.matches_from_lineitem(spark, sf_dir))[1]
-    return log.filter("reason LIKE 'duplicate%'").select("id", "reason")
+    judged = dedup.judge_messages(S.matches_from_lineitem(spark, sf_dir))
+    return judged.filter("reason LIKE 'duplicate%'").select("id", "reason")
 
 
 def dedup_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept, log = dedup.dedup_messages(S.matches_from_lineitem(spark, sf_dir))
-    return kept.select("id", F.lit("kept").alias("verdict")).unionByName(
-        log.filter("reason LIKE 'contra%'").select("id", F.col("reason").alias("verdict"))
-    )
+    """Kept rows and the priority log; a row that replaced another is in both."""
+    judged = dedup.judge_messages(S.matches_from_lineitem(spark, sf_dir))
+    verdicts = "array_compact(array(CASE WHEN kept THEN 'kept' END, CASE WHEN reason LIKE 'contra%' THEN reason END))"
+    return judged.selectExpr("id", f"explode({verdicts}) AS verdict")
 
 
 def dedup_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.histogram(dedup.dedup_messages(S.matches_from_lineitem(spark, sf_dir))[1], "reason")
+    judged = dedup.judge_messages(S.matches_from_lineitem(spark, sf_dir))
+    return reports.histogram(judged.filter("reason IS NOT NULL"), "reason")
 
 
 def duplicate_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,8 +365,10 @@ def escalation_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inbox as a stream; the single input file is spread before the per-row work."""
     schema = S.load(spark, sf_dir, "orders").schema
-    return S.inbox(spark.readStream.schema(schema).parquet(f"{sf_dir}/orders*.parquet"))
+    orders = spark.readStream.schema(schema).parquet(f"{sf_dir}/orders*.parquet")
+    return S.inbox(orders.repartition(spark.sparkContext.defaultParallelism, "o_orderkey"))
 
 
 def _finish(stream: DataFrame, spark: SparkSession) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tallymill.operators.accounts import KEYS
@@ -12,11 +11,11 @@ from tallymill.operators.dedup import repeat_key
 from tallymill.operators.ledger import affected_rows, update_ledger
 from tallymill.operators.parse import balance_updates_of, parse_stages, transactions_of
 from tallymill.operators.reports import _staged_counts
-from tallymill.schemas import ACCOUNTS, LEDGER, MESSAGES
+from tallymill.schemas import ACCOUNTS, LEDGER, MESSAGES, struct_of
 from tallymill.sources.messages import read_buckets, user_bucket, write_buckets
 
 POLL = "30 minutes"
-BALANCES = T.StructType.fromDDL(
+BALANCES = struct_of(
     "user_id string, account_number_masked string, balance decimal(18,2), message_date date, "
     "message_time timestamp, raw_sms_id string"
 )
