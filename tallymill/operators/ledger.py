@@ -55,13 +55,15 @@ def update_ledger(
         new = new.join(known_ids, "id", "left_anti")
     arrived = ledger.withColumn("_arrived", F.lit(False)).unionByName(new.withColumn("_arrived", F.lit(True)))
     updated = pair_transfers(arrived, F.col("_arrived"))
-    summary = (
-        updated.agg(
-            F.count_if("_arrived").alias("transactions_inserted"),
-            F.lit(0).cast("bigint").alias("duplicates_skipped"),
-            F.count_if(F.col("_arrived") & F.col("possible_duplicate_of").isNotNull()).alias("duplicates_flagged"),
-        )
-        .crossJoin(F.broadcast(balance_updates.agg(F.count("*").alias("balances_updated"))))
+    inserted = updated.filter("_arrived").select(
+        F.lit("row").alias("what"), F.col("possible_duplicate_of").isNotNull().alias("flagged")
+    )
+    noticed = balance_updates.select(F.lit("balance").alias("what"), F.lit(False).alias("flagged"))
+    summary = inserted.unionByName(noticed).agg(
+        F.count_if(F.col("what") == "row").alias("transactions_inserted"),
+        F.count_if(F.col("what") == "balance").alias("balances_updated"),
+        F.lit(0).cast("bigint").alias("duplicates_skipped"),
+        F.count_if("flagged").alias("duplicates_flagged"),
     )
     return updated.drop("_arrived"), dimension, summary
 

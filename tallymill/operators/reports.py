@@ -103,14 +103,15 @@ def samples(rows: DataFrame, order: list[str], n: int, snippet: int = 80) -> Dat
 
 def model_outcomes(answers: DataFrame, escalated: DataFrame) -> DataFrame:
     """Parsed, promotional and missing answers of an escalation run."""
-    got = answers.agg(
-        F.count("*").alias("answered"),
-        F.count_if(F.coalesce(F.col("answer.is_promotional"), F.lit(False))).alias("promotional"),
+    got = answers.select(
+        F.lit(0).alias("asked"),
+        F.lit(1).alias("answered"),
+        F.coalesce(F.col("answer.is_promotional"), F.lit(False)).cast("int").alias("promotional"),
     )
-    asked = escalated.agg(F.count("*").alias("asked"))
-    return asked.crossJoin(F.broadcast(got)).select(
-        "asked",
-        (F.col("answered") - F.col("promotional")).alias("parsed"),
-        "promotional",
-        (F.col("asked") - F.col("answered")).alias("errors"),
+    asked = escalated.select(F.lit(1).alias("asked"), F.lit(0).alias("answered"), F.lit(0).alias("promotional"))
+    return got.unionByName(asked).agg(
+        F.sum("asked").alias("asked"),
+        F.sum(F.col("answered") - F.col("promotional")).alias("parsed"),
+        F.sum("promotional").alias("promotional"),
+        F.sum(F.col("asked") - F.col("answered")).alias("errors"),
     )

@@ -55,9 +55,9 @@ def feed_page(
 ) -> DataFrame:
     """One page, newest day first, ties by id; ``total_count`` is the size of the whole filtered feed."""
     rows = feed_filter(ledger, tab, status_filter, category).filter(F.col("user_id") == user_id)
-    total = rows.agg(F.count("*").alias("total_count"))
+    total = rows.groupBy("user_id").agg(F.count("*").alias("total_count"))  # one row: one user
     top = rows.orderBy(F.desc("txn_date"), "id").offset(page * page_size).limit(page_size)
-    return top.crossJoin(F.broadcast(total)).withColumn("page_count", page_count(page_size))
+    return top.join(total, "user_id").withColumn("page_count", page_count(page_size))
 
 
 def page_count(page_size: int = PAGE_SIZE):

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Groups beyond this many rows are spread over several join keys. The broadcast list of such groups has at
@@ -36,10 +37,15 @@ def at_least_one_partition_per_core(frame: DataFrame, key: str) -> DataFrame:
     return frame.repartition(cores, key) if frame.rdd.getNumPartitions() < cores else frame
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder below the one the session names; a local one only where none is named, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="scratch-")
+
+
 def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names; a temporary folder only where none is named."""
-    spark = frame.sparkSession
-    context = spark.sparkContext
+    """Reliable checkpoint, so that a lost executor costs no recomputation of what came before."""
+    context = frame.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        context.setCheckpointDir(scratch_dir(frame.sparkSession))
     return frame.checkpoint()

@@ -335,10 +335,10 @@ def all_oracles() -> dict[str, str]:
       coalesce(duplicate_confidence > 0.9, false) AS is_deleted, CASE WHEN duplicate_confidence > 0.9 THEN possible_duplicate_of END AS link FROM flagged)
       SELECT status, is_deleted, count(*) AS n, count(link) AS flagged FROM d GROUP BY 1, 2"""
     o["transfer_candidates"] = f"WITH {PAIRS} SELECT id, user_id, candidates, tier, partner_id FROM best WHERE rn = 1"
-    o["transfer_tiers"] = f"WITH {PAIRS} SELECT tier, count(*) AS n, sum(candidates) AS candidates FROM best WHERE rn = 1 GROUP BY 1"
-    o["stream_transfers"] = """WITH e AS (SELECT CAST(event_id AS VARCHAR) AS id, user_id, event_id % 3 AS account, CAST(ts AS DATE) AS day,
+    o["transfer_tiers"] = f"WITH {PAIRS} SELECT tier, count(*) AS n, CAST(sum(candidates) AS BIGINT) AS candidates FROM best WHERE rn = 1 GROUP BY 1"
+    o["stream_transfers"] = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS user_id, 'A' || CAST(event_id % 3 AS VARCHAR) AS account, CAST(ts AS DATE) AS day,
       CASE WHEN event_type IN ('purchase', 'error') THEN -floor(value) ELSE floor(value) END AS amount FROM events)
-      SELECT a.id AS debit_id, b.id AS credit_id FROM e a JOIN e b ON a.user_id = b.user_id AND a.amount = -b.amount AND a.account <> b.account
+      SELECT DISTINCT a.user_id, b.amount AS magnitude, a.account AS debit_account, a.day AS debit_day, b.account AS credit_account, b.day AS credit_day FROM e a JOIN e b ON a.user_id = b.user_id AND a.amount = -b.amount AND a.account <> b.account
       AND abs(date_diff('day', a.day, b.day)) <= 1 WHERE a.amount < 0"""
     # accounts and balances
     stored = "s AS (SELECT c_custkey AS u, lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS num FROM customer WHERE c_acctbal > 0)"
@@ -406,5 +406,5 @@ def all_oracles() -> dict[str, str]:
         'CASH_DEPOSIT', 'WALLET_LOAD') AS definitional FROM v WHERE {row}),
       g AS (SELECT count(*) - 1 AS extra FROM r WHERE amount IS NOT NULL AND NOT coalesce(definitional, false) GROUP BY u, num, d, amount)
       SELECT (SELECT count(*) FROM r) AS transactions_inserted, (SELECT count(*) FROM v WHERE stage = 'balance_update') AS balances_updated,
-      0 AS duplicates_skipped, CAST((SELECT sum(extra) FROM g) AS BIGINT) AS duplicates_flagged"""
+      CAST(0 AS BIGINT) AS duplicates_skipped, CAST((SELECT sum(extra) FROM g) AS BIGINT) AS duplicates_flagged"""
     return o

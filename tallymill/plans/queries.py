@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from tallymill.functions import extract as X
 from tallymill.operators import accounts, dedup, edits, escalation, fallback, ledger, reports, review, rules, transfers
 from tallymill.operators.filters import filter_messages, with_drop_reason, with_text
 from tallymill.operators.parse import balance_updates_of, parse_stages, transactions_of
-from tallymill.operators.skew import at_least_one_partition_per_core, cut_lineage
+from tallymill.operators.skew import at_least_one_partition_per_core, cut_lineage, scratch_dir
 from tallymill.operators.taxonomy import TAXONOMY, any_keyword, best_entry
 from tallymill.functions.text import has, when
 from tallymill.plans import samples as S
@@ -372,7 +371,7 @@ def _stream_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _finish(stream: DataFrame, spark: SparkSession) -> DataFrame:
-    base = tempfile.mkdtemp(prefix="stream-")
+    base = scratch_dir(spark)
     query = (
         stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True)
         .start(f"{base}/out")
@@ -397,7 +396,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallymill.sources.messages import read_buckets
 
-    base = tempfile.mkdtemp(prefix="stream-")
+    base = scratch_dir(spark)
     streams.balance_stream(_stream_inbox(spark, sf_dir), f"{base}/balances", f"{base}/ckpt").awaitTermination()
     stored = read_buckets(spark, f"{base}/balances", streams.BALANCES)
     return stored.select("user_id", "account_number_masked", F.col("balance").cast("double").alias("balance"), "message_date")
@@ -416,13 +415,13 @@ def stream_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "to_date(ts) AS txn_date",
         "CAST(CASE WHEN event_type IN ('purchase', 'error') THEN -floor(value) ELSE floor(value) END AS decimal(18,2)) AS amount",
     )
-    return _finish(streams.transfer_stream(rows), spark).select("debit_id", "credit_id")
+    return _finish(streams.transfer_stream(rows), spark).withColumn("magnitude", F.col("magnitude").cast("double"))
 
 
 def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallymill.sources.messages import read_buckets
 
-    base = tempfile.mkdtemp(prefix="stream-")
+    base = scratch_dir(spark)
     streams.ledger_stream(_stream_inbox(spark, sf_dir), base, f"{base}/ckpt").awaitTermination()
     stored = read_buckets(spark, f"{base}/ledger", LEDGER)
     return stored.groupBy("is_contra").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("amount"))

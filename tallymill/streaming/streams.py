@@ -40,21 +40,24 @@ def dedup_stream(parsed: DataFrame, horizon: str = "2 days") -> DataFrame:
 
 
 def transfer_stream(rows: DataFrame, lateness: str = "2 days") -> DataFrame:
-    """Pairs of opposite legs at most one day apart, as two sides of a stream join with bounded state.
+    """Where transfers may be: days and accounts of one user with opposite legs at most one day apart.
 
-    ``rows`` carry ``id, user_id, account_id, txn_date, amount``. Output is one row per debit leg and credit
-    leg that fit; choosing among them is the ledger's work.
+    ``rows`` carry ``user_id, account_id, txn_date, amount``. Both sides are first reduced to one row per
+    user, magnitude, day and account, so a busy account joins once and not once per row; choosing the
+    rows is the ledger's work. State is bounded by the watermark.
     """
     legs = rows.filter("amount IS NOT NULL AND amount <> 0").withColumn("day_time", F.col("txn_date").cast("timestamp"))
-    columns = ["id", "user_id", "account_id", "day_time"]
 
     def side(sign: str, prefix: str) -> DataFrame:
         picked = legs.filter(f"amount {sign} 0").select(
-            *[F.col(c).alias(f"{prefix}_{c}") for c in columns], F.abs("amount").alias(f"{prefix}_magnitude")
+            F.col("user_id").alias(f"{prefix}_user_id"),
+            F.abs("amount").alias(f"{prefix}_magnitude"),
+            F.col("account_id").alias(f"{prefix}_account_id"),
+            F.col("day_time").alias(f"{prefix}_day_time"),
         )
-        return picked.withWatermark(f"{prefix}_day_time", lateness)
+        return picked.withWatermark(f"{prefix}_day_time", lateness).dropDuplicatesWithinWatermark(picked.columns)
 
-    return side("<", "debit").join(
+    pairs = side("<", "debit").join(
         side(">", "credit"),
         F.expr(
             "debit_user_id = credit_user_id AND debit_magnitude = credit_magnitude "
@@ -63,6 +66,14 @@ def transfer_stream(rows: DataFrame, lateness: str = "2 days") -> DataFrame:
             "AND credit_day_time <= debit_day_time + INTERVAL 1 DAY"
         ),
     )
+    return pairs.select(
+        F.col("debit_user_id").alias("user_id"),
+        F.col("debit_magnitude").alias("magnitude"),
+        F.col("debit_account_id").alias("debit_account"),
+        F.to_date("debit_day_time").alias("debit_day"),
+        F.col("credit_account_id").alias("credit_account"),
+        F.to_date("credit_day_time").alias("credit_day"),
+    )
 
 
 def funnel_stream(parsed: DataFrame, length: str = "90 days", lateness: str = "2 days") -> DataFrame:
