@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallymill.operators import dedup, escalation, review, skew
 from tallymill.operators.accounts import latest_balances, resolve_accounts
-from tallymill.operators.edits import apply_page, signed_amount, valid_splits
+from tallymill.operators.edits import signed_amount, valid_splits
 from tallymill.operators.ledger import update_ledger
 from tallymill.operators.parse import balance_updates_of, parse_stages, transactions_of
 from tallymill.plans.oracles import all_oracles
