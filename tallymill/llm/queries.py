@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import binary_packing, curriculum, simhash_bk
+from tallymill.llm import binary_packing, block_anchors, curriculum, simhash_bk, suffix_blocks
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -33,6 +33,22 @@ def op6_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mix(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def _removed(spans: str) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"]).alias("n_removed")
+
+
+def op7_suffix_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_blocks.repeated_bytes(_table(spark, sf_dir, "documents"), length=50)
+    return found.select(
+        "doc_id", "n_bytes", _removed("spans"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def op8_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = block_anchors.repeated_words(_table(spark, sf_dir, "documents"), length=35)
+    return found.select("doc_id", "n_words", _removed("spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = binary_packing.pieces(_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False).drop("ids")
     return binary_packing.pack(cut)
@@ -41,6 +57,8 @@ def op9_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_bk": op3_simhash_bk,
     "op6_curriculum": op6_curriculum,
+    "op7_suffix_blocks": op7_suffix_blocks,
+    "op8_block_anchors": op8_block_anchors,
     "op9_binary_packing": op9_binary_packing,
 }
 ORACLES: dict[str, str] = {}
