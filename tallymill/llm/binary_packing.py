@@ -5,18 +5,20 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymill.llm.common import stored
+
 LONGEST = 4096
-#: Words whose ids a Python worker keeps; beyond it, it starts over.
-KEPT_WORDS = 600_000
+#: Words, and as many parts of words, whose ids a Python worker keeps; beyond it, it starts over.
+KEPT_WORDS = 300_000
 #: Characters that are encoded at a time.
-CHARS = 6_000_000
+CHARS = 2_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 
@@ -30,35 +32,74 @@ def _split(text: str) -> list[str]:
     return [w for w in _BLANK.split(text) if w] if _ODD.search(text) else text.split()
 
 
+#: A word of these characters alone is not changed by normalisation but for its case, and splits as _PART says.
+_PLAIN = re.compile("[!-~\u00c0-\u00ff]+")
+_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+
+
+class _Numbers(dict):
+    """Numbers for words, in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte: itself if it is printable, else one of the
+    letters from 256 on, in turn."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordIds:
     """Token ids of texts. The tokenizer drops white space before anything else, so a text's ids are those of its
-    words one after the other, and a word is encoded once as long as it is kept."""
+    words one after the other, and a word is encoded once as long as it is kept. Plain words are taken apart here and
+    their parts go to the tokenizer's model; all other words, and those that may hold a special token, go through the
+    whole tokenizer."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.parts: dict[str, list[int]] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.lengths = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
 
+    def _word(self, word: str) -> list[int]:
+        if "<|" in word or not _PLAIN.fullmatch(word):
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        out: list[int] = []
+        for part in _PART.findall(word.lower()):
+            found = self.parts.get(part)
+            if found is None:
+                spelled = part.encode().decode("latin-1").translate(self.letters)
+                found = self.parts[part] = [t.id for t in self.model.tokenize(spelled)]
+            out += found
+        return out
+
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by end_id, and the number of ids of each."""
         if len(self.number) > KEPT_WORDS:
             self.clear()
+        if len(self.parts) > KEPT_WORDS:
+            self.parts = {}
         split = [_split(x) for x in texts]
         number = self.number
-        new = list({w for x in split for w in x if w not in number})
-        if new:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            number.update(zip(new, range(len(number), len(number) + len(new))))
+        known = len(number)
+        n_words = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        at = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(number.__getitem__, x), np.int64, len(x)) for x in split)])
+        if len(number) > known:
+            got = [self._word(w) for w in islice(number, known, None)]
             self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, got), dtype=np.int64, count=len(got))])
             self.ids = np.concatenate([self.ids, np.fromiter((i for e in got for i in e), dtype=np.uint32)])
-        n_words = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        at = np.fromiter((number[w] for x in split for w in x), dtype=np.int64, count=int(n_words.sum()))
         starts = np.cumsum(self.lengths) - self.lengths
         sizes = self.lengths[at]
         ends = np.cumsum(sizes)
@@ -96,7 +137,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, longest: int =
     table gives no piece; other columns are left out. ids is null if ``with_ids`` is false.
     """
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(tokenizer_path)
         for ids, texts in _texts(batches):
             flat, sizes = words.encode(texts, end_id)
@@ -120,9 +161,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, longest: int =
 
 def pack(cut: DataFrame) -> DataFrame:
     """Sequences out of pieces: pieces of equal length lie together, and each is a sequence of its own, so that none
-    crosses documents and, all being powers of two, none is padded. sequence_id is unique and rises with the length."""
+    crosses documents and, all being powers of two, none is padded. sequence_id is unique and rises with the length.
+    The pieces are stored first: dealing by range reads them twice."""
     return (
-        cut.repartitionByRange("length", F.xxhash64("doc_id", "start"))
+        stored(cut, "pieces").repartitionByRange("length", F.xxhash64("doc_id", "start"))
         .sortWithinPartitions("length", "doc_id", "start")
         .withColumn("sequence_id", F.monotonically_increasing_id())
         .withColumn("offset", F.lit(0).cast("long"))
