@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import binary_packing, block_anchors, curriculum, simhash_bk, suffix_blocks
+from tallymill.llm import binary_packing, block_anchors, curriculum, outliers, simhash_bk, suffix_blocks
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -29,6 +29,10 @@ def op3_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op5_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.reject(_table(spark, sf_dir, "documents")).drop("lang", "source")
+
+
 def op6_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mix(_table(spark, sf_dir, "documents")).drop("source")
 
@@ -56,6 +60,7 @@ def op9_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_bk": op3_simhash_bk,
+    "op5_robust_outliers": op5_robust_outliers,
     "op6_curriculum": op6_curriculum,
     "op7_suffix_blocks": op7_suffix_blocks,
     "op8_block_anchors": op8_block_anchors,
