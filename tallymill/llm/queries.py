@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import binary_packing, block_anchors, curriculum, outliers, simhash_bk, suffix_blocks
+from tallymill.llm import binary_packing, block_anchors, curriculum, language_spans, line_blocks, outliers, simhash_bk, suffix_blocks
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -24,11 +24,22 @@ def _hex(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
+def op1_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_blocks.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_bk.near_duplicates(_table(spark, sf_dir, "documents"), width=4, radius=4)
     return found.select("doc_id", _hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op4_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_spans.train(docs.filter(language_spans.remainder(3) != 1))
+    found = language_spans.identify(docs, model)
+    return found.select("doc_id", (language_spans.remainder(3) == 1).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op5_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.reject(_table(spark, sf_dir, "documents")).drop("lang", "source")
 
@@ -59,7 +70,9 @@ def op9_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_blocks": op1_line_blocks,
     "op3_simhash_bk": op3_simhash_bk,
+    "op4_language_spans": op4_language_spans,
     "op5_robust_outliers": op5_robust_outliers,
     "op6_curriculum": op6_curriculum,
     "op7_suffix_blocks": op7_suffix_blocks,
