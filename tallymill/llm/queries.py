@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import binary_packing, block_anchors, curriculum, language_spans, line_blocks, outliers, simhash_bk, suffix_blocks
+from tallymill.llm import binary_packing, block_anchors, cover_tree, curriculum, language_spans, line_blocks, outliers, simhash_bk, suffix_blocks
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -69,6 +69,10 @@ def op9_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_packing.pack(cut)
 
 
+def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_blocks": op1_line_blocks,
     "op3_simhash_bk": op3_simhash_bk,
@@ -78,5 +82,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_suffix_blocks": op7_suffix_blocks,
     "op8_block_anchors": op8_block_anchors,
     "op9_binary_packing": op9_binary_packing,
+    "op10_cover_tree": op10_cover_tree,
 }
 ORACLES: dict[str, str] = {}
