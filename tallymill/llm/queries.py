@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import binary_packing, block_anchors, cover_tree, curriculum, language_spans, line_blocks, outliers, simhash_bk, suffix_blocks
+from tallymill.llm import binary_packing, block_anchors, cover_tree, curriculum, gated_lm, language_spans, line_blocks, outliers, simhash_bk, suffix_blocks
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -28,6 +28,10 @@ def op1_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_blocks.extract(_table(spark, sf_dir, "pages"))
 
 
+def op2_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated_lm.score(_table(spark, sf_dir, "documents"), language_spans.remainder(7) == 2)
+
+
 def op3_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_bk.near_duplicates(_table(spark, sf_dir, "documents"), width=4, radius=4)
     return found.select("doc_id", _hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
@@ -75,6 +79,7 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_blocks": op1_line_blocks,
+    "op2_gated_lm": op2_gated_lm,
     "op3_simhash_bk": op3_simhash_bk,
     "op4_language_spans": op4_language_spans,
     "op5_robust_outliers": op5_robust_outliers,
