@@ -1,7 +1,7 @@
 """Documents to training sequences: language, near duplicates, repeated passages, source weights, packing.
 
-Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents. run() writes each stage's
-rows as Parquet into the shared folder and reads them for the next.
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns of
+documents. run() writes the rows of each stage as Parquet into the shared folder and reads them for the next.
 """
 
 from __future__ import annotations
@@ -9,35 +9,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import binary_packing, curriculum, simhash_bk
-from tallymill.llm.common import WORD, stored
+from tallymill.llm import binary_packing, curriculum, language_spans, simhash_bk, suffix_blocks
+from tallymill.llm.common import stored
 from tallymill.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go whose text has no letter, or no language that holds half of its letters. The model learns from two
+    of three documents that have a lang."""
+    model = language_spans.train(docs.filter(language_spans.remainder(3) != 1))
+    return language_spans.keep_known(docs.select(COLUMNS), model)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest doc_id."""
-    return simhash_bk.keep_one(docs).select(COLUMNS)
+    """One document of each group of near duplicates stays, the one with the smallest doc_id. Fingerprints of five-word
+    shingles that differ in 13 of 64 bits stand for a similarity (cosine of the shingle counts) of 0.8."""
+    return simhash_bk.keep_one(docs.select(COLUMNS), width=5, radius=13, anchors=8)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that a document with a smaller doc_id has leave the texts, whole characters at a time. A text
+    of which nothing is left goes, unless it was empty before."""
+    found = suffix_blocks.repeated_bytes(docs.select("doc_id", "text"), length=50, whole_characters=True)
+    cut = found.filter(F.size("spans") > 0).select("doc_id", "n_bytes", F.col("kept").cast("string").alias("_kept"), F.size("spans").alias("_n"))
+    # rows that repeat id and text get equal answers
+    cut = cut.dropDuplicates(["doc_id", "n_bytes"]).withColumnRenamed("doc_id", "_id")
+    joined = docs.select(COLUMNS).join(
+        cut, (F.col("doc_id") == F.col("_id")) & (F.octet_length("text") == F.col("n_bytes")), "left"
+    )
+    text = F.when(F.col("_n") > 0, F.col("_kept")).otherwise(F.col("text"))
+    return (
+        joined.withColumn("text", text)
+        .filter("_n is null or length(trim(text)) > 0")
+        .withColumn("n_chars", F.when(F.col("_n") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        .select(COLUMNS)
+    )
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each time the mix takes a document, in order of training positions; where it takes only the first
-    words of it, the text ends after them. Documents that it does not take go."""
-    key = F.xxhash64("doc_id", "text")
-    mixed = curriculum.mix(docs.withColumn("doc_id", key)).select(
-        F.col("doc_id").alias("_key"), F.col("size").alias("_size"),
-        F.inline(F.array(
-            F.struct(F.col("taken_first").alias("_taken"), F.col("position").alias("_position")),
-            F.struct(F.col("taken_again").alias("_taken"), F.col("position_again").alias("_position")),
-        )),
+    """One row for each time the mix takes a document, in order of training positions. Where it takes only the first words
+    of it, the text ends after them. Documents that it does not take go."""
+    keyed = docs.select(COLUMNS).withColumn("_key", F.xxhash64("doc_id", "text", "source"))
+    mixed = curriculum.mix(keyed.select(F.col("_key").alias("doc_id"), "text", "source"))
+    times = mixed.select(
+        F.col("doc_id").alias("_key"),
+        F.col("size").alias("_size"),
+        F.inline(
+            F.array(
+                F.struct(F.col("taken_first").alias("_taken"), F.col("position").alias("_position")),
+                F.struct(F.col("taken_again").alias("_taken"), F.col("position_again").alias("_position")),
+            )
+        ),
     ).filter("_taken > 0")
-    rows = docs.withColumn("_key", key).dropDuplicates(["_key"]).join(mixed, "_key")
-    head = F.regexp_extract("text", "", 0)
-    first = F.expr("regexp_extract(text, concat('^(?:[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+){', _taken, '}'), 0)")
-    text = F.when(F.col("_taken") < F.col("_size"), first).otherwise(F.col("text"))
+    rows = keyed.dropDuplicates(["_key"]).join(times, "_key")
+    blank = r"[\x20\x09-\x0D]+"
+    # the rest after the last word taken; a blank at the start makes one part more
+    parts = F.split("text", F.lit(blank), (F.col("_taken") + 1 + F.regexp_like("text", F.lit("^" + blank)).cast("long")).cast("int"))
+    head = F.substring("text", F.lit(1), F.length("text") - F.length(F.element_at(parts, -1)))
     return (
-        rows.withColumn("text", text)
+        rows.withColumn("text", F.when(F.col("_taken") < F.col("_size"), F.rtrim(head)).otherwise(F.col("text")))
         .withColumn("n_chars", F.length("text").cast("long"))
         .repartitionByRange("_position", "_key")
         .sortWithinPartitions("_position", "_key")
@@ -50,7 +82,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return binary_packing.pack(binary_packing.pieces(docs, tokenizer_path()))
 
 
-STAGES = [("near_duplicates", near_duplicates), ("mix_sources", mix_sources), ("pack", pack)]
+STAGES = [
+    ("language_spans", known_language),
+    ("simhash_bk", near_duplicates),
+    ("suffix_blocks", repeated_passages),
+    ("curriculum", mix_sources),
+    ("binary_packing", pack),
+]
 ORACLE_SQL = None
 
 

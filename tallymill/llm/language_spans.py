@@ -279,7 +279,15 @@ def remainder(n: int):
 
 
 def keep_known(docs: DataFrame, model: Model, rule: Rule = Rule()) -> DataFrame:
-    """The documents that have a language: not ``und``, and with at least least_score of the letters in it."""
-    good = identify(docs, model, rule).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= rule.least_score))
-    ids = good.select("doc_id").distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    """The documents that have a language: not ``und``, and with at least least_score of the letters in it. All columns
+    stay; the rows do not move."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text = docs.columns.index("text")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                found = _label(shared.value, [t or "" for t in part.column(text).to_pylist()], rule.switch)
+                yield part.filter(pa.array([lang != UNKNOWN and score >= rule.least_score for lang, score, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(each, docs.schema)
