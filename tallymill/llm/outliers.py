@@ -12,6 +12,8 @@ from tallymill.llm.common import BLANKS, stored, words
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
+#: Keys over which the rows of a group are spread in joins.
+SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -134,8 +136,14 @@ def _squared(p: int, xs: list[str]) -> list[tuple[str, Column]]:
     return steps
 
 
+def _attach(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows with the values of their group. Rows carry a salt, and a group's values are there once for each, so that a hot
+    group is dealt to many tasks."""
+    return rows.join(groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["_group", "_salt"])
+
+
 def _distances(rows: DataFrame, fit: DataFrame, xs: list[str], keep: list[str]) -> DataFrame:
-    got = rows.join(fit, "_group")
+    got = _attach(rows, fit)
     for name, value in _squared(len(xs), xs):
         got = got.withColumn(name, value)
     return got.select(*keep, "_d")
@@ -172,7 +180,9 @@ def reject(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         .alias("_group"),
     )
     judged = stored(
-        judged.join(named, judged["lang"].eqNullSafe(named["_lang"]) & judged["source"].eqNullSafe(named["_source"])).drop("_lang", "_source"),
+        judged.join(named, judged["lang"].eqNullSafe(named["_lang"]) & judged["source"].eqNullSafe(named["_source"]))
+        .drop("_lang", "_source")
+        .withColumn("_salt", F.pmod(F.xxhash64("doc_id", *xs), F.lit(SALTS)).cast("int")),
         "vectors",
     )
     # Start: middle and spread of each statistic by itself.
@@ -192,7 +202,7 @@ def reject(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     fit = start
     for _ in range(rule.steps):
         fit = stored(fit, "fit")
-        near = _distances(judged, fit, xs, ["_group", *xs]).withColumn("_bin", bin_)
+        near = _distances(judged, fit, xs, ["_group", "_salt", *xs]).withColumn("_bin", bin_)
         counts = near.groupBy("_group", "_bin").agg(F.count("*").alias("_n"))
         upto = Window.partitionBy("_group").orderBy("_bin")
         edge = (
@@ -206,9 +216,9 @@ def reject(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
             .groupBy("_group")
             .agg(F.min("_bin").alias("_edge"))
         )
-        fit = _estimates(near.join(edge, "_group").filter("_bin <= _edge"), xs, rule)
+        fit = _estimates(_attach(near, edge).filter("_bin <= _edge"), xs, rule)
     fit = stored(fit, "fit")
-    far = _distances(judged, fit, xs, ["_group", *names])
+    far = _distances(judged, fit, xs, ["_group", "_salt", *names])
     counts = far.groupBy("_group", bin_.alias("_bin")).agg(F.count("*").alias("_n"))
     edge = (
         counts.select(
@@ -223,6 +233,6 @@ def reject(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     )
     # Three quarters of a chi-square with 5 degrees of freedom lie below 6.626.
     scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("_edge") + 1) / 32) / 6.626)
-    scored = far.join(edge, "_group").select(*names, F.sqrt(F.col("_d") / scale).alias("distance"))
+    scored = _attach(far, edge).select(*names, F.sqrt(F.col("_d") / scale).alias("distance"))
     out = scored.unionByName(every.filter("base_failed").withColumn("distance", F.lit(None).cast("double")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= rule.distance))
