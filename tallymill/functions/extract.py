@@ -118,20 +118,43 @@ SELF_TRANSFER = (
 )
 FUNDS_TRANSFER_LABEL = r"^IB\s+(SS\s+)?FUNDS\s+TRANSFER"
 CARD_ENDING_LABEL = r"your\s+(credit\s+)?card\s+ending"
-
-
+HANDLE_TEXT = r"\S+@\S+"
+
+# Patterns of figures, accounts, balances, references and merchants, in the order in which they are tried.
+AMOUNT_INR, AMOUNT_RS, AMOUNT_SIGN = r"INR\s+" + MONEY, r"Rs\.?\s*" + MONEY, r"₹\s*" + MONEY
+AMOUNT_FOREIGN = r"\<(?:" + "|".join(CURRENCY_CODES) + r")\s+" + MONEY
+AMOUNT_OF = r"transaction of\s+" + MONEY
+ACCOUNT_ENDING = r"(?:account|card)\s+ending\s+(?:with\s+)?[Xx*]{0,4}(\d{4})\>"
+ACCOUNT_MASKED = r"[Xx*]{1,2}(\d{4})\>"
+ACCOUNT_SHORT = r"A/[Cc](?:\s*No\.?)?\s*[Xx*]{0,2}(\d{4})\>"
+ACCOUNT_PLAIN = r"(?:account|card)\s+[X*]{0,4}(\d{4})\>"
+BALANCE_AVL = r"Avl\.?\s*Bal\.?[:\s]+(?:INR|Rs\.?)\s*" + MONEY
+BALANCE_AVAILABLE = r"Available\s+Balance\.?\s*(?:Rs\.?|INR)?\s*" + MONEY
+BALANCE_IS = r"Balance\s+is\s+(?:Rs\.?|INR)\s*" + MONEY
+BALANCE_SHORT = r"\<Bal[:\s]+(?:Rs\.?|INR)?\s*" + MONEY
+REFERENCE_UPI = r"UPI[:\s]+(\d{12})\>"
+REFERENCE_REF = r"Ref(?:\s*No\.?|erence)?\s*[:# ]?\s*(\d{12})\>"
+REFERENCE_RRN = r"RRN[:\s]+(\d{12})\>"
+REFERENCE_LONG = r"\<Ref\s+(\d{12,})\>"
+REFERENCE_TRANSFER = r"(?:UTR|UMRN)[:\s]+([A-Z]{2,6}\d{10,18})\>"
+MERCHANT_TO = r"\<To\s+(.{3,40}?)(?:\s*\n|\s+On\s|\s+Ref\s|\s+via\s|\s+successful\>|\s+from\s+A/c)"
+MERCHANT_AT = r"\<At\s+(.{3,40}?)\s+On\s"
+MERCHANT_TOWARDS = r"\<towards\s+(.{3,50}?)(?:\s+UMRN|\s+Ref|\s+Mandate|\.)"
+MERCHANT_FROM = r"transfer from\s+([A-Z][A-Z ]{2,40}?)\s+Ref"
+MERCHANT_VPA = r"from VPA\s+([\w.\-@]+)"
+MERCHANT_INFO = r"Info:\s+(.{3,60}?)(?:\.\s*Avl|\z)"
+REVERSED = r"\<has been reversed\>|\<has been refunded\>|\<reversal of\>"
 
 
 def amount(text: str, low: str) -> str:
     """First positive figure among the currency forms, in their order of trust."""
-    codes = "|".join(CURRENCY_CODES)
     return first_money(
         [
-            gated_grab(text, low, ["inr"], r"INR\s+" + MONEY),
-            gated_grab(text, low, ["rs"], r"Rs\.?\s*" + MONEY),
-            gated_grab(text, low, ["₹"], r"₹\s*" + MONEY, flags=""),
-            gated_grab(text, low, [c.lower() for c in CURRENCY_CODES], rf"\<(?:{codes})\s+" + MONEY),
-            gated_grab(text, low, ["transaction of"], r"transaction of\s+" + MONEY),
+            gated_grab(text, low, ["inr"], AMOUNT_INR),
+            gated_grab(text, low, ["rs"], AMOUNT_RS),
+            gated_grab(text, low, ["₹"], AMOUNT_SIGN, flags=""),
+            gated_grab(text, low, [c.lower() for c in CURRENCY_CODES], AMOUNT_FOREIGN),
+            gated_grab(text, low, ["transaction of"], AMOUNT_OF),
         ],
         "v > 0",
     )
@@ -162,10 +185,10 @@ def account(text: str, low: str) -> str:
     """Last four digits of the account or card."""
     return first_hit(
         [
-            gated_grab(text, low, ["ending"], r"(?:account|card)\s+ending\s+(?:with\s+)?[Xx*]{0,4}(\d{4})\>"),
-            gated_grab(text, low, ["x", "*"], r"[Xx*]{1,2}(\d{4})\>", flags=""),
-            gated_grab(text, low, ["a/c"], r"A/[Cc](?:\s*No\.?)?\s*[Xx*]{0,2}(\d{4})\>", flags=""),
-            gated_grab(text, low, ["account", "card"], r"(?:account|card)\s+[X*]{0,4}(\d{4})\>"),
+            gated_grab(text, low, ["ending"], ACCOUNT_ENDING),
+            gated_grab(text, low, ["x", "*"], ACCOUNT_MASKED, flags=""),
+            gated_grab(text, low, ["a/c"], ACCOUNT_SHORT, flags=""),
+            gated_grab(text, low, ["account", "card"], ACCOUNT_PLAIN),
         ]
     )
 
@@ -175,7 +198,7 @@ def bank(low: str) -> str:
 
     Handles are removed before squeezing, so that the bank of a counterparty's handle is not taken.
     """
-    bare = when(f"contains({low}, '@')", f"regexp_replace({low}, {lit(chr(92) + 'S+@' + chr(92) + 'S+')}, ' ')", low)
+    bare = when(f"contains({low}, '@')", f"regexp_replace({low}, {lit(HANDLE_TEXT)}, ' ')", low)
     squeezed = f"translate({bare}, {lit(BLANKS + '-_/.')}, '')"
     tokens = array([token for token, _ in BANK_TOKENS])
     names = ", ".join(f"{lit(token)}, {lit(name)}" for token, name in BANK_TOKENS)
@@ -194,10 +217,10 @@ def balance(text: str, low: str) -> str:
     """First balance figure; zero counts."""
     return first_money(
         [
-            gated_grab(text, low, ["avl"], r"Avl\.?\s*Bal\.?[:\s]+(?:INR|Rs\.?)\s*" + MONEY),
-            gated_grab(text, low, ["available"], r"Available\s+Balance\.?\s*(?:Rs\.?|INR)?\s*" + MONEY),
-            gated_grab(text, low, ["balance"], r"Balance\s+is\s+(?:Rs\.?|INR)\s*" + MONEY),
-            gated_grab(text, low, ["bal"], r"\<Bal[:\s]+(?:Rs\.?|INR)?\s*" + MONEY),
+            gated_grab(text, low, ["avl"], BALANCE_AVL),
+            gated_grab(text, low, ["available"], BALANCE_AVAILABLE),
+            gated_grab(text, low, ["balance"], BALANCE_IS),
+            gated_grab(text, low, ["bal"], BALANCE_SHORT),
         ],
         "v IS NOT NULL",
     )
@@ -207,21 +230,21 @@ def payment_reference(text: str, low: str) -> str:
     """Twelve-digit payment reference."""
     return first_hit(
         [
-            gated_grab(text, low, ["upi"], r"UPI[:\s]+(\d{12})\>"),
-            gated_grab(text, low, ["ref"], r"Ref(?:\s*No\.?|erence)?\s*[:# ]?\s*(\d{12})\>"),
-            gated_grab(text, low, ["rrn"], r"RRN[:\s]+(\d{12})\>"),
-            gated_grab(text, low, ["ref"], r"\<Ref\s+(\d{12,})\>"),
+            gated_grab(text, low, ["upi"], REFERENCE_UPI),
+            gated_grab(text, low, ["ref"], REFERENCE_REF),
+            gated_grab(text, low, ["rrn"], REFERENCE_RRN),
+            gated_grab(text, low, ["ref"], REFERENCE_LONG),
         ]
     )
 
 
 def transfer_reference(text: str, low: str) -> str:
     """Bank transfer or mandate reference."""
-    return first_hit([gated_grab(text, low, ["utr", "umrn"], r"(?:UTR|UMRN)[:\s]+([A-Z]{2,6}\d{10,18})\>")])
+    return first_hit([gated_grab(text, low, ["utr", "umrn"], REFERENCE_TRANSFER)])
 
 
 def handle(text: str, low: str) -> str:
-    return first_hit([gated_grab(text, low, ["from vpa"], r"from VPA\s+([\w.\-@]+)")])
+    return first_hit([gated_grab(text, low, ["from vpa"], MERCHANT_VPA)])
 
 
 def merchant(text: str, low: str) -> str:
@@ -229,8 +252,6 @@ def merchant(text: str, low: str) -> str:
 
     A clause that turns out to be a label is replaced by a blank: it still ends the search.
     """
-    reversal = r"\<has been reversed\>|\<has been refunded\>|\<reversal of\>"
-
     def guarded(capture: str, label: str) -> str:
         return f"get(transform(array({capture}), m -> {when(has(strip('m'), label), lit(' '), 'm')}), 0)"
 
@@ -238,20 +259,20 @@ def merchant(text: str, low: str) -> str:
         guarded(
             gated_grab(
                 text, low, ["to"],
-                r"\<To\s+(.{3,40}?)(?:\s*\n|\s+On\s|\s+Ref\s|\s+via\s|\s+successful\>|\s+from\s+A/c)",
+                MERCHANT_TO,
             ),
             FUNDS_TRANSFER_LABEL,
         ),
-        gated_grab(text, low, ["at"], r"\<At\s+(.{3,40}?)\s+On\s"),
+        gated_grab(text, low, ["at"], MERCHANT_AT),
         guarded(
-            gated_grab(text, low, ["towards"], r"\<towards\s+(.{3,50}?)(?:\s+UMRN|\s+Ref|\s+Mandate|\.)"),
+            gated_grab(text, low, ["towards"], MERCHANT_TOWARDS),
             CARD_ENDING_LABEL,
         ),
-        gated_grab(text, low, ["transfer from"], r"transfer from\s+([A-Z][A-Z ]{2,40}?)\s+Ref"),
-        gated_grab(text, low, ["from vpa"], r"from VPA\s+([\w.\-@]+)"),
-        guarded(gated_grab(text, low, ["info:"], r"Info:\s+(.{3,60}?)(?:\.\s*Avl|\z)"), FUNDS_TRANSFER_LABEL),
+        gated_grab(text, low, ["transfer from"], MERCHANT_FROM),
+        gated_grab(text, low, ["from vpa"], MERCHANT_VPA),
+        guarded(gated_grab(text, low, ["info:"], MERCHANT_INFO), FUNDS_TRANSFER_LABEL),
     ]
-    reversed_text = both([any_of(low, ["revers", "refunded"]), has(low, reversal, "")])
+    reversed_text = both([any_of(low, ["revers", "refunded"]), has(low, REVERSED, "")])
     return when(reversed_text, "''", strip(first_hit(clauses)))
 
 

@@ -117,7 +117,7 @@ def first_money(captures: list[str], test: str) -> str:
     """
     values = (
         f"transform(filter(array({', '.join(captures)}), c -> c <> ''), "
-        "c -> try_cast(replace(c, ',', '') AS decimal(18,2)))"
+        "c -> try_cast(replace(c, ',', '') AS decimal(38,2)))"
     )
     return f"get(filter({values}, v -> {test}), 0)"
 

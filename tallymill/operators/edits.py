@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymill.operators.transfers import pair_transfers
 from tallymill.schemas import REVIEW_FLOOR
 
 # Sub-categories that bring money in, and the editor's options.
@@ -41,6 +42,14 @@ def editor_options(spark) -> DataFrame:
     return spark.createDataFrame(rows, "type string, position int, category string, sub_categories array<string>")
 
 
+def last_per_id(changes: DataFrame, key: str = "id") -> DataFrame:
+    """One change for each row: the last by ``changed_at`` if there is such a column, ties and all others by content."""
+    order = [F.col("changed_at")] if "changed_at" in changes.columns else []
+    row = F.struct(*changes.columns)
+    last = changes.groupBy(key).agg(F.max_by(row, F.struct(*order, F.to_json(row))).alias("_last"))
+    return last.select("_last.*")
+
+
 def valid_edits(edits: DataFrame) -> DataFrame:
     """Edits with a positive magnitude, re-signed from type and sub-category."""
     kept = edits.filter(F.abs("amount") > 0)
@@ -48,9 +57,10 @@ def valid_edits(edits: DataFrame) -> DataFrame:
 
 
 def apply_edits(ledger: DataFrame, edits: DataFrame) -> DataFrame:
-    """Edit values over stored values; a sub-category the edit leaves empty is kept."""
+    """Edit values over stored values; a sub-category the edit leaves empty is kept. Of several edits of a row the last
+    counts."""
     fields = ["txn_date", "amount", "type", "category", "sub_category", "merchant"]
-    change = edits.select("id", *[F.col(f).alias(f"_e_{f}") for f in fields], F.lit(True).alias("_edited"))
+    change = last_per_id(edits).select("id", *[F.col(f).alias(f"_e_{f}") for f in fields], F.lit(True).alias("_edited"))
     joined = ledger.join(change, "id", "left")
     values = {f: F.coalesce(f"_e_{f}", f) for f in fields}
     return joined.select(
@@ -63,10 +73,10 @@ def valid_splits(splits: DataFrame, ledger: DataFrame) -> DataFrame:
     """Split lines, one row each and re-signed, of splits with two or more lines that add up."""
     size = F.size("lines")
     total = F.aggregate(
-        "lines", F.lit(0).cast("decimal(28,2)"), lambda acc, line: (acc + F.abs(line["amount"])).cast("decimal(28,2)")
+        "lines", F.lit(0).cast("decimal(38,2)"), lambda acc, line: (acc + F.abs(line["amount"])).cast("decimal(38,2)")
     )
     target = ledger.select(F.col("id").alias("original_id"), F.abs("amount").alias("_target"))
-    sound = splits.join(target, "original_id").filter(
+    sound = last_per_id(splits, "original_id").join(target, "original_id").filter(
         (size >= 2) & (F.abs(total - F.col("_target")) < SPLIT_TOLERANCE)
     )
     lines = sound.select("original_id", F.posexplode("lines").alias("line_no", "line"))
@@ -82,7 +92,10 @@ def valid_splits(splits: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def apply_splits(ledger: DataFrame, lines: DataFrame) -> DataFrame:
-    """Originals replaced by their children; a child keeps the original's other columns."""
+    """Originals replaced by their children; a child keeps the original's other columns.
+
+    ``is_child`` is true for the rows made here, and for no stored row: children of earlier splits are rows like others.
+    """
     split_ids = lines.select(F.col("original_id").alias("id")).distinct()
     fields = ["amount", "type", "category", "sub_category", "merchant"]
     change = lines.select(F.col("original_id").alias("id"), "line_no", *[F.col(f).alias(f"_l_{f}") for f in fields])
@@ -90,22 +103,31 @@ def apply_splits(ledger: DataFrame, lines: DataFrame) -> DataFrame:
     values["merchant"] = F.coalesce("_l_merchant", "merchant")
     values["id"] = F.concat_ws("-", F.lit("split"), "id", F.col("line_no").cast("string"))
     values["split_from_id"] = F.col("id")
-    children = ledger.join(change, "id").select(*[values.get(c, F.col(c)).alias(c) for c in ledger.columns])
-    return ledger.join(split_ids, "id", "left_anti").unionByName(children)
+    children = ledger.join(change, "id").select(*[values.get(c, F.col(c)).alias(c) for c in ledger.columns], F.lit(True).alias("is_child"))
+    return ledger.join(split_ids, "id", "left_anti").withColumn("is_child", F.lit(False)).unionByName(children)
 
 
 def apply_page(ledger: DataFrame, edits: DataFrame, splits: DataFrame, page_ids: DataFrame) -> DataFrame:
     """Submit a page: splits replace their originals, edits apply to the rest, page rows become reviewed.
 
-    Children of a split are new rows and are checked against the review amount one by one. The caller
-    re-runs the pairing with ``is_new`` on the children, whose ``split_from_id`` is set.
+    Children of a split are new rows: they start without links, are checked against the review amount one by one, and
+    are paired like rows that arrive. They are told by ``is_child``; stored children of earlier splits keep their status
+    unless the page lists them.
     """
     lines = valid_splits(splits, ledger)
-    edited = apply_edits(ledger, valid_edits(edits).join(lines.select(F.col("original_id").alias("id")), "id", "left_anti"))
-    reviewed = edited.join(page_ids.select("id", F.lit(True).alias("_page")), "id", "left").withColumn(
+    edited = apply_edits(ledger, valid_edits(edits).join(lines.select(F.col("original_id").alias("id")).distinct(), "id", "left_anti"))
+    page = page_ids.select("id").distinct().withColumn("_page", F.lit(True))
+    reviewed = edited.join(page, "id", "left").withColumn(
         "status", F.when(F.col("_page"), "user_reviewed").otherwise(F.col("status"))
     )
     split_rows = apply_splits(reviewed.select(*ledger.columns, "is_edited"), lines)
-    parent = F.col("split_from_id").isNotNull() & F.col("id").startswith("split-")
-    child_status = F.when(F.abs("amount") >= REVIEW_FLOOR, "pending_review").otherwise("approved")
-    return split_rows.withColumn("status", F.when(parent, child_status).otherwise(F.col("status")))
+    fresh = {
+        "status": F.when(F.abs("amount") >= REVIEW_FLOOR, "pending_review").otherwise("approved"),
+        "is_contra": F.lit(False),
+        "possible_contra_of": F.lit(None).cast("string"),
+        "txn_group_id": F.lit(None).cast("string"),
+        "possible_duplicate_of": F.lit(None).cast("string"),
+        "duplicate_confidence": F.lit(None).cast("double"),
+    }
+    started = split_rows.withColumns({c: F.when(F.col("is_child"), v).otherwise(F.col(c)) for c, v in fresh.items() if c in split_rows.columns})
+    return pair_transfers(started, F.col("is_child"), duplicates=False)

@@ -52,7 +52,7 @@ def merge_answers(queue: DataFrame, answers: DataFrame) -> tuple[DataFrame, Data
     real = joined.filter(~promotional & F.col("answer.amount").isNotNull() & F.col("answer.direction").isNotNull())
     day = F.to_date(F.timestamp_millis("date"))
     fields = real.select("id", "user_id", "body", day.alias("_day"), "answer.*").withColumn(
-        "amount", F.round("amount", 2).cast("decimal(18,2)")
+        "amount", F.round("amount", 2).cast("decimal(38,2)")
     )
     review = (
         F.col("account_number_masked").isNull()

@@ -519,7 +519,7 @@ def _own_hits(patterns: tuple[str, ...]) -> str:
 def _amount(rules: list[Rule]) -> str:
     """Own amount clause, else the generic amount; an own clause without a positive value voids the match."""
     own = _per_rule(rules, lambda r: _own_hits(r.amount) if r.amount else None)
-    clause = "try_cast(replace(c, ',', '') AS decimal(18,2))"
+    clause = "try_cast(replace(c, ',', '') AS decimal(38,2))"
     values = f"transform(array({own}), c -> CASE WHEN c IS NULL THEN {X.amount('_text', '_low')} ELSE {clause} END)"
     return f"get(filter({values}, v -> v > 0), 0)"
 

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Groups beyond this many rows are spread over several join keys. The broadcast list of such groups has at
-# most (all rows / HOT_ROWS) entries, whatever the data looks like.
+# Groups beyond this many rows are spread over several join keys. The list of such groups has at most
+# (all rows / HOT_ROWS) entries; whether it is broadcast is the planner's choice.
 HOT_ROWS = 2_000_000
 
 
@@ -23,7 +23,7 @@ def attach(
     """
     salts = F.ceil(F.col(size) / hot_rows).cast("int")
     hot = groups.filter(F.col(size) > hot_rows).select(*keys, salts.alias("_salts"))
-    salted_rows = rows.join(F.broadcast(hot), keys, "left").withColumn(
+    salted_rows = rows.join(hot, keys, "left").withColumn(
         "_salt", F.coalesce(F.pmod(F.xxhash64(row_id), F.col("_salts")).cast("int"), F.lit(0))
     )
     spread = F.when(F.col(size) > hot_rows, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))
@@ -32,20 +32,25 @@ def attach(
 
 
 def at_least_one_partition_per_core(frame: DataFrame, key: str) -> DataFrame:
-    """Spread a small input before CPU-heavy per-row work; inputs with enough partitions are left alone."""
+    """Spread a table of fewer files than cores before CPU-heavy per-row work; others are left alone."""
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores, key) if frame.rdd.getNumPartitions() < cores else frame
+    return frame.repartition(cores, key) if len(frame.inputFiles()) < cores else frame
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the one the session names; a local one only where none is named, as in tests."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, a folder of this machine under a local master;
+    on a cluster it is an error, since executors would not see each other's files."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="scratch-")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="scratch-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so that a lost executor costs no recomputation of what came before."""
-    context = frame.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(scratch_dir(frame.sparkSession))
-    return frame.checkpoint()
+    """The frame as a Parquet table in the shared folder: computed once, and readers take the columns they need."""
+    path = scratch_dir(frame.sparkSession)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -12,17 +12,12 @@ from tallymill.functions.text import any_of, array, first_of, has, lit, normalis
 
 @dataclass(frozen=True)
 class Entry:
-    """Keywords are phrases separated by ``;``.
-
-    In a phrase a blank stands for any white space, ``~`` for optional white space, ``(a|b)`` for a
-    choice, ``?`` makes the letter before it optional. A phrase has word edges on both sides; a trailing
-    ``*`` drops the edge at the end, and a trailing ``!(...)`` rejects what may follow.
-    """
+    """keywords: patterns over lower-cased text; ``\\b`` is the edge of an ASCII word."""
 
     type: str
     category: str
     sub_category: str | None
-    keywords: str
+    keywords: tuple[str, ...]
     direction: str | None = None
     min_amount: float | None = None
     max_amount: float | None = None
@@ -30,186 +25,282 @@ class Entry:
 
 # The taxonomy, in tie-break order.
 TAXONOMY: list[Entry] = [
-    Entry("Expense", "Food & Dining", "Quick Commerce", "blinkit; zepto*; swiggy instamart; instamart; dunzo"),
+    Entry(
+        "Expense", "Food & Dining", "Quick Commerce",
+        (r"\bblinkit\b", r"\bzepto", r"\bswiggy\s+instamart\b", r"\binstamart\b", r"\bdunzo\b"),
+    ),
     Entry(
         "Expense", "Food & Dining", "Restaurants",
-        "zomato; swiggy; restaurant; pizza hut; dominos?; kfc; mcdonald'?s?; subway; burger king; starbucks; "
-        "cafe; dining; coffee; meal",
+        (r"\bzomato\b", r"\bswiggy\b", r"\brestaurant\b", r"\bpizza\s+hut\b", r"\bdominos?\b", r"\bkfc\b",
+         r"\bmcdonald'?s?\b", r"\bsubway\b", r"\bburger\s+king\b", r"\bstarbucks\b", r"\bcafe\b", r"\bdining\b",
+         r"\bcoffee\b", r"\bmeal\b"),
     ),
     Entry(
         "Expense", "Food & Dining", "Groceries",
-        r"bigbasket; d[\s-]?mart; reliance (fresh|smart); supermarket; grocery; big bazaar",
+        (r"\bbigbasket\b", r"\bd[\s-]?mart\b", r"\breliance\s+(fresh|smart)\b", r"\bsupermarket\b", r"\bgrocery\b",
+         r"\bbig\s+bazaar\b"),
+    ),
+    Entry(
+        "Expense", "Food & Dining", "Milk & Dairy",
+        (r"\bmilk\b", r"\bdairy\b", r"\bmilk\s+booth\b"),
     ),
-    Entry("Expense", "Food & Dining", "Milk & Dairy", "milk; dairy; milk booth"),
     Entry(
         "Expense", "Entertainment", "OTT Subscriptions",
-        r"netflix; hotstar; disney\+?~hotstar; amazon prime; sonyliv; zee5",
+        (r"\bnetflix\b", r"\bhotstar\b", r"\bdisney\+?\s*hotstar\b", r"\bamazon\s+prime\b", r"\bsonyliv\b",
+         r"\bzee5\b"),
+    ),
+    Entry(
+        "Expense", "Shopping", "Online Shopping",
+        (r"\bamazon\b(?!\s+prime)", r"\bflipkart\b", r"\bmyntra\b", r"\bnykaa\b", r"\bmeesho\b"),
+    ),
+    Entry(
+        "Expense", "Shopping", "Electronics",
+        (r"\bcroma\b", r"\bvijay\s+sales\b", r"\breliance\s+digital\b"),
+    ),
+    Entry(
+        "Expense", "Transportation", "Tolls & FASTag",
+        (r"\bfastag\b", r"\bnhai\b", r"\btoll\s+(plaza|gate|debit|charge)\b"),
+    ),
+    Entry(
+        "Expense", "Transportation", "Ride Hailing",
+        (r"\buber\b", r"\bola\b", r"\brapido\b", r"\bblusmart\b"),
+    ),
+    Entry(
+        "Expense", "Transportation", "Fuel",
+        (r"\bpetrol\s+(pump|station|bunk)\b", r"\bhpcl\b", r"\biocl\b", r"\bbpcl\b"),
+    ),
+    Entry(
+        "Expense", "Transportation", "Bus",
+        (r"\bredbus\b", r"\babhibus\b", r"\bkeybus\b"),
     ),
-    Entry("Expense", "Shopping", "Online Shopping", "amazon!( prime); flipkart; myntra; nykaa; meesho"),
-    Entry("Expense", "Shopping", "Electronics", "croma; vijay sales; reliance digital"),
-    Entry("Expense", "Transportation", "Tolls & FASTag", "fastag; nhai; toll (plaza|gate|debit|charge)"),
-    Entry("Expense", "Transportation", "Ride Hailing", "uber; ola; rapido; blusmart"),
-    Entry("Expense", "Transportation", "Fuel", "petrol (pump|station|bunk); hpcl; iocl; bpcl"),
-    Entry("Expense", "Transportation", "Bus", "redbus; abhibus; keybus"),
     Entry(
         "Expense", "Transportation", "Public Transit",
-        "metro (rail|card|recharge|fare); irctc; indian railways?; autope",
+        (r"\bmetro\s+(rail|card|recharge|fare)\b", r"\birctc\b", r"\bindian\s+railways?\b", r"\bautope\b"),
+    ),
+    Entry(
+        "Expense", "Transportation", "Parking",
+        (r"\bparking\b",),
     ),
-    Entry("Expense", "Transportation", "Parking", "parking"),
     Entry(
         "Expense", "Transportation", "Vehicle Service & Repair",
-        "motors?; garage; workshop; car service; bike service; auto~mobile",
+        (r"\bmotors?\b", r"\bgarage\b", r"\bworkshop\b", r"\bcar\s+service\b", r"\bbike\s+service\b",
+         r"\bauto\s*mobile\b"),
     ),
     Entry(
         "Expense", "Utilities", "Electricity",
-        "escom; mseb; bescom; tata power; power (bill|payment); electricity (bill|payment)",
+        (r"\bescom\b", r"\bmseb\b", r"\bbescom\b", r"\btata\s+power\b", r"\bpower\s+(bill|payment)\b",
+         r"\belectricity\s+(bill|payment)\b"),
+    ),
+    Entry(
+        "Expense", "Utilities", "Gas",
+        (r"\bgas\s+(bill|payment)\b", r"\bindane\b", r"\bbharat\s+gas\b", r"\bhp\s+gas\b"),
+    ),
+    Entry(
+        "Expense", "Utilities", "Piped Gas",
+        (r"\bpiped\s+gas\b", r"\bpng\s+bill\b", r"\bmahanagar\s+gas\b", r"\bindraprastha\s+gas\b"),
+    ),
+    Entry(
+        "Expense", "Utilities", "Water",
+        (r"\bwater\s+(bill|tax|tanker|board|supply|charge)\b", r"\bbwssb\b", r"\bhmwssb\b", r"\bjal\s+board\b"),
+    ),
+    Entry(
+        "Expense", "Utilities", "DTH & Cable TV",
+        (r"\btata\s*sky\b", r"\bd2h\b", r"\bdish\s*tv\b", r"\bsun\s+direct\b", r"\bdth\s+recharge\b",
+         r"\bcable\s+tv\b"),
     ),
-    Entry("Expense", "Utilities", "Gas", "gas (bill|payment); indane; bharat gas; hp gas"),
-    Entry("Expense", "Utilities", "Piped Gas", "piped gas; png bill; mahanagar gas; indraprastha gas"),
-    Entry("Expense", "Utilities", "Water", "water (bill|tax|tanker|board|supply|charge); bwssb; hmwssb; jal board"),
-    Entry("Expense", "Utilities", "DTH & Cable TV", "tata~sky; d2h; dish~tv; sun direct; dth recharge; cable tv"),
     Entry(
         "Expense", "Telecom", "Mobile Recharge",
-        "jio!(~(mart|saavn|cinema|hotstar|fiber)); reliance jio; airtel!(~(xstream|payments~bank|thanks|fiber)); "
-        "bharti airtel; mobile (recharge|topup); talktime",
+        (r"\bjio\b(?!\s*(mart|saavn|cinema|hotstar|fiber))", r"\breliance\s+jio\b",
+         r"\bairtel\b(?!\s*(xstream|payments\s*bank|thanks|fiber))", r"\bbharti\s+airtel\b",
+         r"\bmobile\s+(recharge|topup)\b", r"\btalktime\b"),
     ),
     Entry(
         "Expense", "Utilities", "Broadband",
-        "jio fiber; airtel fiber; act fibernet; hathway; excitel; bsnl broadband; broadband (bill|payment); "
-        "wifi (bill|recharge); internet (bill|recharge)",
+        (r"\bjio\s+fiber\b", r"\bairtel\s+fiber\b", r"\bact\s+fibernet\b", r"\bhathway\b", r"\bexcitel\b",
+         r"\bbsnl\s+broadband\b", r"\bbroadband\s+(bill|payment)\b", r"\bwifi\s+(bill|recharge)\b",
+         r"\binternet\s+(bill|recharge)\b"),
     ),
     Entry(
         "Expense", "Healthcare", "Pharmacy",
-        "apollo pharmacy; medplus; netmeds; pharmeasy; 1mg; pharmacy; medicals?",
+        (r"\bapollo\s+pharmacy\b", r"\bmedplus\b", r"\bnetmeds\b", r"\bpharmeasy\b", r"\b1mg\b", r"\bpharmacy\b",
+         r"\bmedicals?\b"),
     ),
     Entry(
         "Expense", "Healthcare", "Hospital & Clinic",
-        "hospital; clinic; fortis; apollo hospitals?; consultation fee",
+        (r"\bhospital\b", r"\bclinic\b", r"\bfortis\b", r"\bapollo\s+hospitals?\b", r"\bconsultation\s+fee\b"),
+    ),
+    Entry(
+        "Expense", "Entertainment", "Movies & Events",
+        (r"\bbookmyshow\b", r"\bpvr", r"\binox\b", r"\bcinepolis\b"),
     ),
-    Entry("Expense", "Entertainment", "Movies & Events", "bookmyshow; pvr*; inox; cinepolis"),
     Entry(
         "Expense", "Education", "Tuition & Courses",
-        "byju'?s?; unacademy; udemy; school fee; college fee; tuition fee",
+        (r"\bbyju'?s?\b", r"\bunacademy\b", r"\budemy\b", r"\bschool\s+fee\b", r"\bcollege\s+fee\b",
+         r"\btuition\s+fee\b"),
     ),
     Entry(
         "Expense", "Travel", "Flight",
-        "indigo; air india; spicejet; vistara; flight ticket; cleartrip; easemytrip; ixigo",
+        (r"\bindigo\b", r"\bair\s+india\b", r"\bspicejet\b", r"\bvistara\b", r"\bflight\s+ticket\b",
+         r"\bcleartrip\b", r"\beasemytrip\b", r"\bixigo\b"),
     ),
     Entry(
         "Expense", "Travel", "Accommodation",
-        r"oyorooms?; treebo; fabhotel; hotel booking; goibibo; booking\.com; airbnb; makemytrip",
+        (r"\boyorooms?\b", r"\btreebo\b", r"\bfabhotel\b", r"\bhotel\s+booking\b", r"\bgoibibo\b",
+         r"\bbooking\.com\b", r"\bairbnb\b", r"\bmakemytrip\b"),
         min_amount=500,
     ),
-    Entry("Expense", "Travel", "General Travel", "travels?"),
+    Entry(
+        "Expense", "Travel", "General Travel",
+        (r"\btravels?\b",),
+    ),
     Entry(
         "Expense", "Rent & Housing", "House Rent",
-        "house rent; flat rent; rent (payment|paid|transfer); monthly rent",
+        (r"\bhouse\s+rent\b", r"\bflat\s+rent\b", r"\brent\s+(payment|paid|transfer)\b", r"\bmonthly\s+rent\b"),
     ),
     Entry(
         "Expense", "Rent & Housing", "Maintenance & Society Charges",
-        "maintenance (charge|fee|bill); society maintenance; apartment maintenance; flat maintenance; "
-        "rwa (maintenance|charge|fee)",
+        (r"\bmaintenance\s+(charge|fee|bill)\b", r"\bsociety\s+maintenance\b", r"\bapartment\s+maintenance\b",
+         r"\bflat\s+maintenance\b", r"\brwa\s+(maintenance|charge|fee)\b"),
+    ),
+    Entry(
+        "Expense", "Finance Charges", "Cash Withdrawal",
+        (r"\batm\s+(debit|withdrawal|wdl|cash)\b", r"\bcash\s+withdrawal\b"),
     ),
-    Entry("Expense", "Finance Charges", "Cash Withdrawal", "atm (debit|withdrawal|wdl|cash); cash withdrawal"),
     Entry(
         "Expense", "Finance Charges", "Bank Charges",
-        "service charge; annual (fee|charge); penalty; late payment fee",
+        (r"\bservice\s+charge\b", r"\bannual\s+(fee|charge)\b", r"\bpenalty\b", r"\blate\s+payment\s+fee\b"),
+    ),
+    Entry(
+        "Expense", "Household", "Newspaper & Magazine",
+        (r"\bnewspaper\b", r"\bmagazine\s+subscription\b", r"\bnews\s+agency\b"),
     ),
-    Entry("Expense", "Household", "Newspaper & Magazine", "newspaper; magazine subscription; news agency"),
     Entry(
         "Expense", "Household", "Home Services",
-        "pest control; plumber; electrician; appliance repair; ro service; water purifier service; urban~company",
+        (r"\bpest\s+control\b", r"\bplumber\b", r"\belectrician\b", r"\bappliance\s+repair\b", r"\bro\s+service\b",
+         r"\bwater\s+purifier\s+service\b", r"\burban\s*company\b"),
+    ),
+    Entry(
+        "Expense", "Household", "Stationery",
+        (r"\bstationers?\b", r"\bstationery\b"),
+    ),
+    Entry(
+        "Expense", "Personal Care", None,
+        (r"\bsalon\b", r"\bspa\b", r"\bparlour\b", r"\bbarber\b"),
+    ),
+    Entry(
+        "Expense", "Fitness & Gym", None,
+        (r"\bgym\b", r"\bfitness\b", r"\bcult\.?fit\b", r"\byoga\s+class\b"),
+    ),
+    Entry(
+        "Expense", "Courier & Postal", None,
+        (r"\bdtdc\b", r"\bblue\s*dart\b", r"\bindia\s+post\b", r"\bdelhivery\b", r"\bekart\b", r"\bxpressbees\b"),
     ),
-    Entry("Expense", "Household", "Stationery", "stationers?; stationery"),
-    Entry("Expense", "Personal Care", None, "salon; spa; parlour; barber"),
-    Entry("Expense", "Fitness & Gym", None, r"gym; fitness; cult\.?fit; yoga class"),
-    Entry("Expense", "Courier & Postal", None, "dtdc; blue~dart; india post; delhivery; ekart; xpressbees"),
     Entry(
         "Expense", "Taxes & Government", None,
-        "income tax; gst payment; property tax; municipal tax; traffic challan; e-?challan; tds",
+        (r"\bincome\s+tax\b", r"\bgst\s+payment\b", r"\bproperty\s+tax\b", r"\bmunicipal\s+tax\b",
+         r"\btraffic\s+challan\b", r"\be-?challan\b", r"\btds\b"),
     ),
     Entry(
         "Expense", "Subscriptions", None,
-        "spotify; youtube premium; apple (music|one|icloud); microsoft~365; google (one|workspace|storage); "
-        "anthropic; claude; openai; chatgpt; canva; dropbox; notion; aws",
+        (r"\bspotify\b", r"\byoutube\s+premium\b", r"\bapple\s+(music|one|icloud)\b", r"\bmicrosoft\s*365\b",
+         r"\bgoogle\s+(one|workspace|storage)\b", r"\banthropic\b", r"\bclaude\b", r"\bopenai\b", r"\bchatgpt\b",
+         r"\bcanva\b", r"\bdropbox\b", r"\bnotion\b", r"\baws\b"),
     ),
     Entry(
         "Income", "Salary", "Monthly Salary",
-        "salary; sal credit; payroll; ach (credit|cr); corporate credit; neft cr",
+        (r"\bsalary\b", r"\bsal\s+credit\b", r"\bpayroll\b", r"\bach\s+(credit|cr)\b", r"\bcorporate\s+credit\b",
+         r"\bneft\s+cr\b"),
         direction="credit",
     ),
-    Entry("Income", "Refunds", "Purchase Refund", "refund; cashback; reversal; amount reversed; refunded"),
+    Entry(
+        "Income", "Refunds", "Purchase Refund",
+        (r"\brefund\b", r"\bcashback\b", r"\breversal\b", r"\bamount\s+reversed\b", r"\brefunded\b"),
+    ),
     Entry(
         "Income", "Passive Income", "Interest Income",
-        "interest (credit|credited|received); fd interest; savings interest",
+        (r"\binterest\s+(credit|credited|received)\b", r"\bfd\s+interest\b", r"\bsavings\s+interest\b"),
+        direction="credit",
+    ),
+    Entry(
+        "Income", "Dividends", "Stock Dividend",
+        (r"\bdividend\b",),
         direction="credit",
     ),
-    Entry("Income", "Dividends", "Stock Dividend", "dividend", direction="credit"),
     Entry(
         "Investment", "Mutual Funds", "SIP",
-        "sip (of|installment|debit|debited|payment|contribution); systematic investment plan",
+        (r"\bsip\s+(of|installment|debit|debited|payment|contribution)\b", r"\bsystematic\s+investment\s+plan\b"),
+    ),
+    Entry(
+        "Investment", "Stocks", "Equity Purchase",
+        (r"\bzerodha\b", r"\bgroww\b", r"\bupstox\b", r"\bangelone\b", r"\bangel\s+one\b", r"\bdhan\b"),
+    ),
+    Entry(
+        "Investment", "Gold", None,
+        (r"\bsafegold\b", r"\bdigital\s+gold\b", r"\bpaytm\s+gold\b", r"\bsovereign\s+gold\s+bond\b",
+         r"\bgold\s+bond\b"),
     ),
-    Entry("Investment", "Stocks", "Equity Purchase", "zerodha; groww; upstox; angelone; angel one; dhan"),
-    Entry("Investment", "Gold", None, "safegold; digital gold; paytm gold; sovereign gold bond; gold bond"),
     Entry(
         "Investment", "Insurance", "Life Insurance",
-        "lic (premium|policy); term (plan|insurance); insurance premium; policy premium; bajaj allianz; "
-        "shriram~life; shriramlife",
+        (r"\blic\s+(premium|policy)\b", r"\bterm\s+(plan|insurance)\b", r"\binsurance\s+premium\b",
+         r"\bpolicy\s+premium\b", r"\bbajaj\s+allianz\b", r"\bshriram\s*life\b", r"\bshriramlife\b"),
     ),
     Entry(
         "Investment", "Insurance", "Health Insurance",
-        "health insurance; mediclaim; star health; manipal~cigna; manipalcigna",
+        (r"\bhealth\s+insurance\b", r"\bmediclaim\b", r"\bstar\s+health\b", r"\bmanipal\s*cigna\b",
+         r"\bmanipalcigna\b"),
     ),
     Entry(
         "Investment", "Insurance", "Motor Insurance",
-        "motor insurance; vehicle insurance; car insurance; bike insurance; icici lombard; hdfc ergo; "
-        "bajaj allianz general",
-    ),
-    Entry("Liability", "EMI", "Loan EMI", "emi (deducted|debited|paid); loan emi; nach debit; auto debit emi"),
-    Entry("Liability", "Loans", "Home Loan", "home loan; housing loan; mortgage"),
-    Entry("Liability", "Loans", "Personal Loan", "personal loan; instant loan"),
-    Entry("Asset", "Bank Deposits", "Fixed Deposit", "fixed deposit; fd (created|booked|opened)"),
-    Entry("Asset", "Government Schemes", "NPS", "nps; national pension (scheme|system)"),
-    Entry("Asset", "Government Schemes", "PPF/SSY", "ppf; public provident fund; sukanya samriddhi; ssy"),
+        (r"\bmotor\s+insurance\b", r"\bvehicle\s+insurance\b", r"\bcar\s+insurance\b", r"\bbike\s+insurance\b",
+         r"\bicici\s+lombard\b", r"\bhdfc\s+ergo\b", r"\bbajaj\s+allianz\s+general\b"),
+    ),
+    Entry(
+        "Liability", "EMI", "Loan EMI",
+        (r"\bemi\s+(deducted|debited|paid)\b", r"\bloan\s+emi\b", r"\bnach\s+debit\b", r"\bauto\s+debit\s+emi\b"),
+    ),
+    Entry(
+        "Liability", "Loans", "Home Loan",
+        (r"\bhome\s+loan\b", r"\bhousing\s+loan\b", r"\bmortgage\b"),
+    ),
+    Entry(
+        "Liability", "Loans", "Personal Loan",
+        (r"\bpersonal\s+loan\b", r"\binstant\s+loan\b"),
+    ),
+    Entry(
+        "Asset", "Bank Deposits", "Fixed Deposit",
+        (r"\bfixed\s+deposit\b", r"\bfd\s+(created|booked|opened)\b"),
+    ),
+    Entry(
+        "Asset", "Government Schemes", "NPS",
+        (r"\bnps\b", r"\bnational\s+pension\s+(scheme|system)\b"),
+    ),
+    Entry(
+        "Asset", "Government Schemes", "PPF/SSY",
+        (r"\bppf\b", r"\bpublic\s+provident\s+fund\b", r"\bsukanya\s+samriddhi\b", r"\bssy\b"),
+    ),
 ]
 
 # Label of a clearing-house debit that no keyword explains.
 MANDATE_LABEL = ("Liability", "Recurring Payment", "NACH Mandate")
 
 
-def keyword_pattern(phrase: str) -> str:
-    """Pattern of one keyword phrase; see ``Entry``."""
-    body, _, reject = phrase.partition("!")
-    loose_end = body.endswith("*")
-    body = body.rstrip("*")
-
-    def blanks(text: str) -> str:
-        return text.replace(" ", r"\s+").replace("~", r"\s*")
-
-    pattern = r"\<" + blanks(body)
-    if not loose_end:
-        pattern += r"\>"
-    if reject:
-        pattern += f"(?!{blanks(reject[1:-1])})"
-    return pattern
-
-
-def keyword_anchor(phrase: str) -> str:
-    """A substring every hit of the phrase must contain: its longest fixed run of letters and digits."""
-    fixed = re.sub(r"\([^)]*\)|\[[^\]]*\]\??|\\.\??|.\?", " ", phrase.partition("!")[0])
-    return max(re.findall(r"[a-z0-9]+", fixed.replace("*", "")), key=len)
+def marked(keyword: str) -> str:
+    """The pattern with start and end marks instead of word edges; keywords begin with an edge."""
+    return r"\<" + keyword.removeprefix(r"\b").replace(r"\b", r"\>")
 
 
-def keywords(entry: Entry) -> list[str]:
-    return [phrase.strip() for phrase in entry.keywords.split(";")]
+def keyword_anchor(keyword: str) -> str:
+    """A substring every hit must contain: its longest fixed run of letters and digits."""
+    fixed = re.sub(r"\([^)]*\)+|\[[^\]]*\]\??|\\.[*+?]?|.\?", " ", re.sub(r"\(\?!.*\)$", "", keyword))
+    return max(re.findall(r"[a-z0-9]+", fixed), key=len)
 
 
 def any_keyword(taxonomy: list[Entry]) -> str:
     """One pattern for "some keyword is present", branching on the first letter at each word start."""
     by_letter: dict[str, list[str]] = {}
     for entry in taxonomy:
-        for phrase in keywords(entry):
-            pattern = keyword_pattern(phrase).removeprefix(r"\<")
+        for keyword in entry.keywords:
+            pattern = marked(keyword).removeprefix(r"\<")
             by_letter.setdefault(pattern[0], []).append(pattern[1:])
     branches = "|".join(f"{letter}(?:{'|'.join(rests)})" for letter, rests in sorted(by_letter.items()))
     return rf"\<(?:{branches})"
@@ -217,8 +308,8 @@ def any_keyword(taxonomy: list[Entry]) -> str:
 
 def _score(entry: Entry, low: str) -> str:
     """Number of the entry's keywords found; no pattern runs unless one of the anchors is present."""
-    hits = ", ".join(has(low, keyword_pattern(k), "") for k in keywords(entry))
-    anchors = list(dict.fromkeys(keyword_anchor(k) for k in keywords(entry)))
+    hits = ", ".join(has(low, marked(k), "") for k in entry.keywords)
+    anchors = list(dict.fromkeys(keyword_anchor(k) for k in entry.keywords))
     return when(any_of(low, anchors), f"size(filter(array({hits}), hit -> hit))", "0")
 
 

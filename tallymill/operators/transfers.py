@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallymill.operators.dedup import ACTIVE
-from tallymill.operators.skew import attach, cut_lineage
+from tallymill.operators.skew import attach
 
 GROUP = ["user_id", "magnitude"]
 DAY = [*GROUP, "sign", "txn_date"]
@@ -126,21 +126,18 @@ def transfer_candidates(ledger: DataFrame) -> DataFrame:
 
 # --- exact sequential pairing -------------------------------------------------------------------
 
-# Groups up to this size are replayed as they are; larger ones are thinned first, see pair_transfers.
-REPLAY_ROWS = 20_000
-KEEP_PER_CELL = 4
 MAX_DEPTH = 5
 ISLAND = [*GROUP, "island"]
 REPLAY_COLUMNS = [
     *ISLAND, "id", "account_id", "txn_date", "sign", "ref_number", "status", "is_new", "is_infrastructure",
-    "is_contra", "is_deleted", "possible_contra_of", "txn_group_id", "created_at", "cell_rows",
+    "is_contra", "is_deleted", "possible_contra_of", "txn_group_id", "created_at",
 ]
 REPLAY_SCHEMA = (
-    "user_id string, magnitude decimal(18,2), island date, id string, status string, is_contra boolean, "
+    "user_id string, magnitude decimal(38,2), island date, id string, status string, is_contra boolean, "
     "possible_contra_of string, txn_group_id string, matched_at timestamp, pair_reason string, "
-    "possible_duplicate_of string, duplicate_ref string, unsettled boolean"
+    "possible_duplicate_of string, duplicate_ref string"
 )
-RESULT_COLUMNS = [part.split()[0] for part in REPLAY_SCHEMA.replace("18,2", "").split(", ")]
+RESULT_COLUMNS = [part.split()[0] for part in REPLAY_SCHEMA.replace("38,2", "").split(", ")]
 
 
 def pair_group_id(one: str, two: str) -> str:
@@ -148,13 +145,18 @@ def pair_group_id(one: str, two: str) -> str:
 
 
 class _Replay:
-    """State of one group while its new rows arrive in order. Rows are plain dicts keyed by column."""
+    """State of one group while its new rows arrive in order. Rows are plain dicts keyed by column.
 
-    def __init__(self, records: list[dict]) -> None:
+    A cell holds the rows of one pool, sign, day and account in order; ``refs`` has such cells for each reference too, so
+    that a search looks at one head for each account of three days, however many rows a reference has.
+    """
+
+    def __init__(self, records: list[dict], duplicates: bool) -> None:
+        self.duplicates = duplicates
         self.rows = {r["id"]: r for r in records}
         self.cells: dict[tuple, list[dict]] = {}
         self.accounts: dict[tuple, set] = {}
-        self.refs: dict[tuple, list[dict]] = {}
+        self.refs: dict[tuple, dict] = {}
         self.twins: dict[tuple, list[dict]] = {}
         for r in records:
             r.update(possible_duplicate_of=None, duplicate_ref=None, matched_at=None, pair_reason=None)
@@ -172,7 +174,8 @@ class _Replay:
         bisect.insort(self.cells.setdefault(cell, []), r, key=self.order)
         self.accounts.setdefault((pool, r["sign"], r["txn_date"]), set()).add(r["account_id"])
         if r["ref_number"] is not None and pool == "active":
-            self.refs.setdefault((r["sign"], r["ref_number"]), []).append(r)
+            by_account = self.refs.setdefault((r["sign"], r["ref_number"], r["txn_date"]), {})
+            bisect.insort(by_account.setdefault(r["account_id"], []), r, key=self.order)
 
     @staticmethod
     def order(r: dict) -> tuple:
@@ -200,13 +203,13 @@ class _Replay:
 
     def choose(self, r: dict) -> tuple[dict | None, int]:
         if r["ref_number"] is not None:
-            same = [
-                c
-                for c in self.refs.get((-r["sign"], r["ref_number"]), ())
-                if not c["is_contra"]
-                and c["account_id"] != r["account_id"]
-                and abs((c["txn_date"] - r["txn_date"]).days) <= 1
-            ]
+            same = []
+            for shift in (-1, 0, 1):
+                day = r["txn_date"] + dt.timedelta(days=shift)
+                for account, cell in self.refs.get((-r["sign"], r["ref_number"], day), {}).items():
+                    head = self.head(cell) if account != r["account_id"] else None
+                    if head is not None:
+                        same.append(head)
             if same:
                 return min(same, key=self.order), 1
         found = self.first("active", r)
@@ -214,7 +217,7 @@ class _Replay:
 
     def arrive(self, r: dict) -> None:
         definitional = r["is_contra"]
-        if not definitional and not r["is_deleted"]:
+        if self.duplicates and not definitional and not r["is_deleted"]:
             self.mark_duplicate(r)
         self.insert(r)
         if not definitional and not r["is_deleted"]:
@@ -252,43 +255,17 @@ class _Replay:
             if r is not None:
                 r["possible_contra_of"], r["pair_reason"] = None, None
 
-    def settled(self, sample: dict) -> bool:
-        """Would another row like ``sample`` change nothing? Either it finds no counterpart at all, or its
-        counterpart is linked to a row that would take it straight back."""
-        found, tier = self.choose({**sample, "ref_number": None})
-        if found is None:
-            return True
-        holder = self.rows.get(found["possible_contra_of"]) if found["possible_contra_of"] else None
-        if tier != 2 or holder is None:
-            return False
-        back, level = self.choose(holder)
-        return level == 2 and back is found
 
-
-def replay_group(records: list[dict]) -> list[dict]:
-    """Insert the new rows of one group in order, flagging repeats and pairing legs after each insert.
-
-    A cell that was thinned says so by ``cell_rows``; whether its missing rows could have changed
-    anything is checked after every insert that follows its last kept row.
-    """
-    kept: dict[tuple, list[dict]] = {}
-    for r in records:
-        if r["cell_rows"] >= 0:
-            kept.setdefault((r["sign"], r["txn_date"], r["account_id"]), []).append(r)
-    cut = [rows[-1] for rows in kept.values() if rows[0]["cell_rows"] > len(rows)]
-    state, unsettled = _Replay(records), False
+def replay_group(records: list[dict], duplicates: bool = True) -> list[dict]:
+    """Insert the new rows of one group in order, flagging repeats and pairing legs after each insert."""
+    state = _Replay(records, duplicates)
     for r in records:
         if r["is_new"]:
             state.arrive(r)
-            unsettled = unsettled or any(
-                state.order(last) <= state.order(r) and not state.settled(last) for last in cut
-            )
-    for r in records:
-        r["unsettled"] = unsettled
     return records
 
 
-def _replay_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _replay_batches(batches: Iterator[pd.DataFrame], duplicates: bool) -> Iterator[pd.DataFrame]:
     """Replay groups off a stream of rows sorted by group, time and id; one group is held at a time."""
 
     def rows() -> Iterator[dict]:
@@ -299,7 +276,7 @@ def _replay_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     done: list[dict] = []
     for _, group in itertools.groupby(rows(), key=lambda r: tuple(r[c] for c in ISLAND)):
-        done.extend(replay_group(list(group)))
+        done.extend(replay_group(list(group), duplicates))
         if len(done) >= 10_000:
             yield pd.DataFrame(done, columns=RESULT_COLUMNS)
             done = []
@@ -307,9 +284,9 @@ def _replay_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(done, columns=RESULT_COLUMNS)
 
 
-def _replayed(rows: DataFrame) -> DataFrame:
+def _replayed(rows: DataFrame, duplicates: bool) -> DataFrame:
     keyed = rows.select(*REPLAY_COLUMNS).repartition(*ISLAND).sortWithinPartitions(*ISLAND, "created_at", "id")
-    return keyed.mapInPandas(_replay_batches, REPLAY_SCHEMA)
+    return keyed.mapInPandas(lambda batches: _replay_batches(batches, duplicates), REPLAY_SCHEMA)
 
 
 def _with_islands(ledger: DataFrame, is_new: Column) -> DataFrame:
@@ -321,7 +298,7 @@ def _with_islands(ledger: DataFrame, is_new: Column) -> DataFrame:
     rows = ledger.filter("amount IS NOT NULL AND amount <> 0").select(
         "id", "user_id", "account_id", "txn_date", "ref_number", "status", "created_at", "is_infrastructure",
         "is_contra", "is_deleted", "possible_contra_of", "txn_group_id",
-        F.abs("amount").cast("decimal(18,2)").alias("magnitude"),
+        F.abs("amount").cast("decimal(38,2)").alias("magnitude"),
         F.when(F.col("amount") > 0, 1).otherwise(-1).alias("sign"),
         is_new.alias("is_new"),
     )
@@ -347,98 +324,19 @@ def _with_islands(ledger: DataFrame, is_new: Column) -> DataFrame:
         "txn_date",
         "_n",
         "island",
-        F.sum("_n").over(island).alias("island_rows"),
         ((F.min("_low").over(island) < F.max("_high").over(island)) | (F.max("_cell").over(island) > 1)).alias("busy"),
     )
     return attach(rows, sized, [*GROUP, "txn_date"], "id").drop("_n")
 
 
-def _thinned(rows: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
-    """Split the rows of large groups into those to replay and those that cannot matter unless reported.
-
-    A row is plain if it is new, active, unlinked and can neither match by reference nor find a reviewed
-    row. Among the plain rows of a cell only the first is ever a partner or the target of a duplicate
-    flag; the later ones arrive, find their counterpart taken, and leave things as they were. The first
-    ``keep`` of a cell are replayed, and the replay reports the group if that reasoning fails somewhere.
-    """
-    plain = (
-        F.col("is_new")
-        & F.col("status").isin(ACTIVE)
-        & ~F.col("is_infrastructure")
-        & ~F.col("is_contra")
-        & ~F.col("is_deleted")
-        & F.col("possible_contra_of").isNull()
-    )
-    history = rows.groupBy(*ISLAND).agg(
-        F.max(F.col("status") == "user_reviewed").alias("_history"), F.count("*").alias("_n")
-    )
-    refs = (
-        rows.filter("ref_number IS NOT NULL")
-        .groupBy(*ISLAND, "ref_number")
-        .agg((F.min("sign") < F.max("sign")).alias("_two_signs"), F.count("*").alias("_n"))
-        .filter("_two_signs")
-    )
-    marked = attach(rows, history, ISLAND, "id").drop("_n")
-    marked = attach(marked, refs, [*ISLAND, "ref_number"], "id").drop("_n")
-    marked = marked.withColumn(
-        "_plain", plain & ~F.col("_history") & ~F.coalesce("_two_signs", F.lit(False))
-    ).drop("_history", "_two_signs")
-    cell = [*ISLAND, "sign", "txn_date", "account_id"]
-    cells = marked.groupBy(*cell).agg(
-        F.count("*").alias("_n"),
-        F.min("_plain").alias("_all_plain"),
-        F.min(F.struct("created_at", "id", "ref_number")).alias("_head"),
-    )
-    sized = attach(marked, cells, cell, "id")
-    uncut = sized.filter("NOT _all_plain").withColumn("cell_rows", F.lit(-1))
-    ranked = sized.filter("_all_plain").withColumn(
-        "_rank", F.row_number().over(W.partitionBy(*cell).orderBy("created_at", "id"))
-    )
-    first = ranked.filter(F.col("_rank") <= keep).withColumn("cell_rows", F.col("_n").cast("int")).drop("_rank")
-    last = first.groupBy(*cell).agg(F.max(F.struct("created_at", "id")).alias("_last"), F.count("*").alias("_k"))
-    later = attach(sized.filter("_all_plain").drop("_n"), last.join(cells.select(*cell, "_n"), cell), cell, "id")
-    rest = later.filter(F.struct("created_at", "id") > F.col("_last")).select(
-        *ISLAND,
-        "id",
-        F.lit("pending_review").alias("status"),
-        "is_contra",
-        "possible_contra_of",
-        "txn_group_id",
-        F.lit(None).cast("timestamp").alias("matched_at"),
-        F.lit(None).cast("string").alias("pair_reason"),
-        F.col("_head.id").alias("possible_duplicate_of"),
-        F.col("_head.ref_number").alias("duplicate_ref"),
-        F.lit(False).alias("unsettled"),
-    )
-    columns = [*rows.columns, "cell_rows"]
-    return uncut.select(*columns).unionByName(first.select(*columns)), rest
-
-
-def _replay_large(large: DataFrame) -> DataFrame | None:
-    """Replay thinned groups; a group that reports itself is run again with more rows per cell."""
-    results, keep, todo = None, KEEP_PER_CELL, large
-    while not todo.isEmpty():
-        chosen, rest = _thinned(todo, keep)
-        outcome = cut_lineage(_replayed(chosen))
-        again = cut_lineage(outcome.filter("unsettled").select(*ISLAND).distinct())
-        done = outcome.join(again, ISLAND, "left_anti").unionByName(rest.join(again, ISLAND, "left_anti"))
-        results = done if results is None else results.unionByName(done)
-        todo, keep = todo.join(again, ISLAND, "left_semi"), keep * 8
-    return results
-
-
-def replay_ledger(ledger: DataFrame, is_new: Column, replay_rows: int = REPLAY_ROWS) -> DataFrame:
+def replay_ledger(ledger: DataFrame, is_new: Column, duplicates: bool = True) -> DataFrame:
     """Exact result of inserting the new rows one by one: duplicate flags, links, pairs and statuses.
 
-    ``ledger`` holds stored and new rows. Groups in which nothing can happen skip Python altogether.
+    ``ledger`` holds stored and new rows. Groups in which nothing can happen skip Python altogether; all others, of any
+    size, are replayed row by row. Without ``duplicates`` rows are paired and not flagged.
     """
-    islands = _with_islands(ledger, is_new)
-    busy = islands.filter("busy")
-    small = busy.filter(F.col("island_rows") <= replay_rows).withColumn("cell_rows", F.lit(-1))
-    changed = _replayed(small)
-    large = _replay_large(busy.filter(F.col("island_rows") > replay_rows).drop("island_rows", "busy"))
-    if large is not None:
-        changed = changed.unionByName(large)
+    busy = _with_islands(ledger, is_new).filter("busy")
+    changed = _replayed(busy, duplicates)
     changed = changed.select(
         "id",
         F.col("status").alias("_status"),
@@ -486,9 +384,9 @@ def spread_groups(paired: DataFrame) -> DataFrame:
     return joined.select(*[group.alias(c) if c == "txn_group_id" else F.col(c) for c in columns])
 
 
-def pair_transfers(ledger: DataFrame, is_new: Column, replay_rows: int = REPLAY_ROWS) -> DataFrame:
+def pair_transfers(ledger: DataFrame, is_new: Column, duplicates: bool = True) -> DataFrame:
     """The ledger after exact duplicate flagging and pairing of its new rows."""
-    return spread_groups(replay_ledger(ledger, is_new, replay_rows))
+    return spread_groups(replay_ledger(ledger, is_new, duplicates))
 
 
 def apply_transfer_decisions(ledger: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from tallymill.functions import extract as X
 from tallymill.operators import fallback, filters, rules
-from tallymill.operators.taxonomy import TAXONOMY, keyword_pattern, keywords
+from tallymill.operators.taxonomy import TAXONOMY, marked
 from tallymill.plans.queries import NOW_MS
 
 M = """m AS (SELECT o_orderkey AS k, o_custkey AS u, o_orderkey % 41 + 1 AS n, round(o_totalprice, 2) AS amt,
@@ -197,7 +197,7 @@ def allof(col: str, phrases: list[str]) -> str:
 
 
 def num(text: str) -> str:
-    return f"TRY_CAST(replace({text}, ',', '') AS DECIMAL(18,2))"
+    return f"TRY_CAST(replace({text}, ',', '') AS DECIMAL(38,2))"
 
 
 MONEY = r"([\d,]+(?:\.\d{1,2})?)"
@@ -232,9 +232,9 @@ def _taxonomy_sql() -> str:
         if entry.direction == "debit" or (entry.min_amount or 0) > 100:
             continue
         hits = []
-        for k in keywords(entry):
-            body = k.partition("!")
-            hits.append(f"CAST({m('cut' if body[1] else 'lo', keyword_pattern(body[0]))} AS INT)")
+        for k in entry.keywords:
+            body, ahead, _ = k.partition("(?!")
+            hits.append(f"CAST({m('cut' if ahead else 'lo', marked(body))} AS INT)")
         ranks.append(f"CASE WHEN {' + '.join(hits)} > 0 THEN ({' + '.join(hits)}) * {len(TAXONOMY) + 1} - {position} ELSE 0 END")
     best = f"greatest({', '.join(ranks)})"
     size = len(TAXONOMY) + 1
@@ -253,7 +253,7 @@ def all_oracles() -> dict[str, str]:
     for name, e in QUIRKS.items():
         o[f"quirk_{name}"] = parse_sql(e)
     o["monthly_debits"] = f"""WITH {M} SELECT CAST(u AS VARCHAR) AS user_id, CAST(date_trunc('month', d) AS DATE) AS month,
-      CAST(sum(CAST(amt AS DECIMAL(18,2))) AS DOUBLE) AS debit_total, count(*) AS debits FROM m GROUP BY 1, 2"""
+      CAST(sum(CAST(amt AS DECIMAL(38,2))) AS DOUBLE) AS debit_total, count(*) AS debits FROM m GROUP BY 1, 2"""
     o["filter_drop_reasons"] = f"WITH {V} SELECT drop_reason, count(*) AS n FROM v WHERE drop_reason IS NOT NULL GROUP BY 1"
     o["rule_hits"] = f"WITH {V} SELECT rule AS rule_id, count(*) AS n FROM v WHERE rule IS NOT NULL GROUP BY 1"
     o["sender_inventory"] = f"WITH {M} SELECT CASE WHEN n = 31 THEN 'AD-DEMOBK-P' ELSE 'VM-DEMOBK-S' END AS address, count(*) AS n FROM m WHERE n <> 32 GROUP BY 1"
@@ -301,9 +301,11 @@ def all_oracles() -> dict[str, str]:
         num(x("b", rf"\<(?:{codes})\s+" + MONEY, "i")), num(x("b", r"transaction of\s+" + MONEY, "i")),
     ]
     o["extract_amount"] = f"WITH {DOCS} SELECT doc_id, CAST(coalesce({', '.join(f'CASE WHEN {f} > 0 THEN {f} END' for f in figures)}) AS DOUBLE) AS amount FROM t"
-    o["extract_account"] = f"""WITH {DOCS} SELECT doc_id, coalesce({x('b', '(?:account|card)' + chr(92) + 's+ending' + chr(92) + 's+(?:with' + chr(92) + 's+)?[Xx*]{0,4}(' + chr(92) + 'd{4})' + chr(92) + '>', 'i')},
-      {x('b', '[Xx*]{1,2}([0-9]{4})' + chr(92) + '>')}, {x('b', r'A/[Cc](?:\s*No\.?)?\s*[Xx*]{0,2}(\d{4})\>')},
-      {x('b', r'(?:account|card)\s+[X*]{0,4}(\d{4})\>', 'i')}) AS account FROM t"""
+    accounts = [
+        x("b", r"(?:account|card)\s+ending\s+(?:with\s+)?[Xx*]{0,4}(\d{4})\>", "i"), x("b", r"[Xx*]{1,2}(\d{4})\>"),
+        x("b", r"A/[Cc](?:\s*No\.?)?\s*[Xx*]{0,2}(\d{4})\>"), x("b", r"(?:account|card)\s+[X*]{0,4}(\d{4})\>", "i"),
+    ]
+    o["extract_account"] = f"WITH {DOCS} SELECT doc_id, coalesce({', '.join(accounts)}) AS account FROM t"
     o["extract_reference"] = f"""WITH {DOCS} SELECT doc_id, coalesce({x('b', r'UPI[:\s]+(\d{12})\>', 'i')},
       {x('b', r'Ref(?:\s*No\.?|erence)?\s*[:# ]?\s*(\d{12})\>', 'i')}, {x('b', r'RRN[:\s]+(\d{12})\>', 'i')},
       {x('b', r'\<Ref\s+(\d{12,})\>', 'i')}) AS reference FROM t"""
@@ -392,7 +394,7 @@ def all_oracles() -> dict[str, str]:
       CAST(o_orderdate AS DATE) AS txn_date, CASE WHEN o_custkey % 2 = 0 AND o_totalprice < 5000 THEN 'approved' ELSE 'pending_review' END AS status
       FROM orders WHERE o_orderkey % 4 < 2 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'promotional', NULL, NULL, NULL, NULL FROM orders WHERE o_orderkey % 4 = 2"""
     # streams give the batch results
-    o["stream_parse"] = f"WITH {V} SELECT stage, count(*) AS n, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM v GROUP BY 1"
+    o["stream_parse"] = f"WITH {V} SELECT stage, count(*) AS n, CAST(sum(CAST(amount AS DECIMAL(38,2))) AS DOUBLE) AS amount FROM v GROUP BY 1"
     o["stream_dedup"] = f"""WITH {V}, r AS (SELECT DISTINCT u, rule, CASE WHEN n IN (4, 19, 25, 26) THEN rrn ELSE CAST(k AS VARCHAR) END AS key FROM v WHERE stage = 'matched')
       SELECT rule AS matched_rule, count(*) AS n FROM r GROUP BY 1"""
     o["stream_funnel"] = f"""WITH {V}, w AS (SELECT *, date_diff('day', DATE '1970-01-01', d) // 90 * 90 AS day0 FROM v),

@@ -207,7 +207,7 @@ def _stored_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'bank' AS account_type",
         "'Demo Bank' AS institution_name",
         "lpad(c_custkey % 10000, 4, '0') AS account_number_masked",
-        "CAST(c_acctbal AS decimal(18,2)) AS balance_latest",
+        "CAST(c_acctbal AS decimal(38,2)) AS balance_latest",
         "DATE '2023-06-30' AS balance_updated_at",
         "true AS aa_linked",
         "true AS is_active",
@@ -271,7 +271,7 @@ def _edits(rows: DataFrame) -> DataFrame:
     """Edits of every purchase: refunds become income, one in five has no valid amount."""
     return rows.filter("category = 'shopping'").selectExpr(
         "id", "CAST(NULL AS date) AS txn_date",
-        "CAST(CASE WHEN id % 5 = 1 THEN 0 ELSE abs(amount) + 1 END AS decimal(18,2)) AS amount",
+        "CAST(CASE WHEN id % 5 = 1 THEN 0 ELSE abs(amount) + 1 END AS decimal(38,2)) AS amount",
         "CASE WHEN id % 5 = 2 THEN 'Income' ELSE 'Investment' END AS type", "'Equity' AS category",
         "CASE WHEN id % 5 = 3 THEN 'Sell' END AS sub_category", "'edited' AS merchant",
     )
@@ -413,7 +413,7 @@ def stream_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events.selectExpr(
         "CAST(event_id AS string) AS id", "CAST(user_id AS string) AS user_id", "concat('A', event_id % 3) AS account_id",
         "to_date(ts) AS txn_date",
-        "CAST(CASE WHEN event_type IN ('purchase', 'error') THEN -floor(value) ELSE floor(value) END AS decimal(18,2)) AS amount",
+        "CAST(CASE WHEN event_type IN ('purchase', 'error') THEN -floor(value) ELSE floor(value) END AS decimal(38,2)) AS amount",
     )
     return _finish(streams.transfer_stream(rows), spark).withColumn("magnitude", F.col("magnitude").cast("double"))
 

@@ -132,7 +132,7 @@ def ledger_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('A', event_id % 3) AS account_id",
         "to_date(ts) AS txn_date",
         "CAST(CASE WHEN event_type IN ('purchase', 'error') THEN -floor(value) ELSE floor(value) END "
-        "AS decimal(18,2)) AS amount",
+        "AS decimal(38,2)) AS amount",
         "CASE WHEN event_id % 4 < 2 THEN concat(user_id, '-', CAST(floor(value) AS bigint)) END AS ref_number",
         "CASE WHEN event_id % 5 = 0 THEN 'user_reviewed' WHEN event_id % 5 < 3 THEN 'pending_review' "
         "ELSE 'approved' END AS status",
@@ -161,7 +161,7 @@ def matches_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(l_suppkey AS string) AS user_id",
         "concat('  item ', l_partkey, ' ') AS body",
         "CASE l_linenumber WHEN 1 THEN 'GENERIC_DEBIT' WHEN 2 THEN 'GENERIC_CREDIT' ELSE 'CASH_DEPOSIT' END AS rule_id",
-        "CAST(l_quantity AS decimal(18,2)) AS amount",
+        "CAST(l_quantity AS decimal(38,2)) AS amount",
         "trunc(l_shipdate, 'MM') AS txn_date",
         "CASE WHEN l_linenumber < 6 THEN CAST(l_suppkey % 3 AS string) END AS account_number_masked",
         "CASE WHEN l_orderkey % 2 = 0 THEN CAST(l_partkey AS string) END AS ref_number",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-MONEY_TYPE = T.DecimalType(18, 2)
+MONEY_TYPE = T.DecimalType(38, 2)
 
 
 _TYPES = {
@@ -15,7 +15,7 @@ _TYPES = {
     "boolean": T.BooleanType(),
     "date": T.DateType(),
     "timestamp": T.TimestampType(),
-    "decimal(18,2)": MONEY_TYPE,
+    "decimal(38,2)": MONEY_TYPE,
     "array<string>": T.ArrayType(T.StringType()),
 }
 
@@ -33,9 +33,9 @@ RAW_EXPORT = struct_of(
 ).add("messages", T.ArrayType(struct_of("id string, address string, date string, body string")))
 
 PARSED_COLUMNS = (
-    "kind string, raw_sms_id string, txn_date date, amount decimal(18,2), type string, category string, "
+    "kind string, raw_sms_id string, txn_date date, amount decimal(38,2), type string, category string, "
     "sub_category string, merchant string, merchant_key string, source string, status string, "
-    "account_number_masked string, bank string, channel string, balance decimal(18,2), ref_number string, "
+    "account_number_masked string, bank string, channel string, balance decimal(38,2), ref_number string, "
     "ref_type string, matched_rule string, confidence double, requires_classification boolean, "
     "possible_contra boolean, txn_group_id string, is_infrastructure boolean, health_module_tag array<string>, "
     "parse_failure string, raw_text string"
@@ -43,7 +43,7 @@ PARSED_COLUMNS = (
 PARSED = struct_of(PARSED_COLUMNS)
 
 BALANCE_UPDATES = struct_of(
-    "kind string, raw_sms_id string, account_number_masked string, bank string, balance decimal(18,2), "
+    "kind string, raw_sms_id string, account_number_masked string, bank string, balance decimal(38,2), "
     "message_date date"
 )
 
@@ -60,11 +60,11 @@ PARSER_REPORT = T.StructType(
 
 ACCOUNTS = struct_of(
     "id string, user_id string, account_type string, institution_name string, account_number_masked string, "
-    "balance_latest decimal(18,2), balance_updated_at date, aa_linked boolean, is_active boolean"
+    "balance_latest decimal(38,2), balance_updated_at date, aa_linked boolean, is_active boolean"
 )
 
 LEDGER = struct_of(
-    "id string, user_id string, account_id string, txn_date date, amount decimal(18,2), type string, "
+    "id string, user_id string, account_id string, txn_date date, amount decimal(38,2), type string, "
     "category string, sub_category string, merchant string, merchant_key string, source string, status string, "
     "reviewed_at timestamp, raw_text string, is_deleted boolean, split_from_id string, added_late boolean, "
     "after_report_month string, is_contra boolean, possible_contra_of string, duplicate_confidence double, "
@@ -73,15 +73,15 @@ LEDGER = struct_of(
 )
 
 EDITS = struct_of(
-    "id string, txn_date date, amount decimal(18,2), type string, category string, sub_category string, "
+    "id string, txn_date date, amount decimal(38,2), type string, category string, sub_category string, "
     "merchant string"
 )
 
-SPLIT_LINE = "struct<amount: decimal(18,2), type: string, category: string, sub_category: string, merchant: string>"
+SPLIT_LINE = "struct<amount: decimal(38,2), type: string, category: string, sub_category: string, merchant: string>"
 SPLITS = struct_of("original_id string").add(
     "lines",
     T.ArrayType(
-        struct_of("amount decimal(18,2), type string, category string, sub_category string, merchant string")
+        struct_of("amount decimal(38,2), type string, category string, sub_category string, merchant string")
     ),
 )
 

@@ -16,7 +16,7 @@ from tallymill.sources.messages import read_buckets, user_bucket, write_buckets
 
 POLL = "30 minutes"
 BALANCES = struct_of(
-    "user_id string, account_number_masked string, balance decimal(18,2), message_date date, "
+    "user_id string, account_number_masked string, balance decimal(38,2), message_date date, "
     "message_time timestamp, raw_sms_id string"
 )
 

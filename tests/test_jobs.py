@@ -132,7 +132,7 @@ def test_stored_balance_of_the_same_day_stays(spark):
     )
     updates = spark.createDataFrame(
         [("u", "0", decimal.Decimal(2), day, 1, "a"), ("u", "1", decimal.Decimal(3), dt.date(2024, 5, 2), 1, "b"), ("u", "1", decimal.Decimal(4), dt.date(2024, 5, 2), 2, "c")],
-        "user_id string, account_number_masked string, balance decimal(18,2), message_date date, message_time int, raw_sms_id string",
+        "user_id string, account_number_masked string, balance decimal(38,2), message_date date, message_time int, raw_sms_id string",
     )
     assert {r.id: float(r.balance_latest) for r in latest_balances(updates, stored).collect()} == {"0": 1.0, "1": 4.0}
 
@@ -160,7 +160,7 @@ def test_dedup_log_names_the_arriving_message(spark):
 
 
 def test_splits_must_add_up(spark):
-    ledger = spark.createDataFrame([("1", decimal.Decimal("-10.00"))], "id string, amount decimal(18,2)")
+    ledger = spark.createDataFrame([("1", decimal.Decimal("-10.00"))], "id string, amount decimal(38,2)")
     line = lambda a: (decimal.Decimal(a), "Investment", "Equity", "Sell", None)
     splits = spark.createDataFrame([("1", [line("4.00"), line("6.00")]), ("1", [line("4.00"), line("6.01")]), ("1", [line("10.00")])], SPLITS)
     assert [float(r.amount) for r in valid_splits(splits, ledger).orderBy("line_no").collect()] == [4.0, 6.0]
