@@ -38,18 +38,20 @@ def resolve_accounts(
     """``(accounts, rows)``: the dimension with missing accounts added, and the rows with ``account_id``.
 
     Rows without a number share one ``UNKNOWN`` account per user. A new account takes bank and type from
-    its first message, and a balance notice can be that first message. First-seen values come from a
+    its first message in reading order, which is newest first, and a balance notice can be that message. First-seen values come from a
     partial aggregate, so a busy account is reduced before it is shuffled. Ids of accounts created here
     are a function of the key; only accounts that were already stored need a lookup.
     """
     number = F.coalesce("account_number_masked", F.lit(UNKNOWN_ACCOUNT))
-    first = ["message_time", "raw_sms_id"]
+    # a reading goes from the newest message back
+    first = ["_age", "raw_sms_id"]
+    age = (-F.unix_micros(F.col("message_time").cast("timestamp"))).alias("_age")
     keyed = parsed.withColumn("_number", number)
-    arrivals = keyed.select("user_id", F.col("_number").alias("account_number_masked"), "bank", "channel", *first)
+    arrivals = keyed.select("user_id", F.col("_number").alias("account_number_masked"), "bank", "channel", age, "raw_sms_id")
     if balance_updates is not None:
         usable = balance_updates.filter("account_number_masked IS NOT NULL AND balance IS NOT NULL")
         arrivals = arrivals.unionByName(
-            usable.select(*KEYS, "bank", F.lit(None).cast("string").alias("channel"), *first)
+            usable.select(*KEYS, "bank", F.lit(None).cast("string").alias("channel"), age, "raw_sms_id")
         )
     seen = arrivals.groupBy(*KEYS).agg(
         F.min_by(F.struct("bank", "channel"), F.struct(*first)).alias("_first"), F.count("*").alias("_n")

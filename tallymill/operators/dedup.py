@@ -142,9 +142,18 @@ def flag_duplicates(ledger: DataFrame) -> DataFrame:
     )
 
 
+def last_per_id(changes: DataFrame, key: str = "id") -> DataFrame:
+    """One change for each row: the last by ``changed_at`` if there is such a column, ties and all others by content."""
+    order = [F.col("changed_at")] if "changed_at" in changes.columns else []
+    row = F.struct(*changes.columns)
+    last = changes.groupBy(key).agg(F.max_by(row, F.struct(*order, F.to_json(row))).alias("_last"))
+    return last.select("_last.*")
+
+
 def apply_duplicate_decisions(ledger: DataFrame, decisions: DataFrame) -> DataFrame:
-    """``decisions(id, decision)``: ``confirm`` soft-deletes the row, ``dismiss`` clears the flag and approves."""
-    joined = ledger.join(decisions, "id", "left")
+    """``decisions(id, decision)``: ``confirm`` soft-deletes the row, ``dismiss`` clears the flag and approves. Of several
+    decisions on a row the last counts."""
+    joined = ledger.join(last_per_id(decisions), "id", "left")
     confirm = F.coalesce(F.col("decision") == "confirm", F.lit(False))
     dismiss = F.coalesce(F.col("decision") == "dismiss", F.lit(False))
     changed = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymill.operators.dedup import last_per_id
 from tallymill.operators.transfers import pair_transfers
 from tallymill.schemas import REVIEW_FLOOR
 
@@ -42,14 +43,6 @@ def editor_options(spark) -> DataFrame:
     return spark.createDataFrame(rows, "type string, position int, category string, sub_categories array<string>")
 
 
-def last_per_id(changes: DataFrame, key: str = "id") -> DataFrame:
-    """One change for each row: the last by ``changed_at`` if there is such a column, ties and all others by content."""
-    order = [F.col("changed_at")] if "changed_at" in changes.columns else []
-    row = F.struct(*changes.columns)
-    last = changes.groupBy(key).agg(F.max_by(row, F.struct(*order, F.to_json(row))).alias("_last"))
-    return last.select("_last.*")
-
-
 def valid_edits(edits: DataFrame) -> DataFrame:
     """Edits with a positive magnitude, re-signed from type and sub-category."""
     kept = edits.filter(F.abs("amount") > 0)
@@ -107,12 +100,11 @@ def apply_splits(ledger: DataFrame, lines: DataFrame) -> DataFrame:
     return ledger.join(split_ids, "id", "left_anti").withColumn("is_child", F.lit(False)).unionByName(children)
 
 
-def apply_page(ledger: DataFrame, edits: DataFrame, splits: DataFrame, page_ids: DataFrame) -> DataFrame:
+def submitted_page(ledger: DataFrame, edits: DataFrame, splits: DataFrame, page_ids: DataFrame) -> DataFrame:
     """Submit a page: splits replace their originals, edits apply to the rest, page rows become reviewed.
 
-    Children of a split are new rows: they start without links, are checked against the review amount one by one, and
-    are paired like rows that arrive. They are told by ``is_child``; stored children of earlier splits keep their status
-    unless the page lists them.
+    Children of a split are new rows: they start without links and are checked against the review amount one by one. They
+    are told by ``is_child``; stored children of earlier splits keep their status unless the page lists them.
     """
     lines = valid_splits(splits, ledger)
     edited = apply_edits(ledger, valid_edits(edits).join(lines.select(F.col("original_id").alias("id")).distinct(), "id", "left_anti"))
@@ -129,5 +121,9 @@ def apply_page(ledger: DataFrame, edits: DataFrame, splits: DataFrame, page_ids:
         "possible_duplicate_of": F.lit(None).cast("string"),
         "duplicate_confidence": F.lit(None).cast("double"),
     }
-    started = split_rows.withColumns({c: F.when(F.col("is_child"), v).otherwise(F.col(c)) for c, v in fresh.items() if c in split_rows.columns})
-    return pair_transfers(started, F.col("is_child"), duplicates=False)
+    return split_rows.withColumns({c: F.when(F.col("is_child"), v).otherwise(F.col(c)) for c, v in fresh.items()})
+
+
+def apply_page(ledger: DataFrame, edits: DataFrame, splits: DataFrame, page_ids: DataFrame) -> DataFrame:
+    """The ledger after a page is submitted and its new children are paired like rows that arrive."""
+    return pair_transfers(submitted_page(ledger, edits, splits, page_ids), F.col("is_child"), duplicates=False)

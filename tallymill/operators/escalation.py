@@ -44,11 +44,18 @@ def parsed_answers(answers: DataFrame) -> DataFrame:
     return answers.withColumn("answer", parse_answer(F.col("text")))
 
 
-def merge_answers(queue: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(rows, discards)``: ledger-shaped rows of real answers, and the ids called promotional."""
-    joined = queue.join(parsed_answers(answers).select("id", "answer"), "id")
+def merge_answers(queue: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(rows, discards, failures)``: ledger-shaped rows of real answers, the ids called promotional, and the ids of the
+    queue whose answer is missing, is no object, or lacks amount or direction, with which of these it is."""
+    joined = queue.join(parsed_answers(answers).select("id", "answer", F.lit(True).alias("_answered")), "id", "left")
     promotional = F.coalesce(F.col("answer.is_promotional"), F.lit(False))
     discards = joined.filter(promotional).select("id", F.lit("promotional").alias("reason"))
+    failure = (
+        F.when(F.col("_answered").isNull(), "no_answer")
+        .when(F.col("answer").isNull(), "broken")
+        .when(~promotional & (F.col("answer.amount").isNull() | F.col("answer.direction").isNull()), "incomplete")
+    )
+    failures = joined.select("id", failure.alias("reason")).filter("reason IS NOT NULL")
     real = joined.filter(~promotional & F.col("answer.amount").isNotNull() & F.col("answer.direction").isNotNull())
     day = F.to_date(F.timestamp_millis("date"))
     fields = real.select("id", "user_id", "body", day.alias("_day"), "answer.*").withColumn(
@@ -80,4 +87,4 @@ def merge_answers(queue: DataFrame, answers: DataFrame) -> tuple[DataFrame, Data
         F.coalesce("possible_contra", F.lit(False)).alias("possible_contra"),
         F.col("body").alias("raw_text"),
     )
-    return rows, discards
+    return rows, discards, failures

@@ -294,7 +294,7 @@ def all_oracles() -> dict[str, str]:
     # documents and conversations
     o["body_filter_documents"] = f"WITH {DOCS} SELECT doc_id, {body_reason('lo')} AS drop_reason FROM t"
     o["body_filter_conversations"] = f"""WITH t AS (SELECT conv_id, turn, role, lower(translate(text, '{BLANKS}', '{' ' * len(BLANKS)}')) AS lo FROM conversations)
-      SELECT conv_id, turn, CASE WHEN role <> 'user' THEN 'sender' ELSE {body_reason('lo')} END AS drop_reason FROM t"""
+      SELECT conv_id, turn, {body_reason('lo')} AS drop_reason FROM t"""
     codes = "|".join(X.CURRENCY_CODES)
     figures = [
         num(x("b", r"INR\s+" + MONEY, "i")), num(x("b", r"Rs\.?\s*" + MONEY, "i")), num(x("b", r"₹\s*" + MONEY)),
@@ -347,14 +347,16 @@ def all_oracles() -> dict[str, str]:
     number = _per_template(lambda e: "a4" if e.get("account") else "'UNKNOWN'")
     channel = _per_template(lambda e: q(e.get("channel")))
     o["account_dim"] = f"""WITH {V}, {stored}, w AS (SELECT u, d, CAST(k AS VARCHAR) AS k, {number} AS num, {channel} AS channel FROM v WHERE stage <> 'dropped'),
-      first AS (SELECT u, num, arg_min(coalesce(channel, ''), (d, k)) AS channel FROM w GROUP BY 1, 2)
+      first AS (SELECT u, num, arg_min(coalesce(channel, ''), (-epoch(d), k)) AS channel FROM w GROUP BY 1, 2)
       SELECT CAST(u AS VARCHAR) AS user_id, num AS account_number_masked, 'bank' AS account_type, 'Demo Bank' AS institution_name, true AS aa_linked FROM s
       UNION ALL SELECT CAST(u AS VARCHAR), num, CASE WHEN channel = 'Credit Card' THEN 'credit_card' ELSE 'bank' END,
         CASE WHEN num = 'UNKNOWN' THEN 'Unknown' END, false FROM first f WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.u = f.u AND s.num = f.num)"""
     o["balance_latest"] = f"""WITH {M}, b AS (SELECT u, max(d) AS d, arg_max(amt, (d, CAST(k AS VARCHAR))) AS amt FROM m GROUP BY u)
       SELECT 'stored-' || c_custkey AS id, CASE WHEN b.d > DATE '2023-06-30' THEN b.amt ELSE c_acctbal END AS balance_latest,
       CASE WHEN b.d > DATE '2023-06-30' THEN b.d ELSE DATE '2023-06-30' END AS balance_updated_at
-      FROM customer LEFT JOIN b ON b.u = c_custkey WHERE c_acctbal > 0"""
+      FROM customer LEFT JOIN b ON b.u = c_custkey WHERE c_acctbal > 0
+      UNION ALL SELECT sha256(CAST(u AS VARCHAR) || '|' || lpad(CAST(u % 10000 AS VARCHAR), 4, '0')), amt, d FROM b
+      WHERE u NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)"""
     o["stream_balance"] = f"""WITH {M} SELECT CAST(u AS VARCHAR) AS user_id, a4 AS account_number_masked, arg_max(amt, (d, CAST(k AS VARCHAR))) AS balance,
       max(d) AS message_date FROM m WHERE n = 3 GROUP BY u, a4"""
     # review, edits
@@ -381,18 +383,22 @@ def all_oracles() -> dict[str, str]:
       SELECT id, CAST(amount AS DOUBLE) AS amount, type, category, merchant, CAST(NULL AS VARCHAR) AS split_from_id FROM s WHERE NOT cut
       UNION ALL SELECT 'split-' || id || '-0', -1.0, 'Expense', 'Food', 'one', id FROM s WHERE cut
       UNION ALL SELECT 'split-' || id || '-1', CAST(abs(amount) - 1 AS DOUBLE), 'Income', 'Salary', merchant, id FROM s WHERE cut"""
-    o["page_submit"] = f"""WITH {edit}, s AS (SELECT *, {split} AS cut, status <> 'user_reviewed' AND txn_date < DATE '2024-01-16' AS page FROM e),
-      z AS (SELECT CASE WHEN page THEN 'user_reviewed' ELSE status END AS status,
-        CASE WHEN is_edited THEN CASE WHEN event_id % 5 = 2 THEN 'Income' ELSE 'Investment' END ELSE type END AS type, is_edited,
-        CASE WHEN is_edited THEN CASE WHEN {incoming} THEN abs(amount) + 1 ELSE -(abs(amount) + 1) END ELSE amount END AS amount FROM s WHERE NOT cut
-      UNION ALL SELECT 'approved', 'Expense', false, -1 FROM s WHERE cut
-      UNION ALL SELECT CASE WHEN abs(amount) - 1 >= 5000 THEN 'pending_review' ELSE 'approved' END, 'Income', false, abs(amount) - 1 FROM s WHERE cut)
-      SELECT status, type, is_edited, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS amount FROM z GROUP BY 1, 2, 3"""
+    o["page_submit"] = f"""WITH {edit}, s AS (SELECT * REPLACE (is_edited AND NOT stored AS is_edited), {split} AND NOT stored AS cut,
+        CASE WHEN stored THEN 'split-' || id || '-0' ELSE id END AS own, status <> 'user_reviewed' AND txn_date < DATE '2024-01-16' AS page
+        FROM (SELECT *, event_id % 9 = 4 AS stored FROM e))
+      SELECT own AS id, CASE WHEN page THEN 'user_reviewed' ELSE status END AS status,
+        CASE WHEN is_edited THEN CASE WHEN event_id % 5 = 2 THEN 'Income' ELSE 'Investment' END ELSE type END AS type,
+        CAST(CASE WHEN is_edited THEN CASE WHEN {incoming} THEN abs(amount) + 1 ELSE -(abs(amount) + 1) END ELSE amount END AS DOUBLE) AS amount,
+        CASE WHEN stored THEN id END AS split_from_id, is_edited, false AS is_child FROM s WHERE NOT cut
+      UNION ALL SELECT 'split-' || id || '-0', 'approved', 'Expense', -1.0, id, false, true FROM s WHERE cut
+      UNION ALL SELECT 'split-' || id || '-1', CASE WHEN abs(amount) - 1 >= 5000 THEN 'pending_review' ELSE 'approved' END, 'Income',
+        CAST(abs(amount) - 1 AS DOUBLE), id, false, true FROM s WHERE cut"""
     o["editor_options"] = f"""WITH {LEDGER} SELECT type, upper(category[1]) || category[2:] AS category, count(*) AS n,
       count(*) FILTER (WHERE type = 'Expense' AND category = 'shopping') AS known FROM l GROUP BY 1, 2"""
     o["llm_answers"] = f"""SELECT CAST(o_orderkey AS VARCHAR) AS id, 'row' AS outcome, -round(o_totalprice, 2) AS amount, 'North "Mart"' AS merchant,
       CAST(o_orderdate AS DATE) AS txn_date, CASE WHEN o_custkey % 2 = 0 AND o_totalprice < 5000 THEN 'approved' ELSE 'pending_review' END AS status
-      FROM orders WHERE o_orderkey % 4 < 2 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'promotional', NULL, NULL, NULL, NULL FROM orders WHERE o_orderkey % 4 = 2"""
+      FROM orders WHERE o_orderkey % 4 < 2 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'promotional', NULL, NULL, NULL, NULL FROM orders WHERE o_orderkey % 4 = 2
+      UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'broken', NULL, NULL, NULL, NULL FROM orders WHERE o_orderkey % 4 = 3"""
     # streams give the batch results
     o["stream_parse"] = f"WITH {V} SELECT stage, count(*) AS n, CAST(sum(CAST(amount AS DECIMAL(38,2))) AS DOUBLE) AS amount FROM v GROUP BY 1"
     o["stream_dedup"] = f"""WITH {V}, r AS (SELECT DISTINCT u, rule, CASE WHEN n IN (4, 19, 25, 26) THEN rrn ELSE CAST(k AS VARCHAR) END AS key FROM v WHERE stage = 'matched')
@@ -408,5 +414,13 @@ def all_oracles() -> dict[str, str]:
         'CASH_DEPOSIT', 'WALLET_LOAD') AS definitional FROM v WHERE {row}),
       g AS (SELECT count(*) - 1 AS extra FROM r WHERE amount IS NOT NULL AND NOT coalesce(definitional, false) GROUP BY u, num, d, amount)
       SELECT (SELECT count(*) FROM r) AS transactions_inserted, (SELECT count(*) FROM v WHERE stage = 'balance_update') AS balances_updated,
-      CAST(0 AS BIGINT) AS duplicates_skipped, CAST((SELECT sum(extra) FROM g) AS BIGINT) AS duplicates_flagged"""
+      CAST(0 AS BIGINT) AS duplicates_skipped, CAST((SELECT sum(extra) FROM g) AS BIGINT) AS duplicates_flagged, CAST(0 AS BIGINT) AS errors"""
+    o["ingest_rows"] = f"""WITH {V}, r AS (SELECT *, {number} AS num, coalesce(rule IN ('GENERIC_CC_PAYMENT', 'PLUXEE_CREDIT', 'NCMC_LOAD', 'GENERIC_PPF_SSY',
+        'CASH_DEPOSIT', 'WALLET_LOAD'), false) AS definitional, sha256(CAST(u AS VARCHAR) || '|' || CAST(k AS VARCHAR)) AS id,
+        {_per_template(lambda e: "rrn" if e.get("ref") == "rrn" else q(e.get("ref")))} AS ref FROM v WHERE {row}),
+      g AS (SELECT *, CASE WHEN amount IS NOT NULL AND NOT definitional THEN first_value(struct_pack(id := id, ref := ref)) OVER
+        (PARTITION BY u, num, d, amount, definitional ORDER BY id) END AS head FROM r),
+      h AS (SELECT *, head IS NOT NULL AND head.id <> id AS hit FROM g)
+      SELECT id, d AS txn_date, CASE WHEN waits OR hit THEN 'pending_review' ELSE 'approved' END AS status,
+        CASE WHEN hit THEN head.id END AS possible_duplicate_of, CASE WHEN hit THEN CASE WHEN ref = head.ref THEN 0.95 ELSE 0.6 END END AS duplicate_confidence FROM h"""
     return o

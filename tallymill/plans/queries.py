@@ -92,7 +92,7 @@ def body_filter_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def body_filter_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = S.load(spark, sf_dir, "conversations").selectExpr(
-        "conv_id", "turn", "text AS body", "CASE role WHEN 'user' THEN 'VM-USER-S' WHEN 'system' THEN '42' END AS address"
+        "conv_id", "turn", "text AS body", "'VM-USER-S' AS address"
     )
     return filter_messages(turns).select("conv_id", "turn", "drop_reason")
 
@@ -223,8 +223,11 @@ def account_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def balance_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    updates = balance_updates_of(parse_stages(S.template_messages(spark, sf_dir, S.TEMPLATES[3])))
-    latest = accounts.latest_balances(updates, _stored_accounts(spark, sf_dir))
+    """Notices create the accounts that are missing, then set balances."""
+    staged = cut_lineage(parse_stages(S.template_messages(spark, sf_dir, S.TEMPLATES[3])))
+    updates = balance_updates_of(staged)
+    known, _ = accounts.resolve_accounts(transactions_of(staged), _stored_accounts(spark, sf_dir), updates)
+    latest = accounts.latest_balances(updates, known)
     return latest.select("id", F.col("balance_latest").cast("double").alias("balance_latest"), "balance_updated_at")
 
 
@@ -234,7 +237,16 @@ def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, summary = ledger.update_ledger(
         transactions_of(staged), balance_updates_of(staged), empty, spark.createDataFrame([], ACCOUNTS)
     )
-    return summary.select("transactions_inserted", "balances_updated", "duplicates_skipped", "duplicates_flagged")
+    return summary.select("transactions_inserted", "balances_updated", "duplicates_skipped", "duplicates_flagged", "errors")
+
+
+def ingest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of one ingest with their duplicate flags."""
+    staged = cut_lineage(parse_stages(S.messages_from_orders(spark, sf_dir)))
+    rows, _, _ = ledger.update_ledger(
+        transactions_of(staged), balance_updates_of(staged), spark.createDataFrame([], LEDGER), spark.createDataFrame([], ACCOUNTS)
+    )
+    return rows.select("id", "txn_date", "status", "possible_duplicate_of", "duplicate_confidence")
 
 
 def feed_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,13 +314,29 @@ def split_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return applied.select("id", F.col("amount").cast("double").alias("amount"), "type", "category", "merchant", "split_from_id")
 
 
-def page_submit(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _page(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A ledger in which every ninth row is a child of an earlier split, with edits and splits of the others and a page
+    that lists both."""
     rows = S.ledger_from_events(spark, sf_dir)
-    page = rows.filter("status <> 'user_reviewed' AND txn_date < DATE '2024-01-16'").select("id")
-    done = edits.apply_page(rows, _edits(rows), _splits(rows), page)
-    return done.groupBy("status", "type", "is_edited").agg(
-        F.count("*").alias("n"), F.sum("amount").cast("double").alias("amount")
-    )
+    earlier = rows.selectExpr(
+        "* EXCEPT (id, split_from_id)",
+        "CASE WHEN id % 9 = 4 THEN concat('split-', id, '-0') ELSE id END AS id",
+        "CASE WHEN id % 9 = 4 THEN id END AS split_from_id",
+    ).select(*rows.columns)
+    others = rows.filter("id % 9 <> 4")
+    page = earlier.filter("status <> 'user_reviewed' AND txn_date < DATE '2024-01-16'").select("id")
+    return earlier, _edits(others), _splits(others), page
+
+
+def page_submit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row by row, before the new children are paired."""
+    done = edits.submitted_page(*_page(spark, sf_dir))
+    return done.select("id", "status", "type", F.col("amount").cast("double").alias("amount"), "split_from_id", "is_edited", "is_child")
+
+
+def page_submit_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = edits.apply_page(*_page(spark, sf_dir))
+    return done.select("id", "status", "is_child", "is_contra", "possible_contra_of", "txn_group_id")
 
 
 def llm_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,11 +356,11 @@ def llm_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(o_orderkey AS string) AS id", "CAST(o_custkey AS string) AS user_id", "'x' AS body",
         "unix_millis(CAST(to_date(o_orderdate) AS timestamp)) AS date",
     )
-    rows, discards = escalation.merge_answers(queue, answers)
+    rows, discards, failures = escalation.merge_answers(queue, answers)
     return rows.select(
         F.col("raw_sms_id").alias("id"), F.lit("row").alias("outcome"), F.col("amount").cast("double").alias("amount"),
         "merchant", "txn_date", "status",
-    ).unionByName(discards.select("id", F.col("reason").alias("outcome")), allowMissingColumns=True)
+    ).unionByName(discards.unionByName(failures).select("id", F.col("reason").alias("outcome")), allowMissingColumns=True)
 
 
 def category_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -435,7 +463,7 @@ def all_queries() -> dict[str, Query]:
             extract_date_formats, vpa_class, review_routing, dedup_reference_or_body, dedup_priority, dedup_by_reason,
             duplicate_flags, duplicate_decisions, transfer_candidates, transfer_tiers, transfer_pairs_exact,
             infra_group_spread, transfer_decisions, transfer_notes, account_dim, balance_latest, ingest_summary,
-            feed_page, feed_history, needs_review, display_rows, ledger_violations, edit_overlay, split_apply,
+            ingest_rows, page_submit_paired, feed_page, feed_history, needs_review, display_rows, ledger_violations, edit_overlay, split_apply,
             page_submit, llm_answers, category_crosswalk, editor_options, window_labels, escalation_queue,
             stream_parse, stream_dedup, stream_balance, stream_funnel, stream_transfers, stream_ledger,
         )

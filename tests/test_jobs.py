@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tallymill.operators import dedup, escalation, review, skew
+from tallymill.operators import dedup, edits, escalation, ledger as ledger_ops, review, skew
 from tallymill.operators.accounts import latest_balances, resolve_accounts
 from tallymill.operators.edits import signed_amount, valid_splits
 from tallymill.operators.ledger import update_ledger
@@ -16,7 +16,7 @@ from tallymill.operators.parse import balance_updates_of, parse_stages, transact
 from tallymill.plans.oracles import all_oracles
 from tallymill.plans.queries import all_queries
 from tallymill.plans.samples import TEMPLATES, messages_from_orders, template_messages
-from tallymill.schemas import ACCOUNTS, LEDGER, SPLITS
+from tallymill.schemas import ACCOUNTS, LEDGER, SPLIT_LINE, SPLITS
 from tallymill.sources import messages as src
 from tallymill.streaming import streams
 
@@ -24,7 +24,7 @@ TABLES = "orders customer lineitem events documents conversations".split()
 CHECKED = [
     "monthly_debits", "filter_drop_reasons", "rule_hits", "parse_summary", "funnel", "fp_fn", "category_breakdown",
     "dedup_priority", "dedup_reference_or_body", "duplicate_flags", "transfer_candidates", "account_dim", "balance_latest",
-    "feed_page", "edit_overlay", "split_apply", "page_submit", "llm_answers", "window_labels", "body_filter_documents",
+    "feed_page", "edit_overlay", "split_apply", "page_submit", "ingest_rows", "llm_answers", "window_labels", "body_filter_documents",
     "bank_detect", "channel_detect", "taxonomy_best", "extract_amount", "parse_generic_cc_spend_txn", "stream_balance",
 ]
 
@@ -119,7 +119,7 @@ def test_accounts_merge_numbers_and_keep_stored_ids(spark):
     stored = spark.createDataFrame([("s1", "w", "bank", None, "9", None, None, False, True)], ACCOUNTS)
     dimension, rows = resolve_accounts(parsed, stored)
     found = {(r.user_id, r.account_number_masked): r for r in dimension.collect()}
-    assert found["u", "1234"].account_type == "credit_card" and found["u", "1234"].institution_name == "A"
+    assert found["u", "1234"].account_type == "bank" and found["u", "1234"].institution_name == "B"  # the newest message
     assert found["u", "UNKNOWN"].institution_name == "Unknown" and len(found) == 3
     ids = {r.raw_sms_id: r.account_id for r in rows.collect()}
     assert ids["4"] == "s1" and ids["1"] == ids["2"] == found["u", "1234"].id
@@ -186,3 +186,54 @@ def test_ledger_stream_equals_batch_and_is_idempotent(spark, sf_dir, tmp_path):
     query = streams.ledger_stream(streams.message_stream(spark, path), store, str(tmp_path / "c1"))
     query.awaitTermination()
     assert src.read_buckets(spark, f"{store}/ledger", LEDGER).count() == before
+
+
+def ledger_row(i, amount, **values):
+    base = {f.name: None for f in LEDGER.fields}
+    base |= dict(
+        id=i, user_id="u", account_id="A", txn_date=dt.date(2024, 5, 1), amount=decimal.Decimal(amount), status="approved", is_deleted=False,
+        is_infrastructure=False, is_contra=False, created_at=dt.datetime(2024, 5, 1), type="Expense", source="sms",
+    )
+    return tuple({**base, **values}[f.name] for f in LEDGER.fields)
+
+
+def test_page_submit_keeps_reviewed_children_of_earlier_splits(spark):
+    rows = [
+        ledger_row("split-9-0", "-5", status="user_reviewed", split_from_id="9"), ledger_row("split-9-1", "-7", split_from_id="9"),
+        ledger_row("a", "-10"), ledger_row("b", "10", account_id="B", type="Income"), ledger_row("c", "6", account_id="C", type="Income"),
+    ]
+    ledger = spark.createDataFrame(rows, LEDGER)
+    line = lambda amount, kind: (decimal.Decimal(amount), kind, "Food", None, None)
+    splits = spark.createDataFrame([("a", [line("4", "Expense"), line("6", "Expense")])] * 2, f"original_id string, lines array<{SPLIT_LINE}>")
+    edit = "id string, txn_date date, amount decimal(38,2), type string, category string, sub_category string, merchant string"
+    edits_ = spark.createDataFrame([("b", None, decimal.Decimal(n), "Income", "Salary", None, "m") for n in (11, 12)], edit)
+    page = spark.createDataFrame([("split-9-1",), ("a",), ("b",), ("b",)], "id string")
+    done = {r.id: r for r in edits.apply_page(ledger, edits_, splits, page).collect()}
+    assert set(done) == {"split-9-0", "split-9-1", "split-a-0", "split-a-1", "b", "c"}
+    assert [done[i].status for i in ("split-9-0", "split-9-1", "b")] == ["user_reviewed"] * 3 and done["b"].amount == 12
+    assert [i for i, r in done.items() if r.is_child] == [i for i in done if i.startswith("split-a")]
+    assert done["split-a-1"].possible_contra_of == "c" and done["c"].possible_contra_of == "split-a-1"
+
+
+def test_stored_infrastructure_rows_of_a_reference_are_affected(spark):
+    stored = [ledger_row(str(i), a, is_infrastructure=True, ref_number="r") for i, a in enumerate(("77", "1", "100"))]
+    new = [ledger_row("n", "100", ref_number="r")]
+    got = ledger_ops.affected_rows(spark.createDataFrame(stored, LEDGER), spark.createDataFrame(new, LEDGER))
+    assert sorted(r.id for r in got.collect()) == ["0", "1", "2"]
+
+
+def test_every_queued_message_has_one_outcome(spark):
+    texts = ['{"is_promotional": true}', '{"amount": 5.5, "direction": "debit"}', "sorry", '{"amount": 5}']
+    answers = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string")
+    queue = spark.createDataFrame([(str(i), "u", "x", 0) for i in range(5)], "id string, user_id string, body string, date long")
+    rows, discards, failures = escalation.merge_answers(queue, answers)
+    assert [r.raw_sms_id for r in rows.collect()] == ["1"] and [r.id for r in discards.collect()] == ["0"]
+    assert sorted((r.id, r.reason) for r in failures.collect()) == [("2", "broken"), ("3", "incomplete"), ("4", "no_answer")]
+
+
+def test_newest_message_is_inserted_first_and_after_what_is_stored(spark):
+    rows = spark.createDataFrame([("u", "1", dt.datetime(2024, 5, 1)), ("u", "2", dt.datetime(2024, 5, 3)), ("w", "3", dt.datetime(2024, 5, 2))],
+                                 "user_id string, raw_sms_id string, message_time timestamp")
+    stored = spark.createDataFrame([ledger_row("s", "1", created_at=dt.datetime(2024, 6, 1))], LEDGER)
+    at = {r.raw_sms_id: r.created_at for r in ledger_ops.insert_order(rows, stored).collect()}
+    assert dt.datetime(2024, 6, 1) < at["2"] < at["1"] and at["3"] == dt.datetime(2024, 5, 2)
