@@ -19,7 +19,7 @@ class Curriculum:
     slopes: tuple[float, ...] = (-0.6, 0.0, 0.6)
     total: float = 1.5
     most: float = 2.0
-    rows_per_bucket: int = 1_000
+    rows_per_bucket: int = 500
 
 
 def _cycle(values: tuple[float, ...], rank: Column) -> Column:

@@ -16,7 +16,7 @@ from tallymill.llm.common import components, mix64, stored
 
 BITS = 64
 #: Rows of a shard that one BK-tree holds; a larger shard is dealt in blocks, and every pair of blocks meets once.
-TREE_ROWS = 4096
+TREE_ROWS = 512
 SEED = 42
 
 
