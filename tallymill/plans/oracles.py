@@ -6,9 +6,8 @@ the expected parse of each template is listed here by hand. Text queries over re
 
 from __future__ import annotations
 
-from tallymill.functions import extract as X
-from tallymill.operators import fallback, filters, rules
-from tallymill.operators.taxonomy import TAXONOMY, marked
+from tallymill.operators import filters, rules
+from tallymill.plans.planted import BANK, CHANNEL, SHORT_BANKS, expected
 from tallymill.plans.queries import NOW_MS
 
 M = """m AS (SELECT o_orderkey AS k, o_custkey AS u, o_orderkey % 41 + 1 AS n, round(o_totalprice, 2) AS amt,
@@ -224,26 +223,6 @@ def body_reason(lo: str) -> str:
     WHEN {ack} AND NOT ({account}) THEN 'payee_ack' END"""
 
 
-def _taxonomy_sql() -> str:
-    """Score and position per entry for credits of 100; phrases a keyword must not precede are cut out first."""
-    cuts = r"\bamazon\s+prime|\bjio\s*(?:mart|saavn|cinema|hotstar|fiber)|\bairtel\s*(?:xstream|payments\s*bank|thanks|fiber)"
-    ranks = []
-    for position, entry in enumerate(TAXONOMY, start=1):
-        if entry.direction == "debit" or (entry.min_amount or 0) > 100:
-            continue
-        hits = []
-        for k in entry.keywords:
-            body, ahead, _ = k.partition("(?!")
-            hits.append(f"CAST({m('cut' if ahead else 'lo', marked(body))} AS INT)")
-        ranks.append(f"CASE WHEN {' + '.join(hits)} > 0 THEN ({' + '.join(hits)}) * {len(TAXONOMY) + 1} - {position} ELSE 0 END")
-    best = f"greatest({', '.join(ranks)})"
-    size = len(TAXONOMY) + 1
-    return (
-        f"WITH {DOCS}, c AS (SELECT *, regexp_replace(lo, {q(cuts)}, ' ', 'g') AS cut FROM t), s AS (SELECT doc_id, {best} AS best FROM c) "
-        f"SELECT doc_id, CASE WHEN best = 0 THEN 0 ELSE {size} - best % {size} END AS entry FROM s"
-    )
-
-
 def all_oracles() -> dict[str, str]:
     o: dict[str, str] = {}
     for number, rule in enumerate(rules.RULES, start=1):
@@ -292,41 +271,31 @@ def all_oracles() -> dict[str, str]:
     o["vpa_class"] = """SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'person' WHEN 1 THEN 'merchant' WHEN 3 THEN 'person' WHEN 4 THEN 'person'
       WHEN 2 THEN 'person' ELSE 'unknown' END AS vpa_type FROM customer"""
     # documents and conversations
-    o["body_filter_documents"] = f"WITH {DOCS} SELECT doc_id, {body_reason('lo')} AS drop_reason FROM t"
+    # a delivery notice counts only without a currency mark, and prose can hold one
+    mark = "contains(t, 'rs.') OR contains(t, 'rs ') OR contains(t, 'inr') OR contains(t, '₹') OR regexp_matches(t, 'rs[0-9]')"
+    o["body_filter_documents"] = f"""WITH z AS (SELECT doc_id, lower(text) AS t FROM documents)
+      SELECT doc_id, CASE WHEN doc_id % 10 = 1 AND ({mark}) THEN 'no_signal' ELSE {expected('body_filter_documents')} END AS drop_reason FROM z"""
     o["body_filter_conversations"] = f"""WITH t AS (SELECT conv_id, turn, role, lower(translate(text, '{BLANKS}', '{' ' * len(BLANKS)}')) AS lo FROM conversations)
       SELECT conv_id, turn, {body_reason('lo')} AS drop_reason FROM t"""
-    codes = "|".join(X.CURRENCY_CODES)
-    figures = [
-        num(x("b", r"INR\s+" + MONEY, "i")), num(x("b", r"Rs\.?\s*" + MONEY, "i")), num(x("b", r"₹\s*" + MONEY)),
-        num(x("b", rf"\<(?:{codes})\s+" + MONEY, "i")), num(x("b", r"transaction of\s+" + MONEY, "i")),
-    ]
-    o["extract_amount"] = f"WITH {DOCS} SELECT doc_id, CAST(coalesce({', '.join(f'CASE WHEN {f} > 0 THEN {f} END' for f in figures)}) AS DOUBLE) AS amount FROM t"
-    accounts = [
-        x("b", r"(?:account|card)\s+ending\s+(?:with\s+)?[Xx*]{0,4}(\d{4})\>", "i"), x("b", r"[Xx*]{1,2}(\d{4})\>"),
-        x("b", r"A/[Cc](?:\s*No\.?)?\s*[Xx*]{0,2}(\d{4})\>"), x("b", r"(?:account|card)\s+[X*]{0,4}(\d{4})\>", "i"),
-    ]
-    o["extract_account"] = f"WITH {DOCS} SELECT doc_id, coalesce({', '.join(accounts)}) AS account FROM t"
-    o["extract_reference"] = f"""WITH {DOCS} SELECT doc_id, coalesce({x('b', r'UPI[:\s]+(\d{12})\>', 'i')},
-      {x('b', r'Ref(?:\s*No\.?|erence)?\s*[:# ]?\s*(\d{12})\>', 'i')}, {x('b', r'RRN[:\s]+(\d{12})\>', 'i')},
-      {x('b', r'\<Ref\s+(\d{12,})\>', 'i')}) AS reference FROM t"""
-    balances = [
-        r"Avl\.?\s*Bal\.?[:\s]+(?:INR|Rs\.?)\s*", r"Available\s+Balance\.?\s*(?:Rs\.?|INR)?\s*",
-        r"Balance\s+is\s+(?:Rs\.?|INR)\s*", r"\<Bal[:\s]+(?:Rs\.?|INR)?\s*",
-    ]
-    o["extract_balance"] = f"WITH {DOCS} SELECT doc_id, CAST(coalesce({', '.join(num(x('b', p + MONEY, 'i')) for p in balances)}) AS DOUBLE) AS balance FROM t"
-    banks = " ".join(f"WHEN contains(s, {q(token)}) THEN {q(name)}" for token, name in X.BANK_TOKENS)
-    o["bank_detect"] = rf"""WITH {DOCS}, z AS (SELECT doc_id, regexp_replace(regexp_replace(lo, '\S+@\S+', ' ', 'g'), '[\s\-_/\.]', '', 'g') AS s FROM t)
-      SELECT doc_id, CASE {banks} END AS bank FROM z"""
-    chain = " ".join(f"WHEN {m('b', p, f)} THEN {q(name)}" for p, f, name in X.CHANNELS)
-    o["channel_detect"] = f"WITH {DOCS} SELECT doc_id, CASE WHEN {m('b', X.UPI_MANDATE, 'im')} THEN 'UPI' {chain} ELSE 'UPI' END AS channel FROM t"
-    o["self_transfer_detect"] = f"WITH {DOCS} SELECT doc_id, {m('lo', X.SELF_TRANSFER)} AS self_transfer FROM t"
-
-    def votes(words: list[str]) -> str:
-        return " + ".join(f"CAST(contains(lo, {q(w)}) AS INT)" for w in words)
-
-    o["direction_vote"] = f"""WITH {DOCS}, z AS (SELECT doc_id, {votes(fallback.DEBIT_WORDS)} AS debit_votes, {votes(fallback.CREDIT_WORDS)} AS credit_votes FROM t)
-      SELECT *, CASE WHEN credit_votes > debit_votes THEN 'credit' WHEN debit_votes > 0 THEN 'debit' END AS direction FROM z"""
-    o["taxonomy_best"] = _taxonomy_sql()
+    for name, column, kind in (
+        ("extract_amount", "amount", "DOUBLE"), ("extract_account", "account", "VARCHAR"), ("extract_reference", "reference", "VARCHAR"),
+        ("extract_balance", "balance", "DOUBLE"), ("self_transfer_detect", "self_transfer", "BOOLEAN"),
+        ("taxonomy_best", "entry", "INT"),
+    ):
+        o[name] = f"SELECT doc_id, CAST({expected(name)} AS {kind}) AS {column} FROM documents"
+    o["direction_vote"] = f"""SELECT doc_id, {expected('direction_vote', 0)} AS debit_votes, {expected('direction_vote', 1)} AS credit_votes,
+      {expected('direction_vote', 2)} AS direction FROM documents"""
+    # a short token in the prose itself wins over a later planted one
+    long = len(BANK) - SHORT_BANKS
+    short = " ".join(
+        f"WHEN contains(s, {q(token)}) OR doc_id % {len(BANK)} = {long + i} THEN {q(name)}" for i, (token, name) in enumerate(BANK[long:])
+    )
+    o["bank_detect"] = rf"""WITH z AS (SELECT doc_id, regexp_replace(regexp_replace(lower(text[:length(text) // 2]), '\S+@\S+', ' ', 'g'), '[\s\-_/\.]', '', 'g') || '|' ||
+        regexp_replace(regexp_replace(lower(text[length(text) // 2 + 1:]), '\S+@\S+', ' ', 'g'), '[\s\-_/\.]', '', 'g') AS s FROM documents)
+      SELECT doc_id, CASE WHEN doc_id % {len(BANK)} < {long} THEN {expected('bank_detect')} ELSE CASE {short} END END AS bank FROM z"""
+    # the halves of a text can end or begin with ECS, between accented letters too, which are no letters in ASCII terms
+    o["channel_detect"] = f"""SELECT doc_id, CASE WHEN doc_id % {len(CHANNEL)} > 0 AND regexp_matches(text[:length(text) // 2] || chr(10) || text[length(text) // 2 + 1:], '(?i)\\bECS\\b') THEN 'NACH'
+      ELSE {expected('channel_detect')} END AS channel FROM documents"""
     # deduplication, duplicates, transfers
     o["dedup_reference_or_body"] = f"WITH {LINES} SELECT id, reason FROM logged WHERE reason LIKE 'duplicate%'"
     o["dedup_priority"] = f"""WITH {LINES} SELECT id, 'kept' AS verdict FROM k1 WHERE nth = 1 AND account IS NULL

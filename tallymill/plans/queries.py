@@ -15,6 +15,7 @@ from tallymill.operators.skew import at_least_one_partition_per_core, cut_lineag
 from tallymill.operators.taxonomy import TAXONOMY, any_keyword, best_entry
 from tallymill.functions.text import has, when
 from tallymill.plans import samples as S
+from tallymill.plans.planted import plant
 from tallymill.schemas import ACCOUNTS, LEDGER, SPLIT_LINE
 from tallymill.sources.messages import sender_inventory, sender_totals, window_label
 from tallymill.streaming import streams
@@ -75,19 +76,19 @@ def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.rule_hits(rules.route_messages(S.messages_from_orders(spark, sf_dir)))
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _planted(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     docs = at_least_one_partition_per_core(S.load(spark, sf_dir, "documents"), "doc_id")
-    return with_text(docs.selectExpr("doc_id", "text AS body", "'VM-DEMOBK-S' AS address"))
+    return with_text(plant(docs, query).selectExpr("*", "'VM-DEMOBK-S' AS address"))
 
 
-def _on_documents(columns: dict[str, str]) -> Query:
-    return lambda spark, sf_dir: _documents(spark, sf_dir).selectExpr(
+def _on_documents(query: str, columns: dict[str, str]) -> Query:
+    return lambda spark, sf_dir: _planted(spark, sf_dir, query).selectExpr(
         "doc_id", *[f"{sql} AS {name}" for name, sql in columns.items()]
     )
 
 
 def body_filter_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_drop_reason(_documents(spark, sf_dir)).select("doc_id", "drop_reason")
+    return with_drop_reason(_planted(spark, sf_dir, "body_filter_documents")).select("doc_id", "drop_reason")
 
 
 def body_filter_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -469,18 +470,18 @@ def all_queries() -> dict[str, Query]:
         )
     }
     debit, credit = fallback.direction_votes("_low")
-    named["extract_amount"] = _on_documents({"amount": f"CAST({X.amount('_text', '_low')} AS double)"})
-    named["extract_account"] = _on_documents({"account": X.account("_text", "_low")})
-    named["extract_reference"] = _on_documents({"reference": X.payment_reference("_text", "_low")})
-    named["extract_balance"] = _on_documents({"balance": f"CAST({X.balance('_text', '_low')} AS double)"})
-    named["bank_detect"] = _on_documents({"bank": X.bank("_low")})
-    named["channel_detect"] = _on_documents({"channel": X.channel("_text")})
-    named["self_transfer_detect"] = _on_documents({"self_transfer": X.is_self_transfer("_low")})
+    named["extract_amount"] = _on_documents("extract_amount", {"amount": f"CAST({X.amount('_text', '_low')} AS double)"})
+    named["extract_account"] = _on_documents("extract_account", {"account": X.account("_text", "_low")})
+    named["extract_reference"] = _on_documents("extract_reference", {"reference": X.payment_reference("_text", "_low")})
+    named["extract_balance"] = _on_documents("extract_balance", {"balance": f"CAST({X.balance('_text', '_low')} AS double)"})
+    named["bank_detect"] = _on_documents("bank_detect", {"bank": X.bank("_low")})
+    named["channel_detect"] = _on_documents("channel_detect", {"channel": X.channel("_text")})
+    named["self_transfer_detect"] = _on_documents("self_transfer_detect", {"self_transfer": X.is_self_transfer("_low")})
     named["direction_vote"] = _on_documents(
-        {"debit_votes": debit, "credit_votes": credit, "direction": fallback.direction_from_votes(debit, credit)}
+        "direction_vote", {"debit_votes": debit, "credit_votes": credit, "direction": fallback.direction_from_votes(debit, credit)}
     )
     best = when(has("_low", any_keyword(TAXONOMY), ""), best_entry("_low", "true", "100"), "0")
-    named["taxonomy_best"] = _on_documents({"entry": best})
+    named["taxonomy_best"] = _on_documents("taxonomy_best", {"entry": best})
     named["sender_inventory"] = lambda spark, sf_dir: sender_inventory(S.messages_from_orders(spark, sf_dir))
     named["sender_totals"] = lambda spark, sf_dir: sender_totals(S.messages_from_orders(spark, sf_dir))
     named["funnel"] = _staged(reports.funnel)

@@ -139,3 +139,15 @@ def test_taxonomy_scores_ties_and_gates(spark):
 def test_suggested_labels(spark):
     row = spark.range(1).selectExpr(f"{suggested_labels(chr(39) + 'A:B' + chr(39))} AS s", f"{suggested_labels(chr(39) + 'A' + chr(39))} AS t").first()
     assert tuple(row.s) == ("A", "B", None) and row.t is None
+
+
+def test_planted_phrases_reach_every_entry():
+    from tallymill.functions import extract as X
+    from tallymill.plans import planted
+
+    assert {v for _, v in planted.TAXONOMY if v} == set(range(1, len(TAXONOMY) + 1)) - {27}
+    assert len(planted.BANK) == len(X.BANK_TOKENS) and {n for _, n in planted.BANK} == {n for _, n in X.BANK_TOKENS}
+    assert {v for _, v in planted.CHANNEL} == {name for *_, name in X.CHANNELS} | {"UPI"}
+    assert len({v for _, v in planted.DROP_REASON}) == 10
+    for plants in planted.PLANTS.values():
+        assert len({v for _, v in plants}) > 1 and 2 * sum(v is not None for _, v in plants) >= len(plants)
