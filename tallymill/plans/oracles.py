@@ -293,8 +293,8 @@ def all_oracles() -> dict[str, str]:
     o["bank_detect"] = rf"""WITH z AS (SELECT doc_id, regexp_replace(regexp_replace(lower(text[:length(text) // 2]), '\S+@\S+', ' ', 'g'), '[\s\-_/\.]', '', 'g') || '|' ||
         regexp_replace(regexp_replace(lower(text[length(text) // 2 + 1:]), '\S+@\S+', ' ', 'g'), '[\s\-_/\.]', '', 'g') AS s FROM documents)
       SELECT doc_id, CASE WHEN doc_id % {len(BANK)} < {long} THEN {expected('bank_detect')} ELSE CASE {short} END END AS bank FROM z"""
-    # the halves of a text can end or begin with ECS, between accented letters too, which are no letters in ASCII terms
-    o["channel_detect"] = f"""SELECT doc_id, CASE WHEN doc_id % {len(CHANNEL)} > 0 AND regexp_matches(text[:length(text) // 2] || chr(10) || text[length(text) // 2 + 1:], '(?i)\\bECS\\b') THEN 'NACH'
+    # the halves of a text can end or begin with NACH or ECS, between accented letters too, which are no letters in ASCII terms
+    o["channel_detect"] = f"""SELECT doc_id, CASE WHEN doc_id % {len(CHANNEL)} > 0 AND regexp_matches(text[:length(text) // 2] || chr(10) || text[length(text) // 2 + 1:], '(?i)\\b(?:NACH|ECS)\\b') THEN 'NACH'
       ELSE {expected('channel_detect')} END AS channel FROM documents"""
     # deduplication, duplicates, transfers
     o["dedup_reference_or_body"] = f"WITH {LINES} SELECT id, reason FROM logged WHERE reason LIKE 'duplicate%'"
