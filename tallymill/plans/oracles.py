@@ -126,14 +126,14 @@ V = f"""{M}, v AS (SELECT *, {STAGE} AS stage, {DROP} AS drop_reason, {RULE} AS
 
 LEDGER = """l AS (SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS user_id,
   'A' || CAST(event_id % 3 AS VARCHAR) AS account_id, CAST(ts AS DATE) AS txn_date,
-  CASE WHEN event_type IN ('purchase', 'error') THEN -floor(value) ELSE floor(value) END AS amount,
+  CASE WHEN event_type IN ('purchase', 'error') THEN 0 - floor(value) ELSE floor(value) END AS amount,
   CASE WHEN event_id % 4 < 2 THEN CAST(user_id AS VARCHAR) || '-' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) END AS ref_number,
   CASE WHEN event_id % 5 = 0 THEN 'user_reviewed' WHEN event_id % 5 < 3 THEN 'pending_review' ELSE 'approved' END AS status,
   event_id % 50 = 7 AS is_infrastructure, event_id % 40 = 11 AS is_contra,
   CASE event_type WHEN 'signup' THEN 'income' WHEN 'purchase' THEN 'shopping' ELSE event_type END AS category,
   CASE WHEN event_type = 'purchase' THEN 'Expense' ELSE 'Income' END AS type,
   CASE WHEN event_id % 3 = 0 THEN 'Shop ' || CAST(event_id % 7 AS VARCHAR) END AS merchant,
-  event_id, ts AS created_at FROM events WHERE floor(value) <> 0)"""
+  event_id, ts AS created_at FROM events)"""
 
 FLAGS = f"""{LEDGER}, f AS (SELECT l.*, (SELECT struct_pack(id := c.id, ref := c.ref_number) FROM l c
     WHERE c.user_id = l.user_id AND c.account_id = l.account_id AND c.txn_date = l.txn_date AND c.amount = l.amount
@@ -144,7 +144,7 @@ FLAGS = f"""{LEDGER}, f AS (SELECT l.*, (SELECT struct_pack(id := c.id, ref := c
     CASE WHEN hit THEN CASE WHEN ref_number = cand.ref THEN 0.95 ELSE 0.6 END END AS duplicate_confidence,
     CASE WHEN hit AND status <> 'user_reviewed' THEN 'pending_review' ELSE status END AS status FROM g)"""
 
-PAIRS = f"""{LEDGER}, legs AS (SELECT * FROM l WHERE NOT is_infrastructure AND NOT is_contra),
+PAIRS = f"""{LEDGER}, legs AS (SELECT * FROM l WHERE NOT is_infrastructure AND NOT is_contra AND amount <> 0),
   p AS (SELECT a.id, a.user_id, b.id AS partner_id,
     CASE WHEN b.status = 'user_reviewed' THEN 3 WHEN a.ref_number = b.ref_number THEN 1 ELSE 2 END AS tier,
     b.status <> 'user_reviewed' AS open, b.created_at AS seen_at

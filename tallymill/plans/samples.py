@@ -125,8 +125,8 @@ def template_messages(spark: SparkSession, sf_dir: str, template: str) -> DataFr
 
 
 def ledger_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ledger with transfers, repeats, reviewed rows and infrastructure rows: one row per event of value."""
-    return load(spark, sf_dir, "events").filter("floor(value) <> 0").selectExpr(
+    """A ledger with transfers, repeats, reviewed rows, infrastructure rows and rows of no value: one row per event."""
+    return load(spark, sf_dir, "events").selectExpr(
         "CAST(event_id AS string) AS id",
         "CAST(user_id AS string) AS user_id",
         "concat('A', event_id % 3) AS account_id",
