@@ -378,7 +378,7 @@ def all_oracles() -> dict[str, str]:
       count(*) FILTER (WHERE drop_reason <> 'sender') AS body_dropped, count(*) FILTER (WHERE drop_reason IS NULL) AS passed,
       count(*) FILTER (WHERE stage = 'matched') AS matched, count(*) FILTER (WHERE stage IN ('discard', 'balance_update')) AS discarded,
       count(*) FILTER (WHERE stage IN ('fallback', 'escalated')) AS escalated FROM w GROUP BY 1, 2)
-      SELECT * FROM c WHERE window_end <= (SELECT max(d) - 2 FROM v)"""
+      SELECT * FROM c"""
     o["ingest_summary"] = f"""WITH {V}, r AS (SELECT *, {number} AS num, rule IN ('GENERIC_CC_PAYMENT', 'PLUXEE_CREDIT', 'NCMC_LOAD', 'GENERIC_PPF_SSY',
         'CASH_DEPOSIT', 'WALLET_LOAD') AS definitional FROM v WHERE {row}),
       g AS (SELECT count(*) - 1 AS extra FROM r WHERE amount IS NOT NULL AND NOT coalesce(definitional, false) GROUP BY u, num, d, amount)

@@ -432,8 +432,9 @@ def stream_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = streams.parse_stream(_stream_inbox(spark, sf_dir))
-    return _finish(streams.funnel_stream(parsed), spark)
+    base = scratch_dir(spark)
+    streams.funnel_table(streams.parse_stream(_stream_inbox(spark, sf_dir)), f"{base}/funnel", f"{base}/ckpt").awaitTermination()
+    return streams.funnel_windows(spark, f"{base}/funnel")
 
 
 def stream_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:

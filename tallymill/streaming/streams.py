@@ -87,6 +87,24 @@ def funnel_stream(parsed: DataFrame, length: str = "90 days", lateness: str = "2
     )
 
 
+def funnel_table(parsed: DataFrame, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """The funnel as a table that is right after every micro-batch, open windows included: each batch writes the windows it
+    changed, and a batch that runs again replaces its own."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    return _start(funnel_stream(parsed).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint), once)
+
+
+def funnel_windows(spark: SparkSession, table: str) -> DataFrame:
+    """The latest counts of each window."""
+    rows = spark.read.parquet(table)
+    window = ["window_start", "window_end"]
+    counts = [c for c in rows.columns if c not in (*window, "batch")]
+    return rows.groupBy(*window).agg(F.max_by(F.struct(*counts), "batch").alias("_last")).select(*window, "_last.*")
+
+
 def _buckets_of(rows: DataFrame) -> list[int]:
     """Buckets of the users in a micro-batch; at most ``BUCKETS`` numbers."""
     return [r[0] for r in rows.select(user_bucket(F.col("user_id"))).distinct().collect()]
