@@ -18,7 +18,7 @@ LONGEST = 4096
 #: Words, and as many parts of words, whose ids a Python worker keeps; beyond it, it starts over.
 KEPT_WORDS = 300_000
 #: Characters that are encoded at a time.
-CHARS = 2_000_000
+CHARS = 1_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 
@@ -118,9 +118,9 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]
     """Ids and texts, some millions of characters at a time."""
     ids, texts, held = [], [], 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids.append(i)
-            texts.append(t or "")
+        for i, t in zip(batch.column(0), batch.column(1)):  # one value at a time: a batch can be large
+            ids.append(i.as_py())
+            texts.append(t.as_py() or "")
             held += len(texts[-1])
             if held >= CHARS:
                 yield ids, texts

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tallymill.llm.common import stored
 
 CHUNK_BYTES = 8 << 20
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 #: Texts are hashed as one array of about so many bytes.
 SLAB_BYTES = 1 << 18
 

@@ -19,7 +19,7 @@ GRAM_BITS = 16
 SCORED = 2_000_000
 PIECE = 1 << 20
 #: Texts that are labelled together hold about so many characters.
-GROUP = 4_000_000
+GROUP = 2_000_000
 UNKNOWN = "und"
 
 #: First code point of ranges, in order, and the script of each. Latin with marks is apart from plain Latin.
@@ -114,8 +114,8 @@ def train(docs: DataFrame, rule: Rule = Rule()) -> Model:
                 grams[lang][1 << GRAM_BITS :] += np.bincount(_scripts()[points[inside]], minlength=len(NAMES))
                 size[lang] = 0
 
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for part in _pieces(text):
+            for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
+                for part in _pieces(text.as_py()):
                     held[lang].append(part.lower())
                     size[lang] += len(part)
                     if size[lang] > PIECE:
@@ -258,9 +258,9 @@ def identify(docs: DataFrame, model: Model, rule: Rule = Rule()) -> DataFrame:
 
         ids, texts, size = [], [], 0
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids.append(i)
-                texts.append(t or "")
+            for i, t in zip(batch.column(0), batch.column(1)):  # one value at a time: a batch can be large
+                ids.append(i.as_py())
+                texts.append(t.as_py() or "")
                 size += len(texts[-1])
                 if size >= GROUP:
                     yield out(ids, texts)

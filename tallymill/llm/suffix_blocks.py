@@ -18,7 +18,7 @@ PERIOD = 13
 COVER = (0, 1, 3, 9)
 #: Bytes hashed at a time, and segment bytes whose suffixes are sorted at a time.
 SLAB_BYTES = 1 << 18
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: Chunks that one sorting group takes segments of one key from; a key of more is salted and sorted in two levels.
 SALT_CHUNKS = 64
 #: Bytes of the strings whose smallest hash in a window names the window's bucket.
