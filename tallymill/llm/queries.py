@@ -89,4 +89,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_binary_packing": op9_binary_packing,
     "op10_cover_tree": op10_cover_tree,
 }
-ORACLES: dict[str, str] = {}
+#: Answers in DuckDB, where SQL can tell the result and is fast enough for whole tables.
+ORACLES: dict[str, str] = {
+    "op7_suffix_blocks": """
+      WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS t FROM documents),
+      h AS (SELECT r, doc_id, unnest(range(0, len(t) // 2 - 49)) AS i,
+        unnest(list_transform(range(0, len(t) // 2 - 49), lambda i: md5(substr(t, 2 * i + 1, 100)))) AS k FROM d WHERE len(t) >= 100),
+      m AS (SELECT k, min(doc_id) AS least FROM h GROUP BY k),
+      s AS (SELECT r, i FROM h JOIN m USING (k) WHERE doc_id > least),
+      b AS (SELECT r, unnest(range(0, len(t) // 2)) AS j, unnest(list_transform(range(0, len(t) // 2), lambda j: substr(t, 2 * j + 1, 2))) AS x FROM d),
+      c AS (SELECT b.r, b.j, b.x, coalesce(b.j - s.i < 50, false) AS gone FROM b ASOF LEFT JOIN s ON b.r = s.r AND b.j >= s.i),
+      g AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY j), false) AS starts FROM c),
+      z AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE gone) AS removed, count(*) FILTER (WHERE starts) AS spans,
+        coalesce(string_agg(x, '' ORDER BY j) FILTER (WHERE NOT gone), '') AS kept FROM g GROUP BY r)
+      SELECT doc_id, coalesce(n, 0) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+        sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN z USING (r)""",
+    "op8_block_anchors": r"""
+      WITH d AS (SELECT doc_id, row_number() OVER () AS r,
+        list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+      h AS (SELECT r, unnest(range(1, len(w) - 33)) AS i,
+        unnest(list_transform(range(1, len(w) - 33), lambda i: md5(array_to_string(list_slice(w, i, i + 34), ' ')))) AS k FROM d WHERE len(w) >= 35),
+      m AS (SELECT k FROM h GROUP BY k HAVING count(*) > 1),
+      s AS (SELECT r, i FROM h SEMI JOIN m USING (k)),
+      b AS (SELECT r, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS x FROM d),
+      c AS (SELECT b.r, b.j, b.x, coalesce(b.j - s.i < 35, false) AS gone FROM b ASOF LEFT JOIN s ON b.r = s.r AND b.j >= s.i),
+      z AS (SELECT r, count(*) FILTER (WHERE gone) AS removed, string_agg(x, ' ' ORDER BY j) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY r)
+      SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+      FROM d LEFT JOIN z USING (r)""",
+    "op10_cover_tree": """
+      WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+      l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+        AND list_cosine_similarity(a.e, b.e) >= 0.98),
+      r AS (SELECT vec_id AS n, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON r.n = l.a)
+      SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, (SELECT min(c) FROM r WHERE r.n = e.vec_id) AS component_id,
+        vec_id = (SELECT min(c) FROM r WHERE r.n = e.vec_id) AS kept FROM embeddings e""",
+}
