@@ -63,16 +63,15 @@ def apply_edits(ledger: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def valid_splits(splits: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Split lines, one row each and re-signed, of splits with two or more lines that add up."""
+    """Split lines, one row each and re-signed, of splits with two or more lines that add up; of several
+    such splits of a row the last counts."""
     size = F.size("lines")
     total = F.aggregate(
         "lines", F.lit(0).cast("decimal(38,2)"), lambda acc, line: (acc + F.abs(line["amount"])).cast("decimal(38,2)")
     )
     target = ledger.select(F.col("id").alias("original_id"), F.abs("amount").alias("_target"))
-    sound = last_per_id(splits, "original_id").join(target, "original_id").filter(
-        (size >= 2) & (F.abs(total - F.col("_target")) < SPLIT_TOLERANCE)
-    )
-    lines = sound.select("original_id", F.posexplode("lines").alias("line_no", "line"))
+    sound = splits.join(target, "original_id").filter((size >= 2) & (F.abs(total - F.col("_target")) < SPLIT_TOLERANCE))
+    lines = last_per_id(sound.select(splits.columns), "original_id").select("original_id", F.posexplode("lines").alias("line_no", "line"))
     return lines.select(
         "original_id",
         "line_no",
