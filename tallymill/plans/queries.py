@@ -284,9 +284,9 @@ def _edits(rows: DataFrame) -> DataFrame:
     """Edits of every purchase: refunds become income, one in five has no valid amount."""
     return rows.filter("category = 'shopping'").selectExpr(
         "id", "CAST(NULL AS date) AS txn_date",
-        "CAST(CASE WHEN id % 5 = 1 THEN 0 ELSE abs(amount) + 1 END AS decimal(38,2)) AS amount",
-        "CASE WHEN id % 5 = 2 THEN 'Income' ELSE 'Investment' END AS type", "'Equity' AS category",
-        "CASE WHEN id % 5 = 3 THEN 'Sell' END AS sub_category", "'edited' AS merchant",
+        "CAST(CASE WHEN try_cast(id AS bigint) % 5 = 1 THEN 0 ELSE abs(amount) + 1 END AS decimal(38,2)) AS amount",
+        "CASE WHEN try_cast(id AS bigint) % 5 = 2 THEN 'Income' ELSE 'Investment' END AS type", "'Equity' AS category",
+        "CASE WHEN try_cast(id AS bigint) % 5 = 3 THEN 'Sell' END AS sub_category", "'edited' AS merchant",
     )
 
 
@@ -295,11 +295,11 @@ def _splits(rows: DataFrame) -> DataFrame:
     line = SPLIT_LINE
     first = "CAST(named_struct('amount', 1.00, 'type', 'Expense', 'category', 'Food', 'sub_category', NULL, 'merchant', 'one') AS " + line.replace(": ", ":") + ")"
     rest = (
-        "CAST(named_struct('amount', CASE WHEN id % 4 = 0 THEN abs(amount) ELSE abs(amount) - 1 END, 'type', 'Income', "
+        "CAST(named_struct('amount', CASE WHEN try_cast(id AS bigint) % 4 = 0 THEN abs(amount) ELSE abs(amount) - 1 END, 'type', 'Income', "
         "'category', 'Salary', 'sub_category', NULL, 'merchant', NULL) AS " + line.replace(": ", ":") + ")"
     )
     return rows.filter("category = 'income' AND abs(amount) > 1").selectExpr(
-        "id AS original_id", f"CASE WHEN id % 7 = 0 THEN array({rest}) ELSE array({first}, {rest}) END AS lines"
+        "id AS original_id", f"CASE WHEN try_cast(id AS bigint) % 7 = 0 THEN array({rest}) ELSE array({first}, {rest}) END AS lines"
     )
 
 
@@ -321,10 +321,10 @@ def _page(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     rows = S.ledger_from_events(spark, sf_dir)
     earlier = rows.selectExpr(
         "* EXCEPT (id, split_from_id)",
-        "CASE WHEN id % 9 = 4 THEN concat('split-', id, '-0') ELSE id END AS id",
-        "CASE WHEN id % 9 = 4 THEN id END AS split_from_id",
+        "CASE WHEN try_cast(id AS bigint) % 9 = 4 THEN concat('split-', id, '-0') ELSE id END AS id",
+        "CASE WHEN try_cast(id AS bigint) % 9 = 4 THEN id END AS split_from_id",
     ).select(*rows.columns)
-    others = rows.filter("id % 9 <> 4")
+    others = rows.filter("try_cast(id AS bigint) % 9 <> 4")
     page = earlier.filter("status <> 'user_reviewed' AND txn_date < DATE '2024-01-16'").select("id")
     return earlier, _edits(others), _splits(others), page
 
