@@ -24,9 +24,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest doc_id. Fingerprints of five-word
-    shingles that differ in 13 of 64 bits stand for a similarity (cosine of the shingle counts) of 0.8."""
-    return simhash_bk.keep_one(docs.select(COLUMNS), width=5, radius=13, anchors=8)
+    """One document of each group of near duplicates stays, the one with the smallest doc_id. Near are texts
+    whose counts of five-word shingles have a cosine of 0.8; fingerprints within 24 of 64 bits are candidates."""
+    return simhash_bk.keep_one(docs.select(COLUMNS), width=5, radius=24, anchors=8, cosine=0.8)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,25 +24,32 @@ SEED = 42
 SHINGLES = 65_536
 
 
-def fingerprint(text: bytes, width: int, anchors: int = 0) -> tuple[int, list[int]]:
-    """SimHash of a text's word shingles: a bit is set that is set in over half of their XXH64 values. A text of fewer
-    words has one shingle, its whole word sequence; a text without words has fingerprint zero. Also the smallest
-    shingle in each of ``anchors`` orders."""
-    tokens = text.lower().split()
+def _shingles(tokens: list[bytes], width: int) -> Iterator[np.ndarray]:
+    """XXH64 values of all word shingles, so many at a time. Fewer words make one shingle, the whole word sequence."""
     n = len(tokens)
-    if not n:
-        return 0, [0] * anchors
     joined = b" ".join(tokens)
     digest = xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, tokens), dtype=np.int64, count=n) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    count = np.zeros(BITS, dtype=np.int64)
-    least = np.full(anchors, np.iinfo(np.uint64).max, dtype=np.uint64)
-    total = max(1, n - width + 1)
+    total = max(1, n - width + 1) if n else 0
     for lo in range(0, total, SHINGLES):
         hi = min(total, lo + SHINGLES)
         pairs = zip(starts[lo:hi].tolist(), ends[min(lo + width, n) - 1 : hi + width - 1].tolist())
-        values = np.array([digest(joined[a:b], SEED) for a, b in pairs], dtype="<u8")
+        yield np.array([digest(joined[a:b], SEED) for a, b in pairs], dtype="<u8")
+
+
+def fingerprint(text: bytes, width: int, anchors: int = 0) -> tuple[int, list[int]]:
+    """SimHash of a text's word shingles: a bit is set that is set in over half of their XXH64 values. A text of fewer
+    words has one shingle, its whole word sequence; a text without words has fingerprint zero. Also the smallest
+    shingle in each of ``anchors`` orders."""
+    tokens = text.lower().split()
+    if not tokens:
+        return 0, [0] * anchors
+    count = np.zeros(BITS, dtype=np.int64)
+    least = np.full(anchors, np.iinfo(np.uint64).max, dtype=np.uint64)
+    total = 0
+    for values in _shingles(tokens, width):
+        total += len(values)
         count += np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         for k in range(anchors):
             least[k] = min(least[k], mix64(values + np.uint64(k << 40 | k)).min())
@@ -50,23 +57,45 @@ def fingerprint(text: bytes, width: int, anchors: int = 0) -> tuple[int, list[in
     return int(bits.view("<u8")[0]), least.tolist()
 
 
+def shingle_counts(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of a text, in order, and how often each occurs."""
+    found = list(_shingles(text.lower().split(), width))
+    values, counts = np.unique(np.concatenate(found) if found else np.zeros(0, dtype="<u8"), return_counts=True)
+    return values, counts.astype(np.float64)
+
+
+def cosine_of(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Cosine of two texts' shingle counts, zero for a text without words."""
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    if not len(a[0]):
+        return 0.0
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    dot = float((a[1] * b[1][at])[b[0][at] == a[0]].sum())
+    return dot / float(np.sqrt((a[1] @ a[1]) * (b[1] @ b[1])))
+
+
 def fingerprints(docs: DataFrame, width: int = 5, anchors: int = 0) -> DataFrame:
-    """(doc_id, fingerprint, anchors) of every row, as signed 64-bit integers."""
+    """(doc_id, fingerprint) of every row, as signed 64-bit integers. With anchors also those, the lower-cased words
+    and a hash of them, the node."""
+    schema = "doc_id long, fingerprint long" + (", anchors array<long>, node long, words binary" if anchors else "")
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                found, least = zip(*[fingerprint(x or b"", width, anchors) for x in part.column(1).to_pylist()])
-                ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * anchors)
-                flat = pa.array(np.array(least, dtype=np.uint64).ravel().view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.array(found, dtype=np.uint64).view(np.int64)), pa.ListArray.from_arrays(ends, flat)],
-                    names=["doc_id", "fingerprint", "anchors"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(
-        each, "doc_id long, fingerprint long, anchors array<long>"
-    )
+                texts = [x or b"" for x in part.column(1).to_pylist()]
+                found, least = zip(*[fingerprint(x, width, anchors) for x in texts])
+                columns = [part.column(0), pa.array(np.array(found, dtype=np.uint64).view(np.int64))]
+                if anchors:
+                    ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * anchors)
+                    flat = pa.array(np.array(least, dtype=np.uint64).ravel().view(np.int64))
+                    words = [b" ".join(x.lower().split()) for x in texts]
+                    node = np.array([xxhash.xxh64_intdigest(x, SEED + 1) for x in words], dtype=np.uint64)
+                    columns += [pa.ListArray.from_arrays(ends, flat), pa.array(node.view(np.int64)), pa.array(words, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(each, schema)
 
 
 class BKTree:
@@ -115,46 +144,52 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _linked(values: list[int], split: int, radius: int) -> list[tuple[int, int]]:
-    """A forest of links that joins what the pairs within the radius join. The first ``split`` values build the tree;
-    the others ask it, and also enter it if split is 0 (then the values meet each other)."""
-    root = list(range(len(values)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    tree, out = BKTree(), []
+def _close(values: list[int], split: int, radius: int) -> Iterator[tuple[int, int]]:
+    """Numbers of the values that are within the radius of each other. The first ``split`` values build the tree; the
+    others ask it, and also enter it if split is 0 (then the values meet each other)."""
+    tree = BKTree()
     for v in values[:split]:
         tree.add(v)
     for i in range(split, len(values)):
         for j in tree.within(values[i], radius):
-            a, b = find(i), find(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                out.append((values[i], values[j]))
+            yield i, j
         if not split:
             tree.add(values[i])
-    return out
 
 
-def links(found: DataFrame, radius: int, anchors: int = 0, tree_rows: int = TREE_ROWS) -> DataFrame:
+class _Roots(dict):
+    """Groups that are joined step by step."""
+
+    def find(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            self[x] = x = self.get(up, up)
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _linked(values: list[int], split: int, radius: int) -> list[tuple[int, int]]:
+    """A forest of links that joins what the pairs within the radius join."""
+    root = _Roots()
+    return [(values[i], values[j]) for i, j in _close(values, split, radius) if root.join(i, j)]
+
+
+def links(found: DataFrame, radius: int, tree_rows: int = TREE_ROWS) -> DataFrame:
     """Links (a, b) between distinct fingerprints that join the ones within the radius of each other.
 
-    found: distinct fingerprints, and their anchors. They are dealt to shards by the bits of each mask of ``bands``, which
-    loses no pair, or by each of their anchors if there are any; one BK-tree a shard.
+    found: distinct fingerprints. They are dealt to shards by the bits of each mask of ``bands``, which loses no pair; one
+    BK-tree a shard.
     A tree grows with the corpus, so it is not broadcast: queries travel to the shard they can match in. A shard over
     ``tree_rows`` is dealt in blocks by a hash, and each pair of blocks is one task's tree and its queries. Within a
     shard only the links that join two groups are returned, at most one a row.
     """
     value = F.col("fingerprint")
-    if anchors:
-        keyed = found.select("fingerprint", F.posexplode("anchors").alias("mask", "bits"))
-    else:
-        shards = [F.struct(F.lit(i).alias("mask"), value.bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(bands(radius))]
-        keyed = found.select("fingerprint", F.inline(F.array(*shards)))
+    shards = [F.struct(F.lit(i).alias("mask"), value.bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(bands(radius))]
+    keyed = found.select("fingerprint", F.inline(F.array(*shards)))
     crowded = keyed.groupBy("mask", "bits").agg(F.count("*").alias("n")).filter("n > 1")
     n_blocks = F.ceil(F.col("n") / tree_rows).cast("int")
     block = F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int")
@@ -201,34 +236,147 @@ def links(found: DataFrame, radius: int, anchors: int = 0, tree_rows: int = TREE
     return dealt.mapInPandas(each, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4, anchors: int = 0, tree_rows: int = TREE_ROWS) -> DataFrame:
-    """doc_id, fingerprint (signed 64-bit) and component_id of every row: the smallest doc_id that is reached over
-    fingerprints which differ in at most ``radius`` bits.
+GROUP = ["mask", "bits", "low", "high"]
+ENTRY = "mask int, bits long, low int, high int, asks int, node long, fingerprint long, team long"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows of one pair of blocks after another, from a stream that is sorted by them."""
+    shard, held = None, []
+    for batch in batches:
+        for row in zip(*(column.to_pylist() for column in batch.columns)):
+            if row[:4] != shard:
+                if len(held) > 1:
+                    yield held
+                shard, held = row[:4], []
+            held.append(row)
+    if len(held) > 1:
+        yield held
+
+
+def _near(rows: list[tuple], radius: int) -> Iterator[tuple[int, int]]:
+    """Numbers of the rows with fingerprints within the radius. In a pair of unlike blocks one asks the other."""
+    split = 0 if rows[0][2] == rows[0][3] else sum(not r[4] for r in rows)
+    if split or rows[0][2] == rows[0][3]:
+        yield from _close([r[6] & ((1 << 64) - 1) for r in rows], split, radius)
+
+
+def similar(dealt: DataFrame, texts: DataFrame, width: int, radius: int, cosine: float) -> DataFrame:
+    """Links (a, b) between nodes of different teams in one pair of blocks whose shingle counts have the cosine at least;
+    at most one a node. BK-trees tell the rows that have a candidate within the radius, only their texts travel, and every
+    candidate pair that is not joined yet is settled by its texts."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks(batches):
+            some: set[int] = set()
+            for i, j in _near(rows, radius):
+                if rows[i][7] != rows[j][7]:
+                    some |= {i, j}
+            if some:
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, rows[i])) for i in sorted(some)], schema=schema)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (batch.slice(i, 256) for batch in batches for i in range(0, batch.num_rows, 256))
+        for rows in _blocks(parts):
+            root, made, counts = _Roots(), [], {}
+            for i, j in _near(rows, radius):
+                a, b = rows[i][7], rows[j][7]
+                if root.find(a) != root.find(b):
+                    for k in (i, j):
+                        if k not in counts:
+                            counts[k] = shingle_counts(rows[k][8], width)
+                    if cosine_of(counts[i], counts[j]) >= cosine - 1e-12:
+                        root.join(a, b)
+                        made.append((rows[i][5], rows[j][5]))
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*made)], names=["a", "b"])
+
+    kinds = {"int": pa.int32(), "long": pa.int64()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ENTRY.split(", "))])
+    order = [*GROUP, "asks", "node"]
+    asked = stored(dealt.repartition(*GROUP).sortWithinPartitions(*order).mapInArrow(each, ENTRY), "candidates")
+    needed = texts.join(asked.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    joined = asked.join(needed, "node").select(*schema.names, "words")
+    return stored(joined.repartition(*GROUP).sortWithinPartitions(*order).mapInArrow(settle, "a long, b long"), "similar")
+
 
-    Without anchors no link is lost, at a cost that rises steeply with the radius. With anchors, texts meet only if they
-    share the smallest of their shingles in one of so many orders: of those that have a part s of their shingles in
-    common, (1 - s) ** anchors are missed, 3 of a million at 0.8 and 8 anchors.
+def anchored_links(rows: DataFrame, width: int, radius: int, cosine: float, block_rows: int = TREE_ROWS) -> DataFrame:
+    """Links (a, b) that join the nodes with a cosine of their shingle counts, out of those that share an anchor and are
+    within the radius.
+
+    rows: node, fingerprint, anchors and words of every text. Nodes are dealt to shards by each of their anchors, and a
+    shard over ``block_rows`` to blocks by a hash. Nodes meet in their own blocks first. Blocks of one shard meet in pairs
+    after that, where the shard is not in one component yet and only nodes of different components.
+    """
+    texts = rows.select("node", "words")
+    nodes = rows.groupBy("node").agg(F.min("fingerprint").alias("fingerprint"), F.min("anchors").alias("anchors"))
+    keyed = nodes.select("node", "fingerprint", F.posexplode("anchors").alias("mask", "bits"))
+    crowded = keyed.groupBy("mask", "bits").agg(F.count("*").alias("n")).filter("n > 1")
+    n_blocks = F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")
+    placed = stored(
+        keyed.join(crowded.select("mask", "bits", n_blocks), ["mask", "bits"])
+        # one hash for each mask, so that blocks of one shard are joined through those of another
+        .withColumn("block", F.pmod(F.xxhash64("node", "mask"), F.col("blocks")).cast("int")),
+        "anchored",
+    )
+    own = placed.select(
+        "mask", "bits", F.col("block").alias("low"), F.col("block").alias("high"), F.lit(0).alias("asks"), "node", "fingerprint", F.col("node").alias("team")
+    )
+    found = similar(own, texts, width, radius, cosine)
+    large = placed.filter("blocks > 1")
+    if large.isEmpty():
+        return found
+    teams = components(found)
+    large = large.join(teams, "node", "left").withColumn("team", F.coalesce("component", "node"))
+    several = large.groupBy("mask", "bits").agg(F.min("team").alias("a"), F.max("team").alias("b")).filter("a < b")
+    pairs = (
+        large.join(several.select("mask", "bits"), ["mask", "bits"])
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .filter("block != other")
+        .select(
+            "mask", "bits", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+            (F.col("block") > F.col("other")).cast("int").alias("asks"), "node", "fingerprint", "team",
+        )
+    )
+    return found.unionByName(similar(pairs, texts, width, radius, cosine))
+
+
+def near_duplicates(
+    docs: DataFrame, width: int = 5, radius: int = 4, anchors: int = 0, tree_rows: int = TREE_ROWS, cosine: float = 0.8
+) -> DataFrame:
+    """doc_id, fingerprint (signed 64-bit) and component_id of every row: the smallest doc_id that is reached over
+    near duplicates.
+
+    Without anchors these are fingerprints which differ in at most ``radius`` bits. No link is lost, at a cost that rises
+    steeply with the radius. With anchors they are texts with a ``cosine`` of their shingle counts, which is computed
+    from the texts; fingerprints only choose the candidates. Texts meet if they share the smallest of their
+    shingles in one of so many orders, and are within the radius: of those that have a part s of their distinct
+    shingles in common (Jaccard), (1 - s) ** anchors are missed, 2 in 10,000 at 2/3 (two sets of equal size with a cosine of
+    0.8) and 8 anchors; by the binomial law of SimHash, 4 in 10,000 at a cosine of 0.8 are more than 24 bits apart.
     Null and empty texts have fingerprint zero and are linked like others. Rows that repeat, or share a fingerprint
-    otherwise, are one node, so groups of copies never meet row by row. A null doc_id gets an answer but names no
-    component unless all of its component are null. An empty table gives an empty one; other columns are left out.
+    (with anchors: the sequence of words) otherwise, are one node, so groups of copies never meet row by row. A null doc_id
+    gets an answer but names no component unless all of its component are null. An empty table gives an empty one; other
+    columns are left out.
     """
     rows = stored(fingerprints(docs, width, anchors), "fingerprints")
-    nodes = stored(
-        rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.min("anchors").alias("anchors")), "fingerprint_nodes"
-    )
-    joined = components(links(nodes, radius, anchors, tree_rows))
-    grouped = nodes.join(joined.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
-        "fingerprint", "least", F.coalesce("component", "fingerprint").alias("component")
+    key = "node" if anchors else "fingerprint"
+    nodes = stored(rows.groupBy(F.col(key).alias("own")).agg(F.min("doc_id").alias("least")), "fingerprint_nodes")
+    if anchors:
+        found = anchored_links(rows, width, radius, cosine, tree_rows)
+    else:
+        found = links(nodes.select(F.col("own").alias("fingerprint")), radius, tree_rows)
+    grouped = nodes.join(components(found).withColumnRenamed("node", "own"), "own", "left").select(
+        "own", "least", F.coalesce("component", "own").alias("component")
     )
     named = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    answer = grouped.join(named, "component").select("fingerprint", "component_id")
-    return rows.join(answer, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    answer = grouped.join(named, "component").select(F.col("own").alias(key), "component_id")
+    return rows.select("doc_id", "fingerprint", *([key] if anchors else [])).join(answer, key).select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, radius: int = 4, anchors: int = 0) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, radius: int = 4, anchors: int = 0, cosine: float = 0.8) -> DataFrame:
     """The documents without those that have a near duplicate with a smaller doc_id, and one row for each doc_id. A row
     without doc_id stays. All columns stay."""
-    kept = near_duplicates(docs, width, radius, anchors).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = near_duplicates(docs, width, radius, anchors, cosine=cosine).filter("doc_id = component_id").select("doc_id").distinct()
     own = Window.partitionBy("doc_id").orderBy("_order")
     chosen = (
         docs.join(kept, "doc_id", "left_semi")

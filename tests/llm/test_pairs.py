@@ -1,5 +1,8 @@
 """SimHash and cover trees against all pairs; components against a plain search."""
 
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 import xxhash
@@ -144,3 +147,29 @@ def test_tree_levels_are_nested_and_cover():
             below = range(tree.first[k], tree.last[k])
             assert tree.center[k] in [tree.center[c] for c in below]
             assert sorted(m for c in below for m in tree.members[tree.low[c] : tree.high[c]]) == sorted(members)
+
+
+def test_anchored_pairs_are_those_of_the_exact_cosine(spark):
+    """Near copies on both sides of 0.8, against all pairs of plain shingle counts; fingerprints decide nothing."""
+    rng = np.random.default_rng(5)
+    rows, k = [], 0
+    for seed in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 50_000, 120)]
+        for n in rng.integers(0, 9, 4):
+            words = list(base)
+            for at in rng.choice(120, n, replace=False):
+                words[at] = f"n{k}x{at}"
+            rows.append((k, " ".join(words)))
+            k += 1
+    counts = []
+    for _, text in rows:
+        w = text.split()
+        counts.append(Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)))
+    norm = [math.sqrt(sum(x * x for x in c.values())) for c in counts]
+    dot = lambda a, b: sum(n * b[s] for s, n in a.items())
+    pairs = [(i, j) for i in range(k) for j in range(i) if i // 4 == j // 4 and dot(counts[i], counts[j]) >= 0.8 * norm[i] * norm[j]]
+    want = dict(enumerate(reached(k, pairs)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for tree_rows in (512, 2):
+        got = {r["doc_id"]: r["component_id"] for r in rows_of(simhash_bk.near_duplicates(frame, 5, 24, anchors=8, tree_rows=tree_rows))}
+        assert got == want

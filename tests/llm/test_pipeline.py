@@ -80,3 +80,32 @@ def test_empty_documents(spark, nothing):
     for name, stage in pipeline.STAGES:
         docs = stored(stage(spark, docs, ""), name)
     assert rows_of(docs) == []
+
+
+def exact_near_duplicates(rows):
+    """Ids that stay: all pairs of texts whose counts of five-word shingles have a cosine of 0.8 are linked."""
+    counts = []
+    for r in rows:
+        w = (r["text"] or "").encode().lower().split()
+        counts.append(Counter(b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter())
+    norm = [math.sqrt(sum(x * x for x in c.values())) for c in counts]
+    holds = {}
+    for i, c in enumerate(counts):
+        for s in c:
+            holds.setdefault(s, []).append(i)
+    met = {(i, j) for found in holds.values() for i in found for j in found if j < i}
+    near = [(i, j) for i, j in met if sum(n * counts[j][s] for s, n in counts[i].items()) >= (0.8 - 1e-12) * norm[i] * norm[j]]
+    empty = [i for i, c in enumerate(counts) if not c]
+    root = reached(len(rows), near + list(zip(empty, empty[1:])))
+    least = {}
+    for r, c in zip(rows, root):
+        if r["doc_id"] is not None:
+            least[c] = min(r["doc_id"], least.get(c, r["doc_id"]))
+    return set(least.values())
+
+
+def test_near_duplicates_are_those_of_the_exact_cosine(spark, given, odd):
+    for docs in (given, odd):
+        kept = [r["doc_id"] for r in rows_of(pipeline.near_duplicates(spark, docs, ""))]
+        ids = [i for i in kept if i is not None]
+        assert len(ids) == len(set(ids)) and set(ids) == exact_near_duplicates(rows_of(docs))
