@@ -278,3 +278,17 @@ def test_words_by_parts_equal_the_tokenizer():
     tokenizer, words = Tokenizer.from_file(tokenizer_path()), binary_packing.WordIds(tokenizer_path())
     for text in ("", "a\x1cb c\x85d", "Don't <|endoftext|> we're _x_ ²3 ½ 10''s", "İ ß ẞ ﬁ 東京 é É×÷ª", "x'll'sd **'re 1a2"):
         assert words.encode([text], 2)[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [2]
+
+
+def test_production_weights_are_fitted_to_every_training_document(spark):
+    v, _, _ = tiny_model()
+    shape = gated_lm.Shape()
+    first = gated_lm.first_weights(v, shape).pack()
+    for i in range(1, 6):
+        docs = spark.createDataFrame([(i, "a b c " * 5)], "doc_id long, text string")
+        assert not np.array_equal(gated_lm.fit(docs, v, shape).pack(), first)
+
+
+def test_all_texts_of_a_task_are_fitted_whatever_is_at_hand():
+    v, shape, w = tiny_model()
+    assert gated_lm._fit_all(w, iter([b"a b", None, b"c a zz"] * 7), gated_lm.Reader(v, shape), shape, 0.01, most=5)[1] == 7 * (3 + 1 + 4)
