@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 #: Lines in a window.
 WINDOW = 3
-#: A surge of less than this part of the largest is not main text, where the page names no article.
-LEAST_SHARE = 0.2
 
 _OPEN = re.compile(r"</?([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ROUGH = re.compile(r"</?([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -211,9 +209,6 @@ def main_text(page: str | None) -> str:
         if inside.any():  # the page says where its article is: all of that counts, links too, and nothing else
             lengths = np.where(inside, [len(t) for t in found.texts], 0)
         ranges = _between(lengths)
-        size = [int(lengths[a:b].sum()) for a, b in ranges]
-        if not inside.any() and ranges:
-            ranges = [r for r, s in zip(ranges, size) if s >= LEAST_SHARE * max(size)]
         if ranges:
             return "\n".join(t for a, b in ranges for t in found.texts[a:b] if t)
     return ""
@@ -225,8 +220,8 @@ def extract(pages: DataFrame) -> DataFrame:
     Markup is stripped to lines, one for each block; a line's length counts its characters if less than half are links.
     Menus, page headers and footers, sidebars, forms, notices, adverts and reader comments, told by element, role, or
     words of class and id, leave empty lines. Sums of lengths over windows of lines rise from zero at a surge and are
-    zero again after a dive; text between is kept. On a page with an article or main element only its lines count;
-    elsewhere, surges of less than a fifth of the largest go too. Scripts, styles and markup comments are no text.
+    zero again after a dive; text between is kept. On a page with an article or main element only its lines count, and
+    all of them; elsewhere every surge is kept, however short, as a barred element inside a text parts it. Scripts, styles and markup comments are no text.
     Character references are decoded, white space (line breaks within a block too) becomes one space.
     A null, empty or textless page has text '' and 0. Elements left open end with the element around them. Rows that
     repeat are answered each by itself; other columns are left out.

@@ -292,3 +292,9 @@ def test_production_weights_are_fitted_to_every_training_document(spark):
 def test_all_texts_of_a_task_are_fitted_whatever_is_at_hand():
     v, shape, w = tiny_model()
     assert gated_lm._fit_all(w, iter([b"a b", None, b"c a zz"] * 7), gated_lm.Reader(v, shape), shape, 0.01, most=5)[1] == 7 * (3 + 1 + 4)
+
+
+def test_text_around_a_barred_element_stays():
+    long = "long text " * 80
+    page = f"<div class=content><h1>T</h1><p>lead</p><div class=ad>x</div><p>{long}</p><div class=share>y</div><p>So it ends.</p></div>"
+    assert line_blocks.main_text(page) == f"T\nlead\n{long.strip()}\nSo it ends."
