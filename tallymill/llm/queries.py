@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import binary_packing, block_anchors, cover_tree, curriculum, gated_lm, language_spans, line_blocks, outliers, simhash_bk, suffix_blocks
+from tallymill.llm import bag_search, binary_packing, block_anchors, cover_tree, curriculum, gated_lm, language_spans, line_blocks
+from tallymill.llm import merge_counts, merkle_sweep, outliers, simhash_bk, suffix_blocks
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -77,6 +78,18 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op11_merkle_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_sweep.manifest(_table(spark, sf_dir, "documents"), altered=merkle_sweep.tampered())
+
+
+def op12_bag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), top=20)
+
+
+def op13_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_blocks": op1_line_blocks,
     "op2_gated_lm": op2_gated_lm,
@@ -88,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_block_anchors": op8_block_anchors,
     "op9_binary_packing": op9_binary_packing,
     "op10_cover_tree": op10_cover_tree,
+    "op11_merkle_sweep": op11_merkle_sweep,
+    "op12_bag_search": op12_bag_search,
+    "op13_merge_counts": op13_merge_counts,
 }
 #: Answers in DuckDB, where SQL can tell the result and is fast enough for whole tables.
 ORACLES: dict[str, str] = {
@@ -124,4 +140,41 @@ ORACLES: dict[str, str] = {
       r AS (SELECT vec_id AS n, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON r.n = l.a)
       SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, (SELECT min(c) FROM r WHERE r.n = e.vec_id) AS component_id,
         vec_id = (SELECT min(c) FROM r WHERE r.n = e.vec_id) AS kept FROM embeddings e""",
+    # leaves, all levels, then each leaf's steps to the root, folded from the original or tampered leaf; crc32 a bit at a time
+    "op11_merkle_sweep": """
+      WITH RECURSIVE f AS (SELECT *, row_number() OVER () AS r, [CASE WHEN v IS NULL THEN '-' ELSE concat(octet_length(encode(v)), ':', v) END
+          FOR v IN [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text, CAST(n_chars + 1 AS VARCHAR)]] AS s,
+        list_reduce(flatten([[ascii(x), 0, 0, 0, 0, 0, 0, 0] FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]),
+          lambda c, e: xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1)), CAST(4294967295 AS BIGINT)) AS crc FROM documents),
+      p AS (SELECT r, doc_id, lang, sha256(concat(s[1], s[2], s[3], s[4], s[5])) AS leaf,
+        CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN sha256(concat(s[1], s[2], s[3], s[6], s[5])) ELSE leaf END AS used,
+        row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM f),
+      u AS (SELECT lang, 0 AS l, i, leaf AS h, n FROM p
+        UNION ALL SELECT lang, l + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY lang, l, i // 2, n),
+      b AS (SELECT lang, h AS subroot, l AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS j, count(*) OVER () AS n FROM u WHERE n = 1),
+      t AS (SELECT 0 AS l, j, subroot AS h, n FROM b
+        UNION ALL SELECT l + 1, j // 2, sha256(string_agg(h, '' ORDER BY j)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY l, j // 2, n),
+      z AS (SELECT h AS root, l AS height FROM t WHERE n = 1),
+      e AS (SELECT p.r, x.l, (p.i >> x.l) & 1 AS side, u.h FROM p JOIN b ON p.lang IS NOT DISTINCT FROM b.lang, unnest(range(b.height)) AS x(l)
+          LEFT JOIN u ON u.lang IS NOT DISTINCT FROM p.lang AND u.l = x.l AND u.i = xor(p.i >> x.l, 1)
+        UNION ALL SELECT p.r, b.height + x.l, (b.j >> x.l) & 1, t.h FROM p JOIN b ON p.lang IS NOT DISTINCT FROM b.lang CROSS JOIN z, unnest(range(z.height)) AS x(l)
+          LEFT JOIN t ON t.l = x.l AND t.j = xor(b.j >> x.l, 1)),
+      g AS (SELECT r, sha256(coalesce(string_agg(h, '' ORDER BY l), '')) AS proof_sha256, CAST(count(h) AS INTEGER) AS n_siblings,
+        list(CASE WHEN h IS NULL THEN 'A' WHEN side = 1 THEN 'L' || h ELSE 'R' || h END ORDER BY l) AS steps FROM e GROUP BY r)
+      SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, coalesce(n_siblings, 0) AS n_siblings,
+        list_reduce(coalesce(steps, []), lambda a, x: sha256(CASE WHEN x = 'A' THEN a WHEN x[1] = 'L' THEN x[2:] || a ELSE a || x[2:] END), used) AS folded_root,
+        folded_root = root AS verified FROM p JOIN b ON p.lang IS NOT DISTINCT FROM b.lang CROSS JOIN z LEFT JOIN g USING (r)""",
+    "op12_bag_search": r"""
+      WITH a AS (SELECT '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS big),
+      d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), big, lower(big)), a.term) AS w FROM documents, a),
+      q AS (SELECT row_number() OVER () AS k, item_id, regexp_extract_all(translate(coalesce(text, ''), big, lower(big)), a.term) AS w FROM benchmark, a),
+      s AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+      c AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+      v AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM c, s GROUP BY term),
+      i AS (SELECT k, term, count(*) AS times FROM (SELECT k, unnest(w) AS term FROM q) GROUP BY ALL),
+      m AS (SELECT r, doc_id, 75 + (25 * CAST(len(w) AS HUGEINT) * n) // l AS m FROM d, s WHERE len(w) > 0),
+      f AS (SELECT k, r, any_value(doc_id) AS doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+        FROM i JOIN c USING (term) JOIN v USING (term) JOIN m USING (r) GROUP BY k, r),
+      o AS (SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM f WHERE score > 0)
+      SELECT item_id, rank, doc_id, score FROM o JOIN q USING (k) WHERE rank <= 20""",
 }
