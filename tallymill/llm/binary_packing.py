@@ -159,13 +159,14 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, longest: int =
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
-def pack(cut: DataFrame) -> DataFrame:
+def pack(cut: DataFrame, exchange: bool = True) -> DataFrame:
     """Sequences out of pieces: pieces of equal length lie together, and each is a sequence of its own, so that none
-    crosses documents and, all being powers of two, none is padded. sequence_id is unique and rises with the length.
-    The pieces are stored first: dealing by range reads them twice."""
+    crosses documents and, all being powers of two, none is padded. sequence_id is unique and, with an exchange, rises with the
+    length over the whole table. The pieces are stored first then: dealing by range reads them twice. Without one, pieces of
+    equal length lie together in each part of the table and ids never move: right for pieces that carry theirs."""
+    rows = stored(cut, "pieces").repartitionByRange("length", F.xxhash64("doc_id", "start")) if exchange else cut
     return (
-        stored(cut, "pieces").repartitionByRange("length", F.xxhash64("doc_id", "start"))
-        .sortWithinPartitions("length", "doc_id", "start")
+        rows.sortWithinPartitions("length", "doc_id", "start")
         .withColumn("sequence_id", F.monotonically_increasing_id())
         .withColumn("offset", F.lit(0).cast("long"))
     )

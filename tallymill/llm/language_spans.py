@@ -40,12 +40,11 @@ NAMES = tuple(dict.fromkeys(name for _, name in SCRIPTS))
 class Rule:
     """switch: what a change of language between two words costs, in natural log units. smoothing: added to the count
     of each letter triple. script_share: a language is a candidate for letters of a script that make up this
-    part of its training letters or more. least_score: below it a document is rejected by the filter."""
+    part of its training letters or more."""
 
     switch: float = 12.0
     smoothing: float = 0.5
     script_share: float = 0.001
-    least_score: float = 0.5
 
 
 @dataclass
@@ -213,9 +212,10 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float) -> np.ndarray
     return label
 
 
-def _label(model: Model, texts: list[str], switch: float) -> Iterator[tuple[str, float, list[dict]]]:
+def _label(model: Model, texts: list[str], switch: float) -> Iterator[tuple[str, float, list[dict], float]]:
+    """Main language, its part of the letters, spans, and the mean score of a letter in the language of its span."""
     if not model.langs:
-        yield from ((UNKNOWN, 0.0, []) for _ in texts)
+        yield from ((UNKNOWN, 0.0, [], -np.inf) for _ in texts)
         return
     scores, letters, counts = _word_scores(model, texts)
     label = viterbi(scores, counts, switch)
@@ -223,16 +223,17 @@ def _label(model: Model, texts: list[str], switch: float) -> Iterator[tuple[str,
     text = np.repeat(np.arange(len(texts)), counts)
     share = np.bincount(text * n + label, weights=letters, minlength=len(texts) * n).reshape(-1, n)
     total = share.sum(axis=1)
+    fit = np.bincount(text, weights=scores[np.arange(len(label)), label], minlength=len(texts)) / np.maximum(total, 1)
     top = share.argmax(axis=1)
     ends = np.cumsum(counts)
     for i, (a, b) in enumerate(zip((ends - counts).tolist(), ends.tolist())):
         if a == b:
-            yield UNKNOWN, 0.0, []
+            yield UNKNOWN, 0.0, [], -np.inf
             continue
         cut = np.flatnonzero(np.diff(label[a:b])) + 1
         bounds = [0, *cut.tolist(), b - a]
         spans = [{"start": x, "stop": y, "lang": model.langs[label[a + x]]} for x, y in zip(bounds, bounds[1:])]
-        yield model.langs[top[i]], float(share[i, top[i]] / total[i]), spans
+        yield model.langs[top[i]], float(share[i, top[i]] / total[i]), spans, float(fit[i])
 
 
 def identify(docs: DataFrame, model: Model, rule: Rule = Rule()) -> DataFrame:
@@ -250,7 +251,7 @@ def identify(docs: DataFrame, model: Model, rule: Rule = Rule()) -> DataFrame:
         span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string())]))
 
         def out(ids: list, texts: list[str]) -> pa.RecordBatch:
-            lang, score, spans = zip(*_label(shared.value, texts, rule.switch))
+            lang, score, spans, _ = zip(*_label(shared.value, texts, rule.switch))
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, span)],
                 names=["doc_id", "lang_pred", "score", "spans"],
@@ -279,15 +280,17 @@ def remainder(n: int):
 
 
 def keep_known(docs: DataFrame, model: Model, rule: Rule = Rule()) -> DataFrame:
-    """The documents that have a language: not ``und``, and with at least least_score of the letters in it. All columns
-    stay; the rows do not move."""
+    """The documents in the learned languages, one or several: those with a letter whose letter triples are, on average, more
+    likely in the languages of their spans than if all triples were equally likely. Texts without letters, in scripts that no
+    language uses, and of letters in no order go. All columns stay; the rows do not move."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text = docs.columns.index("text")
+    chance = -GRAM_BITS * np.log(2)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
                 found = _label(shared.value, [t or "" for t in part.column(text).to_pylist()], rule.switch)
-                yield part.filter(pa.array([lang != UNKNOWN and score >= rule.least_score for lang, score, _ in found], pa.bool_()))
+                yield part.filter(pa.array([lang != UNKNOWN and fit > chance for lang, _, _, fit in found], pa.bool_()))
 
     return docs.mapInArrow(each, docs.schema)

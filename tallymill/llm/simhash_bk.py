@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymill.llm.common import components, mix64, stored
@@ -38,23 +38,29 @@ def _shingles(tokens: list[bytes], width: int) -> Iterator[np.ndarray]:
         yield np.array([digest(joined[a:b], SEED) for a, b in pairs], dtype="<u8")
 
 
+def _odd(n: int) -> np.ndarray:
+    """Odd factors; each deals 64-bit values in an order of its own."""
+    return mix64(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
+
+
 def fingerprint(text: bytes, width: int, anchors: int = 0) -> tuple[int, list[int]]:
     """SimHash of a text's word shingles: a bit is set that is set in over half of their XXH64 values. A text of fewer
-    words has one shingle, its whole word sequence; a text without words has fingerprint zero. Also the smallest
-    shingle in each of ``anchors`` orders."""
+    words has one shingle, its whole word sequence; a text without words has fingerprint zero. Also its ``anchors``, each a
+    hash of the smallest shingles in two orders."""
     tokens = text.lower().split()
     if not tokens:
         return 0, [0] * anchors
     count = np.zeros(BITS, dtype=np.int64)
-    least = np.full(anchors, np.iinfo(np.uint64).max, dtype=np.uint64)
+    odd = _odd(2 * anchors)
+    least = np.full(2 * anchors, np.iinfo(np.uint64).max, dtype=np.uint64)
     total = 0
     for values in _shingles(tokens, width):
         total += len(values)
         count += np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        for k in range(anchors):
-            least[k] = min(least[k], mix64(values + np.uint64(k << 40 | k)).min())
+        for lo in range(0, len(values) if anchors else 0, 4096):
+            least = np.minimum(least, (values[lo : lo + 4096, None] * odd).min(axis=0))
     bits = np.packbits((2 * count > total).astype(np.uint8), bitorder="little")
-    return int(bits.view("<u8")[0]), least.tolist()
+    return int(bits.view("<u8")[0]), mix64(mix64(least[:anchors]) + least[anchors:]).tolist()
 
 
 def shingle_counts(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,9 +82,9 @@ def cosine_of(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
 
 
 def fingerprints(docs: DataFrame, width: int = 5, anchors: int = 0) -> DataFrame:
-    """(doc_id, fingerprint) of every row, as signed 64-bit integers. With anchors also those, the lower-cased words
-    and a hash of them, the node."""
-    schema = "doc_id long, fingerprint long" + (", anchors array<long>, node long, words binary" if anchors else "")
+    """(doc_id, fingerprint) of every row, as signed 64-bit integers. With anchors also those, a hash of the text, the node
+    (zero for all texts without words), and the bytes of the text."""
+    schema = "doc_id long, fingerprint long" + (", anchors array<long>, node long, size long" if anchors else "")
     names = [x.split()[0] for x in schema.split(", ")]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,12 +96,17 @@ def fingerprints(docs: DataFrame, width: int = 5, anchors: int = 0) -> DataFrame
                 if anchors:
                     ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * anchors)
                     flat = pa.array(np.array(least, dtype=np.uint64).ravel().view(np.int64))
-                    words = [b" ".join(x.lower().split()) for x in texts]
-                    node = np.array([xxhash.xxh64_intdigest(x, SEED + 1) for x in words], dtype=np.uint64)
-                    columns += [pa.ListArray.from_arrays(ends, flat), pa.array(node.view(np.int64)), pa.array(words, pa.binary())]
+                    node = [n if any(a) else 0 for n, a in zip(part.column(2).to_pylist(), least)]
+                    columns += [pa.ListArray.from_arrays(ends, flat), pa.array(node, pa.int64()), pa.array([len(x) for x in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(each, schema)
+    text = F.col("text").cast("binary")
+    return docs.select(F.col("doc_id").cast("long"), text, *([node_of(text)] if anchors else [])).mapInArrow(each, schema)
+
+
+def node_of(text: Column) -> Column:
+    """What equal texts have in common."""
+    return F.xxhash64(F.coalesce(text, F.lit(b""))).alias("node")
 
 
 class BKTree:
@@ -237,7 +248,11 @@ def links(found: DataFrame, radius: int, tree_rows: int = TREE_ROWS) -> DataFram
 
 
 GROUP = ["mask", "bits", "low", "high"]
-ENTRY = "mask int, bits long, low int, high int, asks int, node long, fingerprint long, team long"
+ENTRY = [*GROUP, "asks", "node", "fingerprint", "team"]
+#: Texts of a block have about so many bytes at most, or it is one text.
+BLOCK_BYTES = 4 << 20
+#: Anchors by which all texts meet. Those that the first ones did not join meet by the others too.
+FIRST_ANCHORS = 2
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -254,88 +269,89 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield held
 
 
-def _near(rows: list[tuple], radius: int) -> Iterator[tuple[int, int]]:
-    """Numbers of the rows with fingerprints within the radius. In a pair of unlike blocks one asks the other."""
+def _settle(rows: list[tuple], width: int, radius: int, cosine: float) -> list[tuple[int, int]]:
+    """Links of a pair of blocks, at most one a row: the rows of one block build a BK-tree and the others ask it, or all rows
+    of a single block ask it one after the other. A candidate within the radius that is not of the asking row's
+    team is settled by the cosine of the texts, and teams that are linked become one."""
+    root, made, counts = _Roots(), [], {}
+    values = [r[6] & ((1 << 64) - 1) for r in rows]
     split = 0 if rows[0][2] == rows[0][3] else sum(not r[4] for r in rows)
-    if split or rows[0][2] == rows[0][3]:
-        yield from _close([r[6] & ((1 << 64) - 1) for r in rows], split, radius)
+    tree = BKTree()
+    for v in values[:split]:
+        tree.add(v)
+    teams = {r[7] for r in rows[:split]}
+
+    def count(k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k not in counts:
+            counts[k] = shingle_counts(rows[k][8], width)
+        return counts[k]
+
+    for i in range(split, len(rows)):
+        own = rows[i][7]
+        if len(teams) != 1 or root.find(own) != root.find(next(iter(teams))):
+            for j in tree.within(values[i], radius):
+                if root.find(own) != root.find(rows[j][7]) and cosine_of(count(i), count(j)) >= cosine - 1e-12:
+                    root.join(own, rows[j][7])
+                    made.append((rows[i][5], rows[j][5]))
+        if not split:
+            tree.add(values[i])
+            teams.add(own)
+    return made
 
 
 def similar(dealt: DataFrame, texts: DataFrame, width: int, radius: int, cosine: float) -> DataFrame:
-    """Links (a, b) between nodes of different teams in one pair of blocks whose shingle counts have the cosine at least;
-    at most one a node. BK-trees tell the rows that have a candidate within the radius, only their texts travel, and every
-    candidate pair that is not joined yet is settled by its texts."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _blocks(batches):
-            some: set[int] = set()
-            for i, j in _near(rows, radius):
-                if rows[i][7] != rows[j][7]:
-                    some |= {i, j}
-            if some:
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, rows[i])) for i in sorted(some)], schema=schema)
+    """Links (a, b) between nodes of different teams in one pair of blocks whose shingle counts have the cosine at least.
+    Pairs of blocks that hold one team only are left out, and only texts of the others travel. texts: node, text."""
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = (batch.slice(i, 256) for batch in batches for i in range(0, batch.num_rows, 256))
-        for rows in _blocks(parts):
-            root, made, counts = _Roots(), [], {}
-            for i, j in _near(rows, radius):
-                a, b = rows[i][7], rows[j][7]
-                if root.find(a) != root.find(b):
-                    for k in (i, j):
-                        if k not in counts:
-                            counts[k] = shingle_counts(rows[k][8], width)
-                    if cosine_of(counts[i], counts[j]) >= cosine - 1e-12:
-                        root.join(a, b)
-                        made.append((rows[i][5], rows[j][5]))
+        for rows in _blocks(batch.slice(i, 64) for batch in batches for i in range(0, batch.num_rows, 64)):
+            made = _settle(rows, width, radius, cosine)
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*made)], names=["a", "b"])
 
-    kinds = {"int": pa.int32(), "long": pa.int64()}
-    schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ENTRY.split(", "))])
-    order = [*GROUP, "asks", "node"]
-    asked = stored(dealt.repartition(*GROUP).sortWithinPartitions(*order).mapInArrow(each, ENTRY), "candidates")
+    several = dealt.groupBy(*GROUP).agg(F.min("team").alias("a"), F.max("team").alias("b")).filter("a < b").select(*GROUP)
+    asked = stored(dealt.join(several, GROUP).select(*ENTRY), "candidates")
     needed = texts.join(asked.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    joined = asked.join(needed, "node").select(*schema.names, "words")
+    joined = asked.join(needed, "node").select(*ENTRY, "text")
+    order = [*GROUP, "asks", "node"]
     return stored(joined.repartition(*GROUP).sortWithinPartitions(*order).mapInArrow(settle, "a long, b long"), "similar")
 
 
-def anchored_links(rows: DataFrame, width: int, radius: int, cosine: float, block_rows: int = TREE_ROWS) -> DataFrame:
+def anchored_links(
+    rows: DataFrame, texts: DataFrame, width: int, radius: int, cosine: float, block_rows: int = TREE_ROWS, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """Links (a, b) that join the nodes with a cosine of their shingle counts, out of those that share an anchor and are
     within the radius.
 
-    rows: node, fingerprint, anchors and words of every text. Nodes are dealt to shards by each of their anchors, and a
-    shard over ``block_rows`` to blocks by a hash. Nodes meet in their own blocks first. Blocks of one shard meet in pairs
-    after that, where the shard is not in one component yet and only nodes of different components.
+    rows: node, fingerprint, anchors and size of every text; texts: node, text. Nodes are dealt to shards by each of their anchors,
+    and a shard that is too large to blocks by a hash. First the nodes of a block meet by a few anchors, which joins most
+    copies. Then the blocks of every shard that holds more than one component meet in pairs.
     """
-    texts = rows.select("node", "words")
-    nodes = rows.groupBy("node").agg(F.min("fingerprint").alias("fingerprint"), F.min("anchors").alias("anchors"))
-    keyed = nodes.select("node", "fingerprint", F.posexplode("anchors").alias("mask", "bits"))
-    crowded = keyed.groupBy("mask", "bits").agg(F.count("*").alias("n")).filter("n > 1")
-    n_blocks = F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")
+    nodes = rows.groupBy("node").agg(F.min("fingerprint").alias("fingerprint"), F.min("anchors").alias("anchors"), F.max("size").alias("size"))
+    keyed = nodes.select("node", "fingerprint", "size", F.posexplode("anchors").alias("mask", "bits"))
+    crowded = keyed.groupBy("mask", "bits").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).filter("n > 1")
+    n_blocks = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("bytes") / block_bytes)).cast("int").alias("blocks")
     placed = stored(
         keyed.join(crowded.select("mask", "bits", n_blocks), ["mask", "bits"])
         # one hash for each mask, so that blocks of one shard are joined through those of another
-        .withColumn("block", F.pmod(F.xxhash64("node", "mask"), F.col("blocks")).cast("int")),
+        .withColumn("block", F.pmod(F.xxhash64("node", "mask"), F.col("blocks")).cast("int"))
+        .select("mask", "bits", "node", "fingerprint", "block", "blocks"),
         "anchored",
     )
-    own = placed.select(
-        "mask", "bits", F.col("block").alias("low"), F.col("block").alias("high"), F.lit(0).alias("asks"), "node", "fingerprint", F.col("node").alias("team")
+    block = F.col("block")
+    first = placed.filter(F.col("mask") < FIRST_ANCHORS).select(
+        "mask", "bits", block.alias("low"), block.alias("high"), F.lit(0).alias("asks"), "node", "fingerprint", F.col("node").alias("team")
     )
-    found = similar(own, texts, width, radius, cosine)
-    large = placed.filter("blocks > 1")
-    if large.isEmpty():
-        return found
-    teams = components(found)
-    large = large.join(teams, "node", "left").withColumn("team", F.coalesce("component", "node"))
-    several = large.groupBy("mask", "bits").agg(F.min("team").alias("a"), F.max("team").alias("b")).filter("a < b")
+    found = similar(first, texts, width, radius, cosine)
+    teamed = placed.join(components(found), "node", "left").withColumn("team", F.coalesce("component", "node"))
+    several = teamed.groupBy("mask", "bits").agg(F.min("team").alias("a"), F.max("team").alias("b")).filter("a < b")
     pairs = (
-        large.join(several.select("mask", "bits"), ["mask", "bits"])
+        teamed.join(several.select("mask", "bits"), ["mask", "bits"])
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .filter("block != other")
+        .filter((F.col("mask") >= FIRST_ANCHORS) | (block != F.col("other")))
         .select(
             "mask", "bits", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-            (F.col("block") > F.col("other")).cast("int").alias("asks"), "node", "fingerprint", "team",
+            (block > F.col("other")).cast("int").alias("asks"), "node", "fingerprint", "team",
         )
     )
     return found.unionByName(similar(pairs, texts, width, radius, cosine))
@@ -349,12 +365,12 @@ def near_duplicates(
 
     Without anchors these are fingerprints which differ in at most ``radius`` bits. No link is lost, at a cost that rises
     steeply with the radius. With anchors they are texts with a ``cosine`` of their shingle counts, which is computed
-    from the texts; fingerprints only choose the candidates. Texts meet if they share the smallest of their
-    shingles in one of so many orders, and are within the radius: of those that have a part s of their distinct
-    shingles in common (Jaccard), (1 - s) ** anchors are missed, 2 in 10,000 at 2/3 (two sets of equal size with a cosine of
-    0.8) and 8 anchors; by the binomial law of SimHash, 4 in 10,000 at a cosine of 0.8 are more than 24 bits apart.
+    from the texts; fingerprints only choose the candidates. Texts meet if they share one of so many anchors, the smallest of
+    their shingles in two orders, and are within the radius: of those that have a part s of their distinct shingles in
+    common (Jaccard), (1 - s * s) ** anchors are missed, 1 in 10,000 at 2/3 (two sets of equal size with a cosine of 0.8)
+    and 16 anchors; by the binomial law of SimHash, 4 in 10,000 at a cosine of 0.8 are more than 24 bits apart.
     Null and empty texts have fingerprint zero and are linked like others. Rows that repeat, or share a fingerprint
-    (with anchors: the sequence of words) otherwise, are one node, so groups of copies never meet row by row. A null doc_id
+    (with anchors: the text) otherwise, are one node, so groups of copies never meet row by row. A null doc_id
     gets an answer but names no component unless all of its component are null. An empty table gives an empty one; other
     columns are left out.
     """
@@ -362,7 +378,8 @@ def near_duplicates(
     key = "node" if anchors else "fingerprint"
     nodes = stored(rows.groupBy(F.col(key).alias("own")).agg(F.min("doc_id").alias("least")), "fingerprint_nodes")
     if anchors:
-        found = anchored_links(rows, width, radius, cosine, tree_rows)
+        texts = docs.select(node_of(F.col("text").cast("binary")), F.col("text").cast("binary").alias("text"))
+        found = anchored_links(rows, texts, width, radius, cosine, tree_rows)
     else:
         found = links(nodes.select(F.col("own").alias("fingerprint")), radius, tree_rows)
     grouped = nodes.join(components(found).withColumnRenamed("node", "own"), "own", "left").select(

@@ -28,7 +28,9 @@ KEYS = "bucket int, chunk int, keys binary, many binary"
 SEGMENTS = (
     "bucket int, salt int, chunk int, kind int, docs binary, chunks binary, keys binary, starts binary, sizes binary, text binary"
 )
-RESULT = "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary"
+#: Positions in a text are below it.
+TAG = 1 << 40
+RESULT = "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary, digest binary"
 
 _rng = np.random.default_rng(7)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -218,6 +220,11 @@ def _segment_rows(bucket: np.ndarray, salt: np.ndarray, kind: int, columns: dict
     return out
 
 
+def _tag(digest: bytes) -> int:
+    """What is added to the positions of a text, to tell texts of one doc_id apart: 23 bits of its digest."""
+    return (int.from_bytes(digest[:3], "big") >> 1) * TAG
+
+
 def _segments(c: Chunked, messages: DataFrame, length: int) -> DataFrame:
     """The bytes of all windows that share a key with another document, a run of windows at a time, sent to the key's
     bucket. A salted key is dealt by the chunk."""
@@ -236,13 +243,14 @@ def _segments(c: Chunked, messages: DataFrame, length: int) -> DataFrame:
         shared, salts = shared[order], salts[order]
         texts, chunk = docs["text"].take(rows).to_pylist(), docs["chunk"][0].as_py()
         ids = np.array(docs["doc_id"].take(rows).to_pylist(), dtype=np.int64)
+        tags = np.array([_tag(d) for d in docs["digest"].take(rows).to_pylist()], dtype=np.int64)
         found, pieces = [], []
         for doc, start, n, key in _runs(texts, length):
             brief = short(key, n_buckets)
             at = np.minimum(np.searchsorted(shared, brief), len(shared) - 1)
             hit = shared[at] == brief
             doc, start, n, key, at = doc[hit], start[hit], n[hit], key[hit], at[hit]
-            found.append((ids[doc], start, n + length - 1, key, salts[at]))
+            found.append((ids[doc], start + tags[doc], n + length - 1, key, salts[at]))
             pieces += [texts[d][s : s + k] for d, s, k in zip(doc.tolist(), start.tolist(), (n + length - 1).tolist())]
         if not pieces:
             return table(SEGMENTS, {k.split()[0]: [] for k in SEGMENTS.split(", ")})
@@ -353,7 +361,7 @@ def _whole(spans: list[tuple[int, int]], text: bytes) -> list[tuple[int, int]]:
 
 def repeated_bytes(docs: DataFrame, length: int = 50, whole_characters: bool = False, **sizes: int) -> DataFrame:
     """Byte spans of each row that repeat a document with a smaller doc_id: doc_id, n_bytes, spans (stop excluded),
-    kept (the other bytes).
+    kept (the other bytes), digest (MD5 of the row's text, which tells rows of one doc_id apart).
 
     A byte is in a span if a string of ``length`` bytes (29 at least) that covers it also starts in a document with a
     smaller doc_id; strings are judged on the input and never cross documents. Suffixes are needed to that depth only.
@@ -361,7 +369,8 @@ def repeated_bytes(docs: DataFrame, length: int = 50, whole_characters: bool = F
     share one, and consecutive windows mostly do. Keys that one document alone has are dropped; the others' windows
     travel to their bucket, whose suffixes are sorted one block of keys at a time. Keys of very many chunks are salted.
     Equal texts are told by their digest: all but the one with the smallest doc_id are spans as a whole if they have
-    ``length`` bytes. Rows that repeat id and text are one document. With whole_characters spans end between characters.
+    ``length`` bytes. Rows that repeat id and text are one document, rows of one
+    id with different texts keep what is theirs. With whole_characters spans end between characters.
     A null or empty text has no bytes. A null doc_id is neither smaller nor larger than another: nothing is removed from
     it or because of it. An empty table gives an empty one; other columns are left out.
     """
@@ -388,8 +397,10 @@ def repeated_bytes(docs: DataFrame, length: int = 50, whole_characters: bool = F
                 if own.get(d, i - 1) != i:  # the text is first elsewhere, under a smaller id
                     found = [(0, len(text))]
                 else:
+                    tag = _tag(d)
                     a, b = np.searchsorted(marks[:, 0], [i, i + 1])
-                    found = _cover(marks[a:b, 1], marks[a:b, 2], length)
+                    a, b = a + np.searchsorted(marks[a:b, 1], [tag, tag + TAG])
+                    found = _cover(marks[a:b, 1] - tag, marks[a:b, 2], length)
             if whole_characters:
                 found = _whole(found, text)
             left, rest = 0, []
@@ -400,6 +411,6 @@ def repeated_bytes(docs: DataFrame, length: int = 50, whole_characters: bool = F
             kept.append(b"".join(rest) + text[left:])
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         sizes = pa.array([len(t) for t in texts], pa.int64())
-        return pa.table({"doc_id": docs["doc_id"], "n_bytes": sizes, "spans": pa.array(spans, span), "kept": pa.array(kept, pa.binary())})
+        return pa.table({"doc_id": docs["doc_id"], "n_bytes": sizes, "spans": pa.array(spans, span), "kept": pa.array(kept, pa.binary()), "digest": docs["digest"]})
 
     return per_chunk(c.docs, marks.unionByName(c.first), work, RESULT)

@@ -1,10 +1,12 @@
 """The pipeline's stages, each on the rows the one before kept, against plain versions."""
 
 import math
+import random
 from collections import Counter
 
 import corpus_pipeline as pipeline
-from tallymill.llm import simhash_bk
+from pyspark.sql import functions as F
+
 from tallymill.llm.common import stored
 from tests.llm.conftest import rows_of
 from tests.llm.test_pairs import reached
@@ -12,21 +14,6 @@ from tests.llm.test_repeats import brute_bytes
 from tests.llm.test_texts import WORD, fill
 
 
-def plain_near_duplicates(rows):
-    """Ids that stay: all pairs of texts that share an anchor and differ in 13 bits at most are linked."""
-    prints = [simhash_bk.fingerprint((r["text"] or "").encode(), 5, 8) for r in rows]
-    pairs = [
-        (i, j) for i in range(len(rows)) for j in range(i)
-        if (prints[i][0] ^ prints[j][0]).bit_count() <= 13 and any(a == b for a, b in zip(prints[i][1], prints[j][1]))
-    ]
-    root = reached(len(rows), pairs)
-    least = {}
-    for r, c in zip(rows, root):
-        if r["doc_id"] is not None:
-            least[c] = min(r["doc_id"], least.get(c, r["doc_id"]))
-    return set(least.values())
-
-
 def test_stages(spark, sf_dir, given, odd):
     for docs in (given, odd):
         found = {}
@@ -42,7 +29,7 @@ def test_stages(spark, sf_dir, given, odd):
                 assert all(len([c for c in texts[i] or "" if c.isalpha()]) < 40 for i in gone if i is not None)
             if name == "simhash_bk":
                 ids = [r["doc_id"] for r in found[name] if r["doc_id"] is not None]
-                assert len(ids) == len(set(ids)) and set(ids) == plain_near_duplicates(before)
+                assert len(ids) == len(set(ids)) and set(ids) == exact_near_duplicates(before)
             if name == "suffix_blocks":
                 plain = {i: kept for i, _, kept in brute_bytes([(r["doc_id"], (r["text"] or "").encode()) for r in before], 50)}
                 for r in found[name]:
@@ -62,9 +49,11 @@ def test_stages(spark, sf_dir, given, odd):
                 for r in found[name]:
                     got = words(r["text"])
                     taken[r["source"]] += len(got)
-                    assert r["n_chars"] == len(r["text"]) and got
-                    assert r["doc_id"] is None or got == texts[r["doc_id"], r["source"]][: len(got)]
-                assert all(taken[s] == math.floor(goal[s] + 1e-6) for s in sizes)
+                    assert got and (r["doc_id"] is None or got == texts[r["doc_id"], r["source"]])
+                longest = Counter()
+                for (_, s), w in texts.items():
+                    longest[s] = max(longest[s], len(w))
+                assert all(abs(taken[s] - goal[s]) <= longest[s] / 2 + 1 for s in sizes)
             if name == "binary_packing":
                 assert len({r["sequence_id"] for r in found[name]}) == len(found[name])
                 assert Counter(r["doc_id"] for r in found[name] if r["start"] == 0) == Counter(r["doc_id"] for r in before)
@@ -109,3 +98,25 @@ def test_near_duplicates_are_those_of_the_exact_cosine(spark, given, odd):
         kept = [r["doc_id"] for r in rows_of(pipeline.near_duplicates(spark, docs, ""))]
         ids = [i for i in kept if i is not None]
         assert len(ids) == len(set(ids)) and set(ids) == exact_near_duplicates(rows_of(docs))
+
+
+def test_mixed_languages_stay_and_noise_goes(spark):
+    talk = {"en": "the cat and the dog with this that ", "de": "der hund und die katze mit einem nicht ", "ru": "это не кот и собака "}
+    rng = random.Random(5)
+    noise = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxyz") for _ in range(9)) for _ in range(80))
+    rows = [(i, t * 20, lang, "a", 1) for i, (lang, t) in enumerate(talk.items())]
+    rows += [(10, "".join(t * 6 for t in talk.values()), None, "a", 1), (11, noise, None, "a", 1), (12, "ภาษาไทย " * 9, None, "a", 1), (13, "12 34", None, "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model_rows = docs.filter("lang is not null").withColumn("doc_id", F.lit(0).cast("long"))
+    learned = docs.unionByName(model_rows)
+    kept = {r["doc_id"] for r in rows_of(pipeline.known_language(spark, learned, ""))}
+    assert kept == {0, 1, 2, 10}
+
+
+def test_rows_of_one_id_keep_their_own_texts(spark):
+    passage = "passage " * 12
+    rows = [(1, passage, "en", "a", 1), (2, "first " + passage + "one", "en", "a", 1), (2, passage + "other two", "en", "a", 1)]
+    assert len(rows[1][1]) == len(rows[2][1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = sorted(r["text"] for r in rows_of(pipeline.repeated_passages(spark, docs, "")) if r["doc_id"] == 2)
+    assert len(left) == 2 and left[0].startswith("first") and left[1].endswith("other two")
