@@ -17,8 +17,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose text has no letter, or no language that holds half of its letters. The model learns from two
-    of three documents that have a lang."""
+    """Documents go whose text has no letter, or letters that fit no language that the model learned; texts in several
+    languages stay. The model learns from two of three documents that have a lang."""
     model = language_spans.train(docs.filter(language_spans.remainder(3) != 1))
     return language_spans.keep_known(docs.select(COLUMNS), model)
 
@@ -26,19 +26,17 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest doc_id. Near are texts
     whose counts of five-word shingles have a cosine of 0.8; fingerprints within 24 of 64 bits are candidates."""
-    return simhash_bk.keep_one(docs.select(COLUMNS), width=5, radius=24, anchors=8, cosine=0.8)
+    return simhash_bk.keep_one(docs.select(COLUMNS), width=5, radius=24, anchors=16, cosine=0.8)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes that a document with a smaller doc_id has leave the texts, whole characters at a time. A text
     of which nothing is left goes, unless it was empty before."""
     found = suffix_blocks.repeated_bytes(docs.select("doc_id", "text"), length=50, whole_characters=True)
-    cut = found.filter(F.size("spans") > 0).select("doc_id", "n_bytes", F.col("kept").cast("string").alias("_kept"), F.size("spans").alias("_n"))
+    cut = found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("kept").cast("string").alias("_kept"), F.size("spans").alias("_n"))
     # rows that repeat id and text get equal answers
-    cut = cut.dropDuplicates(["doc_id", "n_bytes"]).withColumnRenamed("doc_id", "_id")
-    joined = docs.select(COLUMNS).join(
-        cut, (F.col("doc_id") == F.col("_id")) & (F.octet_length("text") == F.col("n_bytes")), "left"
-    )
+    cut = cut.dropDuplicates(["_id", "_digest"])
+    joined = docs.select(COLUMNS).join(cut, (F.col("doc_id") == F.col("_id")) & (F.unhex(F.md5("text")) == F.col("_digest")), "left")
     text = F.when(F.col("_n") > 0, F.col("_kept")).otherwise(F.col("text"))
     return (
         joined.withColumn("text", text)
@@ -49,8 +47,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each time the mix takes a document, in order of training positions. Where it takes only the first words
-    of it, the text ends after them. Documents that it does not take go."""
+    """One row for each time the mix takes a document, in order of training positions. A document in which a source's target
+    ends is taken whole if at least half of it lies before the end, else not at all. Documents that it does not take go."""
     keyed = docs.select(COLUMNS).withColumn("_key", F.xxhash64("doc_id", "text", "source"))
     mixed = curriculum.mix(keyed.select(F.col("_key").alias("doc_id"), "text", "source"))
     times = mixed.select(
@@ -62,24 +60,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 F.struct(F.col("taken_again").alias("_taken"), F.col("position_again").alias("_position")),
             )
         ),
-    ).filter("_taken > 0")
+    ).filter("_taken > 0 and 2 * _taken >= _size")
     rows = keyed.dropDuplicates(["_key"]).join(times, "_key")
-    blank = r"[\x20\x09-\x0D]+"
-    # the rest after the last word taken; a blank at the start makes one part more
-    parts = F.split("text", F.lit(blank), (F.col("_taken") + 1 + F.regexp_like("text", F.lit("^" + blank)).cast("long")).cast("int"))
-    head = F.substring("text", F.lit(1), F.length("text") - F.length(F.element_at(parts, -1)))
-    return (
-        rows.withColumn("text", F.when(F.col("_taken") < F.col("_size"), F.rtrim(head)).otherwise(F.col("text")))
-        .withColumn("n_chars", F.length("text").cast("long"))
-        .repartitionByRange("_position", "_key")
-        .sortWithinPartitions("_position", "_key")
-        .select(COLUMNS)
-    )
+    return rows.repartitionByRange("_position", "_key").sortWithinPartitions("_position", "_key").select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences, with their token ids."""
-    return binary_packing.pack(binary_packing.pieces(docs, tokenizer_path()))
+    return binary_packing.pack(binary_packing.pieces(docs, tokenizer_path()), exchange=False)
 
 
 STAGES = [
