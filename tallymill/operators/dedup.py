@@ -48,7 +48,8 @@ def judge_messages(
     scope: list[str] | None = None,
 ) -> DataFrame:
     """Matched rows with ``kept`` and the logged ``reason``. The rows carry ``id, user_id, body, rule_id,
-    amount, txn_date, account_number_masked, ref_number, ref_type`` and the ``order`` columns.
+    amount, txn_date, account_number_masked, ref_number, ref_type`` and the ``order`` columns. Nothing is compared across
+    ``scope``, one user by default; ids are unique in a scope only. Rows of a scope with equal ``order`` columns arrive as one.
 
     First the repeats of a reference or text go (first kept). Then, among rows with equal amount, date and
     account, the highest rule priority stays, the earliest on ties. The log names the arriving message: a
@@ -60,18 +61,19 @@ def judge_messages(
     ranks = F.create_map(*[F.lit(x) for pair in priority.items() for x in pair])
     arrival = F.struct(*order)
     rows = (
-        matched.withColumn("_key", repeat_key())
+        # a null is a value of its own here, and joins like one
+        matched.withColumn("_scope", F.to_json(F.struct(*scope)) if scope else F.lit(""))
+        .withColumn("_key", F.coalesce(repeat_key(), F.lit("none")))
         .withColumn("_arrival", arrival)
         .withColumn("_priority", F.coalesce(F.try_element_at(ranks, F.col("rule_id")), F.lit(UNKNOWN_PRIORITY)))
     )
-    # a partial aggregate finds the first row of a key, so a hot key is reduced before the shuffle
-    firsts = rows.groupBy(*scope, "_key").agg(F.min_by("id", "_arrival").alias("id"))
-    marked = rows.join(firsts.select("id", F.lit(True).alias("_first")), "id", "left")
-    repeat = F.when(
-        F.col("_first").isNull(),
-        F.when(F.col("ref_type") == "upi_rrn", "duplicate_rrn").otherwise("duplicate_body"),
-    )
-    same = [*scope, "amount", "txn_date", "account_number_masked"]
+    # a partial aggregate finds the first arrival of a key, so a hot key is reduced before the shuffle
+    key = ["_scope", "_key"]
+    firsts = rows.groupBy(*key).agg(F.min("_arrival").alias("_first_at"), F.count("*").alias("_n")).filter("_n > 1")
+    marked = attach(rows, firsts, key, "_arrival").withColumn("_first", F.coalesce(F.col("_first_at") == F.col("_arrival"), F.lit(True)))
+    marked = marked.drop("_n", "_first_at")
+    repeat = F.when(~F.col("_first"), F.when(F.col("ref_type") == "upi_rrn", "duplicate_rrn").otherwise("duplicate_body"))
+    same = ["_scope", "amount", "txn_date", "account_number_masked"]
     complete = F.col("_first") & F.col("account_number_masked").isNotNull() & F.col("amount").isNotNull()
     # The holder's priority when a row arrives is the running maximum before it. Priorities are few, so
     # the first arrival at each priority is all that has to be known per group.
@@ -85,7 +87,7 @@ def judge_messages(
         )
         .filter("_n > 1")
     )
-    joined = attach(marked, holders, same, "id")
+    joined = attach(marked, holders, same, "_arrival")
     before = [F.when(F.col(f"_at_{i}") < F.col("_arrival"), F.lit(p)) for i, p in enumerate(levels)]
     survivor = F.coalesce(*[F.col(f"_at_{i}") for i in reversed(range(len(levels)))])
     holder = F.greatest(*before)

@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallymill.functions import extract as X
 from tallymill.functions.text import BLANKS
 from tallymill.operators.parse import signed
 from tallymill.schemas import MODEL_ANSWER, REVIEW_FLOOR
 
-CORRUPT = "_corrupt_record"
-
 
 def escalations(staged: DataFrame) -> DataFrame:
     """Queue of messages that passed the filter without a rule match."""
@@ -29,33 +26,41 @@ def candidate_report(staged: DataFrame) -> DataFrame:
 
 
 def parse_answer(text: Column) -> Column:
-    """Model answer text to its fields; code fences are stripped, broken text gives null."""
+    """Model answer text to its fields; code fences are stripped. Any JSON object is an answer, and each field of it is read by
+    itself: a number in quotes is a number, and a field that cannot be read is null without harm to the others. Text that is
+    no object gives null."""
     trimmed = F.btrim(text, F.lit(BLANKS))
     bare = F.regexp_replace(F.regexp_replace(trimmed, r"(?i)^```(?:json)?\s*", ""), r"\s*```\z", "")
     clean = F.btrim(bare, F.lit(BLANKS))
-    schema = T.StructType([*MODEL_ANSWER.fields, T.StructField(CORRUPT, T.StringType())])
-    parsed = F.from_json(clean, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    sound = clean.startswith("{") & parsed[CORRUPT].isNull()
-    return F.when(sound, parsed.dropFields(CORRUPT))
+    parsed = F.try_parse_json(clean)
+    fields = [F.try_variant_get(parsed, f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in MODEL_ANSWER.fields]
+    return F.when(clean.startswith("{") & parsed.isNotNull(), F.struct(*fields))
 
 
-def parsed_answers(answers: DataFrame) -> DataFrame:
-    """``answers(id, text)`` with the parsed ``answer``."""
-    return answers.withColumn("answer", parse_answer(F.col("text")))
+def last_answers(answers: DataFrame) -> DataFrame:
+    """``(user_id, id, answer)``: one for each message of a user, the last by ``answered_at`` if there is such a column, ties and
+    all others by text."""
+    order = [F.col("answered_at")] if "answered_at" in answers.columns else []
+    last = answers.groupBy("user_id", "id").agg(F.max_by(F.struct("text"), F.struct(*order, "text")).alias("_last"))
+    return last.select("user_id", "id", parse_answer(F.col("_last.text")).alias("answer"))
 
 
 def merge_answers(queue: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(rows, discards, failures)``: ledger-shaped rows of real answers, the ids called promotional, and the ids of the
-    queue whose answer is missing, is no object, or lacks amount or direction, with which of these it is."""
-    joined = queue.join(parsed_answers(answers).select("id", "answer", F.lit(True).alias("_answered")), "id", "left")
+    """``(rows, discards, failures)``: ledger-shaped rows of real answers, the messages called promotional, and the messages of
+    the queue whose answer is missing, is no object, or lacks amount or direction, with which of these it is.
+
+    ``answers(user_id, id, text)``, with ``answered_at`` if several can come for a message: the last counts. Ids are those of a
+    device, so users share them, and an answer belongs to one user's message."""
+    found = last_answers(answers).select(F.col("user_id").alias("_user"), F.col("id").alias("_id"), "answer", F.lit(True).alias("_answered"))
+    joined = queue.join(found, F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("id") == F.col("_id")), "left").drop("_user", "_id")
     promotional = F.coalesce(F.col("answer.is_promotional"), F.lit(False))
-    discards = joined.filter(promotional).select("id", F.lit("promotional").alias("reason"))
+    discards = joined.filter(promotional).select("user_id", "id", F.lit("promotional").alias("reason"))
     failure = (
         F.when(F.col("_answered").isNull(), "no_answer")
         .when(F.col("answer").isNull(), "broken")
         .when(~promotional & (F.col("answer.amount").isNull() | F.col("answer.direction").isNull()), "incomplete")
     )
-    failures = joined.select("id", failure.alias("reason")).filter("reason IS NOT NULL")
+    failures = joined.select("user_id", "id", failure.alias("reason")).filter("reason IS NOT NULL")
     real = joined.filter(~promotional & F.col("answer.amount").isNotNull() & F.col("answer.direction").isNotNull())
     day = F.to_date(F.timestamp_millis("date"))
     fields = real.select("id", "user_id", "body", day.alias("_day"), "answer.*").withColumn(

@@ -154,17 +154,18 @@ PAIRS = f"""{LEDGER}, legs AS (SELECT * FROM l WHERE NOT is_infrastructure AND N
   best AS (SELECT id, user_id, count(*) FILTER (WHERE open) OVER (PARTITION BY id) AS candidates, tier, partner_id,
     row_number() OVER (PARTITION BY id ORDER BY tier, seen_at, partner_id) AS rn FROM p)"""
 
-LINES = """r AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS id, CAST(l_suppkey AS VARCHAR) AS user_id,
+LINES = """r1 AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS id, CAST(l_suppkey AS VARCHAR) AS user_id,
   CAST(l_partkey AS VARCHAR) AS part, l_orderkey % 2 = 0 AS has_ref, l_quantity AS amount,
   date_trunc('month', l_shipdate) AS txn_date, CASE WHEN l_linenumber < 6 THEN l_suppkey % 3 END AS account,
-  CASE l_linenumber WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 3 END AS priority, l_shipdate AS seen_at FROM lineitem),
+  CASE l_linenumber WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 3 END AS priority, l_shipdate AS seen_at, l_orderkey % 10 = 0 AS twin FROM lineitem),
+  r AS (SELECT * FROM r1 UNION ALL SELECT * REPLACE ('twin-' || user_id AS user_id) FROM r1 WHERE twin),
   k1 AS (SELECT *, row_number() OVER (PARTITION BY user_id, has_ref, part ORDER BY seen_at, id) AS nth FROM r),
   k2 AS (SELECT *, max(priority) OVER (PARTITION BY user_id, amount, txn_date, account ORDER BY seen_at, id
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS holder,
     row_number() OVER (PARTITION BY user_id, amount, txn_date, account ORDER BY priority DESC, seen_at, id) AS place
     FROM k1 WHERE nth = 1 AND account IS NOT NULL),
-  logged AS (SELECT id, CASE WHEN has_ref THEN 'duplicate_rrn' ELSE 'duplicate_body' END AS reason FROM k1 WHERE nth > 1
-    UNION ALL SELECT id, CASE WHEN priority > holder THEN 'contra_replaced_existing' ELSE 'contra_lower_priority' END
+  logged AS (SELECT user_id, id, CASE WHEN has_ref THEN 'duplicate_rrn' ELSE 'duplicate_body' END AS reason FROM k1 WHERE nth > 1
+    UNION ALL SELECT user_id, id, CASE WHEN priority > holder THEN 'contra_replaced_existing' ELSE 'contra_lower_priority' END
     FROM k2 WHERE holder IS NOT NULL)"""
 
 # --- text over documents -----------------------------------------------------------------------
@@ -297,9 +298,9 @@ def all_oracles() -> dict[str, str]:
     o["channel_detect"] = f"""SELECT doc_id, CASE WHEN doc_id % {len(CHANNEL)} > 0 AND regexp_matches(text[:length(text) // 2] || chr(10) || text[length(text) // 2 + 1:], '(?i)\\b(?:NACH|ECS)\\b') THEN 'NACH'
       ELSE {expected('channel_detect')} END AS channel FROM documents"""
     # deduplication, duplicates, transfers
-    o["dedup_reference_or_body"] = f"WITH {LINES} SELECT id, reason FROM logged WHERE reason LIKE 'duplicate%'"
-    o["dedup_priority"] = f"""WITH {LINES} SELECT id, 'kept' AS verdict FROM k1 WHERE nth = 1 AND account IS NULL
-      UNION ALL SELECT id, 'kept' FROM k2 WHERE place = 1 UNION ALL SELECT id, reason FROM logged WHERE reason LIKE 'contra%'"""
+    o["dedup_reference_or_body"] = f"WITH {LINES} SELECT user_id, id, reason FROM logged WHERE reason LIKE 'duplicate%'"
+    o["dedup_priority"] = f"""WITH {LINES} SELECT user_id, id, 'kept' AS verdict FROM k1 WHERE nth = 1 AND account IS NULL
+      UNION ALL SELECT user_id, id, 'kept' FROM k2 WHERE place = 1 UNION ALL SELECT user_id, id, reason FROM logged WHERE reason LIKE 'contra%'"""
     o["dedup_by_reason"] = f"WITH {LINES} SELECT reason, count(*) AS n FROM logged GROUP BY 1"
     o["duplicate_flags"] = f"WITH {FLAGS} SELECT * FROM flagged WHERE possible_duplicate_of IS NOT NULL"
     o["duplicate_decisions"] = f"""WITH {FLAGS}, d AS (SELECT CASE WHEN duplicate_confidence < 0.9 THEN 'approved' ELSE status END AS status,
@@ -364,10 +365,11 @@ def all_oracles() -> dict[str, str]:
         CAST(abs(amount) - 1 AS DOUBLE), id, false, true FROM s WHERE cut"""
     o["editor_options"] = f"""WITH {LEDGER} SELECT type, upper(category[1]) || category[2:] AS category, count(*) AS n,
       count(*) FILTER (WHERE type = 'Expense' AND category = 'shopping') AS known FROM l GROUP BY 1, 2"""
-    o["llm_answers"] = f"""SELECT CAST(o_orderkey AS VARCHAR) AS id, 'row' AS outcome, -round(o_totalprice, 2) AS amount, 'North "Mart"' AS merchant,
-      CAST(o_orderdate AS DATE) AS txn_date, CASE WHEN o_custkey % 2 = 0 AND o_totalprice < 5000 THEN 'approved' ELSE 'pending_review' END AS status
-      FROM orders WHERE o_orderkey % 4 < 2 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'promotional', NULL, NULL, NULL, NULL FROM orders WHERE o_orderkey % 4 = 2
-      UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'broken', NULL, NULL, NULL, NULL FROM orders WHERE o_orderkey % 4 = 3"""
+    o["llm_answers"] = f"""WITH z AS (SELECT side || CAST(o_custkey AS VARCHAR) AS user_id, CAST(o_orderkey AS VARCHAR) AS id, (o_orderkey + n) % 4 AS shape, * EXCLUDE (n)
+        FROM orders, (VALUES ('a', 0), ('b', 1)) AS s(side, n))
+      SELECT user_id, id, 'row' AS outcome, -round(o_totalprice, 2) AS amount, 'North "Mart"' AS merchant, CAST(o_orderdate AS DATE) AS txn_date,
+        CASE WHEN o_custkey % 2 = 0 AND o_totalprice < 5000 THEN 'approved' ELSE 'pending_review' END AS status, CAST(NULL AS DOUBLE) AS confidence FROM z WHERE shape < 2
+      UNION ALL SELECT user_id, id, CASE shape WHEN 2 THEN 'promotional' ELSE 'broken' END, NULL, NULL, NULL, NULL, NULL FROM z WHERE shape >= 2"""
     # streams give the batch results
     o["stream_parse"] = f"WITH {V} SELECT stage, count(*) AS n, CAST(sum(CAST(amount AS DECIMAL(38,2))) AS DOUBLE) AS amount FROM v GROUP BY 1"
     o["stream_dedup"] = f"""WITH {V}, r AS (SELECT DISTINCT u, rule, CASE WHEN n IN (4, 19, 25, 26) THEN rrn ELSE CAST(k AS VARCHAR) END AS key FROM v WHERE stage = 'matched')

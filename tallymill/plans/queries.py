@@ -132,14 +132,14 @@ def review_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedup_reference_or_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = dedup.judge_messages(S.matches_from_lineitem(spark, sf_dir))
-    return judged.filter("reason LIKE 'duplicate%'").select("id", "reason")
+    return judged.filter("reason LIKE 'duplicate%'").select("user_id", "id", "reason")
 
 
 def dedup_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kept rows and the priority log; a row that replaced another is in both."""
     judged = dedup.judge_messages(S.matches_from_lineitem(spark, sf_dir))
     verdicts = "array_compact(array(CASE WHEN kept THEN 'kept' END, CASE WHEN reason LIKE 'contra%' THEN reason END))"
-    return judged.selectExpr("id", f"explode({verdicts}) AS verdict")
+    return judged.selectExpr("user_id", "id", f"explode({verdicts}) AS verdict")
 
 
 def dedup_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,27 +341,30 @@ def page_submit_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model answers in every shape (plain, fenced, promotional, broken) written from order rows."""
+    """Model answers in every shape (plain, fenced, promotional, broken, with a quoted amount, lists for text) written from order
+    rows. Two users share each id and get different answers; one user's message was answered before, otherwise."""
+    both = S.load(spark, sf_dir, "orders").selectExpr("*", "explode(array('a', 'b')) AS side").selectExpr(
+        "CAST(o_orderkey AS string) AS id", "concat(side, o_custkey) AS user_id", "o_orderkey + CAST(side = 'b' AS int) AS shape", "*"
+    )
     body = (
         "concat('{\"is_promotional\": false, \"direction\": \"debit\", \"amount\": ', "
-        "format_string('%.2f', o_totalprice), ', \"merchant\": \"North \\\\\"Mart\\\\\"\", \"account_number_masked\": ', "
-        "CASE WHEN o_custkey % 2 = 0 THEN '\"1234\"' ELSE 'null' END, ', \"txn_date\": \"2024-02-3', o_orderkey % 3, '\"}')"
+        "CASE side WHEN 'a' THEN format_string('%.2f', o_totalprice) ELSE format_string('\"%.2f\"', o_totalprice) END, "
+        "', \"merchant\": \"North \\\\\"Mart\\\\\"\", \"confidence\": [], \"extra\": {}, \"account_number_masked\": ', "
+        "CASE WHEN o_custkey % 2 = 0 THEN '1234' ELSE 'null' END, ', \"txn_date\": \"2024-02-3', o_orderkey % 3, '\"}')"
     )
     fence = "concat('```json\\n', " + body + ", '\\n```')"
-    answers = S.load(spark, sf_dir, "orders").selectExpr(
-        "CAST(o_orderkey AS string) AS id",
-        f"CASE o_orderkey % 4 WHEN 0 THEN {body} WHEN 1 THEN {fence} "
+    last = both.selectExpr(
+        "user_id", "id", "2 AS answered_at",
+        f"CASE shape % 4 WHEN 0 THEN {body} WHEN 1 THEN {fence} "
         "WHEN 2 THEN '{\"is_promotional\": true}' ELSE concat('sorry, ', o_orderkey) END AS text",
     )
-    queue = S.load(spark, sf_dir, "orders").selectExpr(
-        "CAST(o_orderkey AS string) AS id", "CAST(o_custkey AS string) AS user_id", "'x' AS body",
-        "unix_millis(CAST(to_date(o_orderdate) AS timestamp)) AS date",
-    )
-    rows, discards, failures = escalation.merge_answers(queue, answers)
+    earlier = both.filter("side = 'b'").selectExpr("user_id", "id", "1 AS answered_at", "'{\"is_promotional\": true}' AS text")
+    queue = both.selectExpr("id", "user_id", "'x' AS body", "unix_millis(CAST(to_date(o_orderdate) AS timestamp)) AS date")
+    rows, discards, failures = escalation.merge_answers(queue, earlier.unionByName(last))
     return rows.select(
-        F.col("raw_sms_id").alias("id"), F.lit("row").alias("outcome"), F.col("amount").cast("double").alias("amount"),
-        "merchant", "txn_date", "status",
-    ).unionByName(discards.unionByName(failures).select("id", F.col("reason").alias("outcome")), allowMissingColumns=True)
+        "user_id", F.col("raw_sms_id").alias("id"), F.lit("row").alias("outcome"), F.col("amount").cast("double").alias("amount"),
+        "merchant", "txn_date", "status", "confidence",
+    ).unionByName(discards.unionByName(failures).select("user_id", "id", F.col("reason").alias("outcome")), allowMissingColumns=True)
 
 
 def category_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:

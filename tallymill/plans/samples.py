@@ -155,10 +155,14 @@ def ledger_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matches_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rule matches with repeated references, texts and values: one per line item."""
-    return load(spark, sf_dir, "lineitem").selectExpr(
+    """Rule matches with repeated references, texts and values: one per line item. Every tenth order is in two inboxes, under
+    equal ids."""
+    lines = load(spark, sf_dir, "lineitem").selectExpr(
+        "*", "explode(CASE WHEN l_orderkey % 10 = 0 THEN array('', 'twin-') ELSE array('') END) AS inbox"
+    )
+    return lines.selectExpr(
         "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS bigint)) AS id",
-        "CAST(l_suppkey AS string) AS user_id",
+        "concat(inbox, l_suppkey) AS user_id",
         "concat('  item ', l_partkey, ' ') AS body",
         "CASE l_linenumber WHEN 1 THEN 'GENERIC_DEBIT' WHEN 2 THEN 'GENERIC_CREDIT' ELSE 'CASH_DEPOSIT' END AS rule_id",
         "CAST(l_quantity AS decimal(38,2)) AS amount",

@@ -139,9 +139,23 @@ def test_stored_balance_of_the_same_day_stays(spark):
 
 def test_broken_and_fenced_answers(spark):
     texts = ['{"is_promotional": true}', '```json\n{"amount": 5.5, "direction": "debit"}\n```', "sorry", '{"amount": ', None]
-    frame = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string")
-    got = [r.answer for r in escalation.parsed_answers(frame).orderBy("id").collect()]
-    assert got[0].is_promotional and got[1].amount == 5.5 and got[2:] == [None, None, None]
+    texts += ['{"amount": "12.50", "merchant": 7, "confidence": "high", "possible_contra": "true", "other": [1]}', "[1]", "{}"]
+    frame = spark.createDataFrame([("u", str(i), t) for i, t in enumerate(texts)], "user_id string, id string, text string")
+    got = [r.answer for r in escalation.last_answers(frame).orderBy("id").collect()]
+    assert got[0].is_promotional and got[1].amount == 5.5 and got[2:5] == [None, None, None] == [None, got[6], None]
+    # wrongly typed fields are read if they can be, and harm no other
+    assert (got[5].amount, got[5].merchant, got[5].confidence, got[5].possible_contra) == (12.5, "7", None, True)
+    assert set(got[7].asDict().values()) == {None}
+
+
+def test_answers_belong_to_one_user_and_the_last_counts(spark):
+    real = '{"amount": %s, "direction": "debit"}'
+    given = [("u", "1", 2, real % 5), ("u", "1", 1, "sorry"), ("v", "1", 1, real % 7), ("v", "1", 2, '{"is_promotional": true}'), (None, "1", 1, real % 9)]
+    answers = spark.createDataFrame(given, "user_id string, id string, answered_at int, text string")
+    queue = spark.createDataFrame([(u, "1", "x", 0) for u in ("u", "v", "w", None)], "user_id string, id string, body string, date long")
+    rows, discards, failures = escalation.merge_answers(queue, answers)
+    assert sorted((r.user_id or "", float(r.amount)) for r in rows.collect()) == [("", -9.0), ("u", -5.0)]
+    assert [r.user_id for r in discards.collect()] == ["v"] and [(r.user_id, r.reason) for r in failures.collect()] == [("w", "no_answer")]
 
 
 def test_dedup_log_names_the_arriving_message(spark):
@@ -159,6 +173,19 @@ def test_dedup_log_names_the_arriving_message(spark):
     }
 
 
+def test_users_share_message_ids(spark):
+    """Two inboxes with the same ids: nothing is compared across them, and no row is doubled. A null user is one too."""
+    def inbox(user):
+        return [("1", user, "x", "CASH_DEPOSIT", 5.0, "d", "1", None, None, 1), ("2", user, "x", "CASH_DEPOSIT", 6.0, "d", "1", None, None, 2)]
+
+    rows = spark.createDataFrame(
+        [r for u in ("u", "v", None) for r in inbox(u)] + [("2", "w", "x", "GENERIC_DEBIT", 5.0, "d", "1", None, None, 9)],
+        "id string, user_id string, body string, rule_id string, amount double, txn_date string, account_number_masked string, ref_number string, ref_type string, date int",
+    )
+    got = sorted((r.user_id or "", r.id, r.kept, r.reason) for r in dedup.judge_messages(rows).collect())
+    assert got == [x for u in ("", "u", "v") for x in ((u, "1", True, None), (u, "2", False, "duplicate_body"))] + [("w", "2", True, None)]
+
+
 def test_splits_must_add_up(spark):
     ledger = spark.createDataFrame([("1", decimal.Decimal("-10.00"))], "id string, amount decimal(38,2)")
     line = lambda a: (decimal.Decimal(a), "Investment", "Equity", "Sell", None)
@@ -224,7 +251,7 @@ def test_stored_infrastructure_rows_of_a_reference_are_affected(spark):
 
 def test_every_queued_message_has_one_outcome(spark):
     texts = ['{"is_promotional": true}', '{"amount": 5.5, "direction": "debit"}', "sorry", '{"amount": 5}']
-    answers = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string")
+    answers = spark.createDataFrame([("u", str(i), t) for i, t in enumerate(texts)], "user_id string, id string, text string")
     queue = spark.createDataFrame([(str(i), "u", "x", 0) for i in range(5)], "id string, user_id string, body string, date long")
     rows, discards, failures = escalation.merge_answers(queue, answers)
     assert [r.raw_sms_id for r in rows.collect()] == ["1"] and [r.id for r in discards.collect()] == ["0"]
