@@ -130,7 +130,7 @@ MAX_DEPTH = 5
 ISLAND = [*GROUP, "island"]
 REPLAY_COLUMNS = [
     *ISLAND, "id", "account_id", "txn_date", "sign", "ref_number", "status", "is_new", "is_infrastructure",
-    "is_contra", "is_deleted", "possible_contra_of", "txn_group_id", "created_at",
+    "is_contra", "is_deleted", "possible_contra_of", "txn_group_id", "created_at", "same_ref",
 ]
 REPLAY_SCHEMA = (
     "user_id string, magnitude decimal(38,2), island date, id string, status string, is_contra boolean, "
@@ -145,37 +145,59 @@ def pair_group_id(one: str, two: str) -> str:
 
 
 class _Replay:
-    """State of one group while its new rows arrive in order. Rows are plain dicts keyed by column.
+    """State of one group while its rows arrive in order, stored ones first. Rows are plain dicts keyed by column.
 
-    A cell holds the rows of one pool, sign, day and account in order; ``refs`` has such cells for each reference too, so
-    that a search looks at one head for each account of three days, however many rows a reference has.
+    A cell holds the rows of one pool, sign, day and account that can come to be its first row. A row leaves that place only as
+    a transfer, which takes an opposite row of the same reference, so behind a row without one (``same_ref``) no row is
+    held: a cell has the rows with ``same_ref`` at its front, and one more. ``refs`` has such cells for each reference,
+    ``twins`` those with infrastructure rows. Of all others only those are held that are linked.
     """
 
-    def __init__(self, records: list[dict], duplicates: bool) -> None:
+    def __init__(self, duplicates: bool) -> None:
         self.duplicates = duplicates
-        self.rows = {r["id"]: r for r in records}
+        self.rows: dict[str, dict] = {}
         self.cells: dict[tuple, list[dict]] = {}
         self.accounts: dict[tuple, set] = {}
         self.refs: dict[tuple, dict] = {}
         self.twins: dict[tuple, list[dict]] = {}
-        for r in records:
-            r.update(possible_duplicate_of=None, duplicate_ref=None, matched_at=None, pair_reason=None)
-            if not r["is_new"]:
-                self.insert(r)
-
-    def insert(self, r: dict) -> None:
-        if r["is_deleted"]:
-            return
+
+    def take(self, r: dict) -> bool:
+        """Let a row in. True if nothing can change it any more, then it is not held."""
+        r.update(possible_duplicate_of=None, duplicate_ref=None, matched_at=None, pair_reason=None)
+        if r["is_new"]:
+            held = self.arrive(r)
+        else:
+            held = self.insert(r)
+        held = held or (r["possible_contra_of"] is not None and r["pair_reason"] != "history")
+        if held:
+            self.rows[r["id"]] = r
+        return not held
+
+    def insert(self, r: dict) -> bool:
+        """Whether the row has a place in a cell."""
+        if r["is_deleted"] or r["is_contra"]:
+            return False
         pool = "reviewed" if r["status"] == "user_reviewed" else "active"
         cell = (pool, r["sign"], r["txn_date"], r["account_id"])
-        bisect.insort(self.twins.setdefault(cell, []), r, key=self.order)
+        held = self.queue(self.twins.setdefault(cell, []), r)
         if r["is_infrastructure"]:
-            return
-        bisect.insort(self.cells.setdefault(cell, []), r, key=self.order)
+            return held
+        held |= self.queue(self.cells.setdefault(cell, []), r)
         self.accounts.setdefault((pool, r["sign"], r["txn_date"]), set()).add(r["account_id"])
-        if r["ref_number"] is not None and pool == "active":
+        if r["same_ref"] and pool == "active":
             by_account = self.refs.setdefault((r["sign"], r["ref_number"], r["txn_date"]), {})
-            bisect.insort(by_account.setdefault(r["account_id"], []), r, key=self.order)
+            held |= self.queue(by_account.setdefault(r["account_id"], []), r)
+        return held
+
+    @classmethod
+    def queue(cls, cell: list[dict], r: dict) -> bool:
+        at = bisect.bisect(cell, cls.order(r), key=cls.order)
+        if at and not cell[at - 1]["same_ref"]:
+            return False
+        cell.insert(at, r)
+        if not r["same_ref"]:
+            del cell[at + 1 :]
+        return True
 
     @staticmethod
     def order(r: dict) -> tuple:
@@ -202,7 +224,7 @@ class _Replay:
         return cell[0] if cell else None
 
     def choose(self, r: dict) -> tuple[dict | None, int]:
-        if r["ref_number"] is not None:
+        if r["same_ref"]:
             same = []
             for shift in (-1, 0, 1):
                 day = r["txn_date"] + dt.timedelta(days=shift)
@@ -215,13 +237,17 @@ class _Replay:
         found = self.first("active", r)
         return (found, 2) if found is not None else (self.first("reviewed", r), 3)
 
-    def arrive(self, r: dict) -> None:
+    def arrive(self, r: dict) -> bool:
         definitional = r["is_contra"]
         if self.duplicates and not definitional and not r["is_deleted"]:
             self.mark_duplicate(r)
-        self.insert(r)
+        held = self.insert(r)
         if not definitional and not r["is_deleted"]:
+            self.rows[r["id"]] = r  # it can be displaced while it looks for a partner
             self.pair(r, 0, r["created_at"])
+            if not held:
+                del self.rows[r["id"]]
+        return held
 
     def mark_duplicate(self, r: dict) -> None:
         for pool in ("active", "reviewed"):
@@ -256,17 +282,18 @@ class _Replay:
                 r["possible_contra_of"], r["pair_reason"] = None, None
 
 
-def replay_group(records: list[dict], duplicates: bool = True) -> list[dict]:
-    """Insert the new rows of one group in order, flagging repeats and pairing legs after each insert."""
-    state = _Replay(records, duplicates)
+def replay_group(records: Iterator[dict], duplicates: bool = True) -> Iterator[dict]:
+    """Let the rows of one group in, in order, flagging repeats and pairing legs after each new one. Rows come out as soon as
+    nothing can change them; stored rows that are not held come out not at all."""
+    state = _Replay(duplicates)
     for r in records:
-        if r["is_new"]:
-            state.arrive(r)
-    return records
+        if state.take(r) and r["is_new"]:
+            yield r
+    yield from state.rows.values()
 
 
 def _replay_batches(batches: Iterator[pd.DataFrame], duplicates: bool) -> Iterator[pd.DataFrame]:
-    """Replay groups off a stream of rows sorted by group, time and id; one group is held at a time."""
+    """Replay groups off a stream of rows sorted by group, stored rows first, time and id."""
 
     def rows() -> Iterator[dict]:
         for batch in batches:
@@ -276,67 +303,102 @@ def _replay_batches(batches: Iterator[pd.DataFrame], duplicates: bool) -> Iterat
 
     done: list[dict] = []
     for _, group in itertools.groupby(rows(), key=lambda r: tuple(r[c] for c in ISLAND)):
-        done.extend(replay_group(list(group), duplicates))
-        if len(done) >= 10_000:
-            yield pd.DataFrame(done, columns=RESULT_COLUMNS)
-            done = []
+        for r in replay_group(group, duplicates):
+            done.append(r)
+            if len(done) >= 10_000:
+                yield pd.DataFrame(done, columns=RESULT_COLUMNS)
+                done = []
     if done:
         yield pd.DataFrame(done, columns=RESULT_COLUMNS)
 
 
 def _replayed(rows: DataFrame, duplicates: bool) -> DataFrame:
-    keyed = rows.select(*REPLAY_COLUMNS).repartition(*ISLAND).sortWithinPartitions(*ISLAND, "created_at", "id")
+    keyed = rows.select(*REPLAY_COLUMNS).repartition(*ISLAND).sortWithinPartitions(*ISLAND, "is_new", "created_at", "id")
     return keyed.mapInPandas(lambda batches: _replay_batches(batches, duplicates), REPLAY_SCHEMA)
 
 
-def _with_islands(ledger: DataFrame, is_new: Column) -> DataFrame:
-    """Rows with their island: the first day of a run of days without a gap.
+def _flip(cells: DataFrame, **names: str) -> DataFrame:
+    """Cells as seen from the opposite side: by the day that a seeker looks at."""
+    return cells.withColumnsRenamed({"txn_date": "_day", **names}).withColumn("sign", -F.col("sign"))
+
 
-    Nothing in the pairing reaches beyond one user, magnitude and island. Islands are found on distinct
-    days, so the ordered window sees one row per day and not one per transaction.
+def _cells_to_settle(rows: DataFrame) -> DataFrame:
+    """One row for each cell of which something can happen to a row.
+
+    ``_open`` cells have an opposite row of another account within a day that acts or can be chosen as an active row: their
+    outcome depends on the order of all of them. In the others no row is ever paired, so no first row changes: a new row
+    repeats the first one of its cell, stored or earlier (``_old``, ``_fresh``, ``_done``: active and stored, active and
+    new, reviewed), and its only partner is the first reviewed row opposite (``_history``). A new row that counts as reviewed may leave that
+    pool on arrival, so cells with one are open too.
     """
-    rows = ledger.filter("amount IS NOT NULL AND amount <> 0").select(
-        "id", "user_id", "account_id", "txn_date", "ref_number", "status", "created_at", "is_infrastructure",
-        "is_contra", "is_deleted", "possible_contra_of", "txn_group_id",
-        F.abs("amount").cast("decimal(38,2)").alias("magnitude"),
-        F.when(F.col("amount") > 0, 1).otherwise(-1).alias("sign"),
-        is_new.alias("is_new"),
+    reviewed = F.coalesce(F.col("status") == "user_reviewed", F.lit(False))
+    twin = ~F.col("is_deleted") & ~F.col("is_contra")
+    leg = twin & ~F.col("is_infrastructure")
+    entry = F.struct("created_at", "id", "ref_number")
+    cells = rows.groupBy(*CELL).agg(
+        F.count("*").alias("_n"),
+        F.count_if(leg & (F.col("is_new") | ~reviewed)).alias("_live"),
+        F.count_if(F.col("is_new") & reviewed & ~F.col("is_deleted")).alias("_late"),
+        F.min(F.when(twin & ~reviewed & ~F.col("is_new"), entry)).alias("_old"),
+        F.min(F.when(twin & ~reviewed & F.col("is_new"), entry)).alias("_fresh"),
+        F.min(F.when(twin & reviewed & ~F.col("is_new"), entry)).alias("_done"),
     )
-    days = (
-        rows.groupBy(*CELL)
-        .agg(F.count("*").alias("_n"))
-        .groupBy(*GROUP, "txn_date")
-        .agg(
-            F.sum("_n").alias("_n"),
-            F.max("_n").alias("_cell"),
-            F.min("sign").alias("_low"),
-            F.max("sign").alias("_high"),
-        )
+    near = cells.select(*CELL, F.explode(F.array(*[F.date_add("txn_date", k) for k in (-1, 0, 1)])).alias("_day"))
+    live = cells.filter("_live > 0").select(*CELL, "_live")
+    by_day = _flip(live.groupBy(*DAY).agg(F.sum("_live").alias("_day_live")))
+    own = _flip(live, _live="_own_live")
+    others = (
+        near.join(by_day, [*GROUP, "sign", "_day"])
+        .join(own, [*GROUP, "sign", "_day", "account_id"], "left")
+        .groupBy(*GROUP, (-F.col("sign")).alias("_sign"), "txn_date", "account_id")
+        .agg(F.sum(F.col("_day_live") - F.coalesce("_own_live", F.lit(0))).alias("_others"))
+        .select(*GROUP, (-F.col("_sign")).alias("sign"), "txn_date", "account_id", "_others")
+    )
+    history = _first_opposite(rows.filter(leg & reviewed & ~F.col("is_new")), cells.select(*CELL), [], "_history")
+    joined = cells.join(others, CELL, "left").join(history, CELL, "left")
+    return (
+        joined.withColumn("_open", (F.coalesce("_others", F.lit(0)) > 0) | (F.col("_late") > 0))
+        .filter("_open OR _n > 1 OR _history IS NOT NULL")
+        .drop("_live", "_late", "_others")
     )
+
+
+def _open_rows(rows: DataFrame) -> DataFrame:
+    """Rows of open cells with their island, the first day of a run of days without a gap, and ``same_ref``: whether a row of
+    the other sign has their reference. Nothing in the pairing reaches beyond one user, magnitude and island. Islands are
+    found on distinct days, so the ordered window sees one row per day and not one per transaction."""
+    days = rows.groupBy(*GROUP, "txn_date").agg(F.count("*").alias("_n"))
     by_day = W.partitionBy(*GROUP).orderBy("txn_date")
     starts = F.coalesce(F.datediff("txn_date", F.lag("txn_date").over(by_day)) > 1, F.lit(True))
-    dated = days.withColumn("_start", F.when(starts, F.col("txn_date"))).withColumn(
-        "island", F.max("_start").over(by_day)
+    dated = days.withColumn("_start", F.when(starts, F.col("txn_date"))).withColumn("island", F.max("_start").over(by_day)).drop("_start")
+    refs = (
+        rows.filter("ref_number IS NOT NULL AND NOT is_deleted AND NOT is_infrastructure AND NOT is_contra")
+        .groupBy(*GROUP, "ref_number")
+        .agg(F.count("*").alias("_n"), F.min("sign").alias("_low"), F.max("sign").alias("_high"))
+        .filter("_low < _high")
+        .select(*GROUP, "ref_number", "_n", F.lit(True).alias("same_ref"))
     )
-    island = W.partitionBy(*ISLAND)
-    sized = dated.select(
-        *GROUP,
-        "txn_date",
-        "_n",
-        "island",
-        ((F.min("_low").over(island) < F.max("_high").over(island)) | (F.max("_cell").over(island) > 1)).alias("busy"),
-    )
-    return attach(rows, sized, [*GROUP, "txn_date"], "id").drop("_n")
+    placed = attach(rows, dated, [*GROUP, "txn_date"], "id").drop("_n")
+    return attach(placed, refs, [*GROUP, "ref_number"], "id").withColumn("same_ref", F.coalesce("same_ref", F.lit(False)))
 
 
 def replay_ledger(ledger: DataFrame, is_new: Column, duplicates: bool = True) -> DataFrame:
     """Exact result of inserting the new rows one by one: duplicate flags, links, pairs and statuses.
 
-    ``ledger`` holds stored and new rows. Groups in which nothing can happen skip Python altogether; all others, of any
-    size, are replayed row by row. Without ``duplicates`` rows are paired and not flagged.
+    ``ledger`` holds stored and new rows. Cells whose outcome does not depend on the order of arrival are settled by
+    aggregates, whatever their size; the rows of all others are replayed in order, a run of days of one user and magnitude at a time.
+    Without ``duplicates`` rows are paired and not flagged.
     """
-    busy = _with_islands(ledger, is_new).filter("busy")
-    changed = _replayed(busy, duplicates)
+    keyed = ledger.withColumns(
+        {
+            "magnitude": F.when(F.col("amount") != 0, F.abs("amount").cast("decimal(38,2)")),
+            "sign": F.when(F.col("amount") > 0, 1).otherwise(-1),
+            "is_new": is_new,
+        }
+    )
+    cells = _cells_to_settle(keyed.filter("magnitude IS NOT NULL"))
+    placed = attach(keyed, cells, CELL, "id").withColumn("_open", F.coalesce("_open", F.lit(False)))
+    changed = _replayed(_open_rows(placed.filter("_open").select(*[c for c in REPLAY_COLUMNS if c not in ("island", "same_ref")])), duplicates)
     changed = changed.select(
         "id",
         F.col("status").alias("_status"),
@@ -344,25 +406,37 @@ def replay_ledger(ledger: DataFrame, is_new: Column, duplicates: bool = True) ->
         F.col("possible_contra_of").alias("_link"),
         F.col("txn_group_id").alias("_group"),
         "matched_at",
-        F.col("possible_duplicate_of").alias("_twin"),
-        F.col("duplicate_ref").alias("_twin_ref"),
+        F.struct(F.col("possible_duplicate_of").alias("id"), F.col("duplicate_ref").alias("ref_number")).alias("_twin"),
         F.lit(True).alias("_seen"),
     )
-    joined = ledger.withColumn("_new", is_new).join(changed, "id", "left")
+    joined = placed.join(changed, "id", "left")
     seen = F.coalesce("_seen", F.lit(False))
-    flagged = seen & F.col("_new") & F.col("_twin").isNotNull()
-    same_ref = F.col("ref_number") == F.col("_twin_ref")
+    acts = F.col("is_new") & ~F.col("_open") & ~F.col("is_deleted") & ~F.col("is_contra")
+    me = F.struct("created_at", "id")
+
+    def earlier(first: str) -> Column:
+        return F.when(F.struct(f"{first}.created_at", f"{first}.id") < me, F.col(first))
+
+    oldest = F.coalesce(F.least("_old", earlier("_fresh")), F.col("_done"))
+    twin = F.when(seen & F.col("is_new"), F.col("_twin"))
+    if duplicates:
+        twin = F.coalesce(twin, F.when(acts, F.struct(oldest["id"].alias("id"), oldest["ref_number"].alias("ref_number"))))
+    link = F.when(acts & ~F.col("is_infrastructure"), F.col("_history.id"))
+    settled = joined.withColumns({"_twin": twin, "_past": link}).withColumn("_flagged", F.col("_twin.id").isNotNull())
+    same_ref = F.col("ref_number") == F.col("_twin.ref_number")
     updates = {
-        "status": F.when(seen, F.col("_status")).otherwise(F.col("status")),
+        "status": F.when(seen, F.col("_status"))
+        .when(acts & (F.col("_flagged") | F.col("_past").isNotNull()), "pending_review")
+        .otherwise(F.col("status")),
         "is_contra": F.when(seen, F.col("_contra")).otherwise(F.col("is_contra")),
-        "possible_contra_of": F.when(seen, F.col("_link")).otherwise(F.col("possible_contra_of")),
+        "possible_contra_of": F.when(seen, F.col("_link")).otherwise(F.coalesce("_past", "possible_contra_of")),
         "txn_group_id": F.when(seen, F.col("_group")).otherwise(F.col("txn_group_id")),
-        "possible_duplicate_of": F.when(flagged, F.col("_twin")).otherwise(F.col("possible_duplicate_of")),
-        "duplicate_confidence": F.when(flagged, F.when(same_ref, 0.95).otherwise(0.6).cast("double")).otherwise(
+        "possible_duplicate_of": F.when(F.col("_flagged"), F.col("_twin.id")).otherwise(F.col("possible_duplicate_of")),
+        "duplicate_confidence": F.when(F.col("_flagged"), F.when(same_ref, 0.95).otherwise(0.6).cast("double")).otherwise(
             F.col("duplicate_confidence")
         ),
     }
-    return joined.select(*[updates.get(c, F.col(c)).alias(c) for c in ledger.columns], "matched_at")
+    return settled.select(*[updates.get(c, F.col(c)).alias(c) for c in ledger.columns], "matched_at")
 
 
 def spread_groups(paired: DataFrame) -> DataFrame:
