@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallymill.operators.dedup import ACTIVE
-from tallymill.operators.skew import attach
+from tallymill.operators.skew import attach, cut_lineage
 
 GROUP = ["user_id", "magnitude"]
 DAY = [*GROUP, "sign", "txn_date"]
@@ -396,9 +396,12 @@ def replay_ledger(ledger: DataFrame, is_new: Column, duplicates: bool = True) ->
             "is_new": is_new,
         }
     )
-    cells = _cells_to_settle(keyed.filter("magnitude IS NOT NULL"))
+    # each table is read several times below: the narrow rows once, and what is left of them after each step
+    narrow = cut_lineage(keyed.filter("magnitude IS NOT NULL").select(*[c for c in REPLAY_COLUMNS if c not in ("island", "same_ref")]))
+    cells = cut_lineage(_cells_to_settle(narrow))
+    open_rows = cut_lineage(attach(narrow, cells.filter("_open").select(*CELL, "_n", "_open"), CELL, "id").filter("_open").drop("_n", "_open"))
+    changed = _replayed(_open_rows(open_rows), duplicates)
     placed = attach(keyed, cells, CELL, "id").withColumn("_open", F.coalesce("_open", F.lit(False)))
-    changed = _replayed(_open_rows(placed.filter("_open").select(*[c for c in REPLAY_COLUMNS if c not in ("island", "same_ref")])), duplicates)
     changed = changed.select(
         "id",
         F.col("status").alias("_status"),

@@ -6,7 +6,7 @@ the expected parse of each template is listed here by hand. Text queries over re
 
 from __future__ import annotations
 
-from tallymill.operators import filters, rules
+from tallymill.operators import filters, review, rules
 from tallymill.plans.planted import BANK, CHANNEL, SHORT_BANKS, expected
 from tallymill.plans.queries import NOW_MS
 
@@ -154,6 +154,51 @@ PAIRS = f"""{LEDGER}, legs AS (SELECT * FROM l WHERE NOT is_infrastructure AND N
   best AS (SELECT id, user_id, count(*) FILTER (WHERE open) OVER (PARTITION BY id) AS candidates, tier, partner_id,
     row_number() OVER (PARTITION BY id ORDER BY tier, seen_at, partner_id) AS rn FROM p)"""
 
+#: One row of a replayed group. ord: place by time and id. here: has arrived. at: time of the arrival that made it a transfer.
+REPLAYED = ["ord", "id", "sign", "day", "acc", "ref", "status", "infra", "contra", "link", "grp", "dup", "dupref", "here", "at", "seen"]
+
+
+def _row(x: str, **changes: str) -> str:
+    return "struct_pack(" + ", ".join(f"{f} := {changes.get(f, f'{x}.{f}')}" for f in REPLAYED) + ")"
+
+
+# Rows of a group arrive one by one, and each arrival or search for a partner is a step: cur is the row that searches, 0 if
+# the next one arrives. The first of the least tier is taken; whom it displaces searches next, five levels deep at most.
+REPLAY = f"""{LEDGER}, a AS (SELECT user_id, abs(amount) AS mag, row_number() OVER (PARTITION BY user_id, abs(amount) ORDER BY created_at, id) AS ord,
+    id, CAST(sign(amount) AS INTEGER) AS sign, txn_date AS day, account_id AS acc, ref_number AS ref, status, is_infrastructure AS infra, is_contra AS contra,
+    CAST(NULL AS VARCHAR) AS link, CAST(NULL AS VARCHAR) AS grp, CAST(NULL AS VARCHAR) AS dup, CAST(NULL AS VARCHAR) AS dupref,
+    status = 'user_reviewed' AS here, CAST(NULL AS TIMESTAMP) AS at, CAST(created_at AS TIMESTAMP) AS seen FROM l WHERE amount <> 0),
+  g AS (SELECT user_id, mag, list({_row('a')} ORDER BY here DESC, ord) AS rows, 1 + count(*) FILTER (WHERE here) AS pos FROM a GROUP BY ALL),
+  s AS (SELECT user_id, mag, rows, CAST(pos AS BIGINT) AS pos, CAST(0 AS BIGINT) AS cur, 0 AS depth FROM g
+    UNION ALL SELECT user_id, mag,
+      CASE WHEN cur = 0 THEN list_transform(rows, lambda x, i: CASE WHEN i = pos THEN {_row('x', here='true',
+          status="CASE WHEN twin IS NOT NULL AND NOT t.contra THEN 'pending_review' ELSE x.status END",
+          dup='CASE WHEN NOT t.contra THEN twin.id END', dupref='CASE WHEN NOT t.contra THEN twin.ref END')} ELSE x END)
+        WHEN best IS NULL THEN rows
+        WHEN best.tier = 3 THEN list_transform(rows, lambda x, i: CASE WHEN i = cur THEN {_row('x', status="'pending_review'", link='best.id')} ELSE x END)
+        ELSE list_transform(rows, lambda x, i: CASE WHEN x.id = t.id OR x.id = best.id THEN {_row('x', contra='best.tier = 1',
+          link='CASE WHEN best.tier = 2 THEN CASE WHEN x.id = t.id THEN best.id ELSE t.id END END',
+          grp="CASE WHEN best.tier = 1 THEN coalesce(best.grp, t.grp, sha256(least(t.id, best.id) || '|' || greatest(t.id, best.id))) ELSE x.grp END",
+          at='CASE WHEN best.tier = 1 THEN rows[pos].seen ELSE x.at END')} WHEN x.id = stale THEN {_row('x', link='NULL')} ELSE x END) END,
+      CASE WHEN goes THEN pos ELSE pos + 1 END,
+      CASE WHEN NOT goes THEN 0 WHEN cur = 0 THEN pos ELSE list_position(list_transform(rows, lambda x: x.id), stale) END,
+      CASE WHEN cur = 0 OR NOT goes THEN 0 ELSE depth + 1 END
+    FROM (SELECT *, CASE WHEN best.tier < 3 AND best.link <> t.id THEN best.link END AS stale,
+        CASE WHEN cur = 0 THEN NOT t.contra AND NOT t.infra
+          ELSE coalesce(best.tier < 3 AND best.link <> t.id AND depth < 5 AND NOT list_filter(rows, lambda x: x.id = best.link)[1].contra, false) END AS goes
+      FROM (SELECT *, list_min(list_transform(list_filter(rows, lambda x: cur = 0 AND x.here AND NOT x.contra AND x.sign = t.sign AND x.day = t.day AND x.acc = t.acc),
+            lambda x: struct_pack(late := x.status = 'user_reviewed', ord := x.ord, id := x.id, ref := x.ref))) AS twin,
+          list_min(list_transform(list_filter(rows, lambda x: cur > 0 AND x.here AND NOT x.contra AND NOT x.infra AND x.sign = -t.sign
+              AND abs(date_diff('day', x.day, t.day)) <= 1 AND x.acc <> t.acc),
+            lambda x: struct_pack(tier := CASE WHEN x.status = 'user_reviewed' THEN 3 WHEN x.ref = t.ref THEN 1 ELSE 2 END, ord := x.ord, id := x.id, link := x.link, grp := x.grp))) AS best
+        FROM (SELECT *, CASE WHEN cur = 0 THEN rows[pos] ELSE rows[cur] END AS t FROM s WHERE pos <= len(rows))))),
+  w AS (SELECT user_id, unnest(rows) AS r FROM s WHERE pos > len(rows)),
+  made AS (SELECT user_id, r.ref AS ref, arg_max(r.grp, (r.at, r.id)) AS grp, max(r.at) AS at FROM w WHERE r.at IS NOT NULL AND r.ref IS NOT NULL GROUP BY 1, 2),
+  paired AS (SELECT l.id, l.user_id, l.amount, l.ref_number, l.is_infrastructure, coalesce(r.status, l.status) AS status, coalesce(r.contra, l.is_contra) AS is_contra,
+    r.link AS possible_contra_of, CASE WHEN l.is_infrastructure AND l.created_at <= made.at THEN made.grp ELSE r.grp END AS txn_group_id,
+    r.dup AS possible_duplicate_of, CASE WHEN r.dup IS NOT NULL THEN CASE WHEN l.ref_number = r.dupref THEN 0.95::DOUBLE ELSE 0.6::DOUBLE END END AS duplicate_confidence
+    FROM l LEFT JOIN w ON w.r.id = l.id LEFT JOIN made ON made.user_id = l.user_id AND made.ref = l.ref_number)"""
+
 LINES = """r1 AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS id, CAST(l_suppkey AS VARCHAR) AS user_id,
   CAST(l_partkey AS VARCHAR) AS part, l_orderkey % 2 = 0 AS has_ref, l_quantity AS amount,
   date_trunc('month', l_shipdate) AS txn_date, CASE WHEN l_linenumber < 6 THEN l_suppkey % 3 END AS account,
@@ -312,6 +357,18 @@ def all_oracles() -> dict[str, str]:
       CASE WHEN event_type IN ('purchase', 'error') THEN -floor(value) ELSE floor(value) END AS amount FROM events)
       SELECT DISTINCT a.user_id, b.amount AS magnitude, a.account AS debit_account, a.day AS debit_day, b.account AS credit_account, b.day AS credit_day FROM e a JOIN e b ON a.user_id = b.user_id AND a.amount = -b.amount AND a.account <> b.account
       AND abs(date_diff('day', a.day, b.day)) <= 1 WHERE a.amount < 0"""
+    o["transfer_pairs_exact"] = f"""WITH RECURSIVE {REPLAY} SELECT id, status, is_contra, possible_contra_of, txn_group_id, possible_duplicate_of, duplicate_confidence FROM paired"""
+    o["infra_group_spread"] = f"WITH RECURSIVE {REPLAY} SELECT id, ref_number, txn_group_id FROM paired WHERE is_infrastructure"
+    o["transfer_decisions"] = f"""WITH RECURSIVE {REPLAY}, asked AS (SELECT p.id, p.possible_contra_of AS other, p.amount > 100 AS yes, q.status = 'user_reviewed' AS one_way
+        FROM paired p JOIN paired q ON q.id = p.possible_contra_of),
+      c AS (SELECT unnest(CASE WHEN yes AND one_way THEN [id] ELSE [id, other] END) AS id, yes,
+        CASE WHEN yes THEN sha256(least(id, other) || '|' || greatest(id, other)) END AS grp FROM asked),
+      d AS (SELECT id, bool_or(yes) AS yes, min(grp) AS grp FROM c GROUP BY id)
+      SELECT p.id, p.is_contra OR coalesce(d.yes, false) AS is_contra, CASE WHEN d.id IS NULL THEN p.possible_contra_of END AS possible_contra_of,
+        CASE WHEN d.yes THEN d.grp ELSE p.txn_group_id END AS txn_group_id FROM paired p LEFT JOIN d USING (id)"""
+    o["transfer_notes"] = f"""WITH RECURSIVE {REPLAY} SELECT p.id, p.user_id, q.id AS partner_id, q.status AS partner_status,
+      CASE WHEN q.status = 'user_reviewed' THEN {q(review.HISTORY_NOTE)} ELSE {q(review.TRANSFER_NOTE)} END AS note
+      FROM paired p JOIN paired q ON q.id = p.possible_contra_of AND q.user_id = p.user_id WHERE NOT p.is_contra"""
     # accounts and balances
     stored = "s AS (SELECT c_custkey AS u, lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS num FROM customer WHERE c_acctbal > 0)"
     number = _per_template(lambda e: "a4" if e.get("account") else "'UNKNOWN'")
