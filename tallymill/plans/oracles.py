@@ -369,6 +369,13 @@ def all_oracles() -> dict[str, str]:
     o["transfer_notes"] = f"""WITH RECURSIVE {REPLAY} SELECT p.id, p.user_id, q.id AS partner_id, q.status AS partner_status,
       CASE WHEN q.status = 'user_reviewed' THEN {q(review.HISTORY_NOTE)} ELSE {q(review.TRANSFER_NOTE)} END AS note
       FROM paired p JOIN paired q ON q.id = p.possible_contra_of AND q.user_id = p.user_id WHERE NOT p.is_contra"""
+    # a run is closed four days after its last day: two of lateness, two until nothing can join it
+    o["stream_pairing"] = f"""WITH RECURSIVE {REPLAY}, y AS (SELECT user_id, unnest(rows, recursive := true), mag FROM s WHERE pos > len(rows)),
+      n AS (SELECT *, coalesce(date_diff('day', lag(day) OVER (PARTITION BY user_id, mag ORDER BY day), day) > 1, true) AS starts FROM (SELECT DISTINCT user_id, mag, day FROM y)),
+      k AS (SELECT *, sum(CAST(starts AS INT)) OVER (PARTITION BY user_id, mag ORDER BY day) AS nr FROM n),
+      e AS (SELECT *, min(day) OVER (PARTITION BY user_id, mag, nr) AS run, max(day) OVER (PARTITION BY user_id, mag, nr) AS last FROM k)
+      SELECT y.id, CAST(e.run AS DATE) AS run, y.status, y.contra AS is_contra, y.link AS possible_contra_of, y.grp AS txn_group_id, y.dup AS possible_duplicate_of, y.dupref AS duplicate_ref
+      FROM y JOIN e USING (user_id, mag, day) WHERE date_diff('day', e.last, (SELECT max(day) FROM y)) >= 4"""
     # accounts and balances
     stored = "s AS (SELECT c_custkey AS u, lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS num FROM customer WHERE c_acctbal > 0)"
     number = _per_template(lambda e: "a4" if e.get("account") else "'UNKNOWN'")

@@ -19,6 +19,7 @@ from tallymill.plans.planted import plant
 from tallymill.schemas import ACCOUNTS, LEDGER, SPLIT_LINE
 from tallymill.sources.messages import sender_inventory, sender_totals, window_label
 from tallymill.streaming import streams
+from tallymill.streaming.pairing import PAIRED, pairing_table
 
 NOW_MS = 1_767_225_600_000  # 2026-01-01 UTC, the reading time of windowed scans
 PARSED = {
@@ -426,11 +427,9 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tallymill.sources.messages import read_buckets
-
     base = scratch_dir(spark)
     streams.balance_stream(_stream_inbox(spark, sf_dir), f"{base}/balances", f"{base}/ckpt").awaitTermination()
-    stored = read_buckets(spark, f"{base}/balances", streams.BALANCES)
+    stored = streams.balances(spark, f"{base}/balances")
     return stored.select("user_id", "account_number_masked", F.col("balance").cast("double").alias("balance"), "message_date")
 
 
@@ -451,6 +450,16 @@ def stream_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _finish(streams.transfer_stream(rows), spark).withColumn("magnitude", F.col("magnitude").cast("double"))
 
 
+def stream_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags, links and pairs of the runs of days that are closed when the events end."""
+    base = scratch_dir(spark)
+    rows = S.ledger_from(spark.readStream.schema(S.load(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet"))
+    pairing_table(rows, F.col("status") != "user_reviewed", f"{base}/paired", f"{base}/ckpt").awaitTermination()
+    return spark.read.schema(PAIRED).parquet(f"{base}/paired").select(
+        "id", "run", "status", "is_contra", "possible_contra_of", "txn_group_id", "possible_duplicate_of", "duplicate_ref"
+    )
+
+
 def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallymill.sources.messages import read_buckets
 
@@ -470,7 +479,7 @@ def all_queries() -> dict[str, Query]:
             infra_group_spread, transfer_decisions, transfer_notes, account_dim, balance_latest, ingest_summary,
             ingest_rows, page_submit_paired, feed_page, feed_history, needs_review, display_rows, ledger_violations, edit_overlay, split_apply,
             page_submit, llm_answers, category_crosswalk, editor_options, window_labels, escalation_queue,
-            stream_parse, stream_dedup, stream_balance, stream_funnel, stream_transfers, stream_ledger,
+            stream_parse, stream_dedup, stream_balance, stream_funnel, stream_transfers, stream_pairing, stream_ledger,
         )
     }
     debit, credit = fallback.direction_votes("_low")

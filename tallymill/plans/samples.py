@@ -125,8 +125,12 @@ def template_messages(spark: SparkSession, sf_dir: str, template: str) -> DataFr
 
 
 def ledger_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger_from(load(spark, sf_dir, "events"))
+
+
+def ledger_from(events: DataFrame) -> DataFrame:
     """A ledger with transfers, repeats, reviewed rows, infrastructure rows and rows of no value: one row per event."""
-    return load(spark, sf_dir, "events").selectExpr(
+    return events.selectExpr(
         "CAST(event_id AS string) AS id",
         "CAST(user_id AS string) AS user_id",
         "concat('A', event_id % 3) AS account_id",

@@ -115,24 +115,24 @@ def _start(writer, once: bool) -> StreamingQuery:
 
 
 def balance_stream(messages: DataFrame, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Latest balance per account, late messages included.
-
-    State is the table itself: a micro-batch is reduced to one row per account and merged into the buckets
-    it touches. Every batch writes its own version, so a batch that is run again after a failure starts
-    from the same predecessor and writes the same result.
-    """
+    """Latest balance per account, late messages included. The state store holds one row for each account; each
+    batch writes the accounts it changed, and a batch that runs again replaces its own."""
     columns = ["balance", "message_date", "message_time", "raw_sms_id"]
+    newest = F.max_by(F.struct(*columns), F.struct("message_date", "message_time", "raw_sms_id")).alias("_b")
+    updates = balance_updates_of(parse_stages(messages)).filter("account_number_masked IS NOT NULL AND balance IS NOT NULL")
+    latest = updates.groupBy(*KEYS).agg(newest).select(*KEYS, "_b.*")
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        updates = batch.filter("account_number_masked IS NOT NULL AND balance IS NOT NULL").select(*KEYS, *columns)
-        stored = read_buckets(spark, table, BALANCES, number, _buckets_of(updates))
-        newest = F.max_by(F.struct(*columns), F.struct("message_date", "message_time", "raw_sms_id")).alias("_b")
-        merged = stored.unionByName(updates).groupBy(*KEYS).agg(newest).select(*KEYS, "_b.*")
-        write_buckets(merged, table, number)
-
-    updates = balance_updates_of(parse_stages(messages))
-    return _start(updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint), once)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    return _start(latest.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint), once)
+
+
+def balances(spark: SparkSession, table: str) -> DataFrame:
+    """The latest balance of each account that a stream wrote."""
+    rows = spark.read.parquet(table)
+    columns = [f.name for f in BALANCES.fields if f.name not in KEYS]
+    return rows.groupBy(*KEYS).agg(F.max_by(F.struct(*columns), "batch").alias("_last")).select(*KEYS, "_last.*")
 
 
 def ledger_stream(messages: DataFrame, store: str, checkpoint: str, once: bool = True) -> StreamingQuery:
