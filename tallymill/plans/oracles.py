@@ -369,6 +369,10 @@ def all_oracles() -> dict[str, str]:
     o["transfer_notes"] = f"""WITH RECURSIVE {REPLAY} SELECT p.id, p.user_id, q.id AS partner_id, q.status AS partner_status,
       CASE WHEN q.status = 'user_reviewed' THEN {q(review.HISTORY_NOTE)} ELSE {q(review.TRANSFER_NOTE)} END AS note
       FROM paired p JOIN paired q ON q.id = p.possible_contra_of AND q.user_id = p.user_id WHERE NOT p.is_contra"""
+    # a day is closed when the watermark, two days behind, is past all that can meet it
+    o["stream_transfer_rows"] = f"""WITH {PAIRS} SELECT legs.id, legs.user_id, coalesce(candidates, 0) AS candidates, tier, partner_id
+      FROM legs LEFT JOIN (SELECT * FROM best WHERE rn = 1) AS b ON b.id = legs.id
+      WHERE legs.status <> 'user_reviewed' AND date_diff('day', legs.txn_date, (SELECT max(txn_date) FROM legs)) >= 5"""
     # a run is closed four days after its last day: two of lateness, two until nothing can join it
     o["stream_pairing"] = f"""WITH RECURSIVE {REPLAY}, y AS (SELECT user_id, unnest(rows, recursive := true), mag FROM s WHERE pos > len(rows)),
       n AS (SELECT *, coalesce(date_diff('day', lag(day) OVER (PARTITION BY user_id, mag ORDER BY day), day) > 1, true) AS starts FROM (SELECT DISTINCT user_id, mag, day FROM y)),

@@ -450,6 +450,12 @@ def stream_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _finish(streams.transfer_stream(rows), spark).withColumn("magnitude", F.col("magnitude").cast("double"))
 
 
+def stream_transfer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the days that are closed when the events end, with their counterpart or none."""
+    rows = S.ledger_from(spark.readStream.schema(S.load(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet"))
+    return _finish(streams.transfer_rows_stream(rows), spark)
+
+
 def stream_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags, links and pairs of the runs of days that are closed when the events end."""
     base = scratch_dir(spark)
@@ -479,7 +485,7 @@ def all_queries() -> dict[str, Query]:
             infra_group_spread, transfer_decisions, transfer_notes, account_dim, balance_latest, ingest_summary,
             ingest_rows, page_submit_paired, feed_page, feed_history, needs_review, display_rows, ledger_violations, edit_overlay, split_apply,
             page_submit, llm_answers, category_crosswalk, editor_options, window_labels, escalation_queue,
-            stream_parse, stream_dedup, stream_balance, stream_funnel, stream_transfers, stream_pairing, stream_ledger,
+            stream_parse, stream_dedup, stream_balance, stream_funnel, stream_transfers, stream_transfer_rows, stream_pairing, stream_ledger,
         )
     }
     debit, credit = fallback.direction_votes("_low")

@@ -4,9 +4,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tallymill.operators.transfers import replay_ledger
+from tallymill.operators.transfers import replay_ledger, transfer_candidates
 from tallymill.plans.samples import ledger_from_events
 from tallymill.streaming.pairing import PAIRED, pairing_table
+from tallymill.streaming.streams import transfer_rows_stream
 
 SAME = ["id", "status", "is_contra", "possible_contra_of", "txn_group_id", "possible_duplicate_of"]
 
@@ -38,3 +39,24 @@ def test_closed_runs_equal_the_batch_result(spark, sf_dir, tmp_path):
     before = got.count()
     pairing_table(spark.readStream.schema(ledger.schema).parquet(path), is_new, table, state).awaitTermination()
     assert spark.read.schema(PAIRED).parquet(table).count() == before
+
+
+def test_rows_find_their_counterpart_over_batches(spark, sf_dir, tmp_path):
+    """Days in two files: the rows of closed days come out once, with the counterpart of the batch job or none, and the state
+    holds no more than the rows of the last days."""
+    ledger = ledger_from_events(spark, sf_dir).filter("user_id < '3'")
+    path, table, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for start, stop in (("2024-01-01", "2024-01-15"), ("2024-01-15", "2024-03-01")):
+        ledger.filter(F.col("txn_date").between(F.lit(start).cast("date"), F.date_sub(F.lit(stop).cast("date"), 1))).coalesce(1).write.mode("append").parquet(path)
+        rows = transfer_rows_stream(spark.readStream.schema(ledger.schema).parquet(path))
+        query = rows.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(table)
+        query.awaitTermination()
+    got = spark.read.schema(rows.schema).parquet(table)
+    assert got.count() == got.select("id").distinct().count() > 0
+    batch = transfer_candidates(ledger)
+    closed = batch.join(got.select("id"), "id", "left_semi")
+    found = got.filter("partner_id IS NOT NULL").select(batch.columns)
+    assert found.exceptAll(batch).count() == 0 == closed.select(batch.columns).exceptAll(found).count()
+    held = sum(s["numRowsTotal"] for s in query.lastProgress["stateOperators"] if s["operatorName"] == "symmetricHashJoin")
+    last = ledger.agg(F.max("txn_date")).first()[0]
+    assert held <= 12 * ledger.filter(F.col("txn_date") >= last - dt.timedelta(days=6)).count()
