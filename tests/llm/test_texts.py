@@ -139,7 +139,7 @@ def test_no_documents_to_judge(nothing):
     assert rows_of(outliers.reject(nothing)) == []
 
 
-SMALL = gated_lm.Shape(hidden=8, head=64, head_classes=8, tails=8, known=200, share=1.0, rounds=2, lanes=8, window=8)
+SMALL = gated_lm.Shape(hidden=8, head=64, head_classes=8, tails=8, known=200, rounds=2, lanes=8, window=8)
 
 
 @pytest.mark.parametrize("which", ["odd", "given"])
@@ -289,6 +289,35 @@ def test_production_weights_are_fitted_to_every_training_document(spark):
         assert not np.array_equal(gated_lm.fit(docs, v, shape).pack(), first)
 
 
+def test_each_training_document_is_in_one_round(spark, monkeypatch):
+    v, _, _ = tiny_model()
+    docs = spark.createDataFrame([(i if i % 4 else None, "a b c " * (i % 7)) for i in range(60)], "doc_id long, text string")
+    seen = []
+    frame = type(docs)
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, schema, g=frame.mapInArrow: (seen.append(self) if self.columns == ["text"] else None, g(self, f, schema))[1])
+    gated_lm.fit(docs, v, gated_lm.Shape(rounds=3))
+    texts = sorted(bytes(r.text) for x in seen for r in x.collect())
+    assert len(seen) == 3 and texts == sorted((r.text or "").encode() for r in docs.collect())
+
+
+def test_state_is_carried_through_long_texts_in_training():
+    """The first word of a text tells its last, which comes thousands of tokens later; every window but the first starts with the state
+    that the one before left, and no window but the first starts after an end."""
+    v, _, _ = tiny_model()
+    shape = gated_lm.Shape(hidden=4, head=4, head_classes=2, tails=1, known=4, lanes=2, window=3)
+    w, reader = gated_lm.first_weights(v, shape), gated_lm.Reader(v, shape)
+    seen = []
+    step = gated_lm._step
+    try:
+        gated_lm._step = lambda w, h, x: (seen.append((h.copy(), x.copy())), step(w, h, x))[1]
+        gated_lm._fit(w, [reader.tokens(b"a b c " * 1500)], reader, shape, 0.0)
+    finally:
+        gated_lm._step = step
+    end = int(reader.inputs()[reader.v.number[b""]])
+    assert len(seen) == 4501 and not seen[0][0].any() and all(h.any() for h, _ in seen[1:])
+    assert [i for i, (_, x) in enumerate(seen) if end in x] == [0]
+
+
 def test_all_texts_of_a_task_are_fitted_whatever_is_at_hand():
     v, shape, w = tiny_model()
     assert gated_lm._fit_all(w, iter([b"a b", None, b"c a zz"] * 7), gated_lm.Reader(v, shape), shape, 0.01, most=5)[1] == 7 * (3 + 1 + 4)
