@@ -34,8 +34,55 @@ def test_main_text():
 
 
 def test_window_sums_surge_and_dive():
-    assert line_blocks._between(np.array([0, 5, 0, 0, 4, 0, 0, 0, 7])) == [(1, 5), (8, 9)]
-    assert line_blocks._between(np.array([], dtype=np.int64)) == []
+    weights = np.array([3, 0, 0, 0, 40, 0, 50, 0, 0, 0, 2], dtype=np.float64)
+    high, level = line_blocks._surges(weights, np.zeros(11, dtype=np.int64))
+    assert level == pytest.approx(0.2 * (3 * 3 + 40 * 40 + 50 * 50 + 2 * 2) / 95)
+    assert high.tolist() == [False] * 3 + [True] * 5 + [False] * 3
+    high, _ = line_blocks._surges(weights, np.array([0, 0, 0, 0, 1, 2, 2, 2, 2, 2, 2]))  # windows end with their holder
+    assert high.tolist() == [False] * 4 + [True] * 4 + [False] * 3
+    assert line_blocks._surges(np.array([]), np.array([], dtype=np.int64))[0].tolist() == []
+
+
+LONG_TEXT = ("A sentence of the article goes on and on, with much to say about it. " * 6).strip()
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        # nothing is marked: menu, copyright line and teasers go by their weight
+        ("<div class=top>Home | About | Contact</div><div class=wrap><p>LONG</p></div><div>Copyright 2024 X Ltd</div>"
+         "<div class=more-stories><p>A short teaser</p><p>One more</p></div>", "LONG"),
+        ("<div><a href=x>Home</a> <a href=y>News</a></div><div><p>LONG</p><p>So.</p></div><div>Imprint</div>", "LONG\nSo."),
+        # an advert in the text is left out and parts nothing
+        ("<div class=content><h1>T</h1><p>lead</p><div class=ad>Buy now</div><p>LONG</p><div class=promo>Buy</div><p>So it ends.</p></div>",
+         "T\nlead\nLONG\nSo it ends."),
+        # the distribution decides inside an article too: lists of links and a second, light article go
+        ("<article><h1>T</h1><p>LONG</p><p>Short.</p><ul><li><a>One</a><li><a>Two</a><li><a>Three</a><li><a>Four</a></ul></article>"
+         "<article><h3>Teaser</h3><p>short teaser</p></article>", "T\nLONG\nShort."),
+        # class words bar neither headings nor parts of an article, nor a page whose text has such a name
+        ("<main><h2 class=header>A heading</h2><p>LONG</p><section id=search-results>text</section><p>LONG</p></main>", "A heading\nLONG\ntext\nLONG"),
+        ("<div class=widget><p>LONG</p><p>LONG</p></div><div class=foot>Imprint</div>", "LONG\nLONG"),
+        # sections of one kind belong together, however short
+        ("<div class=content><section><h2>A</h2><p>LONG</p></section><section><h2>B</h2><p>tiny</p></section><section><p>LONG</p></section>"
+         "<section><p>The end.</p></section></div><div>© X</div>", "A\nLONG\nB\ntiny\nLONG\nThe end."),
+        # a text rich in links
+        ("<article>" + "<p>See <a>one long linked title</a> and <a>another of them</a>, as told.</p>" * 6 + "</article>",
+         "\n".join(["See one long linked title and another of them, as told."] * 6)),
+        # adverts alone are no text
+        ("<div class=ad>Buy now, buy more</div><div class=cookie-notice>We use them</div>", ""),
+        # a page that is one form
+        ("<form><div><p>LONG</p></div></form>", "LONG"),
+    ],
+)
+def test_distribution_decides(page, want):
+    assert line_blocks.main_text(page.replace("LONG", LONG_TEXT)) == want.replace("LONG", LONG_TEXT)
+
+
+def test_no_pages_and_clashing_columns(spark):
+    names = "page_id long, url string, html string, n_chars string, lines string, weights string, holder string"
+    assert rows_of(line_blocks.extract(spark.createDataFrame([], names))) == []
+    got = rows_of(line_blocks.extract(spark.createDataFrame([(1, "u", "<p>One &amp; two", "x", "x", "x", "x")], names)))
+    assert got == [{"page_id": 1, "url": "u", "text": "One & two", "n_chars": 9}]
 
 
 def test_pages_give_the_documents_they_were_made_of(spark, sf_dir, given):
