@@ -16,17 +16,26 @@ SYMBOLS = "#*$%&|<>"
 SALTS = 32
 
 
+#: Where the concentration starts from: see _starts.
+STARTS = 4
+
+
 @dataclass(frozen=True)
 class Rule:
-    """share: the part of a group's vectors that the estimate rests on. fit_rows: a group of fewer rows joins the pool
-    of small groups of its language, then of all. floors: least standard deviation of each transformed statistic, so
-    that one that hardly varies in a group (no symbols at all) does not turn a trace of it into an outlier.
+    """share: the part of a group's vectors that the estimate rests on. steps: concentration ends when no determinant moves by
+    more than settled (in logarithms), after so many steps at the latest. fit_rows: a group of fewer rows joins the pool
+    of small groups of its language, then of all. floor: least standard deviation of each transformed statistic, as a part of
+    its pooled spread (mean distance from the group's middle, over all groups), so that one that hardly varies in a group
+    does not turn a trace of it into an outlier; least: its value where nothing varies anywhere. At the least floors a text
+    fails for 2.3 % symbols among its characters, or repeated lines or words of 6.3 %, alone.
     distance: Mahalanobis distance above which a document goes; 5 leaves out 1.4 of 10,000 under a normal distribution."""
 
     share: float = 0.75
-    steps: int = 4
+    steps: int = 25
+    settled: float = 1e-3
     fit_rows: int = 60
-    floors: tuple[float, ...] = (0.5, 0.12, 0.06, 0.10, 0.10)
+    floor: float = 0.5
+    least: tuple[float, ...] = (0.25, 0.06, 0.03, 0.05, 0.05)
     distance: float = 5.0
 
 
@@ -102,18 +111,18 @@ def vector() -> list[Column]:
     ]
 
 
-def _estimates(rows: DataFrame, xs: list[str], rule: Rule) -> DataFrame:
-    """Mean, and Cholesky factor of the covariance, of each group: columns m0.. and l00, l10, l11, ...
+def _estimates(rows: DataFrame, xs: list[str], floors: tuple[float, ...]) -> DataFrame:
+    """Mean, and Cholesky factor of the covariance, of each group and start: columns m0.. and l00, l10, l11, ...
 
     One aggregation of plain sums, so that partial aggregation reduces a hot group before the exchange."""
     p = len(xs)
     pairs = list(combinations_with_replacement(range(p), 2))
-    got = rows.groupBy("_group").agg(
+    got = rows.groupBy("_group", "_start").agg(
         *[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)],
         *[F.covar_pop(xs[i], xs[j]).alias(f"c{j}{i}") for i, j in pairs],
     )
     for i in range(p):
-        got = got.withColumn(f"c{i}{i}", F.greatest(F.col(f"c{i}{i}"), F.lit(0.0)) + F.lit(rule.floors[i] ** 2))
+        got = got.withColumn(f"c{i}{i}", F.greatest(F.col(f"c{i}{i}"), F.lit(0.0)) + F.lit(floors[i] ** 2))
     for j in range(p):
         diagonal = F.col(f"c{j}{j}") - sum((F.col(f"l{j}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
         got = got.withColumn(f"l{j}{j}", F.sqrt(F.greatest(diagonal, F.lit(1e-12))))
@@ -123,7 +132,104 @@ def _estimates(rows: DataFrame, xs: list[str], rule: Rule) -> DataFrame:
             for i in range(j + 1, p)
         }
         got = got.withColumns(below) if below else got
-    return got.select("_group", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
+    return got.select("_group", "_start", *_columns(p))
+
+
+def _columns(p: int) -> list[str]:
+    return [*(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1))]
+
+
+def _log_determinant(p: int) -> Column:
+    return sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(p)), F.lit(0.0))
+
+
+def _middle(judged: DataFrame, xs: list[str]) -> DataFrame:
+    """q0.. (middle) and r0.. (spread by quartiles) of each statistic, by group."""
+    got = judged.groupBy("_group").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"p{i}") for i, x in enumerate(xs)])
+    return got.select(
+        "_group",
+        *[F.col(f"p{i}")[1].alias(f"q{i}") for i in range(len(xs))],
+        *[((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349).alias(f"r{i}") for i in range(len(xs))],
+    )
+
+
+def _floors(judged: DataFrame, middle: DataFrame, xs: list[str], rule: Rule) -> tuple[float, ...]:
+    """Floors of the standard deviations: one row of numbers over all groups."""
+    spread = _attach(judged, middle).agg(*[F.avg(F.abs(F.col(x) - F.col(f"q{i}"))) for i, x in enumerate(xs)]).first()
+    return tuple(max(least, rule.floor * 1.2533 * (found or 0.0)) for least, found in zip(rule.least, spread))
+
+
+def _starts(judged: DataFrame, middle: DataFrame, xs: list[str], floors: tuple[float, ...]) -> DataFrame:
+    """Estimates to start from, by group and _start: 0 middle and spread of each statistic by itself; 1 covariance of the
+    standardised statistics squeezed by tanh; 2 covariance of their directions; 3 mean and covariance of an eighth of the rows."""
+    p = len(xs)
+    middle = middle.withColumns({f"r{i}": F.greatest(F.col(f"r{i}"), F.lit(floors[i])) for i in range(p)})
+    alone = middle.select(
+        "_group",
+        F.lit(0).alias("_start"),
+        *[F.col(f"q{i}").alias(f"m{i}") for i in range(p)],
+        *[(F.col(f"r{i}") if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(p) for j in range(i + 1)],
+    )
+    rows = _attach(judged, middle).withColumns({f"z{i}": (F.col(x) - F.col(f"q{i}")) / F.col(f"r{i}") for i, x in enumerate(xs)})
+    rows = rows.withColumn("_length", F.greatest(F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(p)), F.lit(0.0))), F.lit(1e-9)))
+    ys = [f"y{i}" for i in range(p)]
+    kinds = [
+        F.struct(F.lit(1).alias("_start"), *[F.tanh(f"z{i}").alias(y) for i, y in enumerate(ys)]),
+        F.struct(F.lit(2).alias("_start"), *[(F.col(f"z{i}") / F.col("_length")).alias(y) for i, y in enumerate(ys)]),
+        F.when(F.col("_salt") < SALTS // 8, F.struct(F.lit(3).alias("_start"), *[F.col(f"z{i}").alias(y) for i, y in enumerate(ys)])),
+    ]
+    spread = rows.select("_group", F.explode(F.array_compact(F.array(*kinds))).alias("_y")).select("_group", "_y.*")
+    other = _estimates(spread, ys, (0.1,) * p).join(middle, "_group")
+    # back to the units of the statistics
+    other = other.select(
+        "_group",
+        "_start",
+        *[F.when(F.col("_start") == 3, F.col(f"q{i}") + F.col(f"m{i}") * F.col(f"r{i}")).otherwise(F.col(f"q{i}")).alias(f"m{i}") for i in range(p)],
+        *[(F.col(f"l{i}{j}") * F.col(f"r{i}")).alias(f"l{i}{j}") for i in range(p) for j in range(i + 1)],
+    )
+    return alone.unionByName(other)
+
+
+def _edges(near: DataFrame, share: float) -> DataFrame:
+    """The bin of distances at which the share of a group's rows is reached, by group and start."""
+    group = Window.partitionBy("_group", "_start")
+    return (
+        near.groupBy("_group", "_start", "_bin")
+        .agg(F.count("*").alias("_n"))
+        .select(
+            "_group",
+            "_start",
+            "_bin",
+            F.sum("_n").over(group.orderBy("_bin")).alias("_below"),
+            F.sum("_n").over(group).alias("_all"),
+        )
+        .filter(F.col("_below") >= share * F.col("_all"))
+        .groupBy("_group", "_start")
+        .agg(F.min("_bin").alias("_edge"))
+    )
+
+
+def _least(judged: DataFrame, xs: list[str], rule: Rule) -> DataFrame:
+    """The estimate of least determinant of each group."""
+    p = len(xs)
+    middle = stored(_middle(judged, xs), "middle")
+    floors = _floors(judged, middle, xs, rule)
+    fit = stored(_starts(judged, middle, xs, floors), "fit")
+    for step in range(rule.steps):
+        near = _distances(judged, fit, xs, ["_group", "_start", "_salt", *xs])
+        inner = _attach(near, _edges(near, rule.share), "_start").filter("_bin <= _edge")
+        new = stored(_estimates(inner, xs, floors), "fit")
+        moved = (
+            new.select("_group", "_start", _log_determinant(p).alias("_new"))
+            .join(fit.select("_group", "_start", _log_determinant(p).alias("_old")), ["_group", "_start"])
+            .agg(F.max(F.abs(F.col("_new") - F.col("_old"))))
+            .first()[0]
+        )
+        fit = new
+        if step and (moved is None or moved <= rule.settled):
+            break
+    best = F.min(F.struct(_log_determinant(p).alias("_determinant"), "_start", *_columns(p))).alias("_best")
+    return stored(fit.groupBy("_group").agg(best).select("_group", "_best.*").drop("_determinant"), "fit")
 
 
 def _squared(p: int, xs: list[str]) -> list[tuple[str, Column]]:
@@ -136,32 +242,32 @@ def _squared(p: int, xs: list[str]) -> list[tuple[str, Column]]:
     return steps
 
 
-def _attach(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def _attach(rows: DataFrame, groups: DataFrame, *more: str) -> DataFrame:
     """Rows with the values of their group. Rows carry a salt, and a group's values are there once for each, so that a hot
     group is dealt to many tasks."""
-    return rows.join(groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["_group", "_salt"])
+    return rows.join(groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["_group", *more, "_salt"])
 
 
 def _distances(rows: DataFrame, fit: DataFrame, xs: list[str], keep: list[str]) -> DataFrame:
+    """Rows, once for each start, with their squared distance _d and its _bin."""
     got = _attach(rows, fit)
     for name, value in _squared(len(xs), xs):
         got = got.withColumn(name, value)
-    return got.select(*keep, "_d")
+    return got.select(*keep, "_d", F.floor(F.log2(F.col("_d") + 2.0**-16) * 32).cast("int").alias("_bin"))
 
 
 def reject(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, lang, source, the statistics, base_failed, distance (Mahalanobis; null if base_failed) and kept.
 
     Minimum covariance determinant by concentration: groups are (lang, source); each step fits mean and covariance to
-    the share of a group's vectors that lie nearest under the step before, starting from the spread of the
-    middle ranks of each statistic. The boundary of that share is found in a histogram of distances, so no group is
-    ever gathered. The last covariance is scaled so that the share's own boundary is where a normal distribution of
-    5 statistics has it. Documents that fail the base rule take no part in the fit. Null lang and source are values of
+    the share of a group's vectors that lie nearest under the step before. Each group is fitted from four starts until the
+    determinants settle, and the estimate of least determinant counts. The boundary of the share is found in a histogram
+    of distances, so no group is ever gathered. The covariance is scaled so that the share's own boundary is where a normal
+    distribution of 5 statistics has it. Documents that fail the base rule take no part in the fit. Null lang and source are values of
     their own. A null text has no words and fails. Rows that repeat are judged each by itself. An empty table gives an
     empty one; other columns are left out.
     """
-    xs = [f"x{i}" for i in range(len(rule.floors))]
-    p = len(xs)
+    xs = [f"x{i}" for i in range(len(rule.least))]
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     every = stored(statistics(docs).withColumn("base_failed", failed), "statistics")
     names = [*every.columns]
@@ -185,54 +291,10 @@ def reject(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         .withColumn("_salt", F.pmod(F.xxhash64("doc_id", *xs), F.lit(SALTS)).cast("int")),
         "vectors",
     )
-    # Start: middle and spread of each statistic by itself.
-    middle = judged.groupBy("_group").agg(
-        *[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, x in enumerate(xs)]
-    )
-    start = middle.select(
-        "_group",
-        *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(p)],
-        *[
-            (F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(rule.floors[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}")
-            for i in range(p)
-            for j in range(i + 1)
-        ],
-    )
-    bin_ = F.floor(F.log2(F.col("_d") + 2.0**-16) * 32).cast("int")
-    fit = start
-    for _ in range(rule.steps):
-        fit = stored(fit, "fit")
-        near = _distances(judged, fit, xs, ["_group", "_salt", *xs]).withColumn("_bin", bin_)
-        counts = near.groupBy("_group", "_bin").agg(F.count("*").alias("_n"))
-        upto = Window.partitionBy("_group").orderBy("_bin")
-        edge = (
-            counts.select(
-                "_group",
-                "_bin",
-                F.sum("_n").over(upto).alias("_below"),
-                F.sum("_n").over(Window.partitionBy("_group")).alias("_all"),
-            )
-            .filter(F.col("_below") >= rule.share * F.col("_all"))
-            .groupBy("_group")
-            .agg(F.min("_bin").alias("_edge"))
-        )
-        fit = _estimates(_attach(near, edge).filter("_bin <= _edge"), xs, rule)
-    fit = stored(fit, "fit")
-    far = _distances(judged, fit, xs, ["_group", "_salt", *names])
-    counts = far.groupBy("_group", bin_.alias("_bin")).agg(F.count("*").alias("_n"))
-    edge = (
-        counts.select(
-            "_group",
-            "_bin",
-            F.sum("_n").over(Window.partitionBy("_group").orderBy("_bin")).alias("_below"),
-            F.sum("_n").over(Window.partitionBy("_group")).alias("_all"),
-        )
-        .filter(F.col("_below") >= rule.share * F.col("_all"))
-        .groupBy("_group")
-        .agg(F.min("_bin").alias("_edge"))
-    )
+    far = _distances(judged, _least(judged, xs, rule), xs, ["_group", "_start", "_salt", *names])
+    edge = _edges(far, rule.share)
     # Three quarters of a chi-square with 5 degrees of freedom lie below 6.626.
     scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("_edge") + 1) / 32) / 6.626)
-    scored = _attach(far, edge).select(*names, F.sqrt(F.col("_d") / scale).alias("distance"))
+    scored = _attach(far, edge, "_start").select(*names, F.sqrt(F.col("_d") / scale).alias("distance"))
     out = scored.unionByName(every.filter("base_failed").withColumn("distance", F.lit(None).cast("double")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= rule.distance))
