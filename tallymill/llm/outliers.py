@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,26 +17,27 @@ SYMBOLS = "#*$%&|<>"
 SALTS = 32
 
 
-#: Where the concentration starts from: see _starts.
-STARTS = 4
+#: All starts take the first steps; then the best of each group go on until they rest.
+TRIAL = 2
+FINALISTS = 2
 
 
 @dataclass(frozen=True)
 class Rule:
-    """share: the part of a group's vectors that the estimate rests on. steps: concentration ends when no determinant moves by
-    more than settled (in logarithms), after so many steps at the latest. fit_rows: a group of fewer rows joins the pool
+    """share: the part of a group's vectors that the estimate rests on. steps: an estimate rests when a step lowers its
+    determinant by no more than settled (in logarithms), after so many steps at the latest. fit_rows: a group of fewer rows joins the pool
     of small groups of its language, then of all. floor: least standard deviation of each transformed statistic, as a part of
     its pooled spread (mean distance from the group's middle, over all groups), so that one that hardly varies in a group
     does not turn a trace of it into an outlier; least: its value where nothing varies anywhere. At the least floors a text
-    fails for 2.3 % symbols among its characters, or repeated lines or words of 6.3 %, alone.
+    fails for 2.3 % symbols among its characters, or repeated lines or words of 9 %, alone.
     distance: Mahalanobis distance above which a document goes; 5 leaves out 1.4 of 10,000 under a normal distribution."""
 
     share: float = 0.75
     steps: int = 25
-    settled: float = 1e-3
+    settled: float = 1e-2
     fit_rows: int = 60
     floor: float = 0.5
-    least: tuple[float, ...] = (0.25, 0.06, 0.03, 0.05, 0.05)
+    least: tuple[float, ...] = (0.25, 0.06, 0.03, 0.06, 0.06)
     distance: float = 5.0
 
 
@@ -214,20 +216,25 @@ def _least(judged: DataFrame, xs: list[str], rule: Rule) -> DataFrame:
     p = len(xs)
     middle = stored(_middle(judged, xs), "middle")
     floors = _floors(judged, middle, xs, rule)
-    fit = stored(_starts(judged, middle, xs, floors), "fit")
+    moving, rested = stored(_starts(judged, middle, xs, floors), "fit"), []
+    determinant = _log_determinant(p).alias("_determinant")
     for step in range(rule.steps):
-        near = _distances(judged, fit, xs, ["_group", "_start", "_salt", *xs])
+        near = _distances(judged, moving, xs, ["_group", "_start", "_salt", *xs])
         inner = _attach(near, _edges(near, rule.share), "_start").filter("_bin <= _edge")
-        new = stored(_estimates(inner, xs, floors), "fit")
-        moved = (
-            new.select("_group", "_start", _log_determinant(p).alias("_new"))
-            .join(fit.select("_group", "_start", _log_determinant(p).alias("_old")), ["_group", "_start"])
-            .agg(F.max(F.abs(F.col("_new") - F.col("_old"))))
-            .first()[0]
-        )
-        fit = new
-        if step and (moved is None or moved <= rule.settled):
+        before = moving.select("_group", "_start", determinant.alias("_before"))
+        new = _estimates(inner, xs, floors).withColumn("_determinant", determinant).join(before, ["_group", "_start"])
+        if step + 1 == TRIAL:
+            place = F.row_number().over(Window.partitionBy("_group").orderBy("_determinant", "_start"))
+            new = new.withColumn("_place", place).filter(F.col("_place") <= FINALISTS).drop("_place")
+        falls = (F.col("_determinant") < F.col("_before") - rule.settled) if step else F.lit(True)
+        new = stored(new.withColumn("_falls", falls).drop("_before", "_determinant"), "fit")
+        if step + 1 >= TRIAL:
+            rested.append(new.filter("not _falls").drop("_falls"))
+            new = new.filter("_falls")
+        moving = new.drop("_falls")
+        if moving.isEmpty():
             break
+    fit = reduce(DataFrame.unionByName, rested, moving)
     best = F.min(F.struct(_log_determinant(p).alias("_determinant"), "_start", *_columns(p))).alias("_best")
     return stored(fit.groupBy("_group").agg(best).select("_group", "_best.*").drop("_determinant"), "fit")
 
@@ -260,8 +267,8 @@ def reject(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, lang, source, the statistics, base_failed, distance (Mahalanobis; null if base_failed) and kept.
 
     Minimum covariance determinant by concentration: groups are (lang, source); each step fits mean and covariance to
-    the share of a group's vectors that lie nearest under the step before. Each group is fitted from four starts until the
-    determinants settle, and the estimate of least determinant counts. The boundary of the share is found in a histogram
+    the share of a group's vectors that lie nearest under the step before. Each group is fitted from four starts, the two of
+    lesser determinant after two steps go on until they rest, and the estimate of least determinant counts. The boundary of the share is found in a histogram
     of distances, so no group is ever gathered. The covariance is scaled so that the share's own boundary is where a normal
     distribution of 5 statistics has it. Documents that fail the base rule take no part in the fit. Null lang and source are values of
     their own. A null text has no words and fails. Rows that repeat are judged each by itself. An empty table gives an
