@@ -117,12 +117,15 @@ def _estimates(rows: DataFrame, xs: list[str], floors: tuple[float, ...]) -> Dat
     """Mean, and Cholesky factor of the covariance, of each group and start: columns m0.. and l00, l10, l11, ...
 
     One aggregation of plain sums, so that partial aggregation reduces a hot group before the exchange."""
-    p = len(xs)
-    pairs = list(combinations_with_replacement(range(p), 2))
-    got = rows.groupBy("_group", "_start").agg(
+    return _factored(rows.groupBy("_group", "_start").agg(
         *[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)],
-        *[F.covar_pop(xs[i], xs[j]).alias(f"c{j}{i}") for i, j in pairs],
-    )
+        *[F.covar_pop(xs[i], xs[j]).alias(f"c{j}{i}") for i, j in combinations_with_replacement(range(len(xs)), 2)],
+    ), floors)
+
+
+def _factored(got: DataFrame, floors: tuple[float, ...]) -> DataFrame:
+    """The Cholesky factors of covariances c00, c10, c11, ... with the squared floors added to the variances."""
+    p = len(floors)
     for i in range(p):
         got = got.withColumn(f"c{i}{i}", F.greatest(F.col(f"c{i}{i}"), F.lit(0.0)) + F.lit(floors[i] ** 2))
     for j in range(p):
@@ -137,6 +140,41 @@ def _estimates(rows: DataFrame, xs: list[str], floors: tuple[float, ...]) -> Dat
     return got.select("_group", "_start", *_columns(p))
 
 
+def _concentrated(rows: DataFrame, fit: DataFrame, xs: list[str], floors: tuple[float, ...], share: float) -> DataFrame:
+    """One step: the estimate that rests on the share of each group's rows that lie nearest under fit.
+
+    One pass over the rows: each bin of distances adds up its rows' moments about the mean of fit, and those of the bins up to the edge
+    are added together. What is exchanged grows with groups and bins, not with rows."""
+    p = len(xs)
+    pairs = list(combinations_with_replacement(range(p), 2))
+    off = [F.col(x) - F.col(f"m{i}") for i, x in enumerate(xs)]
+    binned = _distances(rows, fit, xs, ["_group", "_start", *[u.alias(f"u{i}") for i, u in enumerate(off)]])
+    sums = [f"s{i}" for i in range(p)] + [f"s{j}{i}" for i, j in pairs]
+    bins = binned.groupBy("_group", "_start", "_bin").agg(
+        F.count("*").alias("_n"),
+        *[F.sum(f"u{i}").alias(f"s{i}") for i in range(p)],
+        *[F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"s{j}{i}") for i, j in pairs],
+    )
+    group = Window.partitionBy("_group", "_start")
+    inner = bins.withColumns(
+        {"_below": F.sum("_n").over(group.orderBy("_bin")), "_all": F.sum("_n").over(group)}
+    ).filter(F.col("_below") - F.col("_n") < share * F.col("_all"))
+    moments = inner.groupBy("_group", "_start").agg(
+        F.sum("_n").cast("double").alias("_n"), *[F.sum(s).alias(s) for s in sums]
+    )
+    mean = [F.col(f"s{i}") / F.col("_n") for i in range(p)]
+    got = moments.join(fit.select("_group", "_start", *[F.col(f"m{i}").alias(f"o{i}") for i in range(p)]), ["_group", "_start"])
+    return _factored(
+        got.select(
+            "_group",
+            "_start",
+            *[(F.col(f"o{i}") + mean[i]).alias(f"m{i}") for i in range(p)],
+            *[(F.col(f"s{j}{i}") / F.col("_n") - mean[i] * mean[j]).alias(f"c{j}{i}") for i, j in pairs],
+        ),
+        floors,
+    )
+
+
 def _columns(p: int) -> list[str]:
     return [*(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1))]
 
@@ -219,10 +257,9 @@ def _least(judged: DataFrame, xs: list[str], rule: Rule) -> DataFrame:
     moving, rested = stored(_starts(judged, middle, xs, floors), "fit"), []
     determinant = _log_determinant(p).alias("_determinant")
     for step in range(rule.steps):
-        near = _distances(judged, moving, xs, ["_group", "_start", "_salt", *xs])
-        inner = _attach(near, _edges(near, rule.share), "_start").filter("_bin <= _edge")
         before = moving.select("_group", "_start", determinant.alias("_before"))
-        new = _estimates(inner, xs, floors).withColumn("_determinant", determinant).join(before, ["_group", "_start"])
+        new = _concentrated(judged, moving, xs, floors, rule.share).withColumn("_determinant", determinant)
+        new = new.join(before, ["_group", "_start"])
         if step + 1 == TRIAL:
             place = F.row_number().over(Window.partitionBy("_group").orderBy("_determinant", "_start"))
             new = new.withColumn("_place", place).filter(F.col("_place") <= FINALISTS).drop("_place")
@@ -255,7 +292,7 @@ def _attach(rows: DataFrame, groups: DataFrame, *more: str) -> DataFrame:
     return rows.join(groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["_group", *more, "_salt"])
 
 
-def _distances(rows: DataFrame, fit: DataFrame, xs: list[str], keep: list[str]) -> DataFrame:
+def _distances(rows: DataFrame, fit: DataFrame, xs: list[str], keep: list[str | Column]) -> DataFrame:
     """Rows, once for each start, with their squared distance _d and its _bin."""
     got = _attach(rows, fit)
     for name, value in _squared(len(xs), xs):
