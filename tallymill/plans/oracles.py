@@ -7,8 +7,10 @@ the expected parse of each template is listed here by hand. Text queries over re
 from __future__ import annotations
 
 from tallymill.operators import filters, review, rules
+from tallymill.plans.forms import CLAUSES, FALLBACK, FIELDS, SENDERS
+from tallymill.plans.forms import expected as form_value
 from tallymill.plans.planted import BANK, CHANNEL, SHORT_BANKS, expected
-from tallymill.plans.queries import NOW_MS
+from tallymill.plans.queries import EXPORT_MS, NOW_MS
 
 M = """m AS (SELECT o_orderkey AS k, o_custkey AS u, o_orderkey % 41 + 1 AS n, round(o_totalprice, 2) AS amt,
   lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') AS a4, CAST(100000000000 + o_orderkey AS VARCHAR) AS rrn,
@@ -438,6 +440,33 @@ def all_oracles() -> dict[str, str]:
       SELECT user_id, id, 'row' AS outcome, -round(o_totalprice, 2) AS amount, 'North "Mart"' AS merchant, CAST(o_orderdate AS DATE) AS txn_date,
         CASE WHEN o_custkey % 2 = 0 AND o_totalprice < 5000 THEN 'approved' ELSE 'pending_review' END AS status, CAST(NULL AS DOUBLE) AS confidence FROM z WHERE shape < 2
       UNION ALL SELECT user_id, id, CASE shape WHEN 2 THEN 'promotional' ELSE 'broken' END, NULL, NULL, NULL, NULL, NULL FROM z WHERE shape >= 2"""
+    o["model_outcomes"] = """WITH z AS (SELECT (o_orderkey + n) % 4 AS shape FROM orders, (VALUES (0), (1)) AS s(n))
+      SELECT count(*) AS asked, count(*) FILTER (WHERE shape < 2) AS parsed, count(*) FILTER (WHERE shape = 2) AS promotional,
+      count(*) FILTER (WHERE shape = 3) AS errors FROM z"""
+    kinds = {"amount": "DOUBLE", "balance": "DOUBLE"}
+    o["fallback_fields"] = f"WITH {M} SELECT k AS o_orderkey, " + ", ".join(
+        f"CAST({form_value([values[i] for _, values in FALLBACK], 'k')} AS {kinds.get(c, 'VARCHAR')}) AS {c}" for i, c in enumerate(FIELDS)
+    ) + " FROM m"
+    clauses = ", ".join(
+        f"CAST({form_value([values[i] for _, values in CLAUSES], 'k')} AS VARCHAR) AS {c}" for i, c in enumerate(["merchant", "reference", "transfer_reference"])
+    )
+    o["extract_merchant"] = f"""WITH {M} SELECT *, nullif(left(regexp_replace(lower(merchant), '[^a-z0-9@]', '', 'g'), 40), '') AS merchant_key
+      FROM (SELECT k AS o_orderkey, {clauses} FROM m)"""
+    o["infrastructure_senders"] = f"SELECT c_custkey, {form_value([v for _, v in SENDERS], 'c_custkey')} AS is_infrastructure FROM customer"
+    o["row_by_id"] = f"""WITH {LEDGER} SELECT id, user_id, txn_date, CAST(amount AS DOUBLE) AS amount, status FROM l
+      WHERE user_id = '8' AND id = (SELECT max(id) FROM l WHERE user_id = '8')"""
+    o["report_samples"] = "SELECT doc_id, substring(text, 1, 80) AS snippet FROM documents WHERE text IS NOT NULL ORDER BY doc_id, text LIMIT 20"
+    o["export_windows"] = f"""WITH {M}, a AS (SELECT *, {EXPORT_MS} - epoch_ms(CAST(d AS TIMESTAMP) + INTERVAL 12 HOUR) AS age FROM m)
+      SELECT concat(age // 7776000000 * 90, '_to_', age // 7776000000 * 90 + 90, '_days') AS "window", count(*) AS n, count(DISTINCT u) AS users,
+      min(d) AS oldest, max(d) AS newest, count(*) AS bodies FROM a WHERE age >= 0 AND age < 31104000000 GROUP BY 1"""
+    o["parser_report_files"] = f"""WITH {V} SELECT 'transactions' AS file, CASE WHEN waits THEN 'pending_review' ELSE 'approved' END AS kind, count(*) AS n,
+      CAST(sum(CAST(amount AS DECIMAL(38,2))) AS DOUBLE) AS total FROM v WHERE {row} GROUP BY 2
+      UNION ALL SELECT 'balance_updates', 'balance', count(*), CAST(sum(CAST(amt AS DECIMAL(38,2))) AS DOUBLE) FROM v WHERE stage = 'balance_update' HAVING count(*) > 0
+      UNION ALL SELECT 'summary', 'total', 1, CAST(count(*) FILTER (WHERE {row}) AS DOUBLE) FROM v"""
+    o["stage_files"] = f"""WITH {V} SELECT 'parser' AS file, CASE drop_reason WHEN 'sender' THEN 'layer0_drop' ELSE coalesce(drop_reason, 'passed') END AS verdict, count(*) AS n FROM v GROUP BY 2
+      UNION ALL SELECT 'regex', CASE WHEN stage = 'matched' THEN rule WHEN stage IN ('fallback', 'escalated') THEN 'no_rule_matched'
+        WHEN stage = 'balance_update' THEN 'balance_disclosure_no_transaction' ELSE failure END, count(*) FROM v WHERE drop_reason IS NULL GROUP BY 2
+      UNION ALL SELECT 'haiku', 'no_layer2_rule', count(*) FROM v WHERE stage IN ('fallback', 'escalated')"""
     # streams give the batch results
     o["stream_parse"] = f"WITH {V} SELECT stage, count(*) AS n, CAST(sum(CAST(amount AS DECIMAL(38,2))) AS DOUBLE) AS amount FROM v GROUP BY 1"
     o["stream_dedup"] = f"""WITH {V}, r AS (SELECT DISTINCT u, rule, CASE WHEN n IN (4, 19, 25, 26) THEN rrn ELSE CAST(k AS VARCHAR) END AS key FROM v WHERE stage = 'matched')

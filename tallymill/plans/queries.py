@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,18 +11,22 @@ from pyspark.sql import functions as F
 from tallymill.functions import extract as X
 from tallymill.operators import accounts, dedup, edits, escalation, fallback, ledger, reports, review, rules, transfers
 from tallymill.operators.filters import filter_messages, with_drop_reason, with_text
-from tallymill.operators.parse import balance_updates_of, parse_stages, transactions_of
+from tallymill.operators.parse import balance_updates_of, is_infrastructure, parse_stages, transactions_of
 from tallymill.operators.skew import at_least_one_partition_per_core, cut_lineage, scratch_dir
 from tallymill.operators.taxonomy import TAXONOMY, any_keyword, best_entry
 from tallymill.functions.text import has, when
+from tallymill.plans import forms
 from tallymill.plans import samples as S
 from tallymill.plans.planted import plant
 from tallymill.schemas import ACCOUNTS, LEDGER, SPLIT_LINE
-from tallymill.sources.messages import sender_inventory, sender_totals, window_label
+from tallymill.sources.messages import (
+    sender_inventory, sender_totals, stage_outputs, window_label, write_parser_report, write_raw_export, write_stage_outputs,
+)
 from tallymill.streaming import streams
 from tallymill.streaming.pairing import PAIRED, pairing_table
 
 NOW_MS = 1_767_225_600_000  # 2026-01-01 UTC, the reading time of windowed scans
+EXPORT_MS = 1_672_531_200_000  # 2023-01-01 UTC, the time of an export
 PARSED = {
     "msg_id": "id",
     "stage": "stage",
@@ -341,8 +346,8 @@ def page_submit_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("id", "status", "is_child", "is_contra", "possible_contra_of", "txn_group_id")
 
 
-def llm_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model answers in every shape (plain, fenced, promotional, broken, with a quoted amount, lists for text) written from order
+def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Queue and model answers in every shape (plain, fenced, promotional, broken, with a quoted amount, lists for text) written from order
     rows. Two users share each id and get different answers; one user's message was answered before, otherwise."""
     both = S.load(spark, sf_dir, "orders").selectExpr("*", "explode(array('a', 'b')) AS side").selectExpr(
         "CAST(o_orderkey AS string) AS id", "concat(side, o_custkey) AS user_id", "o_orderkey + CAST(side = 'b' AS int) AS shape", "*"
@@ -361,13 +366,111 @@ def llm_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     earlier = both.filter("side = 'b'").selectExpr("user_id", "id", "1 AS answered_at", "'{\"is_promotional\": true}' AS text")
     queue = both.selectExpr("id", "user_id", "'x' AS body", "unix_millis(CAST(to_date(o_orderdate) AS timestamp)) AS date")
-    rows, discards, failures = escalation.merge_answers(queue, earlier.unionByName(last))
+    return queue, earlier.unionByName(last)
+
+
+def llm_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, discards, failures = escalation.merge_answers(*_answers(spark, sf_dir))
     return rows.select(
         "user_id", F.col("raw_sms_id").alias("id"), F.lit("row").alias("outcome"), F.col("amount").cast("double").alias("amount"),
         "merchant", "txn_date", "status", "confidence",
     ).unionByName(discards.unionByName(failures).select("user_id", "id", F.col("reason").alias("outcome")), allowMissingColumns=True)
 
 
+def model_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed, promotional and unusable answers of the whole queue."""
+    queue, answers = _answers(spark, sf_dir)
+    return reports.model_outcomes(escalation.last_answers(answers).filter("answer IS NOT NULL"), queue)
+
+
+def fallback_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword fallback over texts that hold every field: balances, merchants, banks, channels, references."""
+    parsed = fallback.fallback_parse(forms.written(_orders(spark, sf_dir), forms.FALLBACK))
+    money = {"amount", "balance"}
+    return parsed.selectExpr("o_orderkey", *[f"CAST(fb_{c} AS double) AS {c}" if c in money else f"fb_{c} AS {c}" for c in forms.FIELDS])
+
+
+def extract_merchant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every merchant clause and label, with the merchant's key and both kinds of reference."""
+    texts = with_text(forms.written(_orders(spark, sf_dir), forms.CLAUSES))
+    found = texts.selectExpr(
+        "o_orderkey", f"nullif({X.merchant('_text', '_low')}, '') AS merchant",
+        f"{X.payment_reference('_text', '_low')} AS reference", f"{X.transfer_reference('_text', '_low')} AS transfer_reference",
+    )
+    return found.selectExpr("*", f"{X.merchant_key('merchant')} AS merchant_key")
+
+
+def infrastructure_senders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = forms.senders(S.load(spark, sf_dir, "customer"))
+    return rows.selectExpr("c_custkey", f"{is_infrastructure('address')} AS is_infrastructure")
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return at_least_one_partition_per_core(S.load(spark, sf_dir, "orders"), "o_orderkey")
+
+
+def row_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row of the greatest id of one user, looked up by its key."""
+    rows = S.ledger_from_events(spark, sf_dir)
+    key = rows.filter("user_id = '8'").agg(F.max("id")).first()[0]
+    found = review.row_by_id(rows, "8", key or "")
+    return found.select("id", "user_id", "txn_date", F.col("amount").cast("double").alias("amount"), "status")
+
+
+def report_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty texts of a report list, as snippets."""
+    rows = S.load(spark, sf_dir, "documents").selectExpr("doc_id", "text AS body").filter("body IS NOT NULL")
+    return reports.samples(rows, ["doc_id", "body"], 20).select("doc_id", "snippet")
+
+
+def export_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages written as an export, one folder a window, and read back."""
+    path = scratch_dir(spark)
+    write_raw_export(S.messages_from_orders(spark, sf_dir), path, EXPORT_MS)
+    rows = spark.read.schema("window string, id string, user_id string, address string, date date, body string").json(path)
+    return rows.groupBy("window").agg(
+        F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.min("date").alias("oldest"), F.max("date").alias("newest"),
+        F.count("body").alias("bodies"),
+    )
+
+
+def parser_report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a whole inbox in files, and what they hold."""
+    path = scratch_dir(spark)
+    staged = cut_lineage(parse_stages(S.messages_from_orders(spark, sf_dir)))
+    rows, updates = transactions_of(staged), balance_updates_of(staged)
+    write_parser_report(rows, updates, reports.parse_summary(staged), path)
+    rows = spark.read.schema(rows.schema).json(f"{path}/transactions")
+    updates = spark.read.schema(updates.schema).json(f"{path}/balance_updates")
+    summary = spark.read.schema("total bigint").json(f"{path}/summary")
+
+    def part(name: str, frame: DataFrame, group: str, value: str) -> DataFrame:
+        return frame.groupBy(F.expr(group).alias("kind")).agg(
+            F.count("*").alias("n"), F.expr(f"CAST(sum({value}) AS double)").alias("total")
+        ).select(F.lit(name).alias("file"), "*")
+
+    return (
+        part("transactions", rows, "status", "amount")
+        .unionByName(part("balance_updates", updates, "'balance'", "balance"))
+        .unionByName(part("summary", summary, "'total'", "total"))
+    )
+
+
+def stage_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three stage outputs of a whole inbox in files, counted by their verdicts."""
+    path = scratch_dir(spark)
+    staged = parse_stages(S.messages_from_orders(spark, sf_dir))
+    schemas = {name: frame.schema for name, frame in stage_outputs(staged).items()}
+    write_stage_outputs(staged, path)
+    read = {name: spark.read.schema(schema).json(f"{path}/{name}") for name, schema in schemas.items()}
+    verdicts = {"parser": "coalesce(layer1.reason, 'passed')", "regex": "coalesce(layer2.rule, layer2.reason)", "haiku": "reason"}
+    counted = [
+        read[name].groupBy(F.expr(verdict).alias("verdict")).agg(F.count("*").alias("n")).select(F.lit(name).alias("file"), "*")
+        for name, verdict in verdicts.items()
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
 def category_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed categories against the display labels: what shows as uncategorized."""
     staged = parse_stages(S.messages_from_orders(spark, sf_dir)).filter("category IS NOT NULL")
@@ -484,7 +587,8 @@ def all_queries() -> dict[str, Query]:
             duplicate_flags, duplicate_decisions, transfer_candidates, transfer_tiers, transfer_pairs_exact,
             infra_group_spread, transfer_decisions, transfer_notes, account_dim, balance_latest, ingest_summary,
             ingest_rows, page_submit_paired, feed_page, feed_history, needs_review, display_rows, ledger_violations, edit_overlay, split_apply,
-            page_submit, llm_answers, category_crosswalk, editor_options, window_labels, escalation_queue,
+            page_submit, llm_answers, model_outcomes, fallback_fields, extract_merchant, infrastructure_senders, row_by_id,
+            report_samples, export_windows, parser_report_files, stage_files, category_crosswalk, editor_options, window_labels, escalation_queue,
             stream_parse, stream_dedup, stream_balance, stream_funnel, stream_transfers, stream_transfer_rows, stream_pairing, stream_ledger,
         )
     }

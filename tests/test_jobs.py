@@ -26,6 +26,8 @@ CHECKED = [
     "dedup_priority", "dedup_reference_or_body", "duplicate_flags", "transfer_candidates", "account_dim", "balance_latest",
     "feed_page", "edit_overlay", "split_apply", "page_submit", "ingest_rows", "llm_answers", "window_labels", "body_filter_documents",
     "bank_detect", "channel_detect", "taxonomy_best", "extract_amount", "parse_generic_cc_spend_txn", "stream_balance",
+    "model_outcomes", "fallback_fields", "extract_merchant", "infrastructure_senders", "row_by_id", "report_samples", "export_windows",
+    "parser_report_files", "stage_files",
 ]
 
 
