@@ -96,6 +96,45 @@ def filter_quality(staged: DataFrame) -> DataFrame:
     return filter_verdicts(staged).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
+def all_reports(staged: DataFrame) -> DataFrame:
+    """report, value and n of every report of this module, in one pass over the staged rows.
+
+    Rows are counted by their verdicts first; there are as many such cells as rules, reasons and categories allow, however many rows
+    there are, and each report is a sum over cells. Totals are there with n = 0 too; an empty table has no rows at all."""
+    verdicts = ["drop_reason", "outcome", "stage", "rule_id", "parse_failure", "category", "status", "verdict"]
+    cells = filter_verdicts(staged).groupBy(*verdicts).agg(F.count("*").alias("_n"))
+    row = F.col("stage").isin("matched", "fallback", "escalated", "discard")
+    sender, passed = F.col("drop_reason") == "sender", F.col("drop_reason").isNull()
+    values = {
+        "drop_reasons": F.col("drop_reason"),
+        "rule_hits": F.when(F.col("outcome").isin("matched", "discard"), F.col("rule_id")),
+        "failure_breakdown": F.col("parse_failure"),
+        "category_breakdown": F.when(row, F.coalesce("category", F.lit("unclassified"))),
+        "filter_quality": F.col("verdict"),
+    }
+    totals = {
+        ("funnel", "total"): F.lit(True),
+        ("funnel", "sender_dropped"): sender,
+        ("funnel", "body_dropped"): ~passed & ~sender,
+        ("funnel", "passed"): passed,
+        ("funnel", "matched"): F.col("outcome") == "matched",
+        ("funnel", "discarded"): F.col("outcome") == "discard",
+        ("funnel", "escalated"): F.col("outcome") == "none",
+        ("parse_summary", "total"): row,
+        ("parse_summary", "approved"): row & (F.col("status") == "approved"),
+        ("parse_summary", "pending_review"): row & (F.col("status") == "pending_review"),
+        ("parse_summary", "parse_failures"): F.col("parse_failure").isNotNull(),
+        ("parse_summary", "balance_updates"): F.col("stage") == "balance_update",
+    }
+    entries = [F.struct(F.lit(report).alias("report"), value.alias("value"), F.col("_n").alias("n")) for report, value in values.items()]
+    entries += [
+        F.struct(F.lit(report).alias("report"), F.lit(name).alias("value"), F.when(test, F.col("_n")).otherwise(0).alias("n"))
+        for (report, name), test in totals.items()
+    ]
+    listed = cells.select(F.inline(F.array(*entries))).filter("value IS NOT NULL")
+    return listed.groupBy("report", "value").agg(F.sum("n").alias("n"))
+
+
 def samples(rows: DataFrame, order: list[str], n: int, snippet: int = 80) -> DataFrame:
     """First ``n`` rows of a report list in a stable order, with the text cut to a snippet."""
     return rows.orderBy(*order).limit(n).withColumn("snippet", F.substring("body", 1, snippet))

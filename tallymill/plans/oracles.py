@@ -303,6 +303,12 @@ def all_oracles() -> dict[str, str]:
       round(matched * 100.0 / passed, 1) AS match_rate FROM c"""
     real = "drop_reason IN ('otp', 'future_credit', 'loyalty', 'service_noise', 'no_signal', 'payee_ack')"
     o["fp_fn"] = f"WITH {V} SELECT CASE WHEN {real} THEN 'dropped_real' ELSE 'agreed' END AS verdict, count(*) AS n FROM v GROUP BY 1"
+    histograms = {"drop_reasons": "filter_drop_reasons", "rule_hits": "rule_hits", "failure_breakdown": "failure_breakdown", "category_breakdown": "category_breakdown", "filter_quality": "fp_fn"}
+    totals = {"funnel": "total, sender_dropped, body_dropped, passed, matched, discarded, escalated", "parse_summary": "total, approved, pending_review, parse_failures, balance_updates"}
+    o["all_reports"] = " UNION ALL ".join(
+        [f"SELECT '{report}' AS report, h.value, h.n FROM ({o[query]}) AS h(value, n)" for report, query in histograms.items()]
+        + [f"SELECT '{report}', value, n FROM (UNPIVOT (SELECT {names} FROM ({o[report]})) ON {names} INTO NAME value VALUE n)" for report, names in totals.items()]
+    )
     o["escalation_queue"] = f"""WITH {V} SELECT CAST(k AS VARCHAR) AS id, failure AS original_parse_failure, CAST(amount AS DOUBLE) AS original_amount
       FROM v WHERE stage IN ('fallback', 'escalated')"""
     o["window_labels"] = f"""WITH {M}, a AS (SELECT {NOW_MS} - epoch_ms(CAST(d AS TIMESTAMP) + INTERVAL 12 HOUR) AS age FROM m)
@@ -403,6 +409,12 @@ def all_oracles() -> dict[str, str]:
     o["feed_page"] = f"""WITH {LEDGER}, f AS (SELECT * FROM l WHERE user_id = '8' AND status <> 'user_reviewed')
       SELECT id, txn_date, CAST(amount AS DOUBLE) AS amount, status, (SELECT count(*) FROM f) AS total_count,
       CAST(greatest(1, ceil((SELECT count(*) FROM f) / 20.0)) AS INT) AS page_count FROM f ORDER BY txn_date DESC, id LIMIT 20 OFFSET 20"""
+    open_feed = f"""{LEDGER}, f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY txn_date DESC, id) - 1 AS place,
+      count(*) OVER (PARTITION BY user_id) AS total_count FROM l WHERE status <> 'user_reviewed')"""
+    o["feed_page_index"] = f"""WITH {open_feed} SELECT user_id, CAST(place // 20 AS INT) AS page, id, total_count,
+      CAST(greatest(1, ceil(total_count / 20.0)) AS INT) AS page_count FROM f WHERE place % 20 = 0"""
+    o["feed_page_seek"] = f"""WITH {open_feed} SELECT CAST(place // 20 AS INT) AS page, id, txn_date, CAST(amount AS DOUBLE) AS amount, status FROM f
+      WHERE user_id = '8' AND place >= 20 AND place < 60"""
     o["feed_history"] = f"WITH {LEDGER} SELECT user_id, count(*) AS n FROM l WHERE status = 'user_reviewed' AND category = 'shopping' GROUP BY 1"
     o["needs_review"] = f"WITH {LEDGER} SELECT user_id, count(*) FILTER (WHERE status = 'pending_review') AS needs_review, true AS has_any FROM l GROUP BY 1"
     label = "CASE category WHEN 'income' THEN 'Income' WHEN 'shopping' THEN 'Shopping' ELSE 'Uncategorized' END"

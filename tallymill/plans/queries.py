@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.functions import extract as X
-from tallymill.operators import accounts, dedup, edits, escalation, fallback, ledger, reports, review, rules, transfers
+from tallymill.operators import accounts, dedup, edits, escalation, fallback, ledger, paging, reports, review, rules, transfers
 from tallymill.operators.filters import filter_messages, with_drop_reason, with_text
 from tallymill.operators.parse import balance_updates_of, is_infrastructure, parse_stages, transactions_of
 from tallymill.operators.skew import at_least_one_partition_per_core, cut_lineage, scratch_dir
@@ -417,6 +417,29 @@ def row_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "user_id", "txn_date", F.col("amount").cast("double").alias("amount"), "status")
 
 
+def _stored_feed(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    base = scratch_dir(spark)
+    paging.store_feed(S.ledger_from_events(spark, sf_dir), f"{base}/feed")
+    paging.page_index(spark.read.parquet(f"{base}/feed")).write.parquet(f"{base}/index")
+    return f"{base}/feed", f"{base}/index"
+
+
+def feed_page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first row of every page of every user's open feed, with the feed's totals."""
+    feed, index = map(spark.read.parquet, _stored_feed(spark, sf_dir))
+    return index.drop("_age").join(paging.feed_totals(feed), "user_id")
+
+
+def feed_page_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second page of the open feed of one user, by its key, and the page that follows its last row."""
+    feed, index = _stored_feed(spark, sf_dir)
+    page = paging.page_at(spark, feed, index, "8", 1)
+    last = page.agg(F.max(F.struct("_age", "id")).alias("k")).select("k.*").first()
+    after = paging.page_after(spark.read.parquet(feed), "8", last["_age"] or 0, last["id"] or "")
+    columns = ["id", "txn_date", F.col("amount").cast("double").alias("amount"), "status"]
+    return page.select(F.lit(1).alias("page"), *columns).unionByName(after.select(F.lit(2).alias("page"), *columns))
+
+
 def report_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first twenty texts of a report list, as snippets."""
     rows = S.load(spark, sf_dir, "documents").selectExpr("doc_id", "text AS body").filter("body IS NOT NULL")
@@ -588,7 +611,7 @@ def all_queries() -> dict[str, Query]:
             infra_group_spread, transfer_decisions, transfer_notes, account_dim, balance_latest, ingest_summary,
             ingest_rows, page_submit_paired, feed_page, feed_history, needs_review, display_rows, ledger_violations, edit_overlay, split_apply,
             page_submit, llm_answers, model_outcomes, fallback_fields, extract_merchant, infrastructure_senders, row_by_id,
-            report_samples, export_windows, parser_report_files, stage_files, category_crosswalk, editor_options, window_labels, escalation_queue,
+            feed_page_index, feed_page_seek, report_samples, export_windows, parser_report_files, stage_files, category_crosswalk, editor_options, window_labels, escalation_queue,
             stream_parse, stream_dedup, stream_balance, stream_funnel, stream_transfers, stream_transfer_rows, stream_pairing, stream_ledger,
         )
     }
@@ -610,6 +633,7 @@ def all_queries() -> dict[str, Query]:
     named["funnel"] = _staged(reports.funnel)
     named["failure_breakdown"] = _staged(reports.failure_breakdown)
     named["category_breakdown"] = _staged(reports.category_breakdown)
+    named["all_reports"] = _staged(reports.all_reports)
     named["parse_summary"] = _staged(reports.parse_summary)
     named["fp_fn"] = _staged(reports.filter_quality)
     for number, rule in enumerate(rules.RULES, start=1):

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tallymill.operators import dedup, edits, escalation, ledger as ledger_ops, review, skew
+from tallymill.operators import dedup, edits, escalation, ledger as ledger_ops, paging, review, skew
 from tallymill.operators.accounts import latest_balances, resolve_accounts
 from tallymill.operators.edits import signed_amount, valid_splits
 from tallymill.operators.ledger import update_ledger
@@ -27,7 +27,7 @@ CHECKED = [
     "feed_page", "edit_overlay", "split_apply", "page_submit", "ingest_rows", "llm_answers", "window_labels", "body_filter_documents",
     "bank_detect", "channel_detect", "taxonomy_best", "extract_amount", "parse_generic_cc_spend_txn", "stream_balance",
     "model_outcomes", "fallback_fields", "extract_merchant", "infrastructure_senders", "row_by_id", "report_samples", "export_windows",
-    "parser_report_files", "stage_files",
+    "parser_report_files", "stage_files", "all_reports", "feed_page_index", "feed_page_seek",
 ]
 
 
@@ -266,3 +266,33 @@ def test_newest_message_is_inserted_first_and_after_what_is_stored(spark):
     stored = spark.createDataFrame([ledger_row("s", "1", created_at=dt.datetime(2024, 6, 1))], LEDGER)
     at = {r.raw_sms_id: r.created_at for r in ledger_ops.insert_order(rows, stored).collect()}
     assert dt.datetime(2024, 6, 1) < at["2"] < at["1"] and at["3"] == dt.datetime(2024, 5, 2)
+
+
+def test_pages_by_key_are_those_by_offset(spark, tmp_path):
+    """Several ranges for one user, days that tie, rows without a day, and users with one page or none."""
+    from tallymill.plans.samples import ledger_from
+
+    events = spark.range(3000).selectExpr(
+        "id AS event_id", "CASE WHEN id % 3 < 2 THEN 1 ELSE id % 400 END AS user_id", "'purchase' AS event_type",
+        "CAST(id % 50 AS double) AS value", "timestamp '2024-01-01' + make_interval(0, 0, 0, id % 40) AS ts",
+    )
+    rows = ledger_from(events).withColumn("txn_date", F.expr("CASE WHEN try_cast(id AS int) % 31 <> 5 THEN txn_date END"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # several ranges, however few rows
+    paging.store_feed(rows, str(tmp_path / "feed"))
+    spark.conf.set("spark.sql.adaptive.enabled", before)
+    feed = spark.read.parquet(str(tmp_path / "feed"))
+    assert feed.filter("user_id = '1'").select("_part").distinct().count() > 1
+    paging.page_index(feed).write.parquet(str(tmp_path / "index"))
+    plain_order = review.feed_filter(rows).filter("user_id = '1'").orderBy(F.desc_nulls_last("txn_date"), "id")
+    want = [r.id for r in plain_order.select("id").collect()]
+    for page in (0, 1, 37, (len(want) - 1) // 20, len(want) // 20 + 1):
+        got = paging.page_at(spark, str(tmp_path / "feed"), str(tmp_path / "index"), "1", page).collect()
+        assert [r.id for r in got] == want[page * 20 : page * 20 + 20]
+    totals = {r.user_id: r.total_count for r in paging.feed_totals(feed).collect()}
+    assert totals["1"] == len(want)
+    assert paging.page_at(spark, str(tmp_path / "feed"), str(tmp_path / "index"), "nobody", 0).count() == 0
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    plan = paging.page_at(spark, str(tmp_path / "feed"), str(tmp_path / "index"), "1", 37)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(_age" in plan and "LessThanOrEqual(_age" in plan and "EqualTo(user_id,1)" in plan
