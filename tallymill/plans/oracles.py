@@ -415,6 +415,11 @@ def all_oracles() -> dict[str, str]:
       CAST(greatest(1, ceil(total_count / 20.0)) AS INT) AS page_count FROM f WHERE place % 20 = 0"""
     o["feed_page_seek"] = f"""WITH {open_feed} SELECT CAST(place // 20 AS INT) AS page, id, txn_date, CAST(amount AS DOUBLE) AS amount, status FROM f
       WHERE user_id = '8' AND place >= 20 AND place < 60"""
+    o["maintained_counts"] = o["stream_counts"] = f"""WITH {LEDGER}, c AS (
+      SELECT user_id, event_id % 6 = 1 AS gone, CASE WHEN event_id % 6 <> 1 AND event_id % 4 = 0 THEN 'user_reviewed' ELSE status END AS status FROM l
+      UNION ALL SELECT user_id, false, 'pending_review' FROM l WHERE event_id % 10 = 3)
+      SELECT user_id, count(*) FILTER (WHERE NOT gone AND status = 'pending_review') AS needs_review, count(*) FILTER (WHERE NOT gone AND status <> 'user_reviewed') AS active_total,
+      count(*) FILTER (WHERE NOT gone AND status = 'user_reviewed') AS history_total, true AS has_any FROM c GROUP BY 1"""
     o["feed_history"] = f"WITH {LEDGER} SELECT user_id, count(*) AS n FROM l WHERE status = 'user_reviewed' AND category = 'shopping' GROUP BY 1"
     o["needs_review"] = f"WITH {LEDGER} SELECT user_id, count(*) FILTER (WHERE status = 'pending_review') AS needs_review, true AS has_any FROM l GROUP BY 1"
     label = "CASE category WHEN 'income' THEN 'Income' WHEN 'shopping' THEN 'Shopping' ELSE 'Uncategorized' END"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.functions import extract as X
-from tallymill.operators import accounts, dedup, edits, escalation, fallback, ledger, paging, reports, review, rules, transfers
+from tallymill.operators import accounts, counts, dedup, edits, escalation, fallback, ledger, paging, reports, review, rules, transfers
 from tallymill.operators.filters import filter_messages, with_drop_reason, with_text
 from tallymill.operators.parse import balance_updates_of, is_infrastructure, parse_stages, transactions_of
 from tallymill.operators.skew import at_least_one_partition_per_core, cut_lineage, scratch_dir
@@ -417,6 +417,46 @@ def row_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "user_id", "txn_date", F.col("amount").cast("double").alias("amount"), "status")
 
 
+def _counted_changes(rows: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """Three changes of a ledger, each as the rows it touches before and after: one in six is deleted, one in four of the others
+    is reviewed with another category, one in ten comes again as a new row."""
+    number = F.col("id").try_cast("bigint")
+    gone = rows.filter(number % 6 == 1)
+    page = rows.filter((number % 6 != 1) & (number % 4 == 0))
+    reviewed = page.withColumns({"status": F.lit("user_reviewed"), "category": F.lit("checked")})
+    return [
+        (gone, gone.withColumn("is_deleted", F.lit(True))),
+        (page, reviewed),
+        (rows.limit(0), rows.filter(number % 10 == 3).withColumn("status", F.lit("pending_review"))),
+    ]
+
+
+def maintained_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review counts and feed totals after deletions, a page submit and an ingest, kept up by their changes."""
+    rows = S.ledger_from_events(spark, sf_dir)
+    changes = [counts.signed_changes(before, after) for before, after in _counted_changes(rows)]
+    return counts.review_counts_of(counts.apply_changes(counts.cell_counts(rows), *changes))
+
+
+def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counts from a stream of signed changes, with retractions."""
+    base = scratch_dir(spark)
+    events = spark.readStream.schema(S.load(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet")
+    rows = S.ledger_from(events).selectExpr("*", "try_cast(id AS bigint) AS _k")
+    entry = "named_struct('user_id', user_id, 'status', {}, 'is_deleted', {}, 'category', {}, 'n', {})"
+    stored = entry.format("status", "is_deleted", "category", 1)
+    taken = entry.format("status", "is_deleted", "category", -1)
+    gone = entry.format("status", "true", "category", 1)
+    reviewed = entry.format("'user_reviewed'", "is_deleted", "'checked'", 1)
+    added = entry.format("'pending_review'", "is_deleted", "category", 1)
+    signed = rows.selectExpr(
+        f"inline(concat(array({stored}), CASE WHEN _k % 6 = 1 THEN array({taken}, {gone}) WHEN _k % 4 = 0 THEN array({taken}, {reviewed}) ELSE array() END, "
+        f"CASE WHEN _k % 10 = 3 THEN array({added}) ELSE array() END))"
+    )
+    streams.count_stream(signed, f"{base}/counts", f"{base}/ckpt").awaitTermination()
+    return counts.review_counts_of(streams.counts(spark, f"{base}/counts"))
+
+
 def _stored_feed(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     base = scratch_dir(spark)
     paging.store_feed(S.ledger_from_events(spark, sf_dir), f"{base}/feed")
@@ -611,7 +651,7 @@ def all_queries() -> dict[str, Query]:
             infra_group_spread, transfer_decisions, transfer_notes, account_dim, balance_latest, ingest_summary,
             ingest_rows, page_submit_paired, feed_page, feed_history, needs_review, display_rows, ledger_violations, edit_overlay, split_apply,
             page_submit, llm_answers, model_outcomes, fallback_fields, extract_merchant, infrastructure_senders, row_by_id,
-            feed_page_index, feed_page_seek, report_samples, export_windows, parser_report_files, stage_files, category_crosswalk, editor_options, window_labels, escalation_queue,
+            feed_page_index, feed_page_seek, maintained_counts, stream_counts, report_samples, export_windows, parser_report_files, stage_files, category_crosswalk, editor_options, window_labels, escalation_queue,
             stream_parse, stream_dedup, stream_balance, stream_funnel, stream_transfers, stream_transfer_rows, stream_pairing, stream_ledger,
         )
     }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallymill.operators.accounts import KEYS
+from tallymill.operators.counts import CELL
 from tallymill.operators.dedup import ACTIVE, repeat_key
 from tallymill.operators.ledger import affected_rows, update_ledger
 from tallymill.operators.parse import balance_updates_of, parse_stages, transactions_of
@@ -177,6 +178,24 @@ def balances(spark: SparkSession, table: str) -> DataFrame:
     return rows.groupBy(*KEYS).agg(F.max_by(F.struct(*columns), "batch").alias("_last")).select(*KEYS, "_last.*")
 
 
+def count_stream(changes: DataFrame, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Counts of ledger cells from a stream of signed changes (the cell's columns and n; a retraction has a negative n).
+
+    The state store holds one number for each cell; each batch writes the cells it changed, and a batch that runs again replaces its own."""
+    sums = changes.groupBy(*CELL).agg(F.sum("n").alias("n"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    return _start(sums.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint), once)
+
+
+def counts(spark: SparkSession, table: str) -> DataFrame:
+    """The counts that a stream wrote; cells that are left without rows are not there."""
+    rows = spark.read.parquet(table)
+    return rows.groupBy(*CELL).agg(F.max_by("n", "batch").alias("n")).filter("n <> 0")
+
+
 def ledger_stream(messages: DataFrame, store: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Exact ledger update per micro-batch.
 

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tallymill.operators import dedup, edits, escalation, ledger as ledger_ops, paging, review, skew
+from tallymill.operators import counts, dedup, edits, escalation, ledger as ledger_ops, paging, review, skew
 from tallymill.operators.accounts import latest_balances, resolve_accounts
 from tallymill.operators.edits import signed_amount, valid_splits
 from tallymill.operators.ledger import update_ledger
@@ -28,6 +28,7 @@ CHECKED = [
     "bank_detect", "channel_detect", "taxonomy_best", "extract_amount", "parse_generic_cc_spend_txn", "stream_balance",
     "model_outcomes", "fallback_fields", "extract_merchant", "infrastructure_senders", "row_by_id", "report_samples", "export_windows",
     "parser_report_files", "stage_files", "all_reports", "feed_page_index", "feed_page_seek",
+    "maintained_counts", "stream_counts",
 ]
 
 
@@ -296,3 +297,39 @@ def test_pages_by_key_are_those_by_offset(spark, tmp_path):
     plan = paging.page_at(spark, str(tmp_path / "feed"), str(tmp_path / "index"), "1", 37)._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "GreaterThanOrEqual(_age" in plan and "LessThanOrEqual(_age" in plan and "EqualTo(user_id,1)" in plan
+
+
+def test_kept_counts_equal_recounting_after_random_changes(spark, tmp_path):
+    """Rows change status, category and deletion, come and go, in five rounds; null categories, repeated rows and users that lose all
+    their rows. In batch, and as a stream of one file a batch."""
+    import random
+
+    draw = random.Random(7)
+    kind = "user_id string, status string, is_deleted boolean, category string"
+
+    def row():
+        return (draw.choice("abc"), draw.choice(["pending_review", "approved", "user_reviewed"]), draw.random() < 0.2, draw.choice([None, "x", "y"]))
+
+    frame = lambda rows: spark.createDataFrame(rows, kind)
+    state, table = [row() for _ in range(60)] + [("gone", "approved", False, "x")] * 2, str(tmp_path / "in")
+    kept = counts.cell_counts(frame(state))
+    counts.cell_counts(frame(state)).coalesce(1).write.mode("append").parquet(table)
+    for turn in range(5):
+        draw.shuffle(state)
+        taken, rest = state[:15], state[15:]
+        if turn == 4:
+            taken, rest = taken + [r for r in rest if r[0] == "gone"], [r for r in rest if r[0] != "gone"]
+        new = [row() for _ in range(draw.randrange(20))] + taken[:3]
+        change = counts.signed_changes(frame(taken), frame(new))
+        change.coalesce(1).write.mode("append").parquet(table)
+        kept = counts.apply_changes(kept, spark.createDataFrame(change.collect(), change.schema))
+        state = rest + new
+    want = sorted(counts.cell_counts(frame(state)).collect(), key=repr)
+    assert sorted(kept.collect(), key=repr) == want
+    assert all(r.n > 0 for r in want) and "gone" not in {r.user_id for r in want}
+    source = spark.readStream.schema(f"{kind}, n bigint").option("maxFilesPerTrigger", 1).parquet(table)
+    for _ in range(2):  # the second start finds nothing new
+        streams.count_stream(source, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
+    assert sorted(streams.counts(spark, str(tmp_path / "out")).collect(), key=repr) == want
+    recount = {r.user_id: r.needs_review for r in review.review_counts(frame(state)).collect()}
+    assert {r.user_id: r.needs_review for r in counts.review_counts_of(kept).collect()} == recount
