@@ -476,6 +476,8 @@ def all_oracles() -> dict[str, str]:
     o["export_windows"] = f"""WITH {M}, a AS (SELECT *, {EXPORT_MS} - epoch_ms(CAST(d AS TIMESTAMP) + INTERVAL 12 HOUR) AS age FROM m)
       SELECT concat(age // 7776000000 * 90, '_to_', age // 7776000000 * 90 + 90, '_days') AS "window", count(*) AS n, count(DISTINCT u) AS users,
       min(d) AS oldest, max(d) AS newest, count(*) AS bodies FROM a WHERE age >= 0 AND age < 31104000000 GROUP BY 1"""
+    o["large_exports"] = """SELECT concat('part ', o_orderkey % (SELECT CAST(ceil(count(*) / 5000.0) AS BIGINT) FROM orders)) AS "window", count(*) AS n,
+      count(DISTINCT o_orderkey) AS ids, count(*) AS unchanged FROM orders GROUP BY 1"""
     o["parser_report_files"] = f"""WITH {V} SELECT 'transactions' AS file, CASE WHEN waits THEN 'pending_review' ELSE 'approved' END AS kind, count(*) AS n,
       CAST(sum(CAST(amount AS DECIMAL(38,2))) AS DOUBLE) AS total FROM v WHERE {row} GROUP BY 2
       UNION ALL SELECT 'balance_updates', 'balance', count(*), CAST(sum(CAST(amt AS DECIMAL(38,2))) AS DOUBLE) FROM v WHERE stage = 'balance_update' HAVING count(*) > 0

@@ -19,6 +19,7 @@ from tallymill.plans import forms
 from tallymill.plans import samples as S
 from tallymill.plans.planted import plant
 from tallymill.schemas import ACCOUNTS, LEDGER, SPLIT_LINE
+from tallymill.sources.exports import read_large_export, write_exports
 from tallymill.sources.messages import (
     sender_inventory, sender_totals, stage_outputs, window_label, write_parser_report, write_raw_export, write_stage_outputs,
 )
@@ -497,6 +498,20 @@ def export_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def large_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages written as export documents of about 5,000 and read back in splits, with those that came back unchanged."""
+    path = scratch_dir(spark)
+    messages = S.messages_from_orders(spark, sf_dir)
+    documents = -(-S.load(spark, sf_dir, "orders").count() // 5000) or 1
+    write_exports(messages.withColumn("window", F.expr(f"concat('part ', CAST(id AS bigint) % {documents})")), path)
+    read = read_large_export(spark, path)
+    sent = messages.select(F.col("id").alias("_id"), F.xxhash64("address", "body", "date").alias("_sent"))
+    joined = read.join(sent, read["id"] == sent["_id"], "left")
+    return joined.groupBy("window").agg(
+        F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.count_if(F.xxhash64("address", "body", "date") == F.col("_sent")).alias("unchanged")
+    )
+
+
 def parser_report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of a whole inbox in files, and what they hold."""
     path = scratch_dir(spark)
@@ -651,7 +666,7 @@ def all_queries() -> dict[str, Query]:
             infra_group_spread, transfer_decisions, transfer_notes, account_dim, balance_latest, ingest_summary,
             ingest_rows, page_submit_paired, feed_page, feed_history, needs_review, display_rows, ledger_violations, edit_overlay, split_apply,
             page_submit, llm_answers, model_outcomes, fallback_fields, extract_merchant, infrastructure_senders, row_by_id,
-            feed_page_index, feed_page_seek, maintained_counts, stream_counts, report_samples, export_windows, parser_report_files, stage_files, category_crosswalk, editor_options, window_labels, escalation_queue,
+            feed_page_index, feed_page_seek, maintained_counts, stream_counts, report_samples, export_windows, large_exports, parser_report_files, stage_files, category_crosswalk, editor_options, window_labels, escalation_queue,
             stream_parse, stream_dedup, stream_balance, stream_funnel, stream_transfers, stream_transfer_rows, stream_pairing, stream_ledger,
         )
     }

@@ -28,7 +28,7 @@ CHECKED = [
     "bank_detect", "channel_detect", "taxonomy_best", "extract_amount", "parse_generic_cc_spend_txn", "stream_balance",
     "model_outcomes", "fallback_fields", "extract_merchant", "infrastructure_senders", "row_by_id", "report_samples", "export_windows",
     "parser_report_files", "stage_files", "all_reports", "feed_page_index", "feed_page_seek",
-    "maintained_counts", "stream_counts",
+    "maintained_counts", "stream_counts", "large_exports",
 ]
 
 
@@ -333,3 +333,31 @@ def test_kept_counts_equal_recounting_after_random_changes(spark, tmp_path):
     assert sorted(streams.counts(spark, str(tmp_path / "out")).collect(), key=repr) == want
     recount = {r.user_id: r.needs_review for r in review.review_counts(frame(state)).collect()}
     assert {r.user_id: r.needs_review for r in counts.review_counts_of(kept).collect()} == recount
+
+
+def test_large_exports_are_read_in_many_tasks(spark, tmp_path):
+    """Braces, quotes and backslashes in texts, nested and missing fields, several splits a message, empty files; equal to the multi-line reader."""
+    from tallymill.sources.exports import read_large_export
+
+    bodies = ['a } b', '{"x": "}"}', 'quote " and \\ and \\" }{', "", "},{", "नमस्ते } 🙂\n{", "x" * 900 + "}" * 9, '"messages": [{', "\\", '\\"']
+    head = {"generated_at": 'a "}" b', "window": "0 → 90 days", "from_days_ago": 0, "to_days_ago": 90, "total_count": 1}
+
+    def message(i):
+        more = {"extra": {"deep": [{"b": "}"}]}} if i % 7 == 0 else {}
+        return {"id": str(i), "address": None if i % 5 == 0 else "VM-A-S", "date": "2024-06-01", "body": bodies[i % len(bodies)], **more}
+
+    for name, n, indent in (("one", 300, None), ("two", 41, 2), ("none", 0, None)):
+        document = {**head, "window": f"w-{name}", "messages": [message(i) for i in range(n)]}
+        (tmp_path / f"{name}.json").write_text(json.dumps(document, indent=indent, ensure_ascii=indent is None), encoding="utf-8")
+    (tmp_path / "blank.json").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions() > 20
+        got = sorted(read_large_export(spark, str(tmp_path), "u").collect(), key=repr)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(got) == 341
+    assert got == sorted(src.read_raw_export(spark, str(tmp_path), "u").collect(), key=repr)
