@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.functions.text import BLANKS
-from tallymill.operators.skew import attach
+from tallymill.operators.skew import HOT_ROWS, attach, hot_groups, over_groups
 
 # Trust in a rule when two messages report the same amount, date and account.
 SPECIFIC_PRIORITY = 3
@@ -34,6 +34,12 @@ def repeat_key() -> Column:
     return F.when(F.col("ref_type") == "upi_rrn", F.concat(F.lit("ref:"), F.col("ref_number"))).otherwise(digest)
 
 
+def compact_key() -> Column:
+    """``repeat_key`` in bytes, for exchanges; null where that is null."""
+    digest = F.concat(F.lit(b"b"), F.unhex(F.md5(F.btrim("body", F.lit(BLANKS)))))
+    return F.when(F.col("ref_type") == "upi_rrn", F.encode(F.concat(F.lit("r"), F.col("ref_number")), "utf-8")).otherwise(digest)
+
+
 def dedup_messages(matched: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """``(kept, log)`` of ``judge_messages``; ``log`` carries ``reason``."""
     judged = judge_messages(matched, **options)
@@ -46,6 +52,7 @@ def judge_messages(
     priority: dict[str, int] | None = None,
     order: list[str] | None = None,
     scope: list[str] | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Matched rows with ``kept`` and the logged ``reason``. The rows carry ``id, user_id, body, rule_id,
     amount, txn_date, account_number_masked, ref_number, ref_type`` and the ``order`` columns. Nothing is compared across
@@ -59,35 +66,28 @@ def judge_messages(
     scope = ["user_id"] if scope is None else scope
     priority = default_priority() if priority is None else priority
     ranks = F.create_map(*[F.lit(x) for pair in priority.items() for x in pair])
-    arrival = F.struct(*order)
-    rows = (
-        # a null is a value of its own here, and joins like one
-        matched.withColumn("_scope", F.to_json(F.struct(*scope)) if scope else F.lit(""))
-        .withColumn("_key", F.coalesce(repeat_key(), F.lit("none")))
-        .withColumn("_arrival", arrival)
-        .withColumn("_priority", F.coalesce(F.try_element_at(ranks, F.col("rule_id")), F.lit(UNKNOWN_PRIORITY)))
+    # the order columns travel once, inside _arrival
+    rows = matched.select(
+        *[c for c in matched.columns if c not in order or c in scope],
+        F.struct(*order).alias("_arrival"),
+        compact_key().alias("_key"),
+        F.coalesce(F.try_element_at(ranks, F.col("rule_id")), F.lit(UNKNOWN_PRIORITY)).alias("_priority"),
     )
-    # a partial aggregate finds the first arrival of a key, so a hot key is reduced before the shuffle
-    key = ["_scope", "_key"]
-    firsts = rows.groupBy(*key).agg(F.min("_arrival").alias("_first_at"), F.count("*").alias("_n")).filter("_n > 1")
-    marked = attach(rows, firsts, key, "_arrival").withColumn("_first", F.coalesce(F.col("_first_at") == F.col("_arrival"), F.lit(True)))
-    marked = marked.drop("_n", "_first_at")
+    key = [*scope, "_key"]
+    firsts = over_groups(rows, key, "_arrival", {"_first_at": F.min("_arrival")}, hot_groups(rows, key, scope, hot_rows))
+    marked = firsts.withColumn("_first", F.col("_first_at") == F.col("_arrival")).drop("_first_at", "_key")
     repeat = F.when(~F.col("_first"), F.when(F.col("ref_type") == "upi_rrn", "duplicate_rrn").otherwise("duplicate_body"))
-    same = ["_scope", "amount", "txn_date", "account_number_masked"]
-    complete = F.col("_first") & F.col("account_number_masked").isNotNull() & F.col("amount").isNotNull()
+    same = [*scope, *[c for c in ("amount", "txn_date", "account_number_masked") if c not in scope]]
+    # rows without values, and repeats, are compared with nothing: each is a group of its own
+    known = F.col("account_number_masked").isNotNull() & F.col("amount").isNotNull()
+    complete = F.col("_first") & known
+    apart = marked.withColumn("_apart", F.when(~complete, F.xxhash64("_arrival")))
+    hot = hot_groups(rows.filter(known).withColumn("_apart", F.lit(None).cast("long")), [*same, "_apart"], scope, hot_rows)
     # The holder's priority when a row arrives is the running maximum before it. Priorities are few, so
     # the first arrival at each priority is all that has to be known per group.
     levels = sorted({*priority.values(), UNKNOWN_PRIORITY})
-    holders = (
-        marked.filter(complete)
-        .groupBy(*same)
-        .agg(
-            F.count("*").alias("_n"),
-            *[F.min(F.when(F.col("_priority") == p, F.col("_arrival"))).alias(f"_at_{i}") for i, p in enumerate(levels)],
-        )
-        .filter("_n > 1")
-    )
-    joined = attach(marked, holders, same, "_arrival")
+    at = {f"_at_{i}": F.min(F.when(F.col("_priority") == p, F.col("_arrival"))) for i, p in enumerate(levels)}
+    judged = over_groups(apart, [*same, "_apart"], "_arrival", at, hot)
     before = [F.when(F.col(f"_at_{i}") < F.col("_arrival"), F.lit(p)) for i, p in enumerate(levels)]
     survivor = F.coalesce(*[F.col(f"_at_{i}") for i in reversed(range(len(levels)))])
     holder = F.greatest(*before)
@@ -96,8 +96,10 @@ def judge_messages(
         F.when(F.col("_priority") > holder, "contra_replaced_existing").otherwise("contra_lower_priority"),
     )
     lost = F.coalesce(complete & (survivor != F.col("_arrival")), F.lit(False))
-    return joined.select(
-        *matched.columns, (repeat.isNull() & ~lost).alias("kept"), F.coalesce(repeat, logged).alias("reason")
+    return judged.select(
+        *[F.col(f"_arrival.{c}") if c in order else F.col(c) for c in matched.columns],
+        (repeat.isNull() & ~lost).alias("kept"),
+        F.coalesce(repeat, logged).alias("reason"),
     )
 
 

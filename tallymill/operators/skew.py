@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Groups beyond this many rows are spread over several join keys. The list of such groups has at most
@@ -31,6 +32,41 @@ def attach(
     return salted_rows.join(salted_groups, [*keys, "_salt"], "left").drop("_salt", "_salts")
 
 
+def hot_groups(rows: DataFrame, keys: list[str], within: list[str], hot_rows: int = HOT_ROWS) -> list[int]:
+    """Hashes of the groups beyond ``hot_rows`` rows, at most (all rows / hot_rows) of them. ``within`` are columns among the keys
+    that are counted first: a group is looked for only inside a larger one that is that large itself."""
+    found = None
+    for columns in filter(None, (within, keys)):
+        among = rows if found is None else rows.filter(F.xxhash64(*within).isin(found))
+        counted = among.groupBy(F.xxhash64(*columns).alias("_group")).agg(F.count("*").alias("_n"))
+        found = [r["_group"] for r in counted.filter(F.col("_n") > hot_rows).select("_group").collect()]
+        if not found:
+            return []
+    return found
+
+
+def over_groups(
+    rows: DataFrame, keys: list[str], row_id: str, values: dict[str, Column], hot: list[int]
+) -> DataFrame:
+    """Rows with aggregates of their group, nulls being equal. Every row moves once and is not joined; those of the ``hot``
+    groups are spread by their id and get what a partial aggregate found, which is one row for each such group."""
+    if not hot:
+        # dealt before the arguments of the aggregates are made, so that those do not travel
+        dealt = rows.repartition(*keys)
+        return dealt.withColumns({name: value.over(Window.partitionBy(*keys)) for name, value in values.items()})
+    is_hot = F.xxhash64(*keys).isin(hot)
+    salted = rows.withColumn("_salt", F.when(is_hot, F.xxhash64(row_id))).repartition(*keys, "_salt")
+    window = Window.partitionBy(*keys, "_salt")
+    totals = rows.filter(is_hot).groupBy(*[F.col(k).alias(f"_of_{i}") for i, k in enumerate(keys)]).agg(
+        F.lit(True).alias("_hot"), *[value.alias(f"_hot_{name}") for name, value in values.items()]
+    )
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_of_{i}")) for i, k in enumerate(keys)])
+    found = salted.withColumns({name: value.over(window) for name, value in values.items()}).join(F.broadcast(totals), same, "left")
+    return found.withColumns(
+        {name: F.when(F.col("_hot"), F.col(f"_hot_{name}")).otherwise(F.col(name)) for name in values}
+    ).select(*rows.columns, *values)
+
+
 def at_least_one_partition_per_core(frame: DataFrame, key: str) -> DataFrame:
     """Spread a table of fewer files than cores before CPU-heavy per-row work; others are left alone."""
     cores = frame.sparkSession.sparkContext.defaultParallelism
