@@ -1,4 +1,4 @@
-"""Exact pairing as a stream: the rows of a user and magnitude wait in keyed state until their run of days is closed."""
+"""Exact pairing as a stream: the rows of a user wait in keyed state until the run of days of their magnitude is closed."""
 
 from __future__ import annotations
 
@@ -11,17 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tallymill.operators.transfers import GROUP, RESULT_COLUMNS, replay_group
+from tallymill.operators.transfers import RESULT_COLUMNS, replay_group
 
 DAY_MS = 24 * 60 * 60 * 1000
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: State of a user and magnitude: one entry for each row of a run of days that is not closed yet.
+#: A user's magnitudes are dealt to so many keys: one state call then serves many runs, and no key holds all of a user.
+PARTS = 4
+#: State of a key: one entry for each row of a run of days that is not closed yet.
 WAITING = (
-    "id string, account_id string, txn_date date, sign int, ref_number string, status string, is_new boolean, is_infrastructure boolean, "
+    "magnitude decimal(38,2), id string, account_id string, txn_date date, sign int, ref_number string, status string, is_new boolean, is_infrastructure boolean, "
     "is_contra boolean, is_deleted boolean, possible_contra_of string, txn_group_id string, created_at timestamp"
 )
-COLUMNS = [part.split()[0] for part in WAITING.split(", ")]
+COLUMNS = [part.split()[0] for part in WAITING.replace("38,2", "").split(", ")]
 PAIRED = (
     "user_id string, magnitude decimal(38,2), run date, id string, status string, is_contra boolean, possible_contra_of string, "
     "txn_group_id string, pair_reason string, possible_duplicate_of string, duplicate_ref string"
@@ -34,60 +36,67 @@ def _day(date) -> int:
 
 
 class ClosedRuns(StatefulProcessor):
-    """Holds the rows of one user and magnitude, and replays a run of days when the watermark has passed the day after
-    its last one: no row can join it any more, since a row that old is late and left out."""
+    """Holds the rows of one user and part of the magnitudes, and replays a run of days of a magnitude when the watermark has passed the
+    day after its last one: no row can join it any more, since a row that old is late and left out.
+
+    A key has one timer, for the run that can close first. When it fires, all runs that the watermark closes leave together."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", WAITING)
+        self.epoch = pd.Timestamp(0).date().toordinal()
+
+    def _wake(self, day: int) -> None:
+        self.handle.registerTimer((day - self.epoch + 2) * DAY_MS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         days = set()
         for frame in rows:
-            frame = frame[COLUMNS].astype(object)
-            frame = frame.where(frame.notna(), None)
-            self.waiting.appendList([tuple(r) for r in frame.itertuples(index=False)])
-            days |= set(frame["txn_date"])
-        epoch = pd.Timestamp(0).date().toordinal()
-        for day in days:
-            self.handle.registerTimer((_day(day) - epoch + 2) * DAY_MS)
+            # nan and nat differ from themselves
+            columns = [[None if x is None or x != x else x for x in frame[c].tolist()] for c in COLUMNS]
+            self.waiting.appendList(list(zip(*columns)))
+            days |= set(columns[COLUMNS.index("txn_date")])
+        self._wake(min(map(_day, days)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        epoch = pd.Timestamp(0).date().toordinal()
-        closed_day = expiredTimerInfo.getExpiryTimeInMs() // DAY_MS + epoch - 2
+        closed_day = timerValues.getCurrentWatermarkInMs() // DAY_MS + self.epoch - 2
         rows = [dict(zip(COLUMNS, r)) for r in self.waiting.get()]
         last = {}
-        for day in sorted({_day(r["txn_date"]) for r in rows}, reverse=True):
-            last[day] = last.get(day + 1, day)  # the last day of the run
-        done = [r for r in rows if last[_day(r["txn_date"])] <= closed_day]
+        for at in sorted({(r["magnitude"], _day(r["txn_date"])) for r in rows}, reverse=True):
+            last[at] = last.get((at[0], at[1] + 1), at[1])  # the last day of the run
+        for r in rows:
+            r["last"] = last[r["magnitude"], _day(r["txn_date"])]
+        done = [r for r in rows if r["last"] <= closed_day]
+        left = [r for r in rows if r["last"] > closed_day]
+        if left:
+            self._wake(min(r["last"] for r in left))
         if not done:
             return
-        left = [tuple(r[c] for c in COLUMNS) for r in rows if last[_day(r["txn_date"])] > closed_day]
         if left:
-            self.waiting.put(left)
+            self.waiting.put([tuple(r[c] for c in COLUMNS) for r in left])
         else:
             self.waiting.clear()
-        out = self.replayed(key, done, last)
+        out = self.replayed(key[0], done)
         yield pd.DataFrame(out, columns=OUT)
 
     @staticmethod
-    def replayed(key, rows: list[dict], last: dict[int, int]) -> list[dict]:
-        signs: dict[str, set] = {}
+    def replayed(user: str | None, rows: list[dict]) -> list[dict]:
+        signs: dict[tuple, set] = {}
         for r in rows:
             if not (r["is_deleted"] or r["is_infrastructure"] or r["is_contra"]):
-                signs.setdefault(r["ref_number"], set()).add(r["sign"])
-        run = lambda r: last[_day(r["txn_date"])]
+                signs.setdefault((r["magnitude"], r["ref_number"]), set()).add(r["sign"])
+        run = lambda r: (r["magnitude"], r["last"])
         out = []
-        for _, group in groupby(sorted(rows, key=lambda r: (run(r), r["is_new"], r["created_at"], r["id"])), key=run):
+        for _, group in groupby(sorted(rows, key=lambda r: (*run(r), r["is_new"], r["created_at"], r["id"])), key=run):
             held = list(group)
             for r in held:
-                r["same_ref"] = r["ref_number"] is not None and len(signs.get(r["ref_number"], ())) > 1
+                r["same_ref"] = r["ref_number"] is not None and len(signs.get((r["magnitude"], r["ref_number"]), ())) > 1
                 r.update(dict.fromkeys(RESULT_COLUMNS[-4:]))
             for _ in replay_group(iter(held)):
                 pass
             first = min(r["txn_date"] for r in held)
-            out += [{**r, "user_id": key[0], "magnitude": key[1], "run": first} for r in held]
+            out += [{**r, "user_id": user, "run": first} for r in held]
         return out
 
     def close(self) -> None:
@@ -107,9 +116,10 @@ def pairing_stream(rows: DataFrame, is_new: Column, lateness: str = "2 days") ->
             "is_new": is_new,
             "day_time": F.col("txn_date").cast("timestamp"),
         }
+    ).withColumn("part", F.pmod(F.xxhash64("magnitude"), F.lit(PARTS))
     )
-    keyed = legs.withWatermark("day_time", lateness).select(*GROUP, *COLUMNS, "day_time")
-    return keyed.groupBy(*GROUP).transformWithStateInPandas(
+    keyed = legs.withWatermark("day_time", lateness).select("user_id", "part", *COLUMNS, "day_time")
+    return keyed.groupBy("user_id", "part").transformWithStateInPandas(
         statefulProcessor=ClosedRuns(), outputStructType=PAIRED, outputMode="Append", timeMode="EventTime"
     )
 

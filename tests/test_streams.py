@@ -1,11 +1,14 @@
 """Keyed-state pairing over several batches: late rows, restarts, bounded state."""
 
 import datetime as dt
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tallymill.operators.transfers import replay_ledger, transfer_candidates
 from tallymill.plans.samples import ledger_from_events
+from tallymill.streaming import pairing
 from tallymill.streaming.pairing import PAIRED, pairing_table
 from tallymill.streaming.streams import transfer_rows_stream
 
@@ -60,3 +63,37 @@ def test_rows_find_their_counterpart_over_batches(spark, sf_dir, tmp_path):
     held = sum(s["numRowsTotal"] for s in query.lastProgress["stateOperators"] if s["operatorName"] == "symmetricHashJoin")
     last = ledger.agg(F.max("txn_date")).first()[0]
     assert held <= 12 * ledger.filter(F.col("txn_date") >= last - dt.timedelta(days=6)).count()
+
+
+def test_a_users_runs_close_together():
+    """One timer for a key: rows of several magnitudes and days wait in one list, those that the watermark closes leave at once."""
+    class Held(list):
+        calls = 0
+
+        def get(self):
+            Held.calls += 1
+            return iter(list(self))
+
+        appendList = list.extend
+
+        def put(self, rows):
+            self[:] = rows
+
+    class Handle:
+        def __init__(self):
+            self.held, self.timers = Held(), set()
+            self.getListState = lambda *_: self.held
+            self.registerTimer = self.timers.add
+
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    row = lambda i, m, n, a: (m, i, a, day(n), 1 if a == "A" else -1, None, "approved", True, False, False, False, None, None, pd.Timestamp(day(n)))
+    rows = [row("1", 5, 0, "A"), row("2", 5, 1, "B"), row("3", 7, 3, "A"), row("4", 9, 9, "A")]
+    keyed, handle = pairing.ClosedRuns(), Handle()
+    keyed.init(handle)
+    list(keyed.handleInputRows(("u", 0), iter([pd.DataFrame(rows, columns=pairing.COLUMNS)]), None))
+    assert len(handle.timers) == 1
+    now = (day(6) - dt.date(1970, 1, 1)).days * pairing.DAY_MS
+    out = pd.concat(keyed.handleExpiredTimer(("u", 0), SimpleNamespace(getCurrentWatermarkInMs=lambda: now), None))
+    assert sorted(out["id"]) == ["1", "2", "3"] and [r[1] for r in handle.held] == ["4"] and Held.calls == 1
+    assert out.set_index("id")["possible_contra_of"].to_dict() == {"1": "2", "2": "1", "3": None}
+    assert len(handle.timers) == 2
