@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 # Groups beyond this many rows are spread over several join keys. The list of such groups has at most
 # (all rows / HOT_ROWS) entries; whether it is broadcast is the planner's choice.
 HOT_ROWS = 2_000_000
+# Rows of one task of CPU-heavy work: under a minute at half a millisecond a row.
+ROWS_PER_TASK = 100_000
 
 
 def attach(
@@ -67,10 +69,13 @@ def over_groups(
     ).select(*rows.columns, *values)
 
 
-def at_least_one_partition_per_core(frame: DataFrame, key: str) -> DataFrame:
-    """Spread a table of fewer files than cores before CPU-heavy per-row work; others are left alone."""
+def at_least_one_partition_per_core(frame: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Spread a table over all cores before CPU-heavy per-row work, and over more tasks if one would get more than about
+    ``rows_per_task`` rows, since a few megabytes of a table can be an hour's work; others are left alone."""
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores, key) if len(frame.inputFiles()) < cores else frame
+    tasks = max(cores, -(-frame.count() // rows_per_task))
+    enough = len(frame.inputFiles()) >= cores and frame.rdd.getNumPartitions() >= tasks
+    return frame if enough else frame.repartition(tasks, key)
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -200,6 +200,15 @@ def test_over_groups_spreads_hot_groups(spark):
     assert {r.n for r in spread.collect()} == {200}
 
 
+def test_heavy_work_is_dealt_by_rows(spark, tmp_path):
+    """Many rows in few files become more tasks than cores; a table that is spread enough is left alone."""
+    spark.range(1000).write.parquet(str(tmp_path / "few"))
+    few = spark.read.parquet(str(tmp_path / "few"))
+    dealt = skew.at_least_one_partition_per_core(few, "id", 100)
+    assert dealt.rdd.getNumPartitions() == 10 and sorted(r.id for r in dealt.collect()) == list(range(1000))
+    assert skew.at_least_one_partition_per_core(few, "id", 1000) is few
+
+
 @pytest.mark.parametrize("hot_rows", [2_000_000, 1])
 def test_judged_rows_move_twice_and_are_not_joined(spark, sf_dir, hot_rows):
     """A row is dealt by its reference and by its values; the order columns are not carried beside the arrival. With every group
