@@ -13,6 +13,8 @@ from tallymill.functions.text import (
     any_of,
     array,
     both,
+    coalesce,
+    either,
     first_hit,
     first_money,
     first_of,
@@ -91,18 +93,19 @@ CARD_SPEND_CHANNEL = (
     r"(?:Txn\s+Rs\.|Spent\s+Rs\.)\s*[\d,]+.*On\s+"
     r"(?:HDFC|ICICI|SBI|Axis|Kotak|Yes|IndusInd|RBL|IDFC|Federal)\s+Bank\s+Card"
 )
+# Each with substrings of which every hit has one.
 CHANNELS = [
-    (MANDATE, "i", "NACH"),
-    (r"\<ATM\>|cash withdrawal|Withdrawn", "i", "ATM"),
-    (CARD_SPEND_CHANNEL, "is", "Credit Card"),
-    (r"credit card|debit card|Card x\d|Card \d{4}|Spent\>", "i", "Card"),
-    (r"\<NEFT\>|\<RTGS\>|\<IMPS\>|\<UTR\>", "i", "NEFT"),
-    (r"net\s*banking|online\s+banking|internet\s+banking", "i", "Net Banking"),
-    (r"\<IB\s+(?:SS\s+)?FUNDS\s+TRANSFER\>", "i", "IMPS"),
-    (r"\<CHQ\s+DEP\>|\<CTS\s+CLG\>|\<cheque\s+deposit\>", "i", "Cheque"),
-    (r"\<UPI\>|VPA|UPI Ref|RRN|@[a-z]+\>", "i", "UPI"),
-    (r"wallet", "i", "Wallet"),
-    (r"\<EMI\>", "i", "EMI"),
+    (MANDATE, "i", ["nach", "umrn", "mandate", "standing", "ecs", "auto"], "NACH"),
+    (r"\<ATM\>|cash withdrawal|Withdrawn", "i", ["atm", "withdraw"], "ATM"),
+    (CARD_SPEND_CHANNEL, "is", ["spent", "txn"], "Credit Card"),
+    (r"credit card|debit card|Card x\d|Card \d{4}|Spent\>", "i", ["card", "spent"], "Card"),
+    (r"\<NEFT\>|\<RTGS\>|\<IMPS\>|\<UTR\>", "i", ["neft", "rtgs", "imps", "utr"], "NEFT"),
+    (r"net\s*banking|online\s+banking|internet\s+banking", "i", ["banking"], "Net Banking"),
+    (r"\<IB\s+(?:SS\s+)?FUNDS\s+TRANSFER\>", "i", ["funds"], "IMPS"),
+    (r"\<CHQ\s+DEP\>|\<CTS\s+CLG\>|\<cheque\s+deposit\>", "i", ["chq", "cts", "cheque"], "Cheque"),
+    (r"\<UPI\>|VPA|UPI Ref|RRN|@[a-z]+\>", "i", ["upi", "vpa", "rrn", "@"], "UPI"),
+    (r"wallet", "i", ["wallet"], "Wallet"),
+    (r"\<EMI\>", "i", ["emi"], "EMI"),
 ]
 DEFAULT_CHANNEL = "UPI"
 HANDLE_BRANDS = [
@@ -112,10 +115,13 @@ HANDLE_BRANDS = [
     "zerodha", "groww", "upstox", "shriramlife", "lic", "hdfcbank", "icicibank", "sbi", "axisbank", "kotak",
     "hdfc", "irctc.payu", "bbmps",
 ]
-SELF_TRANSFER = (
-    r"ib\s+(?:ss\s+)?funds\s+transfer|\<ppf\>|\<ssy\>|\<nps\>|\<rd\s+a/c\>|\<fd\s+a/c\>"
-    r"|\<credit\s+card\s+(?:bill|payment|due)\>|zerodha|groww|upstox|indmoney|kuvera"
-)
+SELF_TRANSFER = [
+    (r"ib\s+(?:ss\s+)?funds\s+transfer", ["funds"]),
+    (r"\<ppf\>|\<ssy\>|\<nps\>", ["ppf", "ssy", "nps"]),
+    (r"\<rd\s+a/c\>|\<fd\s+a/c\>", ["rd", "fd"]),
+    (r"\<credit\s+card\s+(?:bill|payment|due)\>", ["credit"]),
+]
+SELF_TRANSFER_WORDS = ["zerodha", "groww", "upstox", "indmoney", "kuvera"]
 FUNDS_TRANSFER_LABEL = r"^IB\s+(SS\s+)?FUNDS\s+TRANSFER"
 CARD_ENDING_LABEL = r"your\s+(credit\s+)?card\s+ending"
 HANDLE_TEXT = r"\S+@\S+"
@@ -176,9 +182,10 @@ def date_text(text: str, low: str) -> str:
     month = f"array_position({array(MONTHS)}, lower(regexp_extract(d, '[A-Za-z]+', 0)))"
     year = "right(concat('20', regexp_extract(d, '[0-9]+$', 0)), 4)"
     day = "lpad(regexp_extract(d, '^[0-9]+', 0), 2, '0')"
-    iso = f"CASE WHEN {month} > 0 THEN concat({year}, '-', lpad({month}, 2, '0'), '-', {day}) ELSE '' END"
-    names = f"transform(filter(array({', '.join(named)}), d -> d <> ''), d -> {iso})"
-    return f"get(filter(concat(array({', '.join(numeric)}), {names}), d -> d <> ''), 0)"
+    iso = f"CASE WHEN {month} > 0 THEN concat({year}, '-', lpad({month}, 2, '0'), '-', {day}) END"
+    # a form is looked for only where those before it have found nothing
+    names = [f"get(transform(filter(array({found}), d -> d <> ''), d -> {iso}), 0)" for found in named]
+    return coalesce([*(first_hit([found]) for found in numeric), *names])
 
 
 def account(text: str, low: str) -> str:
@@ -207,9 +214,10 @@ def bank(low: str) -> str:
     return f"element_at(map({names}), {found})"
 
 
-def channel(text: str) -> str:
-    tests = [(has(text, UPI_MANDATE, "im"), lit("UPI"))]
-    tests += [(has(text, pattern, flags), lit(name)) for pattern, flags, name in CHANNELS]
+def channel(text: str, low: str | None = None) -> str:
+    low = low or f"lower({text})"
+    tests = [(both([any_of(low, ["upi mandate:"]), has(text, UPI_MANDATE, "im")]), lit("UPI"))]
+    tests += [(both([any_of(low, anchors), has(text, pattern, flags)]), lit(name)) for pattern, flags, anchors, name in CHANNELS]
     return first_of(tests, lit(DEFAULT_CHANNEL))
 
 
@@ -293,7 +301,8 @@ def handle_class(handle_column: str) -> str:
 
 
 def is_self_transfer(low: str) -> str:
-    return has(low, SELF_TRANSFER, "")
+    tests = [both([any_of(low, anchors), has(low, pattern, "")]) for pattern, anchors in SELF_TRANSFER]
+    return either([*tests, any_of(low, SELF_TRANSFER_WORDS)])
 
 
 def merchant_key(merchant_text: str) -> str:

@@ -105,8 +105,9 @@ def gated_grab(
 
 
 def first_hit(captures: list[str]) -> str:
-    """First non-empty capture of a list, null when all are empty; every capture is written once."""
-    return f"get(filter(array({', '.join(captures)}), c -> c <> ''), 0)"
+    """First non-empty capture of a list, null when all are empty; every capture is written once, and made only where those
+    before it are empty."""
+    return coalesce([f"get(filter(array({capture}), c -> c <> ''), 0)" for capture in captures])
 
 
 def first_money(captures: list[str], test: str) -> str:
@@ -132,10 +133,11 @@ def blank_to_null(text: str) -> str:
 
 
 def normalise_blanks(text: str) -> str:
-    """Unicode blanks to a space, Unicode line ends to a newline, so that ASCII classes suffice."""
+    """Unicode blanks to a space, Unicode line ends to a newline, so that ASCII classes suffice. All of them are beyond ASCII,
+    so a text of as many bytes as characters stays as it is."""
     source = UNICODE_BLANKS + UNICODE_LINE_ENDS + "\u0085"
     target = " " * len(UNICODE_BLANKS) + "\n" * len(UNICODE_LINE_ENDS) + "\u0086"
-    return f"translate({text}, {lit(source)}, {lit(target)})"
+    return when(f"octet_length({text}) = char_length({text})", text, f"translate({text}, {lit(source)}, {lit(target)})")
 
 
 def select_sealed(frame, keep: list[str], columns: dict[str, str]):

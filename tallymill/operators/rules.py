@@ -79,6 +79,10 @@ class Rule:
     reference_generic: bool = True
 
 
+def generic_channel(text: str) -> str:
+    return X.channel(text, "_low")
+
+
 # The rule list, in order. First match wins.
 LEGACY_DIRECTION = r"\<AC\s+[Xx*]{1,4}\d{4}\s+(DR|CR)\s+RS\.?\s*\d"
 RULES: list[Rule] = [
@@ -273,7 +277,7 @@ RULES: list[Rule] = [
             ),
         ),
         direction="credit",
-        channel=X.channel,
+        channel=generic_channel,
         confidence=0.9,
         merchant_constant="Loan Disbursement",
     ),
@@ -303,7 +307,7 @@ RULES: list[Rule] = [
         "GENERIC_CHARGED",
         (Test(r"\<charged\s+(?:to|for)\>", ("charged",)),),
         direction="debit",
-        channel=X.channel,
+        channel=generic_channel,
         confidence=0.82,
         merchant=((r"charged\s+for\s+your\s+(.{2,40}?)(?:\s+on\s+\d|\.|\z)", "i"),),
         merchant_generic=True,
@@ -340,7 +344,7 @@ RULES: list[Rule] = [
             ),
         ),
         direction="debit",
-        channel=X.channel,
+        channel=generic_channel,
         confidence=0.82,
         contra="self_transfer",
         merchant=(
@@ -372,7 +376,7 @@ RULES: list[Rule] = [
             ),
         ),
         direction="debit",
-        channel=X.channel,
+        channel=generic_channel,
         confidence=0.75,
         bank=False,
         balance=False,
@@ -439,7 +443,7 @@ RULES: list[Rule] = [
                 ("debited|deducted|sent|withdraw|wdl|spent",),
             ),
         ),
-        channel=X.channel,
+        channel=generic_channel,
         confidence=0.80,
         contra="self_transfer",
         merchant_generic=True,
@@ -452,7 +456,7 @@ RULES: list[Rule] = [
                 ("credited|deposited|received|refunded|reversed",),
             ),
         ),
-        channel=X.channel,
+        channel=generic_channel,
         confidence=0.80,
         merchant_generic=True,
         merchant_null_if=(
@@ -507,7 +511,7 @@ def with_rule(texts: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     for number, rule in enumerate(rules, start=1):
         test = either([t.sql("_text", "_low") for t in rule.tests])
         if rule.unless:
-            test = both([f"NOT {either([t.sql('_text', '_low') for t in rule.unless])}", test])
+            test = both([test, f"NOT {either([t.sql('_text', '_low') for t in rule.unless])}"])
         cases.append((test, str(number)))
     return texts.selectExpr("*", f"{first_of([('drop_reason IS NOT NULL', 'NULL'), *cases])} AS rule_no")
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from tallymill.functions.text import any_of, array, first_of, has, lit, normalise_blanks, when
+from tallymill.functions.text import any_of, array, first_of, has, lit, normalise_blanks, rx, when
 
 
 @dataclass(frozen=True)
@@ -306,6 +306,25 @@ def any_keyword(taxonomy: list[Entry]) -> str:
     return rf"\<(?:{branches})"
 
 
+def keyword_start(keyword: str) -> str:
+    """The first two letters or digits of every hit, or the first alone where the second can vary."""
+    body = keyword.removeprefix(r"\b")
+    return body[:2] if re.match(r"[a-z0-9]{2}(?![?*+{|])", body) else body[0]
+
+
+def possible_entries(low: str, taxonomy: list[Entry]) -> str:
+    """Positions (from 1) of all entries that can have a keyword in the text, and of few others. Wherever a word starts at which some
+    keyword is found, its first letters are taken, which name the entries. Those letters hold no start of another word."""
+    places: dict[str, list[int]] = {}
+    for position, entry in enumerate(taxonomy, start=1):
+        for start in dict.fromkeys(map(keyword_start, entry.keywords)):
+            places.setdefault(start, []).append(position)
+    of_start = "map(" + ", ".join(f"{lit(start)}, {array(found)}" for start, found in sorted(places.items())) + ")"
+    pattern = rx(any_keyword(taxonomy).replace("(?:", "(?=(?:", 1) + ")[a-z0-9][a-z0-9]?", "")
+    looked = [f"coalesce(try_element_at({of_start}, {key}), array())" for key in ("s", "left(s, 1)")]
+    return f"flatten(transform(regexp_extract_all({low}, {lit(pattern)}, 0), s -> concat({', '.join(looked)})))"
+
+
 def _score(entry: Entry, low: str) -> str:
     """Number of the entry's keywords found; no pattern runs unless one of the anchors is present."""
     hits = ", ".join(has(low, marked(k), "") for k in entry.keywords)
@@ -313,8 +332,12 @@ def _score(entry: Entry, low: str) -> str:
     return when(any_of(low, anchors), f"size(filter(array({hits}), hit -> hit))", "0")
 
 
-def best_entry(low: str, is_credit: str, amount: str, taxonomy: list[Entry] = TAXONOMY) -> str:
-    """Position (from 1) of the winning entry, 0 for none. Score and position share one integer."""
+def best_entry(low: str, is_credit: str, amount: str, taxonomy: list[Entry] = TAXONOMY, possible: str | None = None) -> str:
+    """Position (from 1) of the winning entry, 0 for none. Score and position share one integer. Only entries that can have a
+    keyword are scored; ``possible`` is a column that names them, if there is one."""
+    if possible is None:
+        best = best_entry(low, is_credit, amount, taxonomy, "possible")
+        return f"get(transform(array({possible_entries(low, taxonomy)}), possible -> {best}), 0)"
     size = len(taxonomy) + 1
     ranks = []
     for position, entry in enumerate(taxonomy, start=1):
@@ -325,9 +348,11 @@ def best_entry(low: str, is_credit: str, amount: str, taxonomy: list[Entry] = TA
             blocked.append((f"{amount} < {entry.min_amount}", "0"))
         if entry.max_amount is not None:
             blocked.append((f"{amount} > {entry.max_amount}", "0"))
+        blocked.insert(0, (f"NOT array_contains({possible}, {position})", "0"))
         ranks.append(f"{first_of(blocked, _score(entry, low))} * {size} - {position}")
     # a positive rank is score * size - position, so the position comes back as its negative remainder
-    return f"pmod(-greatest(0, {', '.join(ranks)}), {size})"
+    best = f"pmod(-greatest(0, {', '.join(ranks)}), {size})"
+    return when(f"size({possible}) > 0", best, "0")
 
 
 def with_labels(
@@ -340,9 +365,8 @@ def with_labels(
     taxonomy: list[Entry] = TAXONOMY,
 ) -> DataFrame:
     """Add ``type``, ``category``, ``sub_category`` and the guessed-mandate flag to eligible rows."""
-    best = when(has(low, any_keyword(taxonomy), ""), best_entry(low, is_credit, amount, taxonomy), "0")
-    position = when(eligible, best)
-    ranked = rows.selectExpr("*", f"{position} AS _entry")
+    found = rows.selectExpr("*", f"{when(eligible, possible_entries(low, taxonomy))} AS _possible")
+    ranked = found.selectExpr("*", f"{when(eligible, best_entry(low, is_credit, amount, taxonomy, '_possible'))} AS _entry")
     guess = f"(_entry = 0 AND NOT {is_credit} AND coalesce({channel} = 'NACH', false))"
 
     def label(values: list[str | None], fallback: str) -> str:

@@ -13,8 +13,7 @@ from tallymill.operators import accounts, counts, dedup, edits, escalation, fall
 from tallymill.operators.filters import filter_messages, with_drop_reason, with_text
 from tallymill.operators.parse import balance_updates_of, is_infrastructure, parse_stages, transactions_of
 from tallymill.operators.skew import at_least_one_partition_per_core, cut_lineage, scratch_dir
-from tallymill.operators.taxonomy import TAXONOMY, any_keyword, best_entry
-from tallymill.functions.text import has, when
+from tallymill.operators.taxonomy import best_entry
 from tallymill.plans import forms
 from tallymill.plans import samples as S
 from tallymill.plans.planted import plant
@@ -676,13 +675,12 @@ def all_queries() -> dict[str, Query]:
     named["extract_reference"] = _on_documents("extract_reference", {"reference": X.payment_reference("_text", "_low")})
     named["extract_balance"] = _on_documents("extract_balance", {"balance": f"CAST({X.balance('_text', '_low')} AS double)"})
     named["bank_detect"] = _on_documents("bank_detect", {"bank": X.bank("_low")})
-    named["channel_detect"] = _on_documents("channel_detect", {"channel": X.channel("_text")})
+    named["channel_detect"] = _on_documents("channel_detect", {"channel": X.channel("_text", "_low")})
     named["self_transfer_detect"] = _on_documents("self_transfer_detect", {"self_transfer": X.is_self_transfer("_low")})
     named["direction_vote"] = _on_documents(
         "direction_vote", {"debit_votes": debit, "credit_votes": credit, "direction": fallback.direction_from_votes(debit, credit)}
     )
-    best = when(has("_low", any_keyword(TAXONOMY), ""), best_entry("_low", "true", "100"), "0")
-    named["taxonomy_best"] = _on_documents("taxonomy_best", {"entry": best})
+    named["taxonomy_best"] = _on_documents("taxonomy_best", {"entry": best_entry("_low", "true", "100")})
     named["sender_inventory"] = lambda spark, sf_dir: sender_inventory(S.messages_from_orders(spark, sf_dir))
     named["sender_totals"] = lambda spark, sf_dir: sender_totals(S.messages_from_orders(spark, sf_dir))
     named["funnel"] = _staged(reports.funnel)

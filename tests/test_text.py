@@ -151,3 +151,33 @@ def test_planted_phrases_reach_every_entry():
     assert len({v for _, v in planted.DROP_REASON}) == 10
     for plants in planted.PLANTS.values():
         assert len({v for _, v in plants}) > 1 and 2 * sum(v is not None for _, v in plants) >= len(plants)
+
+
+def test_taxonomy_scores_only_entries_that_can_have_a_keyword(spark):
+    from tallymill.functions.text import has
+    from tallymill.operators import taxonomy as T
+    from tallymill.plans import planted
+
+    phrases = [p for p, _ in planted.TAXONOMY] + ["amazon prime refund of swiggy instamart, e-challan and d-mart", "xrefund no_refund", ""]
+    hits = ", ".join(f"size(filter(array({', '.join(has('_low', T.marked(k), '') for k in e.keywords)}), h -> h)) > 0" for e in T.TAXONOMY)
+    rows = spark.createDataFrame([(p,) for p in phrases], "_low string").selectExpr(
+        "_low", f"array({hits}) AS hits", f"{T.possible_entries('_low', T.TAXONOMY)} AS possible"
+    )
+    for row in rows.collect():
+        scored = {i for i, hit in enumerate(row.hits, start=1) if hit}
+        assert scored <= set(row.possible), row._low
+        assert len(set(row.possible)) < len(T.TAXONOMY) // 2
+        assert scored or not row.possible
+
+
+def test_gates_leave_channels_and_self_transfers_alone(spark):
+    from tallymill.functions.text import either, first_of, has, lit
+    from tallymill.plans import planted
+
+    phrases = [p for v in planted.PLANTS.values() for p, *_ in v]
+    rows = spark.createDataFrame([(p, q) for p in phrases for q in phrases[::7]], "a string, b string").selectExpr("concat(a, '\\n', b) AS _text")
+    plain = first_of([(has("_text", X.UPI_MANDATE, "im"), lit("UPI")), *((has("_text", c[0], c[1]), lit(c[-1])) for c in X.CHANNELS)], lit("UPI"))
+    low = rows.selectExpr("_text", "lower(_text) AS _low")
+    own = either([has("_low", pattern, "") for pattern, _ in X.SELF_TRANSFER] + [f"contains(_low, {lit(w)})" for w in X.SELF_TRANSFER_WORDS])
+    found = low.filter(f"NOT ({X.channel('_text', '_low')}) <=> ({plain}) OR NOT ({X.is_self_transfer('_low')}) <=> ({own})")
+    assert found.count() == 0
