@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallymill.functions import extract as X
 from tallymill.functions.text import BLANKS
 from tallymill.operators.parse import signed
+from tallymill.operators.skew import cut_lineage
 from tallymill.schemas import MODEL_ANSWER, REVIEW_FLOOR
 
 
@@ -31,10 +32,14 @@ def parse_answer(text: Column) -> Column:
     no object gives null."""
     trimmed = F.btrim(text, F.lit(BLANKS))
     bare = F.regexp_replace(F.regexp_replace(trimmed, r"(?i)^```(?:json)?\s*", ""), r"\s*```\z", "")
-    clean = F.btrim(bare, F.lit(BLANKS))
-    parsed = F.try_parse_json(clean)
-    fields = [F.try_variant_get(parsed, f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in MODEL_ANSWER.fields]
-    return F.when(clean.startswith("{") & parsed.isNotNull(), F.struct(*fields))
+    clean = F.btrim(F.when(trimmed.contains("```"), bare).otherwise(trimmed), F.lit(BLANKS))
+    # arrays of one bind the clean text and the variant, which would else be made again for every field
+    parsed = F.transform(F.array(clean), lambda c: F.when(c.startswith("{"), F.try_parse_json(c)))
+
+    def fields(p: Column) -> Column:
+        return F.struct(*[F.try_variant_get(p, f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in MODEL_ANSWER.fields])
+
+    return F.get(F.transform(parsed, lambda p: F.when(p.isNotNull(), fields(p))), F.lit(0))
 
 
 def last_answers(answers: DataFrame) -> DataFrame:
@@ -50,9 +55,11 @@ def merge_answers(queue: DataFrame, answers: DataFrame) -> tuple[DataFrame, Data
     the queue whose answer is missing, is no object, or lacks amount or direction, with which of these it is.
 
     ``answers(user_id, id, text)``, with ``answered_at`` if several can come for a message: the last counts. Ids are those of a
-    device, so users share them, and an answer belongs to one user's message."""
+    device, so users share them, and an answer belongs to one user's message. The queue with its answers is stored once; all three
+    are read from it."""
     found = last_answers(answers).select(F.col("user_id").alias("_user"), F.col("id").alias("_id"), "answer", F.lit(True).alias("_answered"))
-    joined = queue.join(found, F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("id") == F.col("_id")), "left").drop("_user", "_id")
+    met = queue.join(found, F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("id") == F.col("_id")), "left")
+    joined = cut_lineage(met.select("id", "user_id", "body", "date", "answer", "_answered"))
     promotional = F.coalesce(F.col("answer.is_promotional"), F.lit(False))
     discards = joined.filter(promotional).select("user_id", "id", F.lit("promotional").alias("reason"))
     failure = (

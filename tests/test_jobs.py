@@ -393,3 +393,11 @@ def test_large_exports_are_read_in_many_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert len(got) == 341
     assert got == sorted(src.read_raw_export(spark, str(tmp_path), "u").collect(), key=repr)
+
+
+def test_answers_meet_the_queue_once(spark):
+    answers = spark.createDataFrame([("u", "1", '{"amount": 5, "direction": "debit"}')], "user_id string, id string, text string")
+    queue = spark.createDataFrame([("u", i, "x", 0) for i in "12"], "user_id string, id string, body string, date long")
+    for frame in escalation.merge_answers(queue, answers):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
