@@ -7,6 +7,7 @@ whole-stage code, whose single method would grow past what the JVM compiles.
 
 from __future__ import annotations
 
+from tallymill.functions.marks import Marks, ask, linear, phrases, spaced
 from tallymill.functions.text import (
     BLANKS,
     MONEY,
@@ -150,6 +151,18 @@ MERCHANT_FROM = r"transfer from\s+([A-Z][A-Z ]{2,40}?)\s+Ref"
 MERCHANT_VPA = r"from VPA\s+([\w.\-@]+)"
 MERCHANT_INFO = r"Info:\s+(.{3,60}?)(?:\.\s*Avl|\z)"
 REVERSED = r"\<has been reversed\>|\<has been refunded\>|\<reversal of\>"
+DATE_ISO, DATE_SLASH, DATE_SHORT = r"\d{4}-\d{2}-\d{2}", r"\d{2}/\d{2}/\d{4}", r"\d{2}[-/]\d{2}[-/]\d{2}\>"
+DATE_NAMED_LONG, DATE_NAMED = r"\d{1,2}[-\s]?[A-Za-z]{3}[-\s]?\d{4}\>", r"\d{1,2}[-\s]?[A-Za-z]{3}[-\s]?\d{2}\>"
+
+#: Signs that are left out before a bank token is looked up.
+BANK_BETWEEN = BLANKS + "-_/."
+#: What a text must hold for a field to be found in it; see ``functions/marks``.
+FAMILIES = {
+    "bank": spaced([token for token, _ in BANK_TOKENS], BANK_BETWEEN),
+    "channel": phrases(["upi mandate:", *(anchor for _, _, anchors, _ in CHANNELS for anchor in anchors)]),
+    "self_transfer": phrases([anchor for _, anchors in SELF_TRANSFER for anchor in anchors] + SELF_TRANSFER_WORDS),
+    **{p: linear(p) for p in (DATE_ISO, DATE_SLASH, DATE_SHORT, DATE_NAMED_LONG, DATE_NAMED)},
+}
 
 
 def amount(text: str, low: str) -> str:
@@ -166,26 +179,27 @@ def amount(text: str, low: str) -> str:
     )
 
 
-def date_text(text: str, low: str) -> str:
+def date_text(text: str, low: str, marks: Marks | None = None) -> str:
     """First date found, as ``YYYY-MM-DD`` text; it may name a day that does not exist."""
-    slash = gated_grab(text, low, ["/"], r"\d{2}/\d{2}/\d{4}", 0, "")
-    short = gated_grab(text, low, ["-", "/"], r"\d{2}[-/]\d{2}[-/]\d{2}\>", 0, "")
+    def found(pattern: str, anchors: list[str]) -> str:
+        if marks is None and anchors:
+            return gated_grab(text, low, anchors, pattern, 0, "")
+        return when(ask(marks, pattern, "true"), grab(text, pattern, 0, ""), "''")
+
+    slash, short = found(DATE_SLASH, ["/"]), found(DATE_SHORT, ["-", "/"])
     numeric = [
-        gated_grab(text, low, ["-"], r"\d{4}-\d{2}-\d{2}", 0, ""),
+        found(DATE_ISO, ["-"]),
         f"regexp_replace({slash}, '^(..).(..).(....)$', '$3-$2-$1')",
         f"regexp_replace({short}, '^(..).(..).(..)$', '20$3-$2-$1')",
     ]
-    named = [
-        grab(text, r"\d{1,2}[-\s]?[A-Za-z]{3}[-\s]?\d{4}\>", 0, ""),
-        grab(text, r"\d{1,2}[-\s]?[A-Za-z]{3}[-\s]?\d{2}\>", 0, ""),
-    ]
+    named = [found(DATE_NAMED_LONG, []), found(DATE_NAMED, [])]
     month = f"array_position({array(MONTHS)}, lower(regexp_extract(d, '[A-Za-z]+', 0)))"
     year = "right(concat('20', regexp_extract(d, '[0-9]+$', 0)), 4)"
     day = "lpad(regexp_extract(d, '^[0-9]+', 0), 2, '0')"
     iso = f"CASE WHEN {month} > 0 THEN concat({year}, '-', lpad({month}, 2, '0'), '-', {day}) END"
     # a form is looked for only where those before it have found nothing
-    names = [f"get(transform(filter(array({found}), d -> d <> ''), d -> {iso}), 0)" for found in named]
-    return coalesce([*(first_hit([found]) for found in numeric), *names])
+    names = [f"get(transform(filter(array({capture}), d -> d <> ''), d -> {iso}), 0)" for capture in named]
+    return coalesce([*(first_hit([capture]) for capture in numeric), *names])
 
 
 def account(text: str, low: str) -> str:
@@ -200,24 +214,28 @@ def account(text: str, low: str) -> str:
     )
 
 
-def bank(low: str) -> str:
+def bank(low: str, marks: Marks | None = None) -> str:
     """First bank token contained in the squeezed text, translated to its name.
 
     Handles are removed before squeezing, so that the bank of a counterparty's handle is not taken.
     """
     bare = when(f"contains({low}, '@')", f"regexp_replace({low}, {lit(HANDLE_TEXT)}, ' ')", low)
-    squeezed = f"translate({bare}, {lit(BLANKS + '-_/.')}, '')"
+    squeezed = f"translate({bare}, {lit(BANK_BETWEEN)}, '')"
     tokens = array([token for token, _ in BANK_TOKENS])
     names = ", ".join(f"{lit(token)}, {lit(name)}" for token, name in BANK_TOKENS)
     # the outer transform binds the squeezed text once
     found = f"get(transform(array({squeezed}), s -> get(filter({tokens}, t -> contains(s, t)), 0)), 0)"
-    return f"element_at(map({names}), {found})"
+    name = f"element_at(map({names}), {found})"
+    # a handle that is taken out leaves a blank, so its neighbours can meet as well
+    return name if marks is None else when(either([ask(marks, "bank", "true"), f"contains({low}, '@')"]), name)
 
 
-def channel(text: str, low: str | None = None) -> str:
+def channel(text: str, low: str | None = None, marks: Marks | None = None) -> str:
     low = low or f"lower({text})"
     tests = [(both([any_of(low, ["upi mandate:"]), has(text, UPI_MANDATE, "im")]), lit("UPI"))]
     tests += [(both([any_of(low, anchors), has(text, pattern, flags)]), lit(name)) for pattern, flags, anchors, name in CHANNELS]
+    if marks is not None:
+        tests.insert(0, (f"NOT {ask(marks, 'channel', 'true')}", lit(DEFAULT_CHANNEL)))
     return first_of(tests, lit(DEFAULT_CHANNEL))
 
 
@@ -300,9 +318,9 @@ def handle_class(handle_column: str) -> str:
     )
 
 
-def is_self_transfer(low: str) -> str:
+def is_self_transfer(low: str, marks: Marks | None = None) -> str:
     tests = [both([any_of(low, anchors), has(low, pattern, "")]) for pattern, anchors in SELF_TRANSFER]
-    return either([*tests, any_of(low, SELF_TRANSFER_WORDS)])
+    return ask(marks, "self_transfer", either([*tests, any_of(low, SELF_TRANSFER_WORDS)]))
 
 
 def merchant_key(merchant_text: str) -> str:

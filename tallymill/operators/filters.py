@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tallymill.functions.marks import Marks, ask, marked, phrases
 from tallymill.functions.text import (
     all_of,
     any_of,
@@ -108,8 +109,20 @@ def has_currency_marker(low: str) -> str:
     return either([any_of(low, CURRENCY), has(low, r"rs\d", "")])
 
 
-def body_drop_reason(low: str) -> str:
-    """First failing body test on lower-cased, blank-normalised text; null means the body passes."""
+#: What a text must hold for any test of a family; see ``functions/marks``.
+FAMILIES = {
+    "noise": phrases(
+        OTP + DELIVERY + TELECOM + OFFER + SERVICE + [group[-1] for group in SERVICE_TOGETHER]
+        + ["will", "fare:", "claim", *FUND_CONTRIBUTION]
+    ),
+    "direction": phrases(DIRECTION),
+    "acknowledged": phrases([*ACKNOWLEDGED, "recharge", "has been activated"]),
+}
+
+
+def body_drop_reason(low: str, marks: Marks | None = None) -> str:
+    """First failing body test on lower-cased, blank-normalised text; null means the body passes. ``marks`` tells
+    the families a text may hold, if that is known."""
     promo_url = either([any_of(low, PROMO_URL)] + [all_of(low, pair) for pair in PROMO_SHORT_URL])
     promo_account = either(
         [has(low, p, "") for p in PROMO_ACCOUNT]
@@ -127,7 +140,7 @@ def body_drop_reason(low: str) -> str:
     currency = either([has_currency_marker(low), has(low, BARE_MONEY, "")])
     direction = either(
         [
-            any_of(low, DIRECTION),
+            any_of(low, DIRECTION) if marks is None else marked(marks, "direction"),
             both([contains(low, "wdl"), has(low, DIRECTION_WDL, "")]),
             has(low, DIRECTION_LEGACY, ""),
             both([contains(low, "using"), has(low, DIRECTION_USING_CARD, "")]),
@@ -141,17 +154,21 @@ def body_drop_reason(low: str) -> str:
         ]
     )
     account = either([has(low, p, "") for p in BANK_ACCOUNT])
+
+    def noise(test: str) -> str:
+        return ask(marks, "noise", test)
+
     return first_of(
         [
-            (any_of(low, OTP), lit("otp")),
-            (both([any_of(low, DELIVERY), f"NOT {has_currency_marker(low)}"]), lit("delivery")),
-            (any_of(low, TELECOM), lit("telecom")),
-            (both([contains(low, "will"), has(low, FUTURE_CREDIT, "")]), lit("future_credit")),
+            (noise(any_of(low, OTP)), lit("otp")),
+            (noise(both([any_of(low, DELIVERY), f"NOT {has_currency_marker(low)}"])), lit("delivery")),
+            (noise(any_of(low, TELECOM)), lit("telecom")),
+            (noise(both([contains(low, "will"), has(low, FUTURE_CREDIT, "")])), lit("future_credit")),
             (both([contains(low, "credited"), has(low, LOYALTY, "")]), lit("loyalty")),
-            (both([any_of(low, OFFER), promo_url, f"NOT {promo_account}"]), lit("promo")),
-            (service, lit("service_noise")),
+            (noise(both([any_of(low, OFFER), promo_url, f"NOT {promo_account}"])), lit("promo")),
+            (noise(service), lit("service_noise")),
             (f"NOT {both([currency, direction])}", lit("no_signal")),
-            (both([acknowledged, f"NOT {account}"]), lit("payee_ack")),
+            (ask(marks, "acknowledged", both([acknowledged, f"NOT {account}"])), lit("payee_ack")),
         ]
     )
 
@@ -176,15 +193,15 @@ def with_text(messages: DataFrame) -> DataFrame:
     return messages.selectExpr("*", f"{normalise_blanks('body')} AS _text").selectExpr("*", "lower(_text) AS _low")
 
 
-def drop_reason() -> str:
+def drop_reason(marks: Marks | None = None) -> str:
     """``sender``, a body reason, or null for a message that passes."""
     return first_of(
-        [(sender_dropped("address"), lit("sender")), ("body IS NULL", lit("no_signal"))], body_drop_reason("_low")
+        [(sender_dropped("address"), lit("sender")), ("body IS NULL", lit("no_signal"))], body_drop_reason("_low", marks)
     )
 
 
-def with_drop_reason(texts: DataFrame) -> DataFrame:
-    return texts.selectExpr("*", f"{drop_reason()} AS drop_reason")
+def with_drop_reason(texts: DataFrame, marks: Marks | None = None) -> DataFrame:
+    return texts.selectExpr("*", f"{drop_reason(marks)} AS drop_reason")
 
 
 def filter_messages(messages: DataFrame) -> DataFrame:

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.functions import extract as X
+from tallymill.functions.marks import with_marks
 from tallymill.functions.text import any_of, first_of, lit, select_sealed, when
 from tallymill.operators.fallback import CONFIDENCE, reference_type, with_fallback
-from tallymill.operators.filters import with_drop_reason, with_text
+from tallymill.operators import rules as rule_list
+from tallymill.operators import taxonomy as entries
+from tallymill.operators.filters import FAMILIES, with_drop_reason, with_text
 from tallymill.operators.rules import RULES, Rule, message_day, with_l2
 from tallymill.operators.taxonomy import TAXONOMY, Entry, with_labels
 from tallymill.schemas import BALANCE_UPDATES, PARSED, REVIEW_FLOOR
@@ -38,11 +41,12 @@ def parse_stages(
     Splits and reports are filters and counts over this frame. With ``prefiltered`` the body filter is
     skipped, as for exports that only hold messages which already passed it.
     """
-    texts = with_text(messages)
+    families = {**FAMILIES, **X.FAMILIES, **entries.families(taxonomy), **rule_list.families(rules)}
+    texts, marks = with_marks(with_text(messages), families)
     filtered = (
-        texts.selectExpr("*", "CAST(NULL AS string) AS drop_reason") if prefiltered else with_drop_reason(texts)
+        texts.selectExpr("*", "CAST(NULL AS string) AS drop_reason") if prefiltered else with_drop_reason(texts, marks)
     )
-    fallen = with_fallback(with_l2(filtered, rules), "outcome = 'none'")
+    fallen = with_fallback(with_l2(filtered, rules, marks), "outcome = 'none'")
 
     def pick(rule_field: str, fallback_field: str) -> str:
         return f"CASE outcome WHEN 'matched' THEN {rule_field} WHEN 'none' THEN {fallback_field} END"
@@ -59,7 +63,7 @@ def parse_stages(
         "try_cast(txn_date_raw AS date) AS _text_day",
     )
     known = "outcome IN ('matched', 'none') AND _amount IS NOT NULL AND _direction IS NOT NULL"
-    labelled = with_labels(merged, known, "_low", "(_direction = 'credit')", "_amount", "_channel", taxonomy)
+    labelled = with_labels(merged, known, "_low", "(_direction = 'credit')", "_amount", "_channel", taxonomy, marks)
 
     failure = first_of(
         [

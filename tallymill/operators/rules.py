@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from tallymill.functions import extract as X
+from tallymill.functions.marks import Marks, ask, phrases, with_marks
 from tallymill.functions.text import (
     MONEY,
     any_of,
@@ -33,7 +34,7 @@ from tallymill.functions.text import (
 
 @dataclass(frozen=True)
 class Test:
-    """A pattern and the substrings it implies; ``"a|b"`` means one of the two must be present."""
+    """A pattern and the substrings it implies; ``"a|b"`` means one of the two must be present. The rarest come last."""
 
     __test__ = False  # not a test case
 
@@ -79,8 +80,8 @@ class Rule:
     reference_generic: bool = True
 
 
-def generic_channel(text: str) -> str:
-    return X.channel(text, "_low")
+def generic_channel(text: str, marks: Marks | None = None) -> str:
+    return X.channel(text, "_low", marks)
 
 
 # The rule list, in order. First match wins.
@@ -89,8 +90,8 @@ RULES: list[Rule] = [
     Rule(
         "GENERIC_DECLINED",
         (
-            Test(r"\<no\s+(?:money|amount)\s+(?:has\s+been\s+)?(?:deducted|debited)\>", ("deducted|debited",)),
-            Test(r"\<amount\s+not\s+debited\>|\<not\s+been\s+debited\>", ("debited",)),
+            Test(r"\<no\s+(?:money|amount)\s+(?:has\s+been\s+)?(?:deducted|debited)\>", ("deducted|debited", "money|amount")),
+            Test(r"\<amount\s+not\s+debited\>|\<not\s+been\s+debited\>", ("debited", "not")),
             Test(
                 r"declined|txn.*fail|transaction.*fail|payment.*fail|could\s+not\s+be\s+processed",
                 ("declined|fail|processed",),
@@ -166,7 +167,7 @@ RULES: list[Rule] = [
         (
             Test(
                 r"Rs\.?\s*[\d,]+(?:\.\d{1,2})?\s+spent\s+from\s+\w+\s+(?:Meal\s+Card|Gift\s+Card|Food\s+Card|Wallet)",
-                ("spent", "from"),
+                ("from", "spent"),
             ),
         ),
         direction="debit",
@@ -273,7 +274,7 @@ RULES: list[Rule] = [
             Test(
                 r"\<loan\s+amount\>.*\<disbursed\>|\<loan\s+amount\>.*\<credited\>|\<loan\s+disburs(?:ed|al)\>"
                 r"|\<loan\s+of\s+Rs\.?.*\<disbursed\>|\<\w+\s+loan\>[^.\n\r]{0,60}\<disbursed\>",
-                ("loan", "disburs|credited"),
+                ("disburs|credited", "loan"),
             ),
         ),
         direction="credit",
@@ -405,7 +406,7 @@ RULES: list[Rule] = [
     ),
     Rule(
         "LEGACY_DR_CR_FORMAT",
-        (Test(r"\<AC\s+[Xx*]{1,4}\d{4}\s+(?:DR|CR)\s+RS\.?\s*\d", ("ac", "rs")),),
+        (Test(r"\<AC\s+[Xx*]{1,4}\d{4}\s+(?:DR|CR)\s+RS\.?\s*\d", ("rs", "ac")),),
         direction=lambda text: when(
             f"upper({grab(text, LEGACY_DIRECTION)}) = 'CR'", "'credit'", "'debit'"
         ),
@@ -505,14 +506,23 @@ def _constant(value: str | float | bool | None) -> str | None:
     return None if value is None else lit(value)
 
 
-def with_rule(texts: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+def families(rules: list[Rule]) -> dict[str, str]:
+    """What a text must hold for a rule, if all its tests imply substrings; see ``functions/marks``."""
+    return {
+        f"rule {number}": phrases([word for test in rule.tests for word in test.anchors[-1].split("|")])
+        for number, rule in enumerate(rules, start=1)
+        if all(test.anchors for test in rule.tests)
+    }
+
+
+def with_rule(texts: DataFrame, rules: list[Rule] = RULES, marks: Marks | None = None) -> DataFrame:
     """Add ``rule_no``: the first rule whose tests hold on a message that passed the filter."""
     cases = []
     for number, rule in enumerate(rules, start=1):
         test = either([t.sql("_text", "_low") for t in rule.tests])
         if rule.unless:
             test = both([test, f"NOT {either([t.sql('_text', '_low') for t in rule.unless])}"])
-        cases.append((test, str(number)))
+        cases.append((ask(marks, f"rule {number}", test), str(number)))
     return texts.selectExpr("*", f"{first_of([('drop_reason IS NOT NULL', 'NULL'), *cases])} AS rule_no")
 
 
@@ -563,21 +573,23 @@ def _checked_merchant(rules: list[Rule]) -> str:
     return first_of(cases, "_merchant")
 
 
-def _date(rules: list[Rule]) -> str:
+def _date(rules: list[Rule], marks: Marks | None = None) -> str:
     """Date in the text, else day and month in the text with the year of the message."""
     partial = _per_rule(rules, lambda r: grab("_text", r.partial_date, 0) if r.partial_date else None)
     day = "lpad(regexp_extract(d, '([0-9]{1,2})-', 1), 2, '0')"
     month = "regexp_extract(d, '-([0-9]{2})', 1)"
     year = f"year({message_day('date')})"
     full = f"transform(filter(array({partial}), d -> d <> ''), d -> concat({year}, '-', {month}, '-', {day}))"
-    return coalesce([X.date_text("_text", "_low"), f"get({full}, 0)"])
+    return coalesce([X.date_text("_text", "_low", marks), f"get({full}, 0)"])
 
 
-def with_fields(routed: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+def with_fields(routed: DataFrame, rules: list[Rule] = RULES, marks: Marks | None = None) -> DataFrame:
     """The fields of the matched rule, then what depends on them."""
     text, low = "_text", "_low"
 
     def text_value(value: str | Callable | None) -> str | None:
+        if value is generic_channel:
+            return generic_channel(text, marks)
         return value(text) if callable(value) else _constant(value)
 
     def direction(rule: Rule) -> str | None:
@@ -591,7 +603,7 @@ def with_fields(routed: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
         return coalesce(steps) if steps else None
 
     def contra(rule: Rule) -> str:
-        return X.is_self_transfer(low) if rule.contra == "self_transfer" else lit(bool(rule.contra))
+        return X.is_self_transfer(low, marks) if rule.contra == "self_transfer" else lit(bool(rule.contra))
 
     def generic_reference(rule: Rule) -> bool:
         return rule.reference_generic and not rule.discard
@@ -602,12 +614,12 @@ def with_fields(routed: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     fields = {
         "rule_id": f"get({array([r.id for r in rules])}, rule_no - 1)",
         "discard_reason": _per_rule(rules, lambda r: _constant(r.discard), "CAST(NULL AS string)"),
-        "bank": when(_numbers(rules, lambda r: r.bank), X.bank(low)),
+        "bank": when(_numbers(rules, lambda r: r.bank), X.bank(low, marks)),
         "channel": _per_rule(rules, lambda r: text_value(r.channel), "CAST(NULL AS string)"),
         "direction": _per_rule(rules, direction, "CAST(NULL AS string)"),
         "amount": when(matched, _amount(rules)),
         "account_number_masked": _per_rule(rules, account, "CAST(NULL AS string)"),
-        "txn_date_raw": when(_numbers(rules, lambda r: not r.discard), _date(rules)),
+        "txn_date_raw": when(_numbers(rules, lambda r: not r.discard), _date(rules, marks)),
         "_merchant": _merchant(rules),
         "_balance": when(_numbers(rules, lambda r: r.balance and not r.discard), X.balance(text, low)),
         "_own_ref": _per_rule(rules, lambda r: _own_hits((r.reference[0],)) if r.reference else None),
@@ -650,13 +662,13 @@ def with_fields(routed: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
         "vpa_type": kind,
         "outcome": outcome,
     }
-    keep = [c for c in staged.columns if not c.startswith("_") or c in ("_text", "_low")]
+    keep = [c for c in staged.columns if not c.startswith("_") or c in ("_text", "_low", "_marks")]
     return staged.selectExpr(*keep, *[f"{sql} AS {name}" for name, sql in derived.items()])
 
 
-def with_l2(filtered: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+def with_l2(filtered: DataFrame, rules: list[Rule] = RULES, marks: Marks | None = None) -> DataFrame:
     """All routing stages on a frame that already carries the text columns and ``drop_reason``."""
-    return with_fields(with_rule(filtered, rules), rules)
+    return with_fields(with_rule(filtered, rules, marks), rules, marks)
 
 
 def route_messages(messages: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
@@ -665,9 +677,10 @@ def route_messages(messages: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     ``outcome`` is ``dropped``, ``discard``, ``matched`` or ``none``. A rule that matches but finds no
     amount voids the match (``none``); later rules are not tried.
     """
-    from tallymill.operators.filters import with_drop_reason, with_text
+    from tallymill.operators.filters import FAMILIES, with_drop_reason, with_text
 
-    routed = with_l2(with_drop_reason(with_text(messages)), rules)
+    texts, marks = with_marks(with_text(messages), {**FAMILIES, **X.FAMILIES, **families(rules)})
+    routed = with_l2(with_drop_reason(texts, marks), rules, marks)
     day = f"coalesce(txn_date_raw, CAST({message_day('date')} AS string))"
     parts = ", ".join(f"'{n}', {day if n == 'txn_date_raw' else n}" for n in FIELDS)
     columns = {

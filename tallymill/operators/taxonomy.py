@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from tallymill.functions.marks import Marks, ask, linear
 from tallymill.functions.text import any_of, array, first_of, has, lit, normalise_blanks, rx, when
 
 
@@ -312,6 +313,12 @@ def keyword_start(keyword: str) -> str:
     return body[:2] if re.match(r"[a-z0-9]{2}(?![?*+{|])", body) else body[0]
 
 
+def families(taxonomy: list[Entry]) -> dict[str, str]:
+    """What a text must hold for any entry; see ``functions/marks``."""
+    patterns = [linear(marked(keyword)) for entry in taxonomy for keyword in entry.keywords]
+    return {} if None in patterns else {"keyword": "|".join(patterns)}
+
+
 def possible_entries(low: str, taxonomy: list[Entry]) -> str:
     """Positions (from 1) of all entries that can have a keyword in the text, and of few others. Wherever a word starts at which some
     keyword is found, its first letters are taken, which name the entries. Those letters hold no start of another word."""
@@ -363,9 +370,11 @@ def with_labels(
     amount: str,
     channel: str,
     taxonomy: list[Entry] = TAXONOMY,
+    marks: Marks | None = None,
 ) -> DataFrame:
     """Add ``type``, ``category``, ``sub_category`` and the guessed-mandate flag to eligible rows."""
-    found = rows.selectExpr("*", f"{when(eligible, possible_entries(low, taxonomy))} AS _possible")
+    possible = when(ask(marks, "keyword", "true"), possible_entries(low, taxonomy), "array()")
+    found = rows.selectExpr("*", f"{when(eligible, possible)} AS _possible")
     ranked = found.selectExpr("*", f"{when(eligible, best_entry(low, is_credit, amount, taxonomy, '_possible'))} AS _entry")
     guess = f"(_entry = 0 AND NOT {is_credit} AND coalesce({channel} = 'NACH', false))"
 

@@ -181,3 +181,47 @@ def test_gates_leave_channels_and_self_transfers_alone(spark):
     own = either([has("_low", pattern, "") for pattern, _ in X.SELF_TRANSFER] + [f"contains(_low, {lit(w)})" for w in X.SELF_TRANSFER_WORDS])
     found = low.filter(f"NOT ({X.channel('_text', '_low')}) <=> ({plain}) OR NOT ({X.is_self_transfer('_low')}) <=> ({own})")
     assert found.count() == 0
+
+
+def test_marks_of_a_plain_debit_spare_it_most_searches(spark):
+    from tallymill.functions.marks import with_marks
+    from tallymill.operators import rules as R
+    from tallymill.operators import taxonomy as T
+    from tallymill.operators.filters import FAMILIES
+
+    families = {**FAMILIES, **X.FAMILIES, **T.families(TAXONOMY), **R.families(RULES)}
+    texts = with_text(inbox(spark, ["Rs.5 debited from A/c XX1234 on 05-Mar-2024 to NORTH MART Ref 100000000001. -Demo Bank", None]))
+    rows, marks = with_marks(texts, families)
+    plain, null = values(rows, "_marks")
+    assert null == 0
+    held = {name for i, name in enumerate(marks.families) if plain >> i & 1}
+    assert held == {"direction", X.DATE_NAMED_LONG, f"rule {1 + [r.id for r in RULES].index('GENERIC_DEBIT')}"}
+
+
+def test_marks_change_no_result(spark):
+    from tallymill.functions.marks import linear, with_marks
+    from tallymill.operators import rules as R
+    from tallymill.operators import taxonomy as T
+    from tallymill.operators.filters import FAMILIES, drop_reason
+    from tallymill.plans import planted, samples
+
+    phrases = [p for v in planted.PLANTS.values() for p, *_ in v] + [t for t in samples.TEMPLATES.values()]
+    phrases += ["SBİ 5", "p n\x0bb", "x h@y dfcbk", "5 Mar\x0b2024", "05mar24x 2024-03-05", "amazon prime", "_zomato zomato_", "milk"]
+    texts = with_text(inbox(spark, [p + between + q for between in ("\n", "") for p in phrases for q in ("", *phrases[::9])]))
+    families = {**FAMILIES, **X.FAMILIES, **T.families(TAXONOMY), **R.families(RULES)}
+    rows, marks = with_marks(texts, families)
+    assert marks.families == tuple(families)
+    fields = {
+        "drop": (drop_reason(), drop_reason(marks)),
+        "bank": (X.bank("_low"), X.bank("_low", marks)),
+        "channel": (X.channel("_text", "_low"), X.channel("_text", "_low", marks)),
+        "own": (X.is_self_transfer("_low"), X.is_self_transfer("_low", marks)),
+        "day": (X.date_text("_text", "_low"), X.date_text("_text", "_low", marks)),
+        "entries": (f"size({T.possible_entries('_low', TAXONOMY)}) > 0", f"size({T.possible_entries('_low', TAXONOMY)}) > 0 AND {T.ask(marks, 'keyword', 'true')}"),
+    }
+    both = rows.selectExpr("*", "CAST(NULL AS string) AS drop_reason", *[f"{sql} AS {n}_{i}" for n, pair in fields.items() for i, sql in enumerate(pair)])
+    plain = R.with_rule(both, RULES).withColumnRenamed("rule_no", "rule_0")
+    found = R.with_rule(plain, RULES, marks).withColumnRenamed("rule_no", "rule_1")
+    wrong = {n: f"count_if(NOT (`{n}_0` <=> `{n}_1`)) AS `{n}`" for n in (*fields, "rule")}
+    assert found.selectExpr(*wrong.values()).first().asDict() == dict.fromkeys(wrong, 0)
+    assert [linear(p) for p in (r"a\h", "a++b", "(?<=a)b", r"\p{L}", r"a\vb", "[a&&b]")] == [None] * 6
