@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,8 @@ def _split(text: str) -> list[str]:
 
 #: A word of these characters alone is not changed by normalisation but for its case, and splits as _PART says.
 _PLAIN = re.compile("[!-~\u00c0-\u00ff]+")
-_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: Ends of words are parts of their own.
+_PART = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
 class _Numbers(dict):
@@ -45,6 +46,14 @@ class _Numbers(dict):
         return n
 
 
+def _gather(ids: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the entries ``at``, one after the other, and where each ends; entries lie in ``ids`` in order, each of its length."""
+    starts = np.cumsum(lengths) - lengths
+    sizes = lengths[at]
+    ends = np.cumsum(sizes)
+    return ids[np.repeat(starts[at] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))], ends
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter by which a byte-level vocabulary writes each byte: itself if it is printable, else one of the
     letters from 256 on, in turn."""
@@ -65,45 +74,63 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.parts: dict[str, list[int]] = {}
         self.clear()
+        self.clear_parts()
 
     def clear(self) -> None:
         self.number = _Numbers()
         self.lengths = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
 
-    def _word(self, word: str) -> list[int]:
-        if "<|" in word or not _PLAIN.fullmatch(word):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
-        for part in _PART.findall(word.lower()):
-            found = self.parts.get(part)
-            if found is None:
-                spelled = part.encode().decode("latin-1").translate(self.letters)
-                found = self.parts[part] = [t.id for t in self.model.tokenize(spelled)]
-            out += found
-        return out
+    def clear_parts(self) -> None:
+        self.part = _Numbers()
+        self.part["\n"] = 0
+        self.part_lengths = np.zeros(1, dtype=np.int64)
+        self.part_ids = np.zeros(0, dtype=np.uint32)
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words one after the other, and the number of ids of each. All words are taken apart at once."""
+        known = len(self.part)
+        parts = _PART.findall("\n".join([*words, ""]).lower())
+        at = np.fromiter(map(self.part.__getitem__, parts), np.int64, len(parts))
+        if len(self.part) > known:
+            spelled = (p.encode().decode("latin-1").translate(self.letters) for p in islice(self.part, known, None))
+            got = [[t.id for t in self.model.tokenize(p)] for p in spelled]
+            self.part_lengths = np.concatenate([self.part_lengths, np.fromiter(map(len, got), np.int64, len(got))])
+            self.part_ids = np.concatenate([self.part_ids, np.fromiter(chain.from_iterable(got), np.uint32)])
+        flat, ends = _gather(self.part_ids, self.part_lengths, at)
+        return flat, np.diff(ends[at == 0], prepend=0)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after the other, and the number of ids of each."""
+        plain = np.array(["<|" not in w and _PLAIN.fullmatch(w) is not None for w in words])
+        if plain.all():
+            return self._plain(words)
+        whole = [self.tokenizer.encode(w, add_special_tokens=False).ids for w, p in zip(words, plain.tolist()) if not p]
+        ids, sizes = self._plain([w for w, p in zip(words, plain.tolist()) if p])
+        lengths = np.zeros(len(words), dtype=np.int64)
+        lengths[plain], lengths[~plain] = sizes, [len(x) for x in whole]
+        out = np.zeros(int(lengths.sum()), dtype=np.uint32)
+        own = np.repeat(plain, lengths)
+        out[own], out[~own] = ids, np.fromiter(chain.from_iterable(whole), np.uint32)
+        return out, lengths
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by end_id, and the number of ids of each."""
         if len(self.number) > KEPT_WORDS:
             self.clear()
-        if len(self.parts) > KEPT_WORDS:
-            self.parts = {}
+        if len(self.part) > KEPT_WORDS:
+            self.clear_parts()
         split = [_split(x) for x in texts]
         number = self.number
         known = len(number)
         n_words = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
         at = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(number.__getitem__, x), np.int64, len(x)) for x in split)])
         if len(number) > known:
-            got = [self._word(w) for w in islice(number, known, None)]
-            self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, got), dtype=np.int64, count=len(got))])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for e in got for i in e), dtype=np.uint32)])
-        starts = np.cumsum(self.lengths) - self.lengths
-        sizes = self.lengths[at]
-        ends = np.cumsum(sizes)
-        flat = self.ids[np.repeat(starts[at] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+            ids, lengths = self._words(list(islice(number, known, None)))
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.ids = np.concatenate([self.ids, ids])
+        flat, ends = _gather(self.ids, self.lengths, at)
         bounds = np.concatenate([[0], ends])[np.cumsum(n_words)]  # ids up to the end of each text
         return np.insert(flat, bounds, np.uint32(end_id)), np.diff(bounds, prepend=0) + 1
 

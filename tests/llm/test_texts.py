@@ -418,3 +418,20 @@ def test_text_around_a_barred_element_stays():
     long = "long text " * 80
     page = f"<div class=content><h1>T</h1><p>lead</p><div class=ad>x</div><p>{long}</p><div class=share>y</div><p>So it ends.</p></div>"
     assert line_blocks.main_text(page) == f"T\nlead\n{long.strip()}\nSo it ends."
+
+
+def test_new_words_are_taken_apart_in_one_go(monkeypatch):
+    from tokenizers import Tokenizer
+
+    words = binary_packing.WordIds(tokenizer_path())
+    calls, plain = [], words._plain
+    monkeypatch.setattr(words, "_plain", lambda w: calls.append(len(w)) or plain(w))
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    texts = ["Don't stop-me now_ 12x3, É×÷ÿ", "中文 <|endoftext|> a\x1cb", "", "don't ǅ stop-me 中文 __ 's", "<|x|>", "again again"]
+    ids, sizes = words.encode(texts, 2)
+    wanted = [tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == wanted
+    assert len(calls) == 1
+    ids, sizes = words.encode(texts[::-1], 2)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == wanted[::-1]
+    assert len(calls) == 1
