@@ -33,14 +33,15 @@ def _new_accounts(seen: DataFrame) -> DataFrame:
 
 
 def resolve_accounts(
-    parsed: DataFrame, accounts: DataFrame, balance_updates: DataFrame | None = None
+    parsed: DataFrame, accounts: DataFrame, balance_updates: DataFrame | None = None, users: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """``(accounts, rows)``: the dimension with missing accounts added, and the rows with ``account_id``.
 
     Rows without a number share one ``UNKNOWN`` account per user. A new account takes bank and type from
     its first message in reading order, which is newest first, and a balance notice can be that message. First-seen values come from a
     partial aggregate, so a busy account is reduced before it is shuffled. Ids of accounts created here
-    are a function of the key; only accounts that were already stored need a lookup.
+    are a function of the key; only accounts that were already stored need a lookup. Columns of ``users``, one row for each
+    ``user_id``, come to the rows by the same lookup, so that the rows do not move a second time for them.
     """
     number = F.coalesce("account_number_masked", F.lit(UNKNOWN_ACCOUNT))
     # a reading goes from the newest message back
@@ -58,11 +59,10 @@ def resolve_accounts(
     )
     seen = seen.select(*KEYS, "_first.*", "_n")
     stored = accounts.groupBy(*KEYS).agg(F.min("id").alias("_stored_id"))
-    known = seen.select(*KEYS, "_n").join(stored, KEYS)
+    sized = seen.select(*KEYS, "_n")
+    known = sized.join(stored, KEYS) if users is None else sized.join(stored, KEYS, "left").join(users, "user_id", "left")
     created = _new_accounts(seen.join(stored, KEYS, "left_anti"))
-    lookup = known.select(
-        "user_id", F.col("account_number_masked").alias("_number"), "_stored_id", F.col("_n")
-    )
+    lookup = known.withColumnRenamed("account_number_masked", "_number")
     rows = attach(keyed, lookup, ["user_id", "_number"], "raw_sms_id")
     rows = rows.withColumn(
         "account_id", F.coalesce("_stored_id", account_id(F.col("user_id"), F.col("_number")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.operators.dedup import last_per_id
+from tallymill.operators.skew import cut_lineage
 from tallymill.operators.transfers import pair_transfers
 from tallymill.schemas import REVIEW_FLOOR
 
@@ -125,4 +126,4 @@ def submitted_page(ledger: DataFrame, edits: DataFrame, splits: DataFrame, page_
 
 def apply_page(ledger: DataFrame, edits: DataFrame, splits: DataFrame, page_ids: DataFrame) -> DataFrame:
     """The ledger after a page is submitted and its new children are paired like rows that arrive."""
-    return pair_transfers(submitted_page(ledger, edits, splits, page_ids), F.col("is_child"), duplicates=False)
+    return pair_transfers(cut_lineage(submitted_page(ledger, edits, splits, page_ids)), F.col("is_child"), duplicates=False)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.operators.accounts import latest_balances, resolve_accounts
 from tallymill.operators.dedup import is_definitional_transfer
-from tallymill.operators.skew import attach
+from tallymill.operators.skew import attach, cut_lineage
 from tallymill.operators.transfers import GROUP, pair_transfers
 from tallymill.schemas import LEDGER
 
@@ -33,17 +33,29 @@ def ledger_rows(parsed: DataFrame) -> DataFrame:
     return parsed.select(*columns)
 
 
-def insert_order(rows: DataFrame, ledger: DataFrame) -> DataFrame:
-    """New rows with ``created_at``: an ingest reads a user's messages from the newest back, and its rows come after all
-    that are stored for the user. Each millisecond of a message's age below the newest is a microsecond later."""
-    age = F.unix_micros(F.col("message_time").cast("timestamp"))
-    newest = rows.groupBy("user_id").agg(F.max(age).alias("_newest"), F.count("*").alias("_n"))
+def _age() -> Column:
+    return F.unix_micros(F.col("message_time").cast("timestamp"))
+
+
+def insert_starts(rows: DataFrame, ledger: DataFrame) -> DataFrame:
+    """One row for each user of the new rows: the newest message, where in the insert order it goes, and the number of rows."""
+    newest = rows.groupBy("user_id").agg(F.max(_age()).alias("_newest"), F.count("*").alias("_rows"))
     last = ledger.groupBy("user_id").agg(F.max(F.unix_micros("created_at")).alias("_last"))
     start = F.greatest("_newest", F.col("_last") + 1_000_000)
-    groups = newest.join(last, "user_id", "left").select("user_id", "_newest", start.alias("_start"), "_n")
-    placed = attach(rows, groups, ["user_id"], "raw_sms_id")
-    at = F.timestamp_micros(F.col("_start") + F.floor((F.col("_newest") - age) / 1000).cast("long"))
-    return placed.withColumn("created_at", at).drop("_newest", "_start", "_n")
+    return newest.join(last, "user_id", "left").select("user_id", "_newest", start.alias("_start"), "_rows")
+
+
+def placed_in_order(rows: DataFrame) -> DataFrame:
+    """``created_at`` of rows that carry the columns of ``insert_starts``: each millisecond of a message's age below the newest
+    is a microsecond later."""
+    at = F.timestamp_micros(F.col("_start") + F.floor((F.col("_newest") - _age()) / 1000).cast("long"))
+    return rows.withColumn("created_at", at).drop("_newest", "_start", "_rows")
+
+
+def insert_order(rows: DataFrame, ledger: DataFrame) -> DataFrame:
+    """New rows with ``created_at``: an ingest reads a user's messages from the newest back, and its rows come after all
+    that are stored for the user."""
+    return placed_in_order(attach(rows, insert_starts(rows, ledger), ["user_id"], "raw_sms_id", "_rows"))
 
 
 def storable(transactions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,13 +81,14 @@ def update_ledger(
     window would otherwise insert and flag again.
     """
     good, bad = storable(transactions)
-    dimension, rows = resolve_accounts(good, accounts, balance_updates)
+    dimension, rows = resolve_accounts(good, accounts, balance_updates, insert_starts(good, ledger))
     dimension = latest_balances(balance_updates, dimension)
-    new = ledger_rows(insert_order(rows, ledger))
+    new = ledger_rows(placed_in_order(rows))
     if known_ids is not None:
         new = new.join(known_ids, "id", "left_anti")
     arrived = ledger.withColumn("_arrived", F.lit(False)).unionByName(new.withColumn("_arrived", F.lit(True)))
-    updated = pair_transfers(arrived, F.col("_arrived"))
+    # the pairing reads a few columns of it several times, and all of them once
+    updated = pair_transfers(cut_lineage(arrived), F.col("_arrived"))
     inserted = updated.filter("_arrived").select(
         F.lit("row").alias("what"), F.col("possible_duplicate_of").isNotNull().alias("flagged")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Groups beyond this many rows are spread over several join keys. The list of such groups has at most
-# (all rows / HOT_ROWS) entries; whether it is broadcast is the planner's choice.
+# (all rows / HOT_ROWS) entries, so it is broadcast and rows move once in a lookup.
 HOT_ROWS = 2_000_000
 # Rows of one task of CPU-heavy work: under a minute at half a millisecond a row.
 ROWS_PER_TASK = 100_000
@@ -26,7 +26,7 @@ def attach(
     """
     salts = F.ceil(F.col(size) / hot_rows).cast("int")
     hot = groups.filter(F.col(size) > hot_rows).select(*keys, salts.alias("_salts"))
-    salted_rows = rows.join(hot, keys, "left").withColumn(
+    salted_rows = rows.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt", F.coalesce(F.pmod(F.xxhash64(row_id), F.col("_salts")).cast("int"), F.lit(0))
     )
     spread = F.when(F.col(size) > hot_rows, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))

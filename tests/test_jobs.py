@@ -3,12 +3,13 @@
 import datetime as dt
 import decimal
 import json
+import re
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tallymill.operators import counts, dedup, edits, escalation, ledger as ledger_ops, paging, review, skew
+from tallymill.operators import counts, dedup, edits, escalation, ledger as ledger_ops, paging, review, skew, transfers
 from tallymill.operators.accounts import latest_balances, resolve_accounts
 from tallymill.operators.edits import signed_amount, valid_splits
 from tallymill.operators.ledger import update_ledger
@@ -284,6 +285,42 @@ def test_stored_infrastructure_rows_of_a_reference_are_affected(spark):
     assert sorted(r.id for r in got.collect()) == ["0", "1", "2"]
 
 
+def test_whole_rows_move_few_times_in_an_ingest(spark, sf_dir, tmp_path, monkeypatch, capsys):
+    """One exchange brings accounts and insert order to the texts, one what the pairing changes; a row that may take a group
+    takes a third. Everything else moves without texts."""
+    template_messages(spark, sf_dir, TEMPLATES[25]).transform(parse_stages).write.parquet(str(tmp_path / "staged"))
+    staged = spark.read.parquet(str(tmp_path / "staged"))
+    stored = spark.createDataFrame([ledger_row("s", "1")], LEDGER)
+    frames = []
+    for module in (ledger_ops, transfers):
+        monkeypatch.setattr(module, "cut_lineage", lambda frame, f=skew.cut_lineage: (frames.append(frame), f(frame))[1], raising=False)
+    monkeypatch.setattr(transfers, "_replayed", lambda rows, flag: spark.createDataFrame([], transfers.REPLAY_SCHEMA))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.debug.maxToStringFields": "1000"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        updated, _, _ = update_ledger(transactions_of(staged), balance_updates_of(staged), stored, spark.createDataFrame([], ACCOUNTS))
+        moves = []
+        for frame in [*frames, updated]:
+            capsys.readouterr()
+            frame.explain("formatted")
+            blocks = capsys.readouterr().out.split("== Initial Plan ==")[-1].split("\n\n")
+            moves.append(sum(1 for b in blocks if re.match(r"\(\d+\) Exchange\n", b) and "raw_text#" in b.split("Arguments")[0]))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert moves[0] == 1 and not any(moves[1:-1]) and moves[-1] == 3  # the last: two kinds of rows meet their changes, one goes on
+
+
+def test_rows_near_another_of_their_amount(spark):
+    days = lambda *ns: [dt.date(2024, 5, n) for n in ns]
+    alone = [("a", 1.0, d) for d in days(1, 3, 9)] + [("b", 1.0, d) for d in days(2)] + [("a", 2.0, d) for d in days(2, 10)] + [("a", 1.0, None)]
+    near = [("c", 1.0, d) for d in days(1, 2, 8, 8, 20, 21, 22)] + [("a", 3.0, d) for d in days(4, 4)]
+    rows = spark.createDataFrame([(f"{i}", u, float(m), d) for i, (u, m, d) in enumerate(alone + near)], "id string, user_id string, magnitude double, txn_date date")
+    assert sorted(int(r.id) for r in transfers._near_rows(rows).collect()) == list(range(len(alone), len(alone + near)))
+
+
 def test_every_queued_message_has_one_outcome(spark):
     texts = ['{"is_promotional": true}', '{"amount": 5.5, "direction": "debit"}', "sorry", '{"amount": 5}']
     answers = spark.createDataFrame([("u", str(i), t) for i, t in enumerate(texts)], "user_id string, id string, text string")
