@@ -35,9 +35,9 @@ class Shape:
     its own, after which the tasks' weights are averaged. lanes: texts that run side by side. window: steps that
     gradients reach back; the state runs on through a whole text."""
 
-    hidden: int = 8
-    head: int = 256
-    head_classes: int = 8
+    hidden: int = 16
+    head: int = 1024
+    head_classes: int = 32
     tails: int = 15
     known: int = 100_000
     rounds: int = 2
@@ -244,19 +244,26 @@ def _grid(texts: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    y = np.exp(-x)
+    y = np.negative(x, out=x)
+    np.exp(y, out=y)
     y += 1
     return np.reciprocal(y, out=y)
 
 
 def _step(w: Weights, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One step of the gated unit: update gate z, reset gate r, new content n."""
-    k = w.u.shape[0]
-    a, g = w.x[x], h @ w.u
-    zr = _sigmoid(a[:, : 2 * k] + g[:, : 2 * k])
-    z, r, m = zr[:, :k], zr[:, k:], g[:, 2 * k :]
-    n = np.tanh(a[:, 2 * k :] + r * m)
-    return n + z * (h - n), z, r, n, m
+    """One step of the gated unit: update gate z, reset gate r, new content n. Lanes run along the last axis, so that gates are
+    whole blocks of memory."""
+    k = len(h)
+    a, g = np.ascontiguousarray(w.x[x].T), w.u.T @ h
+    zr = _sigmoid(a[: 2 * k] + g[: 2 * k])
+    z, r, m = zr[:k], zr[k:], g[2 * k :]
+    n = r * m
+    n += a[2 * k :]
+    np.tanh(n, out=n)
+    now = h - n
+    now *= z
+    now += n
+    return now, z, r, n, m
 
 
 def _inputs(target: np.ndarray, begin: np.ndarray, end: int) -> np.ndarray:
@@ -314,7 +321,7 @@ def _fit(w: Weights, texts: list[np.ndarray], reader: Reader, shape: Shape, rate
     k, per = shape.hidden, reader.per
     parts = w.parts()
     first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
-    h = np.zeros((lanes, k), dtype=np.float32)
+    h = np.zeros((k, lanes), dtype=np.float32)
     scale = np.float32(1 / (lanes * shape.window))  # a narrow grid moves the weights less
     ends = len(word) - (word[::-1] >= 0).argmax(axis=0)
     one = np.float32(1)
@@ -326,13 +333,13 @@ def _fit(w: Weights, texts: list[np.ndarray], reader: Reader, shape: Shape, rate
         part = slice(t0, t0 + shape.window * min(8, max(1, lanes // int(live.sum()))))
         t0, done = part.stop, done + 1
         xs, ys, bs = (v[part] if whole else v[part][:, live] for v in (x, target, begin))
-        now = h if whole else h[live]
+        now = h if whole else h[:, live]
         starts = bs.any(axis=1)
         saved = []
-        states = np.empty((len(xs), len(now), k), dtype=np.float32)
+        states = np.empty((len(xs), k, now.shape[1]), dtype=np.float32)
         for i in range(len(xs)):
             if starts[i]:
-                now = np.where(bs[i][:, None], np.float32(0), now)
+                now = np.where(bs[i], np.float32(0), now)
             before = now
             now, z, r, n, m = _step(w, before, xs[i])
             saved.append((before, z, r, n, m))
@@ -340,17 +347,17 @@ def _fit(w: Weights, texts: list[np.ndarray], reader: Reader, shape: Shape, rate
         if whole:
             h = now
         else:
-            h[live] = now
+            h[:, live] = now
         y = ys.ravel()
         some = np.flatnonzero(y >= 0)
-        flat = states.reshape(-1, k)
+        flat = states.transpose(0, 2, 1).reshape(-1, k)
         full = np.zeros_like(flat)
         full[some], outer = _output_grads(w, flat[some], y[some], shape, per, scale)
-        full = full.reshape(states.shape)
+        full = np.ascontiguousarray(full.reshape(len(xs), -1, k).transpose(0, 2, 1))
         gu = np.zeros_like(w.u)
         later = np.zeros_like(now)
-        da = np.empty((*states.shape[:2], 3 * k), dtype=np.float32)
-        dg = np.empty((len(now), 3 * k), dtype=np.float32)
+        da = np.empty((len(xs), 3 * k, now.shape[1]), dtype=np.float32)
+        dg = np.empty((3 * k, now.shape[1]), dtype=np.float32)
         for i in range(len(xs) - 1, -1, -1):
             before, z, r, n, m = saved[i]
             d = full[i] + later
@@ -362,16 +369,17 @@ def _fit(w: Weights, texts: list[np.ndarray], reader: Reader, shape: Shape, rate
             dr = dn * m
             dr *= r
             dr *= one - r
-            da[i, :, :k] = dg[:, :k] = dz
-            da[i, :, k : 2 * k] = dg[:, k : 2 * k] = dr
-            da[i, :, 2 * k :] = dn
-            np.multiply(dn, r, out=dg[:, 2 * k :])
-            gu += before.T @ dg
-            later = d * z + dg @ w.u.T
+            dg[:k], dg[k : 2 * k] = dz, dr
+            da[i, : 2 * k], da[i, 2 * k :] = dg[: 2 * k], dn
+            np.multiply(dn, r, out=dg[2 * k :])
+            gu += before @ dg.T
+            later = w.u @ dg
+            d *= z
+            later += d
             if starts[i]:
-                later[bs[i]] = 0
+                later[:, bs[i]] = 0
         gx = np.zeros_like(w.x)
-        _add_rows(gx, xs.ravel(), da.reshape(-1, 3 * k))
+        _add_rows(gx, xs.ravel(), da.transpose(0, 2, 1).reshape(-1, 3 * k))
         # Adam; rarely used rows move little because their first moments are near zero
         step = np.float32(rate * np.sqrt(1 - 0.99**done) / (1 - 0.9**done))
         for q, g, a, b in zip(parts, (gx, gu, *outer), first, second):
@@ -398,24 +406,25 @@ def _likelihood(w: Weights, texts: list[np.ndarray], reader: Reader, shape: Shap
     x = _inputs(target, begin, int(lookup[reader.v.number[END]]) if END in reader.v.number else reader.slots)
     per, hc = reader.per, shape.head_classes
     out = np.zeros(len(texts))
-    h = np.zeros((lanes, shape.hidden), dtype=np.float32)
+    h = np.zeros((shape.hidden, lanes), dtype=np.float32)
     any_ = word >= 0
     width = any_.sum(axis=1)  # lanes that end are not all at the right, so only whole steps shrink
     for t0 in range(0, len(word), 64):
         t1 = min(len(word), t0 + 64)
         live = np.flatnonzero(any_[t0:t1].any(axis=0)) if width[t0] < lanes else None
         states = []
-        part = h if live is None else h[live]
-        for i in range(t0, t1):
-            xi, bi = (x[i], begin[i]) if live is None else (x[i][live], begin[i][live])
-            if bi.any():
-                part = np.where(bi[:, None], np.float32(0), part)
-            part = _step(w, part, xi)[0]
-            states.append(part)
+        part = h if live is None else h[:, live]
+        xs, bs = (v[t0:t1] if live is None else v[t0:t1, live] for v in (x, begin))
+        starts = bs.any(axis=1)
+        for i in range(t1 - t0):
+            if starts[i]:
+                part = np.where(bs[i], np.float32(0), part)
+            part = _step(w, part, xs[i])[0]
+            states.append(part.T)
         if live is None:
             h = part
         else:
-            h[live] = part
+            h[:, live] = part
         y = (target[t0:t1] if live is None else target[t0:t1, live]).ravel()
         doc = (text[t0:t1] if live is None else text[t0:t1, live]).ravel()
         some = np.flatnonzero(y >= 0)

@@ -380,6 +380,12 @@ def test_production_weights_are_fitted_to_every_training_document(spark):
         assert not np.array_equal(gated_lm.fit(docs, v, shape).pack(), first)
 
 
+def test_production_shape_tells_a_thousand_words_apart():
+    words = [b"", *(b"w%d" % i for i in range(999))]
+    v = gated_lm.Vocabulary({w: i for i, w in enumerate(words)}, np.arange(1000, 0, -1), 500_500, 1000, min(1000, gated_lm.Shape().head), {}, *np.zeros((2, 16), int))
+    assert len(set(gated_lm.Reader(v, gated_lm.Shape()).inputs().tolist())) == 1000
+
+
 def test_each_training_document_is_in_one_round(spark, monkeypatch):
     v, _, _ = tiny_model()
     docs = spark.createDataFrame([(i if i % 4 else None, "a b c " * (i % 7)) for i in range(60)], "doc_id long, text string")
