@@ -23,6 +23,7 @@ from tallymill.sources.messages import (
     sender_inventory, sender_totals, stage_outputs, window_label, write_parser_report, write_raw_export, write_stage_outputs,
 )
 from tallymill.streaming import streams
+from tallymill.streaming.counterparts import state_on_disk
 from tallymill.streaming.pairing import PAIRED, pairing_table
 
 NOW_MS = 1_767_225_600_000  # 2026-01-01 UTC, the reading time of windowed scans
@@ -633,7 +634,8 @@ def stream_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_transfer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the days that are closed when the events end, with their counterpart or none."""
     rows = S.ledger_from(spark.readStream.schema(S.load(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet"))
-    return _finish(streams.transfer_rows_stream(rows), spark)
+    with state_on_disk(spark):
+        return _finish(streams.transfer_rows_stream(rows), spark)
 
 
 def stream_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:

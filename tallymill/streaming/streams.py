@@ -14,6 +14,8 @@ from tallymill.operators.parse import balance_updates_of, parse_stages, transact
 from tallymill.operators.reports import _staged_counts
 from tallymill.schemas import ACCOUNTS, LEDGER, MESSAGES, struct_of
 from tallymill.sources.messages import read_buckets, user_bucket, write_buckets
+from tallymill.streaming.counterparts import FOUND, PACKED, PARTS, ClosedDays
+from tallymill.streaming.pairing import PROVIDER, ROCKS
 
 POLL = "30 minutes"
 BALANCES = struct_of(
@@ -81,42 +83,32 @@ def transfer_rows_stream(rows: DataFrame, lateness: str = "2 days") -> DataFrame
     """Each active row with its chosen counterpart, or with none, once no counterpart can come any more: ``id, user_id,
     candidates, tier, partner_id`` as in ``transfer_candidates``.
 
-    First the rows of a user, magnitude, sign, day and account (for tier 1 and reference) become one, the first by time and id, when their
-    day is closed. Then an outer interval join brings a row to the first rows opposite, at most one for each account of three
-    days, so no pair of rows is made within a group. The least of a row's matches is its counterpart. Watermarks on both
-    sides bound the state.
+    Rows move once, to one of ``PARTS`` keys of their user and magnitude, and wait there packed by day; what leaves is found from the
+    first rows of three days (see ``counterparts``). State is one packed copy of the rows of open days, on disk: it needs
+    the RocksDB provider, to which this sets the session, since the caller starts the query (``state_on_disk`` sets it back).
     """
+    rows.sparkSession.conf.set(PROVIDER, ROCKS)
+    magnitude = F.abs("amount")
+    packed = {
+        "magnitude": magnitude, "sign": F.when(F.col("amount") > 0, 1).otherwise(-1),
+        "created_us": F.unix_micros(F.col("created_at").cast("timestamp")),
+    }
     legs = (
-        rows.filter("amount IS NOT NULL AND amount <> 0 AND NOT is_deleted AND NOT is_infrastructure AND NOT is_contra")
+        rows.filter("txn_date IS NOT NULL AND amount IS NOT NULL AND amount <> 0 AND NOT is_deleted AND NOT is_infrastructure AND NOT is_contra")
+        .filter(F.col("status").isin(*ACTIVE, "user_reviewed"))
+        .withColumn("day_time", F.col("txn_date").cast("timestamp"))
+        .withWatermark("day_time", lateness)
         .select(
-            "id", "user_id", "account_id", "ref_number", "status", "created_at", F.abs("amount").alias("magnitude"),
-            F.when(F.col("amount") > 0, 1).otherwise(-1).alias("sign"), F.col("txn_date").cast("timestamp").alias("day_time"),
+            F.window("day_time", "1 day"), F.unix_date("txn_date").alias("day"),
+            F.pmod(F.xxhash64("user_id", magnitude), F.lit(PARTS)).cast("int").alias("part"),
+            F.to_json(F.array(*[packed.get(c, F.col(c)).cast("string") for c in PACKED])).alias("packed"),
         )
-        .withWatermark("day_time", lateness)
     )
-    active = legs.filter(F.col("status").isin(ACTIVE))
-    with_ref = active.filter("ref_number IS NOT NULL")
-
-    def matches(seekers: DataFrame, pool: DataFrame, extra: list[str], tier: int) -> DataFrame:
-        keys = ["user_id", "magnitude", *extra]
-        heads = pool.groupBy(F.window("day_time", "1 day"), *keys, "sign", "account_id").agg(
-            F.min(F.struct("created_at", "id")).alias("head"), F.count("*").alias("n")
-        )
-        named = {c: f"h_{c}" for c in [*keys, "sign", "account_id"]}
-        heads = heads.withColumn("head_time", F.window_time("window")).drop("window").withColumnsRenamed(named)
-        same = " AND ".join(f"{c} = h_{c}" for c in keys)
-        # a window's time is its last microsecond, so the day before ends just under the row's own day
-        near = "head_time >= day_time - INTERVAL 1 SECOND AND head_time < day_time + INTERVAL 2 DAYS"
-        met = seekers.join(heads, F.expr(f"{same} AND sign = -h_sign AND account_id <> h_account_id AND {near}"), "left")
-        found = F.when(F.col("head").isNotNull(), F.struct(F.lit(tier).alias("tier"), "head"))
-        return met.select("day_time", "user_id", "id", found.alias("found"), F.when(F.lit(tier == 2), F.col("n")).alias("n"))
-
-    every = matches(active, active, [], 2).unionByName(matches(active, legs.filter("status = 'user_reviewed'"), [], 3))
-    every = every.unionByName(matches(with_ref, with_ref, ["ref_number"], 1))
-    settled = every.groupBy(F.window("day_time", "1 day"), "user_id", "id").agg(
-        F.min("found").alias("found"), F.coalesce(F.sum("n"), F.lit(0)).alias("candidates")
+    # a row is late when its whole day is behind the watermark
+    keyed = legs.select(F.window_time("window").alias("day_end"), "day", "part", "packed")
+    return keyed.groupBy("part").transformWithStateInPandas(
+        statefulProcessor=ClosedDays(), outputStructType=FOUND, outputMode="Append", timeMode="EventTime"
     )
-    return settled.select("id", "user_id", "candidates", F.col("found.tier").alias("tier"), F.col("found.head.id").alias("partner_id"))
 
 
 def funnel_stream(parsed: DataFrame, length: str = "90 days", lateness: str = "2 days") -> DataFrame:
